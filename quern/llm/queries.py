@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, substring_dedup
+from . import bpe, pii, substring_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pii": pii.op2_pii,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+        "op7_byte_bpe": bpe.op7_byte_bpe,
+        "op8_token_files": token_files.op8_token_files,
     }
 
 
