@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, substring_dedup, token_files
+from . import bpe, minhash, pii, substring_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,10 +15,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_token_files": token_files.op8_token_files,
+        "op10_minhash": minhash.op10_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op10_minhash": minhash.ORACLE_SQL,
     }
