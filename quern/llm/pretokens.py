@@ -1,8 +1,9 @@
-"""Cutting texts for byte-level BPE: first at single blanks, which always stand between pre-tokens, then by the pattern.
+"""Cutting texts for byte-level BPE: first at single white space, where pre-tokens always end, then by the pattern.
 
-A blank starts a pre-token unless it stands inside a run of white space, so a text without such a place falls apart
-at its blanks into chunks whose pre-tokens do not depend on their neighbours. Chunks repeat, and each distinct one is
-cut by the (slow) pattern once. A text that has such a place stays whole.
+A blank starts a pre-token unless it stands inside a run of white space, and a lone line feed is one by itself. So a
+text without runs falls apart there into chunks whose pre-tokens do not depend on their neighbours. Chunks repeat, and
+each distinct one is cut by the (slow) pattern once. A text that has runs falls apart at blanks only, or stays whole
+where a blank stands between other white space.
 """
 
 from __future__ import annotations
@@ -10,16 +11,39 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-INNER_BLANK = re.compile(r"\s \s")
+RUN, INNER_BLANK = re.compile(r"\s\s"), re.compile(r"\s \s")
 
 
 def chunks_of(text: str) -> list[str]:
-    if "\0" in text or INNER_BLANK.search(text):
+    if "\0" in text:
         return [text]
+    if RUN.search(text):
+        if INNER_BLANK.search(text):
+            return [text]
+    else:
+        text = text.replace("\n", "\0\n\0")
     return [x for x in text.replace(" ", "\0 ").split("\0") if x]
 
 
+MARKS = frozenset(".,;:!?)")
+
+
 def cutter(pattern: str) -> Callable[[str], list[str]]:
+    """The pattern's matches in a chunk. With the public pattern, letters are one match, with a blank before them if
+    there is one, and so is a mark that ends the chunk: most chunks need no regular expression."""
+    import public_tokenizers
     import regex
 
-    return regex.compile(pattern).findall
+    find = regex.compile(pattern).findall
+    if pattern != public_tokenizers.PATTERN:
+        return find
+
+    def cut(chunk: str) -> list[str]:
+        word = chunk[1:] if chunk[0] == " " else chunk
+        if word.isalpha():
+            return [chunk]
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return find(chunk)
+
+    return cut

@@ -21,6 +21,8 @@ their ids; an empty table gives no file. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import gc
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -35,37 +37,57 @@ from .pretokens import chunks_of, cutter
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-SHARD_DOCS, SHARD_IDS, SELECT, CACHE = 4096, 8 << 20, 64, 250_000
+SHARD_DOCS, SHARD_IDS, SELECT, CACHE = 1024, 2 << 20, 64, 700_000
+#: Up to so many files (1 MB of places), a broadcast brings them their starts; beyond it, a shuffle.
+BROADCAST_FILES = 40_000
 SCHEMA = "shard int, part int, n_docs bigint, n_ids bigint, low_bits int, low binary, high binary, select_ binary, doc_ids binary, ids binary, width int"
 _loaded: dict[str, object] = {}
 
 
 class Encoder:
-    """Ids by the tokenizers library, each distinct pre-token encoded once while it stays in the cache."""
+    """Ids by the tokenizers library, as 16-bit numbers where the vocabulary allows, else 32; a pre-token is encoded once while it stays in the cache."""
 
     def __init__(self, path: str, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.cut = cutter(pattern)
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.kind = np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32
+        self.blank = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.blank[[k for t, k in vocabulary.items() if t[0] == "\u0120"]] = True  # how byte-level vocabularies write a blank
+
+    def _learn(self, words: list[str]) -> None:
+        """Words of a blank and letters encode in a row, as the pattern cuts them apart; others one by one."""
+        size = np.dtype(self.kind).itemsize
+        plain = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        rows = [plain[at : at + 200] for at in range(0, len(plain), 200)]
+        for some, got in zip(rows, self.library.encode_batch_fast(["".join(x) for x in rows], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids)
+            cuts = (np.flatnonzero(self.blank[ids]) * size).tolist()
+            if len(cuts) != len(some):
+                raise ValueError("the tokenizer does not cut at blanks")
+            data = ids.astype(self.kind).tobytes()
+            for w, a, b in zip(some, cuts, [*cuts[1:], len(data)], strict=True):
+                self.known[w] = data[a:b]
+        rest = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
+        for w, got in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(got.ids, self.kind).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids as 32-bit numbers."""
         own = [chunks_of(t) for t in texts]
-        fresh = {c for x in own for c in x if c not in self.chunks}
-        parts = {c: self.cut(c) for c in fresh}
-        words = list({w for x in parts.values() for w in x if w not in self.words})
-        for w, got in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.words[w] = np.array(got.ids, np.uint32).tobytes()
+        distinct = set().union(*own)
+        parts = {c: self.cut(c) for c in distinct if c not in self.known}
+        self._learn(list({w for x in parts.values() for w in x if w not in self.known}))
         for c, x in parts.items():
-            self.chunks[c] = b"".join(map(self.words.__getitem__, x))
-        out = [b"".join(map(self.chunks.__getitem__, x)) for x in own]
-        for cache in (self.words, self.chunks):
-            if len(cache) > CACHE:
-                cache.clear()
+            if len(x) > 1:
+                self.known[c] = b"".join(map(self.known.__getitem__, x))
+        out = [b"".join(map(self.known.__getitem__, x)) for x in own]
+        if len(self.known) > CACHE:  # what the last batch used holds most of what is frequent
+            self.known = {c: self.known[c] for c in distinct}
         return out
 
 
@@ -120,10 +142,9 @@ class Boundaries:
         return (((places - np.arange(self.n)).astype(np.uint64) << np.uint64(self.l)) | unpacked_bits(self.low, self.l, self.n)).astype(np.int64)
 
 
-def _file(shard: int, part: int, doc_ids: list[int | None], ids: list[bytes]) -> tuple:
-    lengths = np.array([len(x) // 4 for x in ids], np.int64)
-    flat = np.frombuffer(b"".join(ids), np.uint32)
-    width = 2 if flat.max() < 1 << 16 else 4
+def _file(shard: int, part: int, width: int, doc_ids: list[int | None], ids: list[bytes]) -> tuple:
+    lengths = np.array([len(x) // width for x in ids], np.int64)
+    flat = np.frombuffer(b"".join(ids), f"u{width}")
     ends = Boundaries.of(np.cumsum(lengths))
     known = pa.array(doc_ids, pa.int64())
     marks = np.concatenate([known.is_null().to_numpy(zero_copy_only=False).astype(np.int64), known.fill_null(0).to_numpy()])
@@ -138,35 +159,37 @@ def write_files(docs: DataFrame, path: str | None = None, pattern: str = public_
     bounds = sorted(set(docs.approxQuantile("doc_id", [(k + 1) / (cuts + 1) for k in range(cuts)], 0.2 / (cuts + 1)))) if cuts else []
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here makes cycles, and the collector walks all the lists
         if path not in _loaded:
             _loaded[path] = Encoder(path, pattern)
-        end = np.array([end_id], np.uint32).tobytes()
+        end = np.array([end_id], _loaded[path].kind).tobytes()
+        width = np.int8(_loaded[path].kind(0).itemsize)
         for b in batches:
             known = b.column(0).fill_null(-(1 << 63)).to_numpy()
             shard = np.searchsorted(bounds, known, side="left").astype(np.int32) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(shard), b.column(0), pa.array([x + end for x in _loaded[path](texts_of(b.column(1)))], pa.binary())], names=["shard", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard), b.column(0), pa.array([x + end for x in _loaded[path](texts_of(b.column(1)))], pa.binary()), pa.array(np.full(b.num_rows, width))], names=["shard", "doc_id", "ids", "width"])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, part, size, doc_ids, ids = None, 0, 0, [], []
+        shard, part, size, width, doc_ids, ids = None, 0, 0, 0, [], []
 
         def done():
-            return pa.RecordBatch.from_pylist([dict(zip(names, _file(shard, part, doc_ids, ids), strict=True))], schema=kinds)
+            return pa.RecordBatch.from_pylist([dict(zip(names, _file(shard, part, width, doc_ids, ids), strict=True))], schema=kinds)
 
         for b in batches:
-            for s, d, x in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for s, d, x, w in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 if ids and (s != shard or size >= SHARD_IDS):
                     yield done()
                     part, size, doc_ids, ids = part + 1 if s == shard else 0, 0, [], []
-                shard = s
+                shard, width = s, w
                 doc_ids.append(d)
                 ids.append(x)
-                size += len(x) // 4
+                size += len(x) // w
         if ids:
             yield done()
 
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = pa.schema([(x.split()[0], {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in SCHEMA.split(", ")])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "shard int, doc_id bigint, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "shard int, doc_id bigint, ids binary, width byte")
     dealt = rows.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
     return written(dealt.mapInArrow(shards, SCHEMA), "token-files")
 
@@ -186,6 +209,8 @@ def read_files(files: DataFrame) -> DataFrame:
                 sums = [zlib.crc32(ids[s:e]) for s, e in zip(begins, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(marks[1], mask=marks[0] == 1), pa.array(begins + x["start"]), pa.array(ends - begins), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
+    if files.count() <= BROADCAST_FILES:
+        starts = F.broadcast(starts)
     return files.join(starts, ["shard", "part"]).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
