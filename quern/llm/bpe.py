@@ -14,6 +14,7 @@ whole; an empty table gives an empty result. Only doc_id and text are read.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import math
 import zlib
@@ -29,7 +30,7 @@ from .common import prepare, table, texts_of
 from .pretokens import chunks_of, cutter
 
 RANKS = "byte_bpe_50k.tiktoken"
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 10 << 20
 MOST_BUCKETS = 1024
 _loaded: dict[tuple[str, str], object] = {}
 
@@ -53,19 +54,25 @@ def token_bytes(path: str) -> dict[int, bytes]:
     return {v: k for k, v in ranks_of(path).items()}
 
 
-def _packed(*parts: bytes) -> bytes:
+LEVEL = 6
+
+
+def _packed(lengths: list[int], data: bytes) -> bytes:
+    """Lengths, in 8 bits each if they fit, and data, compressed one by one."""
     import zstandard
 
-    head = np.array([len(x) for x in parts], np.uint32).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+    compress = zstandard.ZstdCompressor(level=LEVEL).compress
+    fits = max(lengths) < 256
+    head = compress(np.array(lengths, np.uint8 if fits else np.uint32).tobytes())
+    return bytes([fits]) + len(head).to_bytes(4, "little") + head + compress(data)
 
 
-def _unpacked(data: bytes, n: int) -> list[bytes]:
+def _unpacked(packed: bytes) -> tuple[np.ndarray, bytes]:
     import zstandard
 
-    data = zstandard.ZstdDecompressor().decompress(data)
-    ends = np.cumsum(np.frombuffer(data[: 4 * n], np.uint32)) + 4 * n
-    return [data[a:b] for a, b in zip([4 * n, *ends[:-1]], ends, strict=True)]
+    expand = zstandard.ZstdDecompressor().decompress
+    n = 5 + int.from_bytes(packed[1:5], "little")
+    return np.frombuffer(expand(packed[5:n]), np.uint8 if packed[0] else np.uint32).astype(np.int64), expand(packed[n:])
 
 
 def _pieces(lengths: np.ndarray, data):
@@ -75,6 +82,7 @@ def _pieces(lengths: np.ndarray, data):
 
 def _vocabulary(texts: list[str], pattern: str, buckets: int) -> tuple[dict[str, list[str]], list[list[bytes]]]:
     """Each distinct chunk's pre-tokens, and the distinct pre-tokens by bucket in sorted order."""
+    gc.disable()  # nothing here makes cycles, and the collector walks all the lists
     cut = cutter(pattern)
     distinct: set[str] = set()
     for text in texts:
@@ -102,11 +110,11 @@ def assembled(docs: DataFrame, form: Callable, schema: str, path: str, pattern:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(1, min(parts, MOST_BUCKETS, blocks))
     kind = docs.schema[key].dataType.simpleString()
-    dealt = docs.select(key, "text", F.pmod(F.xxhash64(key, "text"), F.lit(blocks)).cast("int").alias("block")).repartition(max(parts, math.ceil(blocks / 2)), "block")
+    dealt = docs.select(key, "text", F.pmod(F.xxhash64(key, "text"), F.lit(blocks)).cast("int").alias("block")).repartition(max(parts, blocks), "block")
 
     def ask(group: pa.Table) -> pa.Table:
         _, by = _vocabulary(texts_of(group.column("text")), pattern, buckets)
-        asked = [(k, _packed(np.array([len(w) for w in x], np.uint32).tobytes(), b"".join(x))) for k, x in enumerate(by) if x]
+        asked = [(k, _packed([len(w) for w in x], b"".join(x))) for k, x in enumerate(by) if x]
         block = group.column("block")[0].as_py()
         return pa.table({"block": pa.array([block] * len(asked), pa.int32()), "bucket": pa.array([k for k, _ in asked], pa.int32()), "words": pa.array([x for _, x in asked], pa.binary())})
 
@@ -116,14 +124,13 @@ def assembled(docs: DataFrame, form: Callable, schema: str, path: str, pattern:
         for batch in batches:
             out = []
             for data in batch.column("words"):
-                lengths, joined = _unpacked(data.as_py(), 2)
                 ids = []
-                for w in _pieces(np.frombuffer(lengths, np.uint32), joined):
+                for w in _pieces(*_unpacked(data.as_py())):
                     if (got := known.get(w)) is None:
                         got = known[w] = encode(w)
                     ids.append(got)
                 flat = np.array([x for got in ids for x in got], np.uint32)
-                out.append(_packed(np.array([len(x) for x in ids], np.uint32).tobytes(), (flat.astype(np.uint16) if flat.max() < 1 << 16 else flat).tobytes()))
+                out.append(_packed([len(x) for x in ids], (flat.astype(np.uint16) if flat.max() < 1 << 16 else flat).tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "ids"])
 
     def put_together(group: pa.Table, answers: pa.Table) -> pa.Table:
@@ -131,8 +138,7 @@ def assembled(docs: DataFrame, form: Callable, schema: str, path: str, pattern:
         chunks, by = _vocabulary(texts, pattern, buckets)
         ids: dict[str, tuple[int, ...]] = {}
         for bucket, data in zip(answers.column("bucket").to_pylist(), answers.column("ids").to_pylist(), strict=True):
-            counts, flat = _unpacked(data, 2)
-            counts = np.frombuffer(counts, np.uint32)
+            counts, flat = _unpacked(data)
             flat = np.frombuffer(flat, np.uint16 if len(flat) == 2 * counts.sum() else np.uint32).tolist()
             ids.update(zip(map(bytes.decode, by[bucket]), _pieces(counts, flat), strict=True))
         made = form(texts, chunks, ids)
@@ -173,15 +179,16 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str = public_toke
 
     def form(texts, chunks, ids):
         table_ = token_bytes(path)
-        text_of = {w: " ".join(map(str, x)) for w, x in ids.items()}
+        number = {k: str(k) for k in table_}
+        text_of = {w: " ".join(map(number.__getitem__, x)) for w, x in ids.items()}
         bytes_of = {w: b"".join(map(table_.__getitem__, x)) for w, x in ids.items()}
-        told = {c: " ".join(map(text_of.__getitem__, p)) for c, p in chunks.items()}
-        raw = {c: b"".join(map(bytes_of.__getitem__, p)) for c, p in chunks.items()}
-        count = {c: sum(len(ids[w]) for w in p) for c, p in chunks.items()}
+        told = {c: text_of[p[0]] if len(p) == 1 else " ".join(map(text_of.__getitem__, p)) for c, p in chunks.items()}
+        raw = {c: bytes_of[p[0]] if len(p) == 1 else b"".join(map(bytes_of.__getitem__, p)) for c, p in chunks.items()}
         out = []
         for text in texts:
             own = chunks_of(text)
-            out.append((sum(map(count.__getitem__, own)), hashlib.sha256(" ".join(map(told.__getitem__, own)).encode()).hexdigest(), hashlib.sha256(b"".join(map(raw.__getitem__, own))).hexdigest()))
+            joined = " ".join(map(told.__getitem__, own)).encode()
+            out.append((joined.count(b" ") + bool(own), hashlib.sha256(joined).hexdigest(), hashlib.sha256(b"".join(map(raw.__getitem__, own))).hexdigest()))
         return [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
 
     return assembled(docs, form, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", path, pattern, key)

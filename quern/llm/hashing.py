@@ -75,6 +75,27 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
     return stretches(sums(BYTE[LOWER[data] if lower else data]), start, end)
 
 
+def slices(offsets: np.ndarray, size: int = 1 << 20):
+    """Consecutive texts of about ``size`` bytes together, to bound the memory of what has 8 bytes for each byte: (first, last + 1)."""
+    first = 0
+    while first < len(offsets) - 1:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1)
+        yield first, last
+        first = last
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, and for each text the number of words before it (one entry more than texts)."""
+    hashes, before, n = [np.zeros(0, U)], [np.zeros(1, np.int64)], 0
+    for a, b in slices(offsets):
+        part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        start, end, count = words_of(part, own)
+        hashes.append(word_hashes(part, start, end, lower))
+        before.append(count[1:] + n)
+        n += len(start)
+    return np.concatenate(hashes), np.concatenate(before)
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """The hash of each k consecutive values; as many as there are places to start, regardless of text bounds."""
     at = np.arange(max(0, len(hashes) - k + 1))

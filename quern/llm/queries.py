@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, pii, substring_dedup, token_files
+from . import bpe, minhash, pii, substring_dedup, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_token_files": token_files.op8_token_files,
+        "op9_url_filter": url_filter.op9_url_filter,
         "op10_minhash": minhash.op10_minhash,
     }
 

@@ -1,182 +1,155 @@
 """Substring dedup over words: seed with winnowed anchors, extend both ways, keep maximal repeats.
 
 Every window of ``WINDOW`` words takes the least hash of the ``SEED``-word grams in it as its anchor, so equal windows
-have equal anchors, and consecutive windows with one anchor form a run. Anchors that documents share seed the search;
-each shared run is extended to all its windows on both sides of the anchor, and a window is a repeat when a document
-with a smaller id has it too. Windows that overlap join to maximal repeats.
+have equal anchors. Anchors that several documents share seed the search: blocks of documents learn which of their
+anchors another document has. Each such anchor is extended on both sides to all windows that it is the anchor of, and
+blocks learn for each window whether a document with a smaller id has it too. Such windows are covered, and those that
+overlap join to maximal repeats. Of documents with equal texts only the smallest enters the second question.
 
-Documents whose texts are equal are one class: only the smallest id of a class enters the search. Anchors and windows
-are dealt by hash and read in sorted order with constant state, so a key of any size needs no memory; the text is dealt
-once, by document, and that exchange is used again.
+Anchors are told apart by 64 bits (a false one costs time only), windows and whole texts by 96.
 
 Cases: null or empty text has no words; rows of one doc_id never cover each other; rows with null doc_id cover nothing
-and nothing covers them; repeated rows give repeated results. Only doc_id and text are read.
+and nothing covers them; repeated rows give repeated results; an empty table gives an empty result. Only doc_id and
+text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, gathered, map_arrow, table
-from .hashing import grams, inside_runs, sliding_min, word_hashes, words_of
+from .blocks import arrow, bits, cut, deal, flags_of, in_sorted, least_of, narrow, seen_twice, smaller_elsewhere, wide
+from .common import bytes_of, table
+from .hashing import P, U, grams, hashed_words, mix, sliding_min, stretches, sums
 
 WINDOW, SEED = 13, 5
-#: ``place`` packs a text's tag, a place in it and a count of windows.
-TAG, START, COUNT = 24, 32, 8
-
-
-def _pack(tag: np.ndarray, start: np.ndarray, count: np.ndarray | int = 0) -> np.ndarray:
-    return ((tag.astype(np.int64) & ((1 << TAG) - 1)) << (START + COUNT)) | (start.astype(np.int64) << COUNT) | count
-
-
-def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return (place >> (START + COUNT)) & ((1 << TAG) - 1), (place >> COUNT) & ((1 << START) - 1), place & ((1 << COUNT) - 1)
-
-
-def _runs(window: int, seed: int) -> Callable[[pa.RecordBatch], pa.RecordBatch | None]:
-    """Runs of windows with one anchor: (anchor, doc_id, place)."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        data, offsets = bytes_of(batch.column("text"))
-        start, end, before = words_of(data, offsets)
-        n = len(start) - window + 1
-        if n < 1:
-            return None
-        least = sliding_min(grams(word_hashes(data, start, end), seed), window - seed + 1)
-        doc = np.repeat(np.arange(batch.num_rows), np.diff(before))
-        whole = doc[:n] == doc[window - 1 :]
-        new = np.ones(n, bool)
-        new[1:] = (least[1:] != least[:-1]) | (doc[1:n] != doc[: n - 1])
-        place = np.arange(n) - before[doc[:n]]
-        limit = (1 << COUNT) - 1
+FIRST = "block int, bucket int, keys binary, many binary, texts binary, text_checks binary, text_least binary"
+FIRST_ANSWER = "block int, bucket int, shared binary, copies binary"
+SECOND = "block int, bucket int, shared binary, copies binary, keys binary, checks binary, least binary"
+SECOND_ANSWER = "block int, bucket int, shared binary, copies binary, covered binary"
+
+
+def _check(keys: np.ndarray, prefix_hashes: np.ndarray) -> np.ndarray:
+    return (mix(keys ^ (prefix_hashes * U(P))) >> U(32)).astype(np.uint32)
+
+
+class _Block:
+    """The words, windows and anchors of a block's texts. Everything follows from the rows' content, not their order."""
+
+    def __init__(self, group: pa.Table, window: int, seed: int):
+        self.hashes, self.before = hashed_words(*bytes_of(group.column("text").combine_chunks()))
+        ids = group.column("doc_id").combine_chunks()
+        self.known = ids.is_valid().to_numpy(zero_copy_only=False)
+        self.ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        n = max(0, len(self.hashes) - window + 1)
+        self.doc = np.repeat(np.arange(len(self.ids)), np.diff(self.before))[: n + window - 1]
+        self.whole = (self.doc[:n] == self.doc[window - 1 :]) & self.known[self.doc[:n]] if n else np.zeros(0, bool)
+        self.anchor = sliding_min(grams(self.hashes, seed), window - seed + 1)[:n] if n else np.zeros(0, U)
+        self.doc, self.window = self.doc[:n], window
+        # whole texts by their words
+        at, to = self.before[:-1], self.before[1:]
+        prefix = sums(self.hashes)
+        self.texts = stretches(prefix, at, to)
+        other = stretches(sums(mix(self.hashes)), at, to)
+        real = self.known & (to - at >= window)
+        self.text_rows = np.flatnonzero(real)
+        self.text_keys, self.text_checks, self.text_least, self.text_place = least_of(self.texts[real], _check(self.texts[real], other[real]), self.ids[real])
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct anchors in order, and whether several documents of the block have each."""
+        new = self.whole.copy()
+        if len(new):
+            new[1:] &= (self.anchor[1:] != self.anchor[:-1]) | (self.doc[1:] != self.doc[:-1]) | ~self.whole[:-1]
         at = np.flatnonzero(new)
-        run_start = np.zeros(n, np.int64)
-        run_start[at] = at
-        run_start = np.maximum.accumulate(run_start)
-        at = np.flatnonzero(whole & (new | ((np.arange(n) - run_start) % limit == 0)))
         if not len(at):
-            return None
-        last = np.append(at[1:], n)
-        # the run ends where the text's last whole window does
-        count = np.minimum(last, before[doc[at] + 1] - window + 1) - at
-        tag = batch.column("tag").to_numpy(zero_copy_only=False)[doc[at]]
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[doc[at]]
-        return pa.RecordBatch.from_arrays([pa.array(least[at].view(np.int64)), pa.array(ids.astype(np.int64)), pa.array(_pack(tag, place[at], count))], names=["anchor", "doc_id", "place"])
-
-    return run
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (anchor, doc_id): those whose anchor several documents have. State: one document's rows."""
-    names = ("anchor", "doc_id", "place")
-    open_anchor, known = None, False
-    pending = {c: np.zeros(0, np.int64) for c in names}
-    for batch in gathered(batches):
-        x = {c: np.concatenate([pending[c], batch.column(c).to_numpy()]) for c in names}
-        edge = np.flatnonzero(np.append(True, x["anchor"][1:] != x["anchor"][:-1]))
-        group = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(x["anchor"]))))
-        shared = np.logical_or.reduceat(x["doc_id"] != x["doc_id"][edge][group], edge)
-        if known and x["anchor"][0] == open_anchor:
-            shared[0] = True
-        open_anchor, known = x["anchor"][-1], bool(shared[-1])
-        keep = shared[group]
-        tail = slice(len(group), None) if known else slice(edge[-1], None)
-        pending = {c: x[c][tail] for c in names}
-        yield pa.RecordBatch.from_arrays([pa.array(x[c][keep]) for c in names], names=list(names))
-
-
-def _windows(window: int) -> Callable[[pa.RecordBatch], pa.RecordBatch | None]:
-    """Each window of the shared runs: (anchor, content, doc_id, place)."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        data, offsets = bytes_of(batch.column("text"))
-        start, end, before = words_of(data, offsets)
-        runs = batch.column("runs")
-        lengths = np.diff(runs.offsets.to_numpy())
-        doc = np.repeat(np.arange(batch.num_rows), lengths)
-        rows = runs.flatten()
-        anchor, place = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(2))
-        tag, at, count = _unpack(place)
-        own = tag == (batch.column("tag").to_numpy(zero_copy_only=False)[doc] & ((1 << TAG) - 1))
-        doc, anchor, tag, at, count = doc[own], anchor[own], tag[own], at[own], count[own]
-        run_of, offset = inside_runs(count)
-        if not len(run_of) or len(start) < window:
-            return None
-        content = grams(word_hashes(data, start, end), window)
-        at = at[run_of] + offset
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[doc[run_of]].astype(np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(anchor[run_of]), pa.array(content[before[doc[run_of]] + at].view(np.int64)), pa.array(ids), pa.array(_pack(tag[run_of], at))],
-            names=["anchor", "content", "doc_id", "place"],
-        )
-
-    return run
-
-
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of windows sorted by (anchor, content, doc_id): those that a smaller document has. State: the open window's key and least document."""
-    key, least = None, 0
-    for batch in gathered(batches):
-        a, c, d, p = (batch.column(k).to_numpy() for k in range(4))
-        edge = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
-        first = d[edge].copy()
-        if key == (a[0], c[0]):
-            first[0] = least
-        key, least = (a[-1], c[-1]), first[-1]
-        later = d > np.repeat(first, np.diff(np.append(edge, len(a))))
-        yield pa.RecordBatch.from_arrays([pa.array(d[later]), pa.array(p[later])], names=["doc_id", "place"])
-
-
-def _kept(window: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for text, tag, copy, covered in zip(batch.column("text").to_pylist(), batch.column("tag").to_pylist(), batch.column("copy").to_pylist(), batch.column("covered"), strict=True):
-            words = (text or "").encode().split()
-            n, kept = len(words), words
-            if copy and n >= window:
-                kept = []
-            elif covered.is_valid and n >= window:
-                tags, at, _ = _unpack(covered.values.to_numpy())
-                at = at[tags == (tag & ((1 << TAG) - 1))]
-                step = np.zeros(n + 1, np.int32)
-                np.add.at(step, at, 1)
-                np.add.at(step, at + window, -1)
-                kept = [words[k] for k in np.flatnonzero(np.cumsum(step[:n]) == 0)]
-            out.append((n, n - len(kept), b" ".join(kept)))
-        n, removed, kept = zip(*out, strict=True)
-        arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([x.decode() for x in kept], pa.string())]
-        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "kept"])
-
-    return run
+            return np.zeros(0, U), np.zeros(0, bool)
+        key, ids = self.anchor[at], self.ids[self.doc[at]]
+        order = np.argsort(key, kind="stable")
+        edge = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        return key[order][edge], np.minimum.reduceat(ids[order], edge) < np.maximum.reduceat(ids[order], edge)
+
+    def extended(self, answers: pa.Table, buckets: int):
+        """Windows whose anchors are shared, of documents that copy no smaller one: their places, and keys, checks, least ids and places among the keys."""
+        keys, _ = self.anchors()
+        shared, copies = np.zeros(len(keys), bool), np.zeros(len(self.text_keys), bool)
+        by, text_by = cut(keys, buckets), cut(self.text_keys, buckets)
+        for k, s, c in zip(*(answers.column(x).to_pylist() for x in ("bucket", "shared", "copies")), strict=True):
+            shared[by[k]] = flags_of(s, len(by[k]))
+            copies[text_by[k]] = flags_of(c, len(text_by[k]))
+        self.copy = np.zeros(len(self.ids), bool)
+        self.copy[self.text_rows] = copies[self.text_place] | (self.ids[self.text_rows] > self.text_least[self.text_place])
+        at = np.flatnonzero(self.whole & ~self.copy[self.doc] & in_sorted(self.anchor, keys[shared]))
+        content = stretches(sums(self.hashes), at, at + self.window)
+        other = stretches(sums(mix(self.hashes)), at, at + self.window)
+        return at, *least_of(content, _check(content, other), self.ids[self.doc[at]])
 
 
 def remove_repeats(df: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the text without words that windows of smaller documents cover, joined by one space."""
     kind = df.schema["doc_id"].dataType.simpleString()
-    both = (F.xxhash64("text"), F.hash("text"))
-    docs = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    marked = docs.select("doc_id", both[0].alias("h"), both[1].alias("tag")).where("doc_id is not null")
-    classes = marked.groupBy("h", "tag").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    copies = marked.join(classes, ["h", "tag"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("tag").alias("copies"))
-    dealt = docs.repartition("doc_id").join(copies.hint("shuffle_hash"), "doc_id", "left")
-    base = dealt.select("doc_id", "text", both[1].alias("tag"), F.coalesce(F.array_contains("copies", both[1]), F.lit(False)).alias("copy"))
-
-    fresh = base.where("not copy and doc_id is not null").select("doc_id", "text", "tag")
-    runs = map_arrow(fresh, _runs(window, seed), "anchor bigint, doc_id bigint, place bigint")
-    shared = runs.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_shared, "anchor bigint, doc_id bigint, place bigint")
-    by_doc = shared.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place")).alias("runs"))
-    seeded = base.join(by_doc.hint("shuffle_hash"), "doc_id", "left").where("runs is not null").select("doc_id", "text", "tag", "runs")
-    windows = map_arrow(seeded, _windows(window), "anchor bigint, content bigint, doc_id bigint, place bigint")
-    repeats = windows.repartition("anchor", "content").sortWithinPartitions("anchor", "content", "doc_id").mapInArrow(_repeats, "doc_id bigint, place bigint")
-    covers = repeats.groupBy("doc_id").agg(F.collect_list("place").alias("covered"))
-    whole = base.join(covers.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "tag", "copy", "covered")
-    return map_arrow(whole, _kept(window), f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
+    dealt, buckets = deal(df)
+
+    def first(group: pa.Table) -> pa.Table:
+        block = _Block(group, window, seed)
+        keys, many = block.anchors()
+        rows = []
+        for k, (a, t) in enumerate(zip(cut(keys, buckets), cut(block.text_keys, buckets), strict=True)):
+            if len(a) or len(t):
+                rows.append((k, keys[a].tobytes(), bits(many[a]), block.text_keys[t].tobytes(), block.text_checks[t].tobytes(), narrow(block.text_least[t])))
+        number = group.column("block")[0].as_py()
+        return arrow([(number, *r) for r in rows], FIRST)
+
+    def first_answer(rows: pa.Table) -> pa.Table:
+        x = rows.to_pylist()
+        keys = [np.frombuffer(r["keys"], U) for r in x]
+        shared = seen_twice(keys, [flags_of(r["many"], len(k)) for r, k in zip(x, keys, strict=True)])
+        copies = smaller_elsewhere([np.frombuffer(r["texts"], U) for r in x], [np.frombuffer(r["text_checks"], np.uint32) for r in x], [wide(r["text_least"]) for r in x])
+        return arrow([(r["block"], r["bucket"], s, c) for r, s, c in zip(x, shared, copies, strict=True)], FIRST_ANSWER)
+
+    def second(group: pa.Table, answers: pa.Table) -> pa.Table:
+        if not group.num_rows:
+            return arrow([], SECOND)
+        _, keys, checks, least, _ = _Block(group, window, seed).extended(answers, buckets)
+        by = cut(keys, buckets)
+        known = {r["bucket"]: (r["shared"], r["copies"]) for r in answers.to_pylist()}
+        number = group.column("block")[0].as_py()
+        rows = [(number, k, *known.get(k, (b"", b"")), keys[p].tobytes(), checks[p].tobytes(), narrow(least[p])) for k, p in enumerate(by) if len(p) or k in known]
+        return arrow(rows, SECOND)
+
+    def second_answer(rows: pa.Table) -> pa.Table:
+        x = rows.to_pylist()
+        covered = smaller_elsewhere([np.frombuffer(r["keys"], U) for r in x], [np.frombuffer(r["checks"], np.uint32) for r in x], [wide(r["least"]) for r in x])
+        return arrow([(r["block"], r["bucket"], r["shared"], r["copies"], c) for r, c in zip(x, covered, strict=True)], SECOND_ANSWER)
+
+    def last(group: pa.Table, answers: pa.Table) -> pa.Table:
+        block = _Block(group, window, seed)
+        at, keys, _, least, place = block.extended(answers, buckets)
+        elsewhere = np.zeros(len(keys), bool)
+        by = cut(keys, buckets)
+        for k, c in zip(answers.column("bucket").to_pylist(), answers.column("covered").to_pylist(), strict=True):
+            elsewhere[by[k]] = flags_of(c, len(by[k]))
+        hit = at[elsewhere[place] | (block.ids[block.doc[at]] > least[place])]
+        step = np.zeros(len(block.hashes) + window + 1, np.int32)
+        step[hit] += 1
+        step[hit + window] -= 1
+        keep = np.cumsum(step[: len(block.hashes)]) == 0
+        counts, removed, texts = [], [], []
+        for k, text in enumerate(group.column("text").to_pylist()):
+            words = text.encode().split()
+            own = keep[block.before[k] : block.before[k + 1]]
+            kept = [] if block.copy[k] else words if own.all() else [words[j] for j in np.flatnonzero(own)]
+            counts.append(len(words))
+            removed.append(len(words) - len(kept))
+            texts.append(b" ".join(kept).decode())
+        return pa.table({"doc_id": group.column("doc_id"), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(texts, pa.string())})
+
+    asked = dealt.groupBy("block").applyInArrow(first, FIRST).groupBy("bucket").applyInArrow(first_answer, FIRST_ANSWER)
+    again = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(second, SECOND).groupBy("bucket").applyInArrow(second_answer, SECOND_ANSWER)
+    return dealt.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(last, f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

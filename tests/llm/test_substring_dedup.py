@@ -1,5 +1,6 @@
 import random
 
+from quern.llm import blocks
 from quern.llm import substring_dedup as sd
 
 SCHEMA = "doc_id long, text string, anchor string, place string"
@@ -11,7 +12,9 @@ def run(spark, tmp_path, rows):
     return sorted(got, key=str)
 
 
-def test_against_brute_force(spark, tmp_path):
+def test_against_brute_force(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 12_000)
+    monkeypatch.setattr(blocks, "BUCKET_BYTES", 20_000)
     rng = random.Random(5)
     vocab = [f"w{k}" for k in range(40)] + ["ä", "the"]
     passages = [" ".join(rng.choices(vocab, k=rng.randint(8, 40))) for _ in range(12)]
