@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, pii, substring_dedup, token_files, url_filter
+from . import bpe, minhash, pii, substring_dedup, token_files, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pii": pii.op2_pii,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_token_files": token_files.op8_token_files,
