@@ -13,6 +13,9 @@ P = 0x9E3779B97F4A7C13
 P_INVERSE = pow(P, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that part terms: ASCII that is neither letter nor digit.
+APART = np.ones(256, bool)
+APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -55,12 +58,12 @@ def stretches(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start] + (end - start).astype(U))
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, the longest runs without ASCII white space, of texts laid end to end: start and end of each in ``data``,
+def words_of(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, the longest runs without ASCII white space (or without the bytes ``apart``), of texts laid end to end: start and end of each in ``data``,
     and for each text the number of words before it (one entry more than texts)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~SPACE[data]
+    inside = ~apart[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     starts = inside.copy()
@@ -84,12 +87,12 @@ def slices(offsets: np.ndarray, size: int = 1 << 20):
         first = last
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words, and for each text the number of words before it (one entry more than texts)."""
     hashes, before, n = [np.zeros(0, U)], [np.zeros(1, np.int64)], 0
     for a, b in slices(offsets):
         part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        start, end, count = words_of(part, own)
+        start, end, count = words_of(part, own, apart)
         hashes.append(word_hashes(part, start, end, lower))
         before.append(count[1:] + n)
         n += len(start)

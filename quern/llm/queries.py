@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, imatch, minhash, pii, substring_dedup, suffix_dedup, token_files, toxicity, url_filter
+from . import bpe, decontaminate, imatch, minhash, pii, substring_dedup, suffix_dedup, token_files, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_pii": pii.op2_pii,
+        "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_imatch": imatch.op4_imatch,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
