@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import sound
+
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows of an Arrow batch: bounds a Python worker's memory by so many texts.
 BATCH_ROWS = 500
@@ -23,7 +25,7 @@ BATCH_ROWS = 500
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound Arrow batches, and let Python workers import this package wherever the driver was started."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    sound(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
     path = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in path.split(os.pathsep):
