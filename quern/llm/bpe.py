@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, table, texts_of
-from .pretokens import chunks_of, cutter
+from .pretokens import Pieces, cutter, plain
 
 RANKS = "byte_bpe_50k.tiktoken"
 BLOCK_BYTES = 10 << 20
@@ -80,29 +80,52 @@ def _pieces(lengths: np.ndarray, data):
     return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
 
 
-def _vocabulary(texts: list[str], pattern: str, buckets: int) -> tuple[dict[str, list[str]], list[list[bytes]]]:
-    """Each distinct chunk's pre-tokens, and the distinct pre-tokens by bucket in sorted order."""
-    gc.disable()  # nothing here makes cycles, and the collector walks all the lists
-    cut = cutter(pattern)
-    distinct: set[str] = set()
-    for text in texts:
-        distinct.update(chunks_of(text))
-    chunks = {c: cut(c) for c in distinct}
-    words: set[str] = set()
-    for parts in chunks.values():
-        words.update(parts)
-    by: list[list[bytes]] = [[] for _ in range(buckets)]
-    for w in map(str.encode, words):
-        by[zlib.crc32(w) % buckets].append(w)
-    for x in by:
-        x.sort()
-    return chunks, by
+class _Block:
+    """Distinct pieces of a block's texts with their pre-tokens, and each text as numbers of pieces."""
+
+    def __init__(self, texts: list[str], pattern: str):
+        gc.disable()  # nothing here makes cycles, and the collector walks all the lists
+        index: dict[int, int] = {}
+        pieces: list[str] = []
+        self.texts: list[list[int]] = [[] for _ in texts]
+        able = [plain(t) for t in texts]
+        at = 0
+        while at < len(texts):  # texts of about a megabyte at a time: numpy holds 8 bytes for each of theirs
+            some, size = [], 0
+            while at < len(texts) and size < 1 << 20:
+                if able[at]:
+                    some.append(at)
+                    size += len(texts[at])
+                elif texts[at]:
+                    self.texts[at] = [len(pieces)]
+                    pieces.append(texts[at])
+                at += 1
+            if some:
+                cut = Pieces([texts[k] for k in some])
+                numbers = [index.get(k, -1) for k in cut.keys]
+                fresh = [k for k, x in enumerate(numbers) if x < 0]
+                for n, k in enumerate(fresh, len(pieces)):
+                    numbers[k] = index[cut.keys[k]] = n
+                pieces += cut.texts(fresh)
+                place = np.array(numbers)[cut.place].tolist()
+                for k, a, b in zip(some, cut.bounds[:-1].tolist(), cut.bounds[1:].tolist(), strict=True):
+                    self.texts[k] = place[a:b]
+        self.parts = list(map(cutter(pattern), pieces))
+
+    def words(self, buckets: int) -> list[list[bytes]]:
+        """The distinct pre-tokens by bucket in sorted order."""
+        by: list[list[bytes]] = [[] for _ in range(buckets)]
+        for w in map(str.encode, set().union(*self.parts)):
+            by[zlib.crc32(w) % buckets].append(w)
+        for x in by:
+            x.sort()
+        return by
 
 
 def assembled(docs: DataFrame, form: Callable, schema: str, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
-    """``key`` and what ``form(texts, chunks, ids)`` makes of each block: arrays by the columns of ``schema``.
+    """``key`` and what ``form(texts, parts, ids)`` makes of each block: arrays by the columns of ``schema``.
 
-    ``chunks`` has the pre-tokens of each chunk, ``ids`` the ids of each pre-token as a tuple.
+    ``texts`` are lists of numbers of pieces, ``parts`` has the pre-tokens of each piece, ``ids`` the ids of each pre-token.
     """
     spark = prepare(docs.sparkSession)
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -113,7 +136,7 @@ def assembled(docs: DataFrame, form: Callable, schema: str, path: str, pattern:
     dealt = docs.select(key, "text", F.pmod(F.xxhash64(key, "text"), F.lit(blocks)).cast("int").alias("block")).repartition(max(parts, blocks), "block")
 
     def ask(group: pa.Table) -> pa.Table:
-        _, by = _vocabulary(texts_of(group.column("text")), pattern, buckets)
+        by = _Block(texts_of(group.column("text")), pattern).words(buckets)
         asked = [(k, _packed([len(w) for w in x], b"".join(x))) for k, x in enumerate(by) if x]
         block = group.column("block")[0].as_py()
         return pa.table({"block": pa.array([block] * len(asked), pa.int32()), "bucket": pa.array([k for k, _ in asked], pa.int32()), "words": pa.array([x for _, x in asked], pa.binary())})
@@ -134,14 +157,14 @@ def assembled(docs: DataFrame, form: Callable, schema: str, path: str, pattern:
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "ids"])
 
     def put_together(group: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = texts_of(group.column("text"))
-        chunks, by = _vocabulary(texts, pattern, buckets)
+        own = _Block(texts_of(group.column("text")), pattern)
+        by = own.words(buckets)
         ids: dict[str, tuple[int, ...]] = {}
         for bucket, data in zip(answers.column("bucket").to_pylist(), answers.column("ids").to_pylist(), strict=True):
             counts, flat = _unpacked(data)
             flat = np.frombuffer(flat, np.uint16 if len(flat) == 2 * counts.sum() else np.uint32).tolist()
             ids.update(zip(map(bytes.decode, by[bucket]), _pieces(counts, flat), strict=True))
-        made = form(texts, chunks, ids)
+        made = form(own.texts, own.parts, ids)
         return pa.table([group.column(key), *made], names=names)
 
     names = [key, *(x.split()[0] for x in schema.split(", "))]
@@ -153,9 +176,9 @@ def assembled(docs: DataFrame, form: Callable, schema: str, path: str, pattern:
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, key: str = "doc_id") -> DataFrame:
     """(key, ids): the token ids of each whole text as array<int>."""
 
-    def form(texts, chunks, ids):
-        whole = {c: [x for w in parts for x in ids[w]] for c, parts in chunks.items()}
-        return [pa.array([[x for c in chunks_of(t) for x in whole[c]] for t in texts], pa.list_(pa.int32()))]
+    def form(texts, parts, ids):
+        whole = [[x for w in p for x in ids[w]] for p in parts]
+        return [pa.array([[x for k in t for x in whole[k]] for t in texts], pa.list_(pa.int32()))]
 
     return assembled(docs, form, "ids array<int>", path or public_tokenizers.path(RANKS), pattern, key)
 
@@ -177,16 +200,15 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str = public_toke
     """(key, n_tokens, ids_sha256, decoded_sha256), without carrying ids between tasks."""
     path = path or public_tokenizers.path(RANKS)
 
-    def form(texts, chunks, ids):
+    def form(texts, parts, ids):
         table_ = token_bytes(path)
         number = {k: str(k) for k in table_}
         text_of = {w: " ".join(map(number.__getitem__, x)) for w, x in ids.items()}
         bytes_of = {w: b"".join(map(table_.__getitem__, x)) for w, x in ids.items()}
-        told = {c: text_of[p[0]] if len(p) == 1 else " ".join(map(text_of.__getitem__, p)) for c, p in chunks.items()}
-        raw = {c: bytes_of[p[0]] if len(p) == 1 else b"".join(map(bytes_of.__getitem__, p)) for c, p in chunks.items()}
+        told = [text_of[p[0]] if len(p) == 1 else " ".join(map(text_of.__getitem__, p)) for p in parts]
+        raw = [bytes_of[p[0]] if len(p) == 1 else b"".join(map(bytes_of.__getitem__, p)) for p in parts]
         out = []
-        for text in texts:
-            own = chunks_of(text)
+        for own in texts:
             joined = " ".join(map(told.__getitem__, own)).encode()
             out.append((joined.count(b" ") + bool(own), hashlib.sha256(joined).hexdigest(), hashlib.sha256(b"".join(map(raw.__getitem__, own))).hexdigest()))
         return [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]

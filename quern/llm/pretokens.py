@@ -1,9 +1,9 @@
-"""Cutting texts for byte-level BPE: first at single white space, where pre-tokens always end, then by the pattern.
+"""Cutting texts for byte-level BPE: by numpy at white space and marks, then by the pattern.
 
-A blank starts a pre-token unless it stands inside a run of white space, and a lone line feed is one by itself. So a
-text without runs falls apart there into chunks whose pre-tokens do not depend on their neighbours. Chunks repeat, and
-each distinct one is cut by the (slow) pattern once. A text that has runs falls apart at blanks only, or stays whole
-where a blank stands between other white space.
+In a text without runs of white space, a blank starts a pre-token, any other white space is one by itself, and a mark
+at a word's end parts from a letter or digit before it. So such a text falls apart there into pieces whose pre-tokens
+do not depend on their neighbours. Pieces are told apart by hash with what stands before them; they repeat, and each
+distinct one becomes a Python string, and is cut by the (slow) pattern, once. Other texts stay whole.
 """
 
 from __future__ import annotations
@@ -11,21 +11,48 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-RUN, INNER_BLANK = re.compile(r"\s\s"), re.compile(r"\s \s")
+import numpy as np
+import pyarrow as pa
 
+from .common import bytes_of
+from .hashing import APART, P, U, mix, word_hashes, words_of
 
-def chunks_of(text: str) -> list[str]:
-    if "\0" in text:
-        return [text]
-    if RUN.search(text):
-        if INNER_BLANK.search(text):
-            return [text]
-    else:
-        text = text.replace("\n", "\0\n\0")
-    return [x for x in text.replace(" ", "\0 ").split("\0") if x]
+RUN = re.compile(r"\s\s")
+
+
+def plain(text: str) -> bool:
+    """Whether a text may be cut: no white space at its ends, no runs of it."""
+    return bool(text) and not (text[0].isspace() or text[-1].isspace() or RUN.search(text))
 
 
 MARKS = frozenset(".,;:!?)")
+MARK = np.isin(np.arange(256), [ord(c) for c in MARKS])
+LEAD = {0: "", 255: "", **{x: chr(x) for x in (*range(9, 14), 32)}}
+
+
+class Pieces:
+    """The distinct pieces of plain texts as ``keys``; ``place`` has each piece's number in texts laid end to end, of
+    which text k has [bounds[k], bounds[k + 1])."""
+
+    def __init__(self, texts: list[str]):
+        self.data, offsets = bytes_of(pa.array(texts, pa.string()))
+        data = self.data
+        start, end, before = words_of(data, offsets)
+        first = np.zeros(len(start), bool)
+        first[before[:-1]] = True
+        apart = np.where(first, 0, data[start - 1]).astype(np.int64)
+        marked = MARK[data[end - 1]] & (end - start > 1) & ~APART[data[end - 2]] & (data[end - 2] < 128)
+        at = np.flatnonzero(marked) + 1
+        self.start, self.end = np.insert(start, at, end[marked] - 1), np.insert(end - marked, at, end[marked])
+        self.apart = np.insert(apart, at, 255)
+        keys = mix(word_hashes(data, self.start, self.end) ^ ((self.apart + 1).astype(U) * U(P)))
+        distinct, self.sample, self.place = np.unique(keys, return_index=True, return_inverse=True)
+        self.keys = distinct.tolist()
+        self.bounds = before + np.append(0, np.cumsum(marked))[before]
+
+    def texts(self, numbers: list[int]) -> list[str]:
+        raw, own = self.data.tobytes(), self.sample[numbers]
+        return [LEAD[p] + raw[s:e].decode() for p, s, e in zip(self.apart[own].tolist(), self.start[own].tolist(), self.end[own].tolist(), strict=True)]
 
 
 def cutter(pattern: str) -> Callable[[str], list[str]]:

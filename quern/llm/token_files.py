@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import prepare, table, texts_of, written
-from .pretokens import chunks_of, cutter
+from .pretokens import Pieces, cutter, plain
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-SHARD_DOCS, SHARD_IDS, SELECT, CACHE = 1024, 2 << 20, 64, 700_000
+SHARD_DOCS, SHARD_IDS, SELECT, CACHE = 1024, 2 << 20, 64, 500_000
 #: Up to so many files (1 MB of places), a broadcast brings them their starts; beyond it, a shuffle.
 BROADCAST_FILES = 40_000
 SCHEMA = "shard int, part int, n_docs bigint, n_ids bigint, low_bits int, low binary, high binary, select_ binary, doc_ids binary, ids binary, width int"
@@ -45,7 +45,11 @@ _loaded: dict[str, object] = {}
 
 
 class Encoder:
-    """Ids by the tokenizers library, as 16-bit numbers where the vocabulary allows, else 32; a pre-token is encoded once while it stays in the cache."""
+    """Ids by the tokenizers library, as 16-bit numbers where the vocabulary allows, else 32.
+
+    Python sees each distinct piece of a batch once, and the library each pre-token of a new piece once while its ids
+    stay in the cache. Texts that cannot be cut go to the library whole.
+    """
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -54,41 +58,65 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.cut = cutter(pattern)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[int, bytes] = {}
         vocabulary = self.library.get_vocab()
         self.kind = np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32
         self.blank = np.zeros(max(vocabulary.values()) + 1, bool)
         self.blank[[k for t, k in vocabulary.items() if t[0] == "\u0120"]] = True  # how byte-level vocabularies write a blank
+        self.line = vocabulary["\u010a"]  # and a line feed
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.kind) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _rows(self, words: list[str], joint: str) -> dict[str, bytes]:
+        """Words of letters, encoded in rows: with blanks before them they part by themselves, others by line feeds."""
+        out, size = {}, np.dtype(self.kind).itemsize
+        rows = [words[at : at + 200] for at in range(0, len(words), 200)]
+        for some, ids in zip(rows, self._library([joint.join(x) for x in rows]), strict=True):
+            cuts = np.flatnonzero(ids == self.line) if joint else np.flatnonzero(self.blank[ids])
+            starts = ([0, *(cuts + 1).tolist()] if joint else cuts.tolist())
+            ends = [*(cuts.tolist() if joint else starts[1:]), len(ids)]
+            if len(starts) != len(some):
+                raise ValueError("the tokenizer does not cut where the pattern does")
+            data = ids.tobytes()
+            out.update((w, data[size * a : size * b]) for w, a, b in zip(some, starts, ends, strict=True))
+        return out
 
-    def _learn(self, words: list[str]) -> None:
-        """Words of a blank and letters encode in a row, as the pattern cuts them apart; others one by one."""
+    def _learn(self, keys: list[int], pieces: list[str]) -> None:
+        parts = [self.cut(x) for x in pieces]
+        distinct = {w for x in parts for w in x}
+        blank = [w for w in distinct if w[0] == " " and w[1:].isalpha()]
+        bare = [w for w in distinct if w.isalpha()]
+        ids = {**self._rows(blank, ""), **self._rows(bare, "\n")}
+        rest = [w for w in distinct if w not in ids]
+        ids.update(zip(rest, (x.tobytes() for x in self._library(rest)), strict=True))
+        for k, x in zip(keys, parts, strict=True):
+            self.known[k] = ids[x[0]] if len(x) == 1 else b"".join(map(ids.__getitem__, x))
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        cut = Pieces(texts)
+        found = list(map(self.known.get, cut.keys))
+        fresh = [k for k, x in enumerate(found) if x is None]
+        if fresh:
+            self._learn([cut.keys[k] for k in fresh], cut.texts(fresh))
+            for k in fresh:
+                found[k] = self.known[cut.keys[k]]
         size = np.dtype(self.kind).itemsize
-        plain = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        rows = [plain[at : at + 200] for at in range(0, len(plain), 200)]
-        for some, got in zip(rows, self.library.encode_batch_fast(["".join(x) for x in rows], add_special_tokens=False), strict=True):
-            ids = np.array(got.ids)
-            cuts = (np.flatnonzero(self.blank[ids]) * size).tolist()
-            if len(cuts) != len(some):
-                raise ValueError("the tokenizer does not cut at blanks")
-            data = ids.astype(self.kind).tobytes()
-            for w, a, b in zip(some, cuts, [*cuts[1:], len(data)], strict=True):
-                self.known[w] = data[a:b]
-        rest = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
-        for w, got in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(got.ids, self.kind).tobytes()
+        flat = np.frombuffer(b"".join(found), self.kind)
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // size
+        own = lengths[cut.place]
+        total = np.append(0, np.cumsum(own))
+        ids = flat[np.repeat((np.cumsum(lengths) - lengths)[cut.place] - total[:-1], own) + np.arange(total[-1])].tobytes()
+        bounds = (total[cut.bounds] * size).tolist()
+        if len(self.known) > CACHE:  # what the last batch used holds most of what is frequent
+            self.known = dict(zip(cut.keys, found, strict=True))
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        own = [chunks_of(t) for t in texts]
-        distinct = set().union(*own)
-        parts = {c: self.cut(c) for c in distinct if c not in self.known}
-        self._learn(list({w for x in parts.values() for w in x if w not in self.known}))
-        for c, x in parts.items():
-            if len(x) > 1:
-                self.known[c] = b"".join(map(self.known.__getitem__, x))
-        out = [b"".join(map(self.known.__getitem__, x)) for x in own]
-        if len(self.known) > CACHE:  # what the last batch used holds most of what is frequent
-            self.known = {c: self.known[c] for c in distinct}
-        return out
+        able = [plain(t) for t in texts]
+        quick = iter(self._cut([t for t, ok in zip(texts, able, strict=True) if ok]) if any(able) else ())
+        slow = iter(self._library([t for t, ok in zip(texts, able, strict=True) if not ok]))
+        return [next(quick) if ok else next(slow).tobytes() for ok in able]
 
 
 def packed_bits(values: np.ndarray, width: int) -> bytes:

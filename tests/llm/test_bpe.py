@@ -5,7 +5,7 @@ import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quern.llm import bpe, pretokens
+from quern.llm import bpe
 
 PATH = public_tokenizers.path(bpe.RANKS)
 ENC = bpe.encoding_of(PATH, public_tokenizers.PATTERN)
@@ -19,12 +19,12 @@ def rows():
     return [*made, (None, "null id"), (300, None), (301, ""), (302, "a   b \n c"), (303, "word " * 30_000), (304, "x" * 20_000), (5, made[5][1]), (5, made[5][1])]
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=" \n\t 'stea1é汉\0\x1c.", max_size=30))
-def test_cutting_at_blanks_changes_no_ids(text):
-    cut = pretokens.cutter(public_tokenizers.PATTERN)
-    got = [x for c in pretokens.chunks_of(text) for w in cut(c) for x in ENC._encode_single_piece(w.encode())]
-    assert got == ENC.encode_ordinary(text)
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet=" \n\t 'stea1é汉\0\x1c.,_", max_size=30), max_size=4))
+def test_cutting_changes_no_ids(texts):
+    block = bpe._Block(texts, public_tokenizers.PATTERN)
+    for text, own in zip(texts, block.texts, strict=True):
+        assert [x for k in own for w in block.parts[k] for x in ENC._encode_single_piece(w.encode())] == ENC.encode_ordinary(text)
 
 
 def test_query_equals_the_library(spark, tmp_path, monkeypatch):
