@@ -37,7 +37,7 @@ from .pretokens import Pieces, cutter, plain
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-SHARD_DOCS, SHARD_IDS, SELECT, CACHE = 1024, 2 << 20, 64, 500_000
+SHARD_DOCS, SHARD_IDS, SELECT, CACHE = 1024, 2 << 20, 64, 700_000
 #: Up to so many files (1 MB of places), a broadcast brings them their starts; beyond it, a shuffle.
 BROADCAST_FILES = 40_000
 SCHEMA = "shard int, part int, n_docs bigint, n_ids bigint, low_bits int, low binary, high binary, select_ binary, doc_ids binary, ids binary, width int"
@@ -68,30 +68,45 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, self.kind) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _rows(self, words: list[str], joint: str) -> dict[str, bytes]:
+    def _rows(self, keys: list[int], words: list[str], joint: str, lead: bytes = b"") -> None:
         """Words of letters, encoded in rows: with blanks before them they part by themselves, others by line feeds."""
-        out, size = {}, np.dtype(self.kind).itemsize
+        size = np.dtype(self.kind).itemsize
         rows = [words[at : at + 200] for at in range(0, len(words), 200)]
+        at = iter(keys)
         for some, ids in zip(rows, self._library([joint.join(x) for x in rows]), strict=True):
-            cuts = np.flatnonzero(ids == self.line) if joint else np.flatnonzero(self.blank[ids])
-            starts = ([0, *(cuts + 1).tolist()] if joint else cuts.tolist())
-            ends = [*(cuts.tolist() if joint else starts[1:]), len(ids)]
+            cuts = (np.flatnonzero(ids == self.line) if joint else np.flatnonzero(self.blank[ids])) * size
+            starts = [0, *(cuts + size).tolist()] if joint else cuts.tolist()
+            ends = [*(cuts.tolist() if joint else starts[1:]), len(ids) * size]
             if len(starts) != len(some):
                 raise ValueError("the tokenizer does not cut where the pattern does")
             data = ids.tobytes()
-            out.update((w, data[size * a : size * b]) for w, a, b in zip(some, starts, ends, strict=True))
-        return out
+            for a, b in zip(starts, ends, strict=True):
+                self.known[next(at)] = lead + data[a:b]
 
     def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        parts = [self.cut(x) for x in pieces]
-        distinct = {w for x in parts for w in x}
-        blank = [w for w in distinct if w[0] == " " and w[1:].isalpha()]
-        bare = [w for w in distinct if w.isalpha()]
-        ids = {**self._rows(blank, ""), **self._rows(bare, "\n")}
-        rest = [w for w in distinct if w not in ids]
-        ids.update(zip(rest, (x.tobytes() for x in self._library(rest)), strict=True))
-        for k, x in zip(keys, parts, strict=True):
-            self.known[k] = ids[x[0]] if len(x) == 1 else b"".join(map(ids.__getitem__, x))
+        blank: tuple[list, list] = ([], [])
+        bare: tuple[list, list] = ([], [])
+        fed: tuple[list, list] = ([], [])
+        rest: tuple[list, list] = ([], [])
+        for k, x in zip(keys, pieces, strict=True):
+            tail = x[1:]
+            if x[0] == " " and tail.isalpha():
+                to = blank
+            elif x.isalpha():
+                to = bare
+            elif x[0] == "\n" and tail.isalpha():
+                to, x = fed, tail
+            else:
+                to, x = rest, self.cut(x)
+            to[0].append(k)
+            to[1].append(x)
+        self._rows(*blank, "")
+        self._rows(*bare, "\n")
+        self._rows(*fed, "\n", np.array([self.line], self.kind).tobytes())
+        words = list({w for parts in rest[1] for w in parts})
+        ids = dict(zip(words, (x.tobytes() for x in self._library(words)), strict=True))
+        for k, parts in zip(*rest, strict=True):
+            self.known[k] = b"".join(map(ids.__getitem__, parts))
 
     def _cut(self, texts: list[str]) -> list[bytes]:
         cut = Pieces(texts)
@@ -182,6 +197,7 @@ def _file(shard: int, part: int, width: int, doc_ids: list[int | None], ids: lis
 def write_files(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, end_id: int = END_ID) -> DataFrame:
     """Encode all documents and write the shards; the table of files, read again."""
     spark, path = prepare(docs.sparkSession), path or public_tokenizers.path(TOKENIZER)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     n = docs.count()
     cuts = max(0, -(-n // SHARD_DOCS) - 1)
     bounds = sorted(set(docs.approxQuantile("doc_id", [(k + 1) / (cuts + 1) for k in range(cuts)], 0.2 / (cuts + 1)))) if cuts else []
