@@ -202,11 +202,14 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str = public_toke
 
     def form(texts, parts, ids):
         table_ = token_bytes(path)
-        number = {k: str(k) for k in table_}
-        text_of = {w: " ".join(map(number.__getitem__, x)) for w, x in ids.items()}
-        bytes_of = {w: b"".join(map(table_.__getitem__, x)) for w, x in ids.items()}
-        told = [text_of[p[0]] if len(p) == 1 else " ".join(map(text_of.__getitem__, p)) for p in parts]
-        raw = [bytes_of[p[0]] if len(p) == 1 else b"".join(map(bytes_of.__getitem__, p)) for p in parts]
+        size = max(table_) + 1
+        number = list(map(str, range(size))).__getitem__
+        bytes_of = [table_.get(k, b"") for k in range(size)].__getitem__
+        told, raw = [], []
+        for p in parts:
+            own = ids[p[0]] if len(p) == 1 else [x for w in p for x in ids[w]]
+            told.append(" ".join(map(number, own)))
+            raw.append(b"".join(map(bytes_of, own)))
         out = []
         for own in texts:
             joined = " ".join(map(told.__getitem__, own)).encode()

@@ -27,5 +27,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op9_url_filter": url_filter.ORACLE_SQL,
         "op10_minhash": minhash.ORACLE_SQL,
     }

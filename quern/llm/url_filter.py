@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 #: (verdict, host, path): the rule fits the host and its subdomains where the path starts with the rule's; the longest wins.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -60,7 +60,9 @@ def templates(counts: DataFrame) -> DataFrame:
         rows = rows.join(rare, ["host", "template", "part"], "left")
         step = F.when(F.col("rare"), F.lit("*")).otherwise(F.col("part"))
         down = F.col("part").isNotNull()
+        # each level reads the one before it twice: cut the plan, which would double with each
         rows = rows.select("host", "shape", "n", "parts", F.when(down, F.col("template")).otherwise(F.col("parent")).alias("parent"), F.when(down, F.concat("template", F.lit("/" if d else ""), step)).otherwise(F.col("template")).alias("template"))
+        rows = written(rows, "templates")
     more = F.size("parts") > DEPTH
     return rows.select("host", "shape", F.when(more, F.col("template")).otherwise(F.col("parent")).alias("parent"), F.when(more, F.concat("template", F.lit("/**"))).otherwise(F.col("template")).alias("template"))
 
@@ -69,6 +71,7 @@ def learned(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(host, shape, template, purity, rejected) from pages (page_id, host, shape) and labels (page_id, bad)."""
     known = labels.groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad")).where("bad is not null")
     counts = pages.join(known, "page_id", "left").groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    counts = written(counts, "shapes")
     total = counts.agg(F.sum("labelled"), F.sum("bad")).first()
     prior = (total[1] or 0) / total[0] if total[0] else 0.0
     at = templates(counts)
@@ -98,6 +101,38 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), labels).drop("template", "purity")
 
 
+def _level(d: int) -> str:
+    return f"""o{d} AS (SELECT host, template, parts[{d + 1}] AS part, sum(n) AS own FROM r{d} WHERE len(parts) > {d} GROUP BY ALL),
+w{d} AS (SELECT host, template, sum(own) AS whole, count(*) AS fan FROM o{d} GROUP BY ALL),
+x{d} AS (SELECT host, template, part FROM o{d} JOIN w{d} USING (host, template) WHERE fan > {FANOUT} AND own < {RARE} * whole),
+r{d + 1} AS (SELECT r.host, r.shape, r.n, r.parts, CASE WHEN len(r.parts) > {d} THEN r.template ELSE r.parent END AS parent,
+  CASE WHEN len(r.parts) > {d} THEN r.template || '{"/" if d else ""}' || CASE WHEN x.part IS NOT NULL THEN '*' ELSE r.parts[{d + 1}] END ELSE r.template END AS template
+  FROM r{d} r LEFT JOIN x{d} x ON x.host = r.host AND x.template = r.template AND x.part = r.parts[{d + 1}])"""
+
+
+def _fits(rules: Sequence[tuple[str, str, str]], value: str) -> str:
+    ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r))
+    one = lambda r: f"WHEN (host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}') THEN '{r[1] + r[2] if value == 'rule' else r[0]}'"
+    return f"CASE {' '.join(map(one, ordered))} END"
+
+
+ORACLE_SQL = f"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{URL}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '{URL}', 2) AS path FROM pages),
+b AS (SELECT *, regexp_replace(path, '[0-9]+', '#', 'g') AS shape FROM u),
+k AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+c AS (SELECT host, shape, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM b LEFT JOIN k USING (page_id) GROUP BY ALL),
+prior AS (SELECT CASE WHEN sum(labelled) > 0 THEN CAST(sum(bad) AS DOUBLE) / sum(labelled) ELSE 0e0 END AS prior FROM c),
+r0 AS (SELECT host, shape, n, string_split(shape, '/') AS parts, '' AS parent, '' AS template FROM c),
+{", ".join(map(_level, range(DEPTH)))},
+t AS (SELECT host, shape, CASE WHEN len(parts) > {DEPTH} THEN template ELSE parent END AS parent, CASE WHEN len(parts) > {DEPTH} THEN template || '/**' ELSE template END AS template FROM r{DEPTH}),
+own AS (SELECT host, parent, template, CAST(sum(labelled) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS b FROM c JOIN t USING (host, shape) GROUP BY ALL),
+pool AS (SELECT host, parent, sum(n) AS pn, sum(b) AS pb, sum(b) / greatest(sum(n), 1e0) AS p FROM own GROUP BY ALL),
+j AS (SELECT host, parent, template, CASE WHEN n = 0 OR abs(b / greatest(n, 1e0) - p) <= {Z}e0 * sqrt(p * (1e0 - p) / greatest(n, 1e0)) THEN (pb + {STRENGTH} * prior) / (pn + {STRENGTH}) ELSE (b + {STRENGTH} * prior) / (n + {STRENGTH}) END AS purity FROM own JOIN pool USING (host, parent), prior),
+v AS (SELECT host, shape, CASE WHEN purity >= {REJECT}e0 THEN 'block' ELSE 'allow' END AS own FROM t JOIN j USING (host, parent, template))
+SELECT page_id, host, path, {_fits(RULES, "rule")} AS rule, coalesce({_fits(RULES, "verdict")}, own, 'allow') AS verdict FROM b LEFT JOIN v USING (host, shape)
+"""
+
+
 def brute_force(pages: list[tuple], labels: list[tuple], rules=RULES) -> list[tuple]:
     """The same verdicts by a plain tree, for tests."""
     import re
