@@ -14,7 +14,6 @@ whole; an empty table gives an empty result. Only doc_id and text are read.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import math
 import zlib
@@ -26,7 +25,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table, texts_of
+from .common import calm, prepare, table, texts_of
 from .pretokens import Pieces, cutter, plain
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -84,20 +83,19 @@ class _Block:
     """Distinct pieces of a block's texts with their pre-tokens, and each text as numbers of pieces."""
 
     def __init__(self, texts: list[str], pattern: str):
-        gc.disable()  # nothing here makes cycles, and the collector walks all the lists
         index: dict[int, int] = {}
         pieces: list[str] = []
-        self.texts: list[list[int]] = [[] for _ in texts]
+        self.texts = [np.zeros(0, np.int32)] * len(texts)
         able = [plain(t) for t in texts]
         at = 0
-        while at < len(texts):  # texts of about a megabyte at a time: numpy holds 8 bytes for each of theirs
+        while at < len(texts):  # texts of about half a megabyte at a time: numpy holds 8 bytes for each of theirs
             some, size = [], 0
-            while at < len(texts) and size < 1 << 20:
+            while at < len(texts) and size < 1 << 19:
                 if able[at]:
                     some.append(at)
                     size += len(texts[at])
                 elif texts[at]:
-                    self.texts[at] = [len(pieces)]
+                    self.texts[at] = np.array([len(pieces)], np.int32)
                     pieces.append(texts[at])
                 at += 1
             if some:
@@ -107,7 +105,7 @@ class _Block:
                 for n, k in enumerate(fresh, len(pieces)):
                     numbers[k] = index[cut.keys[k]] = n
                 pieces += cut.texts(fresh)
-                place = np.array(numbers)[cut.place].tolist()
+                place = np.array(numbers, np.int32)[cut.place]
                 for k, a, b in zip(some, cut.bounds[:-1].tolist(), cut.bounds[1:].tolist(), strict=True):
                     self.texts[k] = place[a:b]
         self.parts = list(map(cutter(pattern), pieces))
@@ -125,7 +123,7 @@ class _Block:
 def assembled(docs: DataFrame, form: Callable, schema: str, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
     """``key`` and what ``form(texts, parts, ids)`` makes of each block: arrays by the columns of ``schema``.
 
-    ``texts`` are lists of numbers of pieces, ``parts`` has the pre-tokens of each piece, ``ids`` the ids of each pre-token.
+    ``texts`` are arrays of numbers of pieces, ``parts`` has the pre-tokens of each piece, ``ids`` the ids of each pre-token.
     """
     spark = prepare(docs.sparkSession)
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -135,6 +133,7 @@ def assembled(docs: DataFrame, form: Callable, schema: str, path: str, pattern:
     kind = docs.schema[key].dataType.simpleString()
     dealt = docs.select(key, "text", F.pmod(F.xxhash64(key, "text"), F.lit(blocks)).cast("int").alias("block")).repartition(max(parts, blocks), "block")
 
+    @calm
     def ask(group: pa.Table) -> pa.Table:
         by = _Block(texts_of(group.column("text")), pattern).words(buckets)
         asked = [(k, _packed([len(w) for w in x], b"".join(x))) for k, x in enumerate(by) if x]
@@ -156,6 +155,7 @@ def assembled(docs: DataFrame, form: Callable, schema: str, path: str, pattern:
                 out.append(_packed([len(x) for x in ids], (flat.astype(np.uint16) if flat.max() < 1 << 16 else flat).tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "ids"])
 
+    @calm
     def put_together(group: pa.Table, answers: pa.Table) -> pa.Table:
         own = _Block(texts_of(group.column("text")), pattern)
         by = own.words(buckets)
@@ -178,7 +178,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
 
     def form(texts, parts, ids):
         whole = [[x for w in p for x in ids[w]] for p in parts]
-        return [pa.array([[x for k in t for x in whole[k]] for t in texts], pa.list_(pa.int32()))]
+        return [pa.array([[x for k in t.tolist() for x in whole[k]] for t in texts], pa.list_(pa.int32()))]
 
     return assembled(docs, form, "ids array<int>", path or public_tokenizers.path(RANKS), pattern, key)
 
@@ -211,7 +211,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str = public_toke
             told.append(" ".join(map(number, own)))
             raw.append(b"".join(map(bytes_of, own)))
         out = []
-        for own in texts:
+        for own in map(np.ndarray.tolist, texts):
             joined = " ".join(map(told.__getitem__, own)).encode()
             out.append((joined.count(b" ") + bool(own), hashlib.sha256(joined).hexdigest(), hashlib.sha256(b"".join(map(raw.__getitem__, own))).hexdigest()))
         return [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]

@@ -5,6 +5,8 @@ Hot-path Python runs on Arrow batches (``mapInArrow``); a batch holds few rows,
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -63,6 +65,25 @@ def dropped(df: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def calm(f: Callable) -> Callable:
+    """``f``, of one or two tables, without cyclic garbage collection, which would walk its many lists again and again,
+    and with the memory that it frees given back to the system: Python workers stay and wait beside the next stage's."""
+
+    def run(*tables: pa.Table) -> pa.Table:
+        gc.disable()
+        try:
+            return f(*tables)
+        finally:
+            gc.enable()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    # Spark counts the arguments
+    return (lambda one: run(one)) if f.__code__.co_argcount == 1 else (lambda one, other: run(one, other))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import arrow, bits, cut, deal, flags_of, in_sorted, least_of, narrow, seen_twice, smaller_elsewhere, wide
-from .common import bytes_of, table
+from .common import bytes_of, calm, table
 from .hashing import P, U, grams, hashed_words, mix, sliding_min, stretches, sums
 
 WINDOW, SEED = 13, 5
@@ -93,6 +93,7 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, seed: int = SEED) -> Dat
     kind = df.schema["doc_id"].dataType.simpleString()
     dealt, buckets = deal(df)
 
+    @calm
     def first(group: pa.Table) -> pa.Table:
         block = _Block(group, window, seed)
         keys, many = block.anchors()
@@ -103,6 +104,7 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, seed: int = SEED) -> Dat
         number = group.column("block")[0].as_py()
         return arrow([(number, *r) for r in rows], FIRST)
 
+    @calm
     def first_answer(rows: pa.Table) -> pa.Table:
         x = rows.to_pylist()
         keys = [np.frombuffer(r["keys"], U) for r in x]
@@ -110,6 +112,7 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, seed: int = SEED) -> Dat
         copies = smaller_elsewhere([np.frombuffer(r["texts"], U) for r in x], [np.frombuffer(r["text_checks"], np.uint32) for r in x], [wide(r["text_least"]) for r in x])
         return arrow([(r["block"], r["bucket"], s, c) for r, s, c in zip(x, shared, copies, strict=True)], FIRST_ANSWER)
 
+    @calm
     def second(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not group.num_rows:
             return arrow([], SECOND)
@@ -120,11 +123,13 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, seed: int = SEED) -> Dat
         rows = [(number, k, *known.get(k, (b"", b"")), keys[p].tobytes(), checks[p].tobytes(), narrow(least[p])) for k, p in enumerate(by) if len(p) or k in known]
         return arrow(rows, SECOND)
 
+    @calm
     def second_answer(rows: pa.Table) -> pa.Table:
         x = rows.to_pylist()
         covered = smaller_elsewhere([np.frombuffer(r["keys"], U) for r in x], [np.frombuffer(r["checks"], np.uint32) for r in x], [wide(r["least"]) for r in x])
         return arrow([(r["block"], r["bucket"], r["shared"], r["copies"], c) for r, c in zip(x, covered, strict=True)], SECOND_ANSWER)
 
+    @calm
     def last(group: pa.Table, answers: pa.Table) -> pa.Table:
         block = _Block(group, window, seed)
         at, keys, _, least, place = block.extended(answers, buckets)

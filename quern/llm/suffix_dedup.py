@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import arrow, bits, cut, deal, flags_of, in_sorted, seen_twice
-from .common import bytes_of, table
+from .common import bytes_of, calm, table
 from .hashing import BYTE, U, inside_runs, sliding_min, stretches, sums
 
 LENGTH, SEED, SLICE, BATCH = 400, 128, 1 << 20, 3 << 19
@@ -211,17 +211,20 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
     kind = df.schema["doc_id"].dataType.simpleString()
     dealt, buckets = deal(df)
 
+    @calm
     def first(group: pa.Table) -> pa.Table:
         keys, many = _Block(group, length, seed).keys()
         number = group.column("block")[0].as_py()
         return arrow([(number, k, keys[p].tobytes(), bits(many[p])) for k, p in enumerate(cut(keys, buckets)) if len(p)], FIRST)
 
+    @calm
     def first_answer(rows: pa.Table) -> pa.Table:
         x = rows.to_pylist()
         keys = [np.frombuffer(r["keys"], U) for r in x]
         shared = seen_twice(keys, [flags_of(r["many"], len(k)) for r, k in zip(x, keys, strict=True)])
         return arrow([(r["block"], r["bucket"], s) for r, s in zip(x, shared, strict=True)], FIRST_ANSWER)
 
+    @calm
     def second(group: pa.Table, answers: pa.Table) -> pa.Table:
         import zstandard
 
@@ -236,6 +239,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
             rows.append((number, k, s, keys.tobytes(), sizes.tobytes(), bits(many), compress(b"".join(x for _, x in own))))
         return arrow(rows, SECOND)
 
+    @calm
     def second_answer(rows: pa.Table) -> pa.Table:
         x = rows.to_pylist()
         asked, times = [], Counter()
@@ -272,6 +276,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
             answers.append((r["block"], r["bucket"], r["shared"], bits(np.concatenate([*flags, np.zeros(0, bool)]))))
         return arrow(answers, SECOND_ANSWER)
 
+    @calm
     def last(group: pa.Table, answers: pa.Table) -> pa.Table:
         block = _Block(group, length, seed)
         runs, by, _ = block.shared(answers, buckets)

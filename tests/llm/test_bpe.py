@@ -24,7 +24,7 @@ def rows():
 def test_cutting_changes_no_ids(texts):
     block = bpe._Block(texts, public_tokenizers.PATTERN)
     for text, own in zip(texts, block.texts, strict=True):
-        assert [x for k in own for w in block.parts[k] for x in ENC._encode_single_piece(w.encode())] == ENC.encode_ordinary(text)
+        assert [x for k in own.tolist() for w in block.parts[k] for x in ENC._encode_single_piece(w.encode())] == ENC.encode_ordinary(text)
 
 
 def test_query_equals_the_library(spark, tmp_path, monkeypatch):
