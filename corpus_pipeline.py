@@ -17,27 +17,30 @@ from pyspark.sql import functions as F
 from quern.llm import bpe, decontaminate, minhash, pii, toxicity
 from quern.llm.common import prepare, table, written
 
+#: The stages' own column, so that columns of documents may have any other name.
+OWN = "_quern"
+
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.trained(docs.select("doc_id", "text"), labels)
-    return toxicity.scored(docs, model).where("score < 0.5").select(*docs.columns)
+    return toxicity.scored(docs, model, OWN).where(F.col(OWN) < 0.5).select(*docs.columns)
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    kept = minhash.clusters(docs, n=5, percent=80).where("kept").groupBy("doc_id").count().where("doc_id is not null")
+    kept = minhash.clusters(docs, n=5, percent=80).where("kept").where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(OWN))
     chosen = docs.join(kept, "doc_id")
-    once = chosen.where("count = 1").select(*docs.columns)
+    once = chosen.where(F.col(OWN) == 1).select(*docs.columns)
     order = Window.partitionBy("doc_id").orderBy("text")
-    several = chosen.where("count > 1").withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
+    several = chosen.where(F.col(OWN) > 1).withColumn(OWN, F.row_number().over(order)).where(F.col(OWN) == 1).select(*docs.columns)
     return once.unionByName(several).unionByName(docs.where("doc_id is null"))
 
 
 def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contaminated(docs, decontaminate.benchmark_items(spark, sf_dir))
-    return found.where(F.size("hits") == 0).select(*docs.columns)
+    found = decontaminate.contaminated(docs, decontaminate.benchmark_items(spark, sf_dir), OWN)
+    return found.where(F.size(OWN) == 0).select(*docs.columns)
 
 
 def personal_data_redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -157,28 +157,31 @@ def indexes(items: DataFrame) -> Iterator[Index]:
         yield Index(own, idf, words / max(size, 1) or 1.0, longest)
 
 
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` with ``hits``: an array of (item_id, score) of the verified items, by item; scores from 1 on."""
+def contaminated(docs: DataFrame, items: DataFrame, into: str = "hits") -> DataFrame:
+    """``docs`` with the column ``into``: an array of (item_id, score) of the verified items, by item; scores from 1 on.
+
+    ``docs`` must not have a column of that name.
+    """
     spark = prepare(docs.sparkSession)
     schema = docs.schema
     kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in schema)
     hit = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64())]))
     found = [list(indexes(items))] if items.count() <= MOST_ITEMS else [[x] for x in indexes(items)]
-    out = docs.withColumn("hits", F.expr("cast(array() as array<struct<item_id: bigint, score: double>>)"))
+    out = docs.withColumn(into, F.expr("cast(array() as array<struct<item_id: bigint, score: double>>)"))
     for group in found:
         carried = spark.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pa.RecordBatch], carried=carried) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 hashes, before = hashed_words(*bytes_of(b.column("text")), lower=True, apart=APART)
-                rows = [list(x or ()) for x in b.column("hits").to_pylist()]
+                rows = [list(x or ()) for x in b.column(b.num_columns - 1).to_pylist()]
                 for index in carried.value:
                     for row, got in zip(rows, index.search(hashes, before), strict=True):
                         row += [{"item_id": index.ids[k], "score": s} for k, s in got.items()]
                 rows = [sorted(x, key=lambda h: (h["item_id"] is None, h["item_id"] or 0, h["score"])) for x in rows]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, hit)], names=b.schema.names)
 
-        out = out.mapInArrow(run, f"{kinds}, hits array<struct<item_id: bigint, score: double>>")
+        out = out.mapInArrow(run, f"{kinds}, `{into}` array<struct<item_id: bigint, score: double>>")
     return out
 
 

@@ -18,11 +18,17 @@ from .common import bytes_of
 from .hashing import APART, P, U, mix, word_hashes, words_of
 
 RUN = re.compile(r"\s\s")
+#: White space besides blanks and line feeds.
+CONTROLS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+RARE = re.compile(f"[{CONTROLS}\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def plain(text: str) -> bool:
     """Whether a text may be cut: no white space at its ends, no runs of it."""
-    return bool(text) and not (text[0].isspace() or text[-1].isspace() or RUN.search(text))
+    if not text or text[0].isspace() or text[-1].isspace() or "  " in text or "\n\n" in text or "\n " in text or " \n" in text:
+        return False
+    rare = any(c in text for c in CONTROLS) if text.isascii() else RARE.search(text)
+    return not rare or not RUN.search(text)
 
 
 MARKS = frozenset(".,;:!?)")
@@ -46,8 +52,12 @@ class Pieces:
         self.start, self.end = np.insert(start, at, end[marked] - 1), np.insert(end - marked, at, end[marked])
         self.apart = np.insert(apart, at, 255)
         keys = mix(word_hashes(data, self.start, self.end) ^ ((self.apart + 1).astype(U) * U(P)))
-        distinct, self.sample, self.place = np.unique(keys, return_index=True, return_inverse=True)
-        self.keys = distinct.tolist()
+        order = np.argsort(keys)  # unlike numpy's unique, not stable: any example of a piece will do
+        edge = np.append(True, keys[order][1:] != keys[order][:-1])[: len(keys)]
+        self.sample = order[edge]
+        self.place = np.empty(len(keys), np.int64)
+        self.place[order] = np.cumsum(edge) - 1
+        self.keys = keys[self.sample].tolist()
         self.bounds = before + np.append(0, np.cumsum(marked))[before]
 
     def texts(self, numbers: list[int]) -> list[str]:

@@ -131,16 +131,16 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(sample)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``score``."""
+def scored(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
+    """``docs`` with the column ``into``, a name that they must not have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(texts_of(b.column("text"))))], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(texts_of(b.column("text"))))], names=[*b.schema.names, into])
 
     prepare(docs.sparkSession)
     kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, score double")
+    return docs.mapInArrow(run, f"{kinds}, `{into}` double")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

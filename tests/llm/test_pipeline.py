@@ -8,7 +8,7 @@ import corpus_pipeline
 from quern.llm import bpe, pii, toxicity
 from test_toxicity import rows as toxic_rows
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, hits string, count int, kept boolean, id string"
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,7 @@ def folder(spark, tmp_path_factory):
     docs = [(i, t) for i, t, _ in data]
     docs += [(1000 + i, t + " end") for i, t, _ in data[:60]] + [(2000, data[1][1]), (None, data[2][1]), (2001, None), (2002, "")]
     docs += [(3000, "before it " + items[0][1] + " and after"), (3001, "mail me at some.body@example.org today"), (3, data[3][1])]
-    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], SCHEMA).repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, t, "en", "s", len(t or ""), 0.9, "h", 7, False, "i") for i, t in docs], SCHEMA).repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, 1, y) for i, _, y in data], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return str(path), docs, items, data
