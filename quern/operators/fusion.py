@@ -8,20 +8,22 @@ from pyspark.sql import functions as F
 from ..session import sound
 
 
-def fuse(rankings: list[DataFrame], k: int = 10, top_k: int | None = None) -> DataFrame:
+def fuse(rankings: list[DataFrame], k: int = 10, top_k: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, id, score, rank) of rankings (query_id, id, rank): the sum of 1 / (k + rank) over lists.
 
-    Ties go to the item that the earliest list has, then to its rank there. Ids repeated in a list add up.
+    Ties go to the item that the earliest list has, then to its rank there. Ids repeated in a list add up. Columns to
+    ``carry`` come from the lists that have them, else they are null.
     """
     sound(rankings[0].sparkSession)
-    named = [r.select("query_id", "id", F.col("rank").cast("int").alias("rank"), F.lit(n).alias("list_no")) for n, r in enumerate(rankings)]
+    brought = lambda r: [(F.col(c) if c in r.columns else F.lit(None)).cast("double").alias(c) for c in carry]
+    named = [r.select("query_id", "id", F.col("rank").cast("int").alias("rank"), F.lit(n).alias("list_no"), *brought(r)) for n, r in enumerate(rankings)]
     rows = named[0]
     for r in named[1:]:
         rows = rows.unionByName(r)
     score = F.round(F.sum(1 / (F.lit(float(k)) + F.col("rank"))), 12)
-    fused = rows.groupBy("query_id", "id").agg(score.alias("score"), F.min(F.struct("list_no", "rank")).alias("first"))
+    fused = rows.groupBy("query_id", "id").agg(score.alias("score"), F.min(F.struct("list_no", "rank")).alias("first"), *(F.max(c).alias(c) for c in carry))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "first.list_no", "first.rank", "id")
-    out = fused.withColumn("rank", F.row_number().over(order)).select("query_id", "id", "score", "rank")
+    out = fused.withColumn("rank", F.row_number().over(order)).select("query_id", "id", *carry, "score", "rank")
     return out if top_k is None else out.where(F.col("rank") <= top_k)
 
 

@@ -53,7 +53,8 @@ def bm25_scores(docs: DataFrame, questions: DataFrame, k1: float = 0.9, b: float
     vocabulary = asked.select("token").distinct()
     small = asked.count() <= BROADCAST_TOKENS
     near = F.broadcast if small else lambda df: df
-    held = tokenized(docs).select("id", "dl", F.explode("ts").alias("token")).join(near(vocabulary), "token")
+    # dealt by document once: term counts and scores of a document then need no further shuffle
+    held = tokenized(docs).select("id", "dl", F.explode("ts").alias("token")).join(near(vocabulary), "token").repartition("id")
     postings = held.groupBy("id", "token", "dl").agg(F.count("*").alias("tf"))
     stats = index_stats(docs)
     n, mean = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()

@@ -27,10 +27,9 @@ def hybrid(corpus: DataFrame, questions: DataFrame, top_k: int = 5, depth: int =
     asked = questions.withColumn("text", normalize_question(F.col("text")))
     dense = within(nearest(corpus, asked, deep), threshold)
     lexical = bm25(corpus.select("id", "text"), asked, deep)
-    fused = fuse([dense, lexical], k, deep if score is not None else top_k)
-    out = fused.join(dense.select("query_id", "id", "distance"), ["query_id", "id"], "left")
+    out = fuse([dense, lexical], k, deep if score is not None else top_k, ("distance",))
     if score is None:
-        return out.select("query_id", "id", "distance", "score", "rank")
+        return out
     texts = corpus.select("id", "text")
     paired = out.join(texts, "id").join(asked.select("query_id", F.col("text").alias("question")), "query_id")
     return rerank(paired, score, top_k).select("query_id", "id", "distance", "score", "rank", "rerank_score")

@@ -13,15 +13,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lexical_tokens, normalize_question, normalize_text
 from ..operators import answer, chunking, containment, evaluate, fusion, lexical, rerank, retrieval, vector
-from ..session import sound
-from ..sources import beir, documents
+from ..sources import beir, documents, tables
 
 THRESHOLD = 0.75
 SWEEP = [*evaluate.CUTOFFS, 0.7, 0.75, 0.8]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return sound(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.read(spark, f"{sf_dir}/{name}.parquet")
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
