@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import calm, prepare, table, texts_of
-from .pretokens import Pieces, cutter, plain
+from .pretokens import Pieces, cutter, distinct, plain
 
 RANKS = "byte_bpe_50k.tiktoken"
 BLOCK_BYTES = 10 << 20
@@ -83,10 +83,9 @@ class _Block:
     """Distinct pieces of a block's texts with their pre-tokens, and each text as numbers of pieces."""
 
     def __init__(self, texts: list[str], pattern: str):
-        index: dict[int, int] = {}
-        pieces: list[str] = []
         self.texts = [np.zeros(0, np.int32)] * len(texts)
         able = [plain(t) for t in texts]
+        cuts: list[tuple[list[int], Pieces]] = []
         at = 0
         while at < len(texts):  # texts of about half a megabyte at a time: numpy holds 8 bytes for each of theirs
             some, size = [], 0
@@ -94,20 +93,25 @@ class _Block:
                 if able[at]:
                     some.append(at)
                     size += len(texts[at])
-                elif texts[at]:
-                    self.texts[at] = np.array([len(pieces)], np.int32)
-                    pieces.append(texts[at])
                 at += 1
             if some:
-                cut = Pieces([texts[k] for k in some])
-                numbers = [index.get(k, -1) for k in cut.keys]
-                fresh = [k for k, x in enumerate(numbers) if x < 0]
-                for n, k in enumerate(fresh, len(pieces)):
-                    numbers[k] = index[cut.keys[k]] = n
-                pieces += cut.texts(fresh)
-                place = np.array(numbers, np.int32)[cut.place]
-                for k, a, b in zip(some, cut.bounds[:-1].tolist(), cut.bounds[1:].tolist(), strict=True):
-                    self.texts[k] = place[a:b]
+                cuts.append((some, Pieces([texts[k] for k in some])))
+        example, number = distinct(np.concatenate([c.keys for _, c in cuts])) if cuts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        pieces: list[str] = [""] * len(example)
+        first = 0
+        for some, cut in cuts:
+            last = first + len(cut.keys)
+            own = np.flatnonzero((example >= first) & (example < last))
+            for k, x in zip(own.tolist(), cut.texts(example[own] - first), strict=True):
+                pieces[k] = x
+            place = number[first:last].astype(np.int32)[cut.place]
+            for k, a, b in zip(some, cut.bounds[:-1].tolist(), cut.bounds[1:].tolist(), strict=True):
+                self.texts[k] = place[a:b]
+            first = last
+        for k, text in enumerate(texts):
+            if text and not able[k]:
+                self.texts[k] = np.array([len(pieces)], np.int32)
+                pieces.append(text)
         self.parts = list(map(cutter(pattern), pieces))
 
     def words(self, buckets: int) -> list[list[bytes]]:

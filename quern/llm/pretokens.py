@@ -36,6 +36,16 @@ MARK = np.isin(np.arange(256), [ord(c) for c in MARKS])
 LEAD = {0: "", 255: "", **{x: chr(x) for x in (*range(9, 14), 32)}}
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one example of each distinct key, and for each key its number among those. Unlike numpy's unique,
+    the sort need not be stable."""
+    order = np.argsort(keys)
+    edge = np.append(True, keys[order][1:] != keys[order][:-1])[: len(keys)]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(edge) - 1
+    return order[edge], number
+
+
 class Pieces:
     """The distinct pieces of plain texts as ``keys``; ``place`` has each piece's number in texts laid end to end, of
     which text k has [bounds[k], bounds[k + 1])."""
@@ -52,17 +62,13 @@ class Pieces:
         self.start, self.end = np.insert(start, at, end[marked] - 1), np.insert(end - marked, at, end[marked])
         self.apart = np.insert(apart, at, 255)
         keys = mix(word_hashes(data, self.start, self.end) ^ ((self.apart + 1).astype(U) * U(P)))
-        order = np.argsort(keys)  # unlike numpy's unique, not stable: any example of a piece will do
-        edge = np.append(True, keys[order][1:] != keys[order][:-1])[: len(keys)]
-        self.sample = order[edge]
-        self.place = np.empty(len(keys), np.int64)
-        self.place[order] = np.cumsum(edge) - 1
-        self.keys = keys[self.sample].tolist()
+        sample, self.place = distinct(keys)
+        self.keys, self.start, self.end, self.apart = keys[sample], self.start[sample], self.end[sample], self.apart[sample]
         self.bounds = before + np.append(0, np.cumsum(marked))[before]
 
-    def texts(self, numbers: list[int]) -> list[str]:
-        raw, own = self.data.tobytes(), self.sample[numbers]
-        return [LEAD[p] + raw[s:e].decode() for p, s, e in zip(self.apart[own].tolist(), self.start[own].tolist(), self.end[own].tolist(), strict=True)]
+    def texts(self, numbers: np.ndarray | list[int]) -> list[str]:
+        raw = self.data.tobytes()
+        return [LEAD[p] + raw[s:e].decode() for p, s, e in zip(self.apart[numbers].tolist(), self.start[numbers].tolist(), self.end[numbers].tolist(), strict=True)]
 
 
 def cutter(pattern: str) -> Callable[[str], list[str]]:

@@ -110,12 +110,13 @@ class Encoder:
 
     def _cut(self, texts: list[str]) -> list[bytes]:
         cut = Pieces(texts)
-        found = list(map(self.known.get, cut.keys))
+        names = cut.keys.tolist()
+        found = list(map(self.known.get, names))
         fresh = [k for k, x in enumerate(found) if x is None]
         if fresh:
-            self._learn([cut.keys[k] for k in fresh], cut.texts(fresh))
+            self._learn([names[k] for k in fresh], cut.texts(fresh))
             for k in fresh:
-                found[k] = self.known[cut.keys[k]]
+                found[k] = self.known[names[k]]
         size = np.dtype(self.kind).itemsize
         flat = np.frombuffer(b"".join(found), self.kind)
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // size
@@ -124,7 +125,7 @@ class Encoder:
         ids = flat[np.repeat((np.cumsum(lengths) - lengths)[cut.place] - total[:-1], own) + np.arange(total[-1])].tobytes()
         bounds = (total[cut.bounds] * size).tolist()
         if len(self.known) > CACHE:  # what the last batch used holds most of what is frequent
-            self.known = dict(zip(cut.keys, found, strict=True))
+            self.known = dict(zip(names, found, strict=True))
         return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
