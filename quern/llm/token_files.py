@@ -37,7 +37,7 @@ from .pretokens import Pieces, cutter, plain
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-SHARD_DOCS, SHARD_IDS, SELECT, CACHE = 1024, 2 << 20, 64, 700_000
+SHARD_DOCS, SHARD_IDS, SELECT, CACHE = 1024, 2 << 20, 64, 1_000_000
 #: Up to so many files (1 MB of places), a broadcast brings them their starts; beyond it, a shuffle.
 BROADCAST_FILES = 40_000
 SCHEMA = "shard int, part int, n_docs bigint, n_ids bigint, low_bits int, low binary, high binary, select_ binary, doc_ids binary, ids binary, width int"
