@@ -161,15 +161,16 @@ def assembled(docs: DataFrame, form: Callable, schema: str, path: str, pattern:
 
     @calm
     def put_together(group: pa.Table, answers: pa.Table) -> pa.Table:
-        own = _Block(texts_of(group.column("text")), pattern)
+        own, keys = _Block(texts_of(group.column("text")), pattern), group.column(key)
         by = own.words(buckets)
         ids: dict[str, tuple[int, ...]] = {}
         for bucket, data in zip(answers.column("bucket").to_pylist(), answers.column("ids").to_pylist(), strict=True):
             counts, flat = _unpacked(data)
             flat = np.frombuffer(flat, np.uint16 if len(flat) == 2 * counts.sum() else np.uint32).tolist()
             ids.update(zip(map(bytes.decode, by[bucket]), _pieces(counts, flat), strict=True))
+        del by
         made = form(own.texts, own.parts, ids)
-        return pa.table([group.column(key), *made], names=names)
+        return pa.table([keys, *made], names=names)
 
     names = [key, *(x.split()[0] for x in schema.split(", "))]
     asked = dealt.groupBy("block").applyInArrow(ask, "block int, bucket int, words binary")
@@ -214,6 +215,8 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str = public_toke
             own = ids[p[0]] if len(p) == 1 else [x for w in p for x in ids[w]]
             told.append(" ".join(map(number, own)))
             raw.append(b"".join(map(bytes_of, own)))
+        parts.clear()  # no longer needed, and large
+        ids.clear()
         out = []
         for own in map(np.ndarray.tolist, texts):
             joined = " ".join(map(told.__getitem__, own)).encode()

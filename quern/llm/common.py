@@ -26,9 +26,11 @@ BATCH_ROWS = 500
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches, and let Python workers import this package wherever the driver was started."""
+    """Bound Arrow batches, and let Python workers import this package wherever the driver was started, and give
+    memory back when they free it."""
     sound(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
+    env.update({"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": str(4 << 20)})
     path = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in path.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, path]))
