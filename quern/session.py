@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[1])
+
 
 def sound(spark: SparkSession) -> SparkSession:
     """Spark 4.1 lets a union pass on its children's partitioning; rankings that were united and then fused came out
-    wrong with it (a test holds such a plan against the plain sum), so it stays off."""
+    wrong with it (a test holds such a plan against the plain sum), so it stays off. Python workers can import this
+    package wherever the driver was started."""
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    env = spark.sparkContext.environment
+    path = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if ROOT not in path.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, path]))
     return spark
