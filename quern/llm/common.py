@@ -7,11 +7,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,20 +18,15 @@ from pyspark.sql import functions as F
 
 from ..session import sound
 
-ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows of an Arrow batch: bounds a Python worker's memory by so many texts.
 BATCH_ROWS = 500
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches, and let Python workers import this package wherever the driver was started, and give
-    memory back when they free it."""
+    """Bound Arrow batches, and let Python workers give memory back when they free it."""
     sound(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
     env.update({"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": str(4 << 20)})
-    path = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
-    if ROOT not in path.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, path]))
     return spark
 
 
