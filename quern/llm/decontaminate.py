@@ -7,8 +7,8 @@ passage's block maxima bounds the scores of a block's items, and only blocks who
 Retrieved items are verified: the passage must hold at least ``OVERLAP`` of the ``GRAM``-term grams of the item's
 question and of its answer.
 
-Items without an answer column are cut: the last quarter of the terms is the answer. Terms are lower-case (A-Z) runs of
-letters, digits and bytes beyond ASCII.
+Items without an answer are one part: ``OVERLAP`` of all their grams is enough, wherever the others were lost. Terms are
+lower-case (A-Z) runs of letters, digits and bytes beyond ASCII.
 
 The index goes to every task, so its size is bounded: benchmarks beyond ``MOST_ITEMS`` items or ``MOST_CHARS`` characters
 are cut into several indexes, one pass over the documents each; term statistics are those of all items. Documents are
@@ -127,7 +127,7 @@ class Index:
 
 
 def indexes(items: DataFrame) -> Iterator[Index]:
-    """Indexes of bounded size over (item_id, question, answer); a null answer is cut from the question."""
+    """Indexes of bounded size over (item_id, question, answer); a null or empty answer leaves one part."""
     n = items.count()
     chars = items.select(F.sum(F.length(F.concat_ws(" ", "question", "answer")))).first()[0] or 0
     parts = max(1, math.ceil(n / MOST_ITEMS), math.ceil(chars / MOST_CHARS))
@@ -137,9 +137,6 @@ def indexes(items: DataFrame) -> Iterator[Index]:
         out = []
         for r in kept.where(F.col("part") == part).select("item_id", "question", "answer").toLocalIterator():
             q, a = (terms_of([x or ""])[0] for x in (r.question, r.answer))
-            if r.answer is None:
-                cut = len(q) - len(q) // 4
-                q, a = q[:cut], q[cut:]
             out.append((r.item_id, q, a))
         return out
 

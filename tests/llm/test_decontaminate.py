@@ -85,3 +85,32 @@ def test_no_items_and_no_rows(spark, tmp_path):
     assert run(spark, tmp_path, [(1, "a b c")], []) == [(1, 0, "", 0.0)]
     (tmp_path / "b").mkdir()
     assert run(spark, tmp_path / "b", [], [(1, "a b", None)]) == []
+
+
+def test_edited_and_shortened_copies_of_items_without_answer(spark, tmp_path):
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(n)), None) for i, n in enumerate([38, 16, 59])]
+    pair = [f"p{k}" for k in range(38)]
+    items.append((3, " ".join(pair[:29]), " ".join(pair[29:])))
+    docs, want = [], {}
+
+    def add(words, edited, *hits):
+        docs.append((len(docs), " ".join(["before", *("changed" if k in edited else w for k, w in enumerate(words)), "after"])))
+        want[docs[-1][0]] = list(hits)
+
+    for i, q, _ in items[:3]:
+        words = q.split()
+        n = len(words)
+        for k in range(n):
+            add(words, {k}, i)
+        for a, b in [(n - 4, n - 5), (n - 2, n - 4), (0, n - 1), (1, n - 3)]:
+            add(words, {a, b}, i)
+        add(words[: n - n // 4], (), i)
+        add(words[n // 4 :], (), i)
+        add(words[: n // 2], ())
+    add(pair, (), 3)
+    add(pair, {10}, 3)
+    add(pair, {33})  # a real answer must be there by itself
+    add(pair[:29], ())
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    found = dc.contaminated(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.createDataFrame(items, "item_id long, question string, answer string"))
+    assert {r.doc_id: [h.item_id for h in r.hits] for r in found.collect()} == want
