@@ -9,7 +9,8 @@ saved, the number and the share of windows that save ``SAVED`` bytes or more), a
 sample turns them into a score; 0.5 is its threshold.
 
 The sample is bounded: at most ``SAMPLE`` labelled documents, drawn by a hash of the id, of at most ``SAMPLE_CHARS``
-characters together. Everything else covers all windows of all whole texts.
+characters together. Where their texts have more, none is left out: the longest give windows spread over the whole text
+instead, as many as their equal share of the characters holds. Everything else covers all windows of all whole texts.
 
 Cases: null or empty text has no windows and the score of a text that saves nothing; a label that is null is no label;
 several labels of a document count as toxic if one is; repeated rows give repeated results; without toxic or without
@@ -113,6 +114,31 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     return model
 
 
+def share_of(lengths: list[int], most: int) -> int:
+    """The greatest length to which all can be cut so that they have at most ``most`` characters together."""
+    left = most
+    for k, n in enumerate(ordered := sorted(lengths)):
+        if n * (len(ordered) - k) > left:
+            return left // (len(ordered) - k)
+        left -= n
+    return most
+
+
+def spread(text: str, most: int) -> str:
+    """The text, or windows evenly spread over it, of at most ``most`` characters."""
+    if len(text) <= most:
+        return text
+    words = text.split()
+    whole = (" ".join(words[k : k + WINDOW]) for k in range(0, len(words), WINDOW))
+    own = [w[k : k + LONGEST] for w in whole for k in range(0, len(w), LONGEST)]
+    n = min(len(own), most * len(own) // max(1, sum(map(len, own)) + len(own)))
+    while True:
+        drawn = " ".join(own[k * len(own) // n] for k in range(n))
+        if len(drawn) <= most:
+            return drawn
+        n -= max(1, n // 50)
+
+
 def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
@@ -122,13 +148,9 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     rows = docs.join(F.broadcast(drawn), "doc_id").select(F.xxhash64("doc_id").alias("h"), F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    sample, chars = [], 0
-    for r in sorted(rows.collect()):
-        chars += len(r.text)
-        if chars > SAMPLE_CHARS:
-            break
-        sample.append((r.text, r.toxic))
-    return fit(sample)
+    sample = sorted(rows.collect())
+    share = share_of([len(r.text) for r in sample], SAMPLE_CHARS)
+    return fit([(spread(r.text, share), r.toxic) for r in sample])
 
 
 def scored(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:

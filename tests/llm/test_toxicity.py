@@ -38,3 +38,32 @@ def test_no_labels_and_no_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in tx.scored(docs, tx.trained(docs, labels)).collect()] == [0.0]
     assert tx.scored(docs.limit(0), tx.trained(docs.limit(0), labels)).count() == 0
+
+
+def test_long_labelled_texts_do_not_end_the_sample(spark, monkeypatch):
+    data = rows()
+    known = [(i, y) for i, _, y in data]
+    most = sum(len(t) for _, t, _ in data) + 4_000
+    monkeypatch.setattr(tx, "SAMPLE_CHARS", most)
+    seen = []
+    fit = tx.fit
+    monkeypatch.setattr(tx, "fit", lambda sample: seen.append(sample) or fit(sample))
+    long = [(i, " ".join(f"w{k % 9000}" for k in range(most // 4)), 0) for i in range(10_000, 10_010)]
+    assert all(len(t) > most for _, t, _ in long)
+    docs = spark.createDataFrame([x[:2] for x in data + long], "doc_id long, text string")
+    model = tx.trained(docs, spark.createDataFrame(known + [(i, y) for i, _, y in long], "doc_id long, toxic int"))
+    (sample,) = seen
+    drawn = {i for i, _, _ in data + long if zlib.crc32(str(i).encode()) % 5}
+    assert len(sample) == len(drawn) and most * 0.9 < sum(len(t) for t, _ in sample) <= most
+    assert {t for i, t, _ in data if i in drawn} <= {t for t, _ in sample}
+    scores = model.scores([t for _, t, _ in data])
+    assert sum((s >= 0.5) == y for s, (_, _, y) in zip(scores, data, strict=True)) / len(data) >= 0.95
+
+
+def test_windows_spread_over_a_text():
+    text = " ".join(f"w{k}" for k in range(10_000))
+    got = tx.spread(text, 5_000)
+    assert 4_500 < len(got) <= 5_000 and got.split()[0] == "w0" and int(got.split()[-1][1:]) > 9_700
+    assert set(tx.windows(got)) <= set(tx.windows(text))
+    assert tx.spread(text, len(text)) == text and tx.spread(" " * 9_000, 4_000) == "" and 0 < len(tx.spread("a" * 90_000, 4_000)) <= 4_000
+    assert tx.share_of([1, 2, 3], 6) >= 3 and tx.share_of([1, 50, 50], 61) == 30 and tx.share_of([], 5) == 5
