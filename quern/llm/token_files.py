@@ -11,7 +11,7 @@ so Spark commits files as a whole and a lost executor leaves none behind. Its fi
     doc_ids, ids           64 bits each; 16 bits each where all ids fit, else 32
 
 Boundaries take l + 2 bits each, with no table of 64-bit offsets; ``select_end(k)`` starts at a sample and reads a few
-bytes. Documents are encoded where they are read, so only ids cross the network. A task has a bounded cache of encoded
+bytes; ``read_files`` needs every boundary and decodes them in sequence instead. Documents are encoded where they are read, so only ids cross the network. A task has a bounded cache of encoded
 pre-tokens. Shards hold about ``SHARD_DOCS`` documents by quantiles of doc_id; a shard of more than ``SHARD_IDS`` ids
 is cut into several files.
 
