@@ -6,7 +6,8 @@ decontamination: documents that hold a test item of the benchmark go.
 personal_data: all documents stay, with personal data in their texts replaced by its kind.
 byte_bpe: token ids by byte-level BPE, told by digests, and the digest of what they decode to.
 
-Rows with null doc_id are never near copies of others; of the rows of one doc_id one stays.
+Rows with null doc_id are never near copies of others. Rows of one doc_id are compared like those of several: of those
+that are near copies of each other, or have no words, the first by text stays.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from quern.llm import bpe, decontaminate, minhash, pii, toxicity
 from quern.llm.common import prepare, table, written
 
-#: The stages' own column, so that columns of documents may have any other name.
-OWN = "_quern"
+#: The stages' own columns, so that columns of documents may have any other name.
+OWN, SET, COMPONENT = "_quern", "_quern_set", "_quern_component"
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +31,14 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    kept = minhash.clusters(docs, n=5, percent=80).where("kept").where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(OWN))
+    rows = minhash.clusters(docs, n=5, percent=80, by_row=True).where("doc_id is not null")
+    kept = rows.groupBy("doc_id").agg(F.count("*").alias(OWN), F.max("kept").alias("kept")).where("kept").select("doc_id", OWN)
     chosen = docs.join(kept, "doc_id")
     once = chosen.where(F.col(OWN) == 1).select(*docs.columns)
-    order = Window.partitionBy("doc_id").orderBy("text")
-    several = chosen.where(F.col(OWN) > 1).withColumn(OWN, F.row_number().over(order)).where(F.col(OWN) == 1).select(*docs.columns)
+    staying = rows.where("kept").select("doc_id", F.col("set_id").alias(SET), F.col("component").alias(COMPONENT)).distinct()
+    order = Window.partitionBy("doc_id", COMPONENT).orderBy("text")
+    several = minhash.set_ids(chosen.where(F.col(OWN) > 1), 5, SET).join(staying, ["doc_id", SET])
+    several = several.withColumn(OWN, F.row_number().over(order)).where(F.col(OWN) == 1).select(*docs.columns)
     return once.unionByName(several).unionByName(docs.where("doc_id is null"))
 
 

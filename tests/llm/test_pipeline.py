@@ -64,3 +64,13 @@ def test_each_stage_against_brute_force(spark, folder):
     got = [tuple(r) for r in corpus_pipeline.encoded(spark, frame, path).collect()]
     assert sorted(got, key=key) == sorted(want, key=key)
     assert sorted((tuple(r) for r in corpus_pipeline.run(spark, path).collect()), key=key) == sorted(want, key=key)
+
+
+def test_rows_of_one_doc_id_stay_unless_they_are_near_copies(spark, tmp_path):
+    text = lambda name, n=60: " ".join(f"{name}{k}" for k in range(n))
+    docs = [(1, text("a")), (2, text("a") + " end"), (2, text("b")), (3, text("c")), (3, text("d")), (3, text("d")), (3, text("d") + " end")]
+    docs += [(4, text("b")), (5, ""), (5, None), (5, text("e")), (6, text("f")), (None, text("a")), (7, text("a")), (7, text("a") + " more")]
+    spark.createDataFrame([(i, t, "en", "s", len(t or ""), 0.9, "h", 7, False, "i") for i, t in docs], SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.near_duplicates_out(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    want = [(1, text("a")), (2, text("b")), (3, text("c")), (3, text("d")), (5, None), (5, text("e")), (6, text("f")), (None, text("a"))]
+    assert sorted([(r.doc_id, r.text) for r in out.collect()], key=str) == sorted(want, key=str)
