@@ -6,11 +6,20 @@ and stop at ``LENGTH``. Neighbours that have none by then share at least that ma
 
 One transform over a whole corpus would be one task, so windows of ``LENGTH`` bytes are dealt first. Each window takes
 the least hash of the ``SEED``-byte strings in it as its key: equal windows have equal keys, and consecutive windows
-of one key form a segment. Blocks of documents learn which of their keys stand elsewhere too, and send the distinct
-segments of those keys to the key's bucket. A bucket transforms its segments in batches of whole keys and answers each
-segment with a bit for every window. Copies of a segment, however many, are one string, with a mark that it repeats.
+of one key form a segment (of at most ``LONGEST`` windows). Every text is cut into segments once, by its block:
 
-Keys are told apart by 64 bits (a false one costs time only); windows are compared as bytes.
+1. A block sends each key's distinct segments as hashes to the key's bucket. A segment that stands there twice repeats
+   as a whole. One that is alone but shares its key with unlike segments has to be compared; of copies of such a segment
+   one block sends the bytes.
+2. A bucket transforms the segments of batches of whole keys and tells each window's block whether it repeats.
+
+A key with more than ``HOT`` unlike segments (``HOT_HERE`` in one block), such as that of a line which stands in a third
+of all documents, is not gathered anywhere: its windows are dealt by a hash of their own, in which only copies of one
+window meet, and a block sends each of them once. So no key makes a task large: a key has at most ``HOT_HERE`` entries
+from a block, and a transform at most ``HOT`` segments of a key.
+
+Segments of one key are told apart by 64 bits of another hash than the key's, windows of hot keys by 128; all other
+windows are compared as bytes.
 
 Cases: null or empty text has no bytes; rows are documents of their own, so repeated rows cover each other; texts
 shorter than ``LENGTH`` stay; an empty table gives an empty result. Only doc_id and text are read.
@@ -26,16 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import arrow, bits, cut, deal, flags_of, in_sorted, seen_twice
+from .blocks import arrow, bits, cut, deal, flags_of
 from .common import bytes_of, calm, table
-from .hashing import BYTE, U, inside_runs, sliding_min, stretches, sums
+from .hashing import BYTE, P, U, inside_runs, mix, powers, sliding_min, stretches, sums
 
-LENGTH, SEED, SLICE, BATCH = 400, 128, 1 << 20, 3 << 19
-PLACE = 24
-FIRST = "block int, bucket int, keys binary, many binary"
-FIRST_ANSWER = "block int, bucket int, shared binary"
-SECOND = "block int, bucket int, shared binary, keys binary, lengths binary, many binary, segments binary"
-SECOND_ANSWER = "block int, bucket int, shared binary, repeats binary"
+LENGTH, SEED, SLICE, BATCH = 400, 128, 1 << 16, 3 << 19
+PLACE, LONGEST = 24, 1024
+HOT, HOT_HERE = 2048, 32
+#: What a bucket says about an entry: nothing repeats, all of it does, its bytes are needed, or its key is hot.
+ALONE, WHOLE, SEND, SEND_WHOLE, SPLIT = range(5)
+#: One row for each block and bucket; ``kept`` has the block's own segments, which come back to it.
+ROWS = "block int, bucket int, entries binary, keys binary, contents binary, flags binary, kept binary"
 
 
 def suffix_order(s: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,60 +154,82 @@ def repeated_windows(segments: list[bytes], length: int) -> list[np.ndarray]:
     return [flags[e - 1 - n : e - length] for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
 
-class _Block:
-    """The segments of a block's texts: key, first window, number of windows, and whether one may repeat within itself."""
-
-    def __init__(self, group: pa.Table, length: int, seed: int):
-        data, self.offsets = bytes_of(group.column("text").combine_chunks())
-        self.data, self.length = data, length
-        width, mask = length - seed + 1, (1 << PLACE) - 1
-        parts = []
-        n = len(data) - length + 1
-        for a in range(0, max(n, 0), SLICE):
-            b = min(a + SLICE, n)
-            part = data[a : b + length - 1]
-            at = np.arange(len(part) - seed + 1)
-            hashes = stretches(sums(BYTE[part]), at, at + seed)
-            top = hashes >> U(PLACE) << U(PLACE)
-            first = (sliding_min(top | at.astype(U), width) & U(mask)).astype(np.int64)
-            last = mask - (sliding_min(top | (mask - at).astype(U), width) & U(mask)).astype(np.int64)
-            key, tie = hashes[first], first != last
-            doc = np.searchsorted(self.offsets, np.arange(a, b), side="right")
-            whole = self.offsets[np.minimum(doc, len(self.offsets) - 1)] - np.arange(a, b) >= length
-            new = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (whole[1:] != whole[:-1]))
-            start = np.flatnonzero(new)
-            count = np.diff(np.append(start, b - a))
-            self_like = np.logical_or.reduceat(tie, start) | (count > width)
-            ok = whole[start]
-            parts.append((key[start][ok], start[ok] + a, count[ok], self_like[ok]))
-        empty = (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
-        self.key, self.start, self.count, self.self_like = (np.concatenate(x) for x in zip(empty, *parts, strict=True))
-
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys in order, and whether each has several segments or one like itself."""
-        order = np.argsort(self.key, kind="stable")
-        if not len(order):
-            return self.key, self.self_like
-        edge = np.flatnonzero(np.append(True, self.key[order][1:] != self.key[order][:-1]))
-        return self.key[order][edge], np.logical_or.reduceat(self.self_like[order], edge) | (np.diff(np.append(edge, len(order))) > 1)
-
-    def shared(self, answers: pa.Table, buckets: int) -> tuple[np.ndarray, list[list[tuple[int, bytes]]], dict[tuple[int, bytes], int]]:
-        """Segments whose key stands elsewhere: their numbers; by bucket the distinct (key, segment) in order; and how often each is here."""
-        keys, _ = self.keys()
-        known = np.zeros(len(keys), bool)
-        by = cut(keys, buckets)
-        for k, s in zip(answers.column("bucket").to_pylist(), answers.column("shared").to_pylist(), strict=True):
-            known[by[k]] = flags_of(s, len(by[k]))
-        runs = np.flatnonzero(in_sorted(self.key, keys[known]))
-        raw = self.data.tobytes()
-        self.segments = [(k, raw[s : s + c + self.length - 1]) for k, s, c in zip(self.key[runs].tolist(), self.start[runs].tolist(), self.count[runs].tolist(), strict=True)]
-        here = Counter(self.segments)
-        out: list[list[tuple[int, bytes]]] = [[] for _ in range(buckets)]
-        for x in here:
-            out[x[0] % buckets].append(x)
-        for x in out:
-            x.sort()
-        return runs, out, here
+def segments_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The segments of texts laid end to end: key, first window, number of windows, and whether windows of it may be equal."""
+    width, mask = length - seed + 1, (1 << PLACE) - 1
+    n = len(data) - length + 1
+    starts, keys, again = [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(0, bool)]
+    held = None
+    for a in range(0, max(n, 0), SLICE):
+        b = min(a + SLICE, n)
+        part = data[a : b + length - 1]
+        prefix, down = sums(BYTE[part]), powers(len(part) + 1)[1]
+        hashes = (prefix[seed:] - prefix[:-seed]) * down[: len(part) - seed + 1]
+        # the upper bits order the strings, the lower ones have the first place of the least in each window
+        least = sliding_min((hashes & ~U(mask)) | np.arange(len(hashes), dtype=U), width)
+        at = np.append(0, np.flatnonzero(least[1:] != least[:-1]) + 1)
+        own = hashes[(least[at] & U(mask)).astype(np.int64)]
+        first = np.append(held is None or own[0] != held, own[1:] != own[:-1])
+        starts.append(at + a)
+        keys.append(own)
+        again.append(~first)
+        held = own[-1]
+    at, key, again_ = np.concatenate(starts), np.concatenate(keys), np.concatenate(again)
+    # cut at the ends of texts, where windows of one text end, and after every LONGEST windows
+    whole = np.maximum(offsets[:-1], offsets[1:] - length + 1)
+    edge = np.unique(np.concatenate([at[~again_], offsets[:-1], whole]))
+    edge = edge[edge < max(n, 0)]
+    count = np.diff(np.append(edge, max(n, 0)))
+    pieces = -(-count // LONGEST)
+    run, k = inside_runs(pieces)
+    start = edge[run] + k * LONGEST
+    count = np.minimum(LONGEST, count[run] - k * LONGEST)
+    doc = np.searchsorted(offsets, start, side="right") - 1
+    ok = start < whole[doc] if len(start) else np.zeros(0, bool)
+    start, count = start[ok], count[ok]
+    # the least string's first place moves within a segment only if it stands in it twice
+    moved = np.cumsum(np.append(0, again_))
+    twice = moved[np.searchsorted(at, start + count, side="left")] > moved[np.searchsorted(at, start, side="right")]
+    return key[np.searchsorted(at, start, side="right") - 1] if len(start) else np.zeros(0, U), start, count, twice
+
+
+class Entries:
+    """What a block asks about: its distinct segments by (key, content), or one entry for a key with many."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
+        import xxhash
+
+        key, self.start, self.count, twice = segments_of(data, offsets, length, seed)
+        raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+        content = np.array([digest(raw[s:e]) for s, e in zip(self.start.tolist(), (self.start + self.count + length - 1).tolist(), strict=True)], U)
+        order = np.lexsort((content, key))
+        k, c = key[order], content[order]
+        new_key = np.append(True, k[1:] != k[:-1])[: len(k)]
+        new = new_key | np.append(True, c[1:] != c[:-1])[: len(k)]
+        of_key = np.cumsum(new_key) - 1
+        hot = (np.bincount(of_key[new]) > HOT_HERE)[of_key] if len(k) else new
+        lead = np.where(hot, new_key, new)
+        number = np.cumsum(lead) - 1
+        self.entry = np.empty(len(k), np.int64)
+        self.entry[order] = number
+        self.keys, self.contents, hot = k[lead], c[lead], hot[lead]
+        many = np.bincount(number) > 1 if len(k) else hot
+        self_like = np.zeros(len(self.keys), bool)
+        np.logical_or.at(self_like, number, twice[order])
+        self.flags = (hot * 4 + self_like * 2 + (many & ~hot)).astype(np.uint8)
+
+    def kept(self) -> bytes:
+        """Segments in the order of the text: first window, number of windows and entry."""
+        import zstandard
+
+        parts = [np.diff(self.start, prepend=0).astype(np.int32), self.count.astype(np.uint16), self.entry.astype(np.int32)]
+        return len(self.start).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in parts))
+
+
+def _unpacked(kept: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int.from_bytes(kept[:4], "little")
+    data = _expanded(kept[4:])
+    return np.cumsum(np.frombuffer(data, np.int32, n), dtype=np.int64), np.frombuffer(data, np.uint16, n, 4 * n).astype(np.int64), np.frombuffer(data, np.int32, n, 6 * n).astype(np.int64)
 
 
 def _expanded(packed: bytes) -> bytes:
@@ -206,101 +238,225 @@ def _expanded(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed)
 
 
+def judged(rows: list[dict]) -> list[tuple]:
+    """A bucket's first answer: for each block the entries that something is to be done about, what, and their keys."""
+    sizes = [len(r["flags"]) for r in rows]
+    keys, contents = (np.frombuffer(b"".join(r[c] for r in rows), U) for c in ("keys", "contents"))
+    flags = np.frombuffer(b"".join(r["flags"] for r in rows), np.uint8)
+    order = np.lexsort((contents, keys))
+    k, c, f = keys[order], contents[order], flags[order]
+    new_key = np.append(True, k[1:] != k[:-1])[: len(k)]
+    new = new_key | np.append(True, c[1:] != c[:-1])[: len(k)]
+    of_key, of = np.cumsum(new_key) - 1, np.cumsum(new) - 1
+    kinds = np.bincount(of_key[new]) if len(k) else np.zeros(0, np.int64)  # unlike contents of a key
+    split = np.zeros(len(kinds), bool)
+    np.logical_or.at(split, of_key, f >= 4)
+    split |= kinds > HOT
+    copies = np.zeros(int(of[-1]) + 1 if len(of) else 0, np.int64)
+    np.add.at(copies, of, 1 + (f & 1))
+    like_self = (f & 2) > 0
+    compare = new & ((kinds[of_key] > 1) | (like_self & (copies[of] == 1)))  # the first that has a content sends it
+    got = np.where(split[of_key], SPLIT, np.where(copies[of] > 1, WHOLE, ALONE) + np.where(compare, SEND, ALONE)).astype(np.uint8)
+    said = np.empty(len(got), np.uint8)
+    said[order] = got
+    out, at = [], 0
+    for r, n in zip(rows, sizes, strict=True):
+        own = np.flatnonzero(said[at : at + n])
+        out.append((r["block"], r["bucket"], np.frombuffer(r["entries"], np.int32)[own].tobytes(), keys[at + own].tobytes(), None, said[at + own].tobytes(), None))
+        at += n
+    return out
+
+
+def compared(keys: list[np.ndarray], texts: list[list[bytes]], length: int) -> list[bytes]:
+    """A bucket's second answer about segments: a bit for each window of each block's segments."""
+    places = sorted((k, b, i) for b, own in enumerate(keys) for i, k in enumerate(own.tolist()))
+    found: list[list] = [[None] * len(x) for x in texts]
+    batch: list[tuple[int, int, int]] = []
+    held = 0
+
+    def done() -> None:
+        for (_, b, i), flags in zip(batch, repeated_windows([texts[b][i] for _, b, i in batch], length), strict=True):
+            found[b][i] = flags
+        batch.clear()
+
+    for x in places:
+        if held > BATCH and batch[-1][0] != x[0]:
+            done()
+            held = 0
+        batch.append(x)
+        held += len(texts[x[1]][x[2]])
+    if batch:
+        done()
+    return [bits(np.concatenate([*x, np.zeros(0, bool)])) for x in found]
+
+
+def _window_hashes(data: np.ndarray, start: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of every window of these segments."""
+    first, second = [np.zeros(0, U)], [np.zeros(0, U)]
+    for s, n in zip(start.tolist(), count.tolist(), strict=True):
+        part = BYTE[data[s : s + n + length - 1]]
+        at = np.arange(n)
+        first.append(stretches(sums(part), at, at + length))
+        second.append(stretches(sums(mix(part ^ U(P))), at, at + length))
+    return np.concatenate(first), np.concatenate(second)
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sorting by (a, b): the order, and where something new begins in it."""
+    order = np.lexsort((b, a))
+    return order, np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))[: len(a)]
+
+
+def met(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[bytes]:
+    """A bucket's second answer about windows of hot keys: for each block's (hash, hash, many), whether there are others."""
+    a, b, many = map(np.concatenate, zip(*rows, strict=True))
+    order, new = _distinct(a, b)
+    of = np.cumsum(new) - 1
+    times = np.zeros(int(of[-1]) + 1 if len(of) else 0, np.int64)
+    np.add.at(times, of, 1 + many[order])
+    out = np.empty(len(a), bool)
+    out[order] = times[of] > 1
+    return [bits(x) for x in np.split(out, np.cumsum([len(x) for x, _, _ in rows])[:-1])]
+
+
 def remove_repeats(df: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept has the remaining bytes of each text."""
     kind = df.schema["doc_id"].dataType.simpleString()
     dealt, buckets = deal(df)
 
+    def own_bucket(block: int) -> int:
+        """Rows that only come back to their block, in a group of their own."""
+        return -1 - block
+
     @calm
     def first(group: pa.Table) -> pa.Table:
-        keys, many = _Block(group, length, seed).keys()
-        number = group.column("block")[0].as_py()
-        return arrow([(number, k, keys[p].tobytes(), bits(many[p])) for k, p in enumerate(cut(keys, buckets)) if len(p)], FIRST)
+        own = Entries(*bytes_of(group.column("text").combine_chunks()), length, seed)
+        block = group.column("block")[0].as_py()
+        rows = [(block, k, p.astype(np.int32).tobytes(), own.keys[p].tobytes(), own.contents[p].tobytes(), own.flags[p].tobytes(), None) for k, p in enumerate(cut(own.keys, buckets)) if len(p)]
+        return arrow([*rows, (block, own_bucket(block), None, None, None, None, own.kept())], ROWS)
 
     @calm
     def first_answer(rows: pa.Table) -> pa.Table:
-        x = rows.to_pylist()
-        keys = [np.frombuffer(r["keys"], U) for r in x]
-        shared = seen_twice(keys, [flags_of(r["many"], len(k)) for r, k in zip(x, keys, strict=True)])
-        return arrow([(r["block"], r["bucket"], s) for r, s in zip(x, shared, strict=True)], FIRST_ANSWER)
+        return rows if rows.column("bucket")[0].as_py() < 0 else arrow(judged(rows.to_pylist()), ROWS)
+
+    def known(answers: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A block's segments, and what is said about each entry."""
+        start, count, entry = _unpacked(next(r["kept"] for r in answers if r["kept"] is not None))
+        said = np.zeros(int(entry.max(initial=-1)) + 1, np.uint8)
+        for r in answers:
+            if r["bucket"] >= 0 and r["contents"] is None:
+                said[np.frombuffer(r["entries"], np.int32)] = np.frombuffer(r["flags"], np.uint8)
+        return start, count, entry, said
+
+    def hot_windows(data: np.ndarray, start: np.ndarray, count: np.ndarray, hot: np.ndarray):
+        """The windows of the segments ``hot``: their distinct hashes, each window's number among those, and those numbers by bucket."""
+        a, b = _window_hashes(data, start[hot], count[hot], length)
+        order, new = _distinct(a, b)
+        number = np.empty(len(a), np.int64)
+        number[order] = np.cumsum(new) - 1
+        a, b = a[order][new], b[order][new]
+        return a, b, number, cut(a, buckets)
 
     @calm
     def second(group: pa.Table, answers: pa.Table) -> pa.Table:
         import zstandard
 
         if not group.num_rows:
-            return arrow([], SECOND)
-        _, by, here = _Block(group, length, seed).shared(answers, buckets)
-        compress, number, rows = zstandard.ZstdCompressor(level=3).compress, group.column("block")[0].as_py(), []
-        for k, s in zip(answers.column("bucket").to_pylist(), answers.column("shared").to_pylist(), strict=True):
-            own = by[k]
-            keys, sizes = np.array([x for x, _ in own], U), np.array([len(x) for _, x in own], np.uint32)
-            many = np.array([here[x] > 1 for x in own], bool)
-            rows.append((number, k, s, keys.tobytes(), sizes.tobytes(), bits(many), compress(b"".join(x for _, x in own))))
-        return arrow(rows, SECOND)
+            return arrow([], ROWS)
+        answers = answers.to_pylist()
+        start, count, entry, said = known(answers)
+        data, _ = bytes_of(group.column("text").combine_chunks())
+        block, compress = group.column("block")[0].as_py(), zstandard.ZstdCompressor(level=3).compress
+        example = np.zeros(len(said), np.int64)
+        example[entry[::-1]] = np.arange(len(entry))[::-1]
+        rows = []
+        for r in answers:
+            if r["bucket"] < 0:
+                rows.append((block, r["bucket"], None, None, None, None, r["kept"]))
+                continue
+            own, flags, keys = np.frombuffer(r["entries"], np.int32), np.frombuffer(r["flags"], np.uint8), np.frombuffer(r["keys"], U)
+            rows.append((block, own_bucket(block), r["entries"], None, None, r["flags"], None))
+            sent = (flags == SEND) | (flags == SEND_WHOLE)
+            if sent.any():
+                at = example[own[sent]]
+                texts = [data[s : s + c + length - 1].tobytes() for s, c in zip(start[at].tolist(), count[at].tolist(), strict=True)]
+                rows.append((block, r["bucket"], own[sent].tobytes(), keys[sent].tobytes(), compress(b"".join(texts)), count[at].astype(np.uint16).tobytes(), None))
+        hot = np.flatnonzero(said[entry] == SPLIT)
+        if len(hot):
+            a, b, number, by = hot_windows(data, start, count, hot)
+            many = np.bincount(number) > 1
+            for k, p in enumerate(by):
+                if len(p):
+                    rows.append((block, k, None, a[p].tobytes(), b[p].tobytes(), bits(many[p]), None))
+        return arrow(rows, ROWS)
 
     @calm
     def second_answer(rows: pa.Table) -> pa.Table:
+        if rows.column("bucket")[0].as_py() < 0:
+            return rows
         x = rows.to_pylist()
-        asked, times = [], Counter()
-        for r in x:
-            data, sizes, keys = _expanded(r["segments"]), np.frombuffer(r["lengths"], np.uint32), np.frombuffer(r["keys"], U)
-            ends = np.cumsum(sizes, dtype=np.int64)
-            own = [(k, data[a:b]) for k, a, b in zip(keys.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True)]
-            asked.append(own)
-            for y, m in zip(own, flags_of(r["many"], len(own)).tolist(), strict=True):
-                times[y] += 1 + m
-        alone = Counter(k for k, _ in times)
-        found: dict[tuple[int, bytes], np.ndarray] = {}
-        batch: list[tuple[int, bytes]] = []
-        held = 0
-
-        def done() -> None:
-            for y, flags in zip(batch, repeated_windows([seg for _, seg in batch], length), strict=True):
-                found[y] = flags
-            batch.clear()
-
-        for y in sorted(times):
-            if alone[y[0]] == 1 and times[y] > 1:
-                continue  # a key whose segments are all copies of this one
-            if held > BATCH and batch[-1][0] != y[0]:
-                done()
-                held = 0
-            batch.append(y)
-            held += len(y[1])
-        if batch:
-            done()
-        answers = []
-        for r, own in zip(x, asked, strict=True):
-            flags = [np.ones(len(y[1]) - length + 1, bool) if times[y] > 1 else found[y] for y in own]
-            answers.append((r["block"], r["bucket"], r["shared"], bits(np.concatenate([*flags, np.zeros(0, bool)]))))
-        return arrow(answers, SECOND_ANSWER)
+        asked, hot = [r for r in x if r["entries"] is not None], [r for r in x if r["entries"] is None]
+        out = []
+        if asked:
+            texts = []
+            for r in asked:
+                data, ends = _expanded(r["contents"]), np.cumsum(np.frombuffer(r["flags"], np.uint16).astype(np.int64) + length - 1).tolist()
+                texts.append([data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)])
+            answered = compared([np.frombuffer(r["keys"], U) for r in asked], texts, length)
+            out += [(r["block"], r["bucket"], r["entries"], None, f, r["flags"], None) for r, f in zip(asked, answered, strict=True)]
+        if hot:
+            keys = [np.frombuffer(r["keys"], U) for r in hot]
+            answered = met([(k, np.frombuffer(r["contents"], U), flags_of(r["flags"], len(k))) for r, k in zip(hot, keys, strict=True)])
+            out += [(r["block"], r["bucket"], None, None, f, None, None) for r, f in zip(hot, answered, strict=True)]
+        return arrow(out, ROWS)
 
     @calm
     def last(group: pa.Table, answers: pa.Table) -> pa.Table:
-        block = _Block(group, length, seed)
-        runs, by, _ = block.shared(answers, buckets)
-        flags: dict[tuple[int, bytes], np.ndarray] = {}
-        for k, r in zip(answers.column("bucket").to_pylist(), answers.column("repeats").to_pylist(), strict=True):
-            sizes = [len(x) - length + 1 for _, x in by[k]]
-            own = flags_of(r, sum(sizes))
-            flags.update(zip(by[k], np.split(own, np.cumsum(sizes)[:-1]), strict=True) if sizes else ())
-        step = np.zeros(len(block.data) + 1, np.int32)
-        for s, y in zip(block.start[runs].tolist(), block.segments, strict=True):
-            at = s + np.flatnonzero(flags[y])
-            step[at] += 1
-            step[at + length] -= 1
+        data, offsets = bytes_of(group.column("text").combine_chunks())
+        answers = answers.to_pylist()
+        start, count, entry = _unpacked(next(r["kept"] for r in answers if r["kept"] is not None))
+        said = np.zeros(int(entry.max(initial=-1)) + 1, np.uint8)
+        flags: dict[int, np.ndarray] = {}
+        for r in answers:
+            if r["bucket"] < 0 and r["entries"] is not None:
+                said[np.frombuffer(r["entries"], np.int32)] = np.frombuffer(r["flags"], np.uint8)
+            elif r["bucket"] >= 0 and r["entries"] is not None:
+                counts = np.frombuffer(r["flags"], np.uint16).astype(np.int64)
+                own = flags_of(r["contents"], int(counts.sum()))
+                flags.update(zip(np.frombuffer(r["entries"], np.int32).tolist(), np.split(own, np.cumsum(counts)[:-1]), strict=True))
+        step = np.zeros(len(data) + 1, np.int32)
+
+        def cover(s: np.ndarray, e: np.ndarray) -> None:
+            np.add.at(step, s, 1)
+            np.add.at(step, e, -1)
+
+        status = said[entry]
+        whole = np.flatnonzero((status == WHOLE) | (status == SEND_WHOLE))
+        cover(start[whole], start[whole] + count[whole] + length - 1)
+        for k in np.flatnonzero(status == SEND).tolist():
+            at = start[k] + np.flatnonzero(flags[int(entry[k])])
+            cover(at, at + length)
+        hot = np.flatnonzero(status == SPLIT)
+        if len(hot):
+            a, _, number, by = hot_windows(data, start, count, hot)
+            found = np.zeros(len(a), bool)
+            for r in answers:
+                if r["bucket"] >= 0 and r["entries"] is None:
+                    found[by[r["bucket"]]] = flags_of(r["contents"], len(by[r["bucket"]]))
+            run, k = inside_runs(count[hot])
+            at = (start[hot][run] + k)[found[number]]
+            cover(at, at + length)
         gone = np.cumsum(step[:-1], dtype=np.int32) > 0
         edge = np.append(False, gone)
-        edge[block.offsets] = False
+        edge[offsets] = False
         spans = np.append(0, np.cumsum(gone & ~edge[:-1]))
         removed = np.append(0, np.cumsum(gone))
-        a, b = block.offsets[:-1], block.offsets[1:]
-        kept = [block.data[x:y].tobytes() if n == 0 else block.data[x:y][~gone[x:y]].tobytes() for x, y, n in zip(a.tolist(), b.tolist(), (removed[b] - removed[a]).tolist(), strict=True)]
+        a, b = offsets[:-1], offsets[1:]
+        kept = [data[x:y].tobytes() if n == 0 else data[x:y][~gone[x:y]].tobytes() for x, y, n in zip(a.tolist(), b.tolist(), (removed[b] - removed[a]).tolist(), strict=True)]
         return pa.table({"doc_id": group.column("doc_id"), "n_bytes": pa.array(b - a), "n_removed": pa.array(removed[b] - removed[a]), "n_spans": pa.array(spans[b] - spans[a]), "kept": pa.array(kept, pa.binary())})
 
-    asked = dealt.groupBy("block").applyInArrow(first, FIRST).groupBy("bucket").applyInArrow(first_answer, FIRST_ANSWER)
-    again = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(second, SECOND).groupBy("bucket").applyInArrow(second_answer, SECOND_ANSWER)
+    asked = dealt.groupBy("block").applyInArrow(first, ROWS).groupBy("bucket").applyInArrow(first_answer, ROWS)
+    again = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(second, ROWS).groupBy("bucket").applyInArrow(second_answer, ROWS)
     return dealt.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(last, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 

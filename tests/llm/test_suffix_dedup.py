@@ -49,5 +49,47 @@ def test_against_brute_force(spark, tmp_path, monkeypatch):
     assert run(spark, tmp_path, make_rows()) == sorted(sd.brute_force(make_rows()), key=str)
 
 
+def test_across_slices_and_cut_segments(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sd, "SLICE", 700)
+    monkeypatch.setattr(sd, "LONGEST", 90)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 20_000)
+    assert run(spark, tmp_path, make_rows()) == sorted(sd.brute_force(make_rows()), key=str)
+
+
+def with_a_line(n):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9)))
+    text = lambda k: " ".join(word() for _ in range(k))
+    line, long = text(40)[:200], text(90)[:440]
+    rows = [(i, f"{text(60)} {line} {text(60)}") for i in range(n)] + [(n + i, f"{text(50)} {long}{text(50)}") for i in range(n // 4)]
+    return rows + [(2 * n + i, rows[i][1]) for i in range(0, n, 9)]
+
+
+def test_one_line_in_all_documents(spark, tmp_path, monkeypatch):
+    """Its keys are hot: their windows are dealt by their own hashes."""
+    monkeypatch.setattr(sd, "HOT", 20)
+    monkeypatch.setattr(sd, "HOT_HERE", 5)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(blocks, "BUCKET_BYTES", 40_000)
+    rows = with_a_line(160)
+    assert run(spark, tmp_path, rows) == sorted(sd.brute_force(rows), key=str)
+
+
+def test_no_bucket_gets_a_hot_key(monkeypatch):
+    """Of a key that many documents have, a block sends one entry, and no bytes are asked for."""
+    monkeypatch.setattr(sd, "HOT_HERE", 5)
+    texts = [t.encode() for _, t in with_a_line(160)[:200]]
+    ends = np.cumsum([len(t) for t in texts])
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.append(0, ends)
+    own = sd.Entries(data, offsets, sd.LENGTH, sd.SEED)
+    most = Counter(own.keys.tolist()).most_common(1)[0][1]
+    assert most <= 5 and (own.flags >= 4).any()
+    row = {"block": 0, "bucket": 0, "entries": np.arange(len(own.keys), dtype=np.int32).tobytes(), "keys": own.keys.tobytes(), "contents": own.contents.tobytes(), "flags": own.flags.tobytes()}
+    said = sd.judged([row, {**row, "block": 1}])
+    sent = [np.frombuffer(r[5], np.uint8) for r in said]
+    assert sum((x == sd.SPLIT).sum() for x in sent) == 2 * (own.flags >= 4).sum()
+    assert sum(((x == sd.SEND) | (x == sd.SEND_WHOLE)).sum() for x in sent) <= len(own.keys)
+
+
 def test_no_rows(spark, tmp_path):
     assert run(spark, tmp_path, []) == []
