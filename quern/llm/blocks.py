@@ -95,11 +95,15 @@ def smaller_elsewhere(keys: list[np.ndarray], checks: list[np.ndarray], least: l
 
 
 def least_of(keys: np.ndarray, checks: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct sorted keys with their check and least id, and for each input its place among them."""
+    """Distinct (key, check) by key, with their least id, and for each input its place among them."""
     if not len(keys):
         return keys, checks, ids, np.zeros(0, np.int64)
     order = np.argsort(keys, kind="stable")
-    edge = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+    same = keys[order][1:] == keys[order][:-1]
+    if (same & (checks[order][1:] != checks[order][:-1])).any():  # two contents share a key: tell them apart
+        order = np.lexsort((checks, keys))
+        same = (keys[order][1:] == keys[order][:-1]) & (checks[order][1:] == checks[order][:-1])
+    edge = np.flatnonzero(np.append(True, ~same))
     place = np.empty(len(keys), np.int64)
     place[order] = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(keys))))
     return keys[order][edge], checks[order][edge], np.minimum.reduceat(ids[order], edge), place

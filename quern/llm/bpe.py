@@ -2,10 +2,12 @@
 
 Texts are dealt once into blocks of about ``BLOCK_BYTES``. Each block lists its distinct pre-tokens; the lists, cut by
 word hash and compressed, go to the words' buckets, where each distinct word is encoded once and the ids go back to
-the blocks that asked. A block then puts its texts' ids together by position. Decoding looks ids up in the token-byte
-table. What crosses the network besides the text follows the number of distinct words of a block, not of tokens.
+the blocks that asked. A block then puts its texts' ids together by position. Decoding looks each id of a text up in the
+token-byte table. What crosses the network besides the text follows the number of distinct words of a block, not of
+tokens.
 
-Blocks are drawn by hash and so have like sizes; a bucket holds the distinct words of its share of all words.
+Blocks are drawn by hash and so have like sizes; a bucket holds the distinct words of about ``BUCKET_BYTES`` of text, so
+buckets grow in number with the corpus, not in size.
 
 Cases: null or empty text has no tokens; repeated rows give repeated results; any text, however long, is encoded
 whole; an empty table gives an empty result. Only doc_id and text are read.
@@ -29,8 +31,9 @@ from .common import calm, prepare, table, texts_of
 from .pretokens import Pieces, cutter, distinct, plain
 
 RANKS = "byte_bpe_50k.tiktoken"
-BLOCK_BYTES = 10 << 20
-MOST_BUCKETS = 1024
+BLOCK_BYTES, BUCKET_BYTES = 10 << 20, 48 << 20
+#: A pattern that takes a pre-token as it is.
+WHOLE = r"(?s:.+)"
 _loaded: dict[tuple[str, str], object] = {}
 
 
@@ -50,7 +53,10 @@ def encoding_of(path: str, pattern: str):
 
 
 def token_bytes(path: str) -> dict[int, bytes]:
-    return {v: k for k, v in ranks_of(path).items()}
+    """The token-byte table."""
+    if ("bytes", path) not in _loaded:
+        _loaded["bytes", path] = {v: k for k, v in ranks_of(path).items()}
+    return _loaded["bytes", path]
 
 
 LEVEL = 6
@@ -124,16 +130,22 @@ class _Block:
         return by
 
 
-def assembled(docs: DataFrame, form: Callable, schema: str, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
-    """``key`` and what ``form(texts, parts, ids)`` makes of each block: arrays by the columns of ``schema``.
+def _gathered(flat: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of ``flat`` (number k ends at ends[k]) laid end to end by their numbers, and where each then ends."""
+    begins = np.append(0, ends[:-1])[: len(ends)]
+    lengths = (ends - begins)[numbers]
+    total = np.cumsum(lengths)
+    places = np.repeat(begins[numbers] - (total - lengths), lengths)
+    places += np.arange(len(places))
+    return flat[places], total
 
-    ``texts`` are arrays of numbers of pieces, ``parts`` has the pre-tokens of each piece, ``ids`` the ids of each pre-token.
-    """
+
+def assembled(docs: DataFrame, form: Callable[[list[np.ndarray]], list[pa.Array]], schema: str, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
+    """``key`` and what ``form(ids of each text)`` makes of each block: arrays by the columns of ``schema``."""
     spark = prepare(docs.sparkSession)
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / BLOCK_BYTES))
+    blocks, buckets = (max(1, math.ceil(total / x)) for x in (BLOCK_BYTES, BUCKET_BYTES))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(1, min(parts, MOST_BUCKETS, blocks))
     kind = docs.schema[key].dataType.simpleString()
     dealt = docs.select(key, "text", F.pmod(F.xxhash64(key, "text"), F.lit(blocks)).cast("int").alias("block")).repartition(max(parts, blocks), "block")
 
@@ -145,15 +157,17 @@ def assembled(docs: DataFrame, form: Callable, schema: str, path: str, pattern:
         return pa.table({"block": pa.array([block] * len(asked), pa.int32()), "bucket": pa.array([k for k, _ in asked], pa.int32()), "words": pa.array([x for _, x in asked], pa.binary())})
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding_of(path, pattern)._encode_single_piece
+        encode, at = encoding_of(path, WHOLE).encode_ordinary, None
         known: dict[bytes, list[int]] = {}
         for batch in batches:
             out = []
-            for data in batch.column("words"):
+            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("words"), strict=True):
+                if bucket != at:  # the words of another bucket are others
+                    at, known = bucket, {}
                 ids = []
                 for w in _pieces(*_unpacked(data.as_py())):
                     if (got := known.get(w)) is None:
-                        got = known[w] = encode(w)
+                        got = known[w] = encode(w.decode())
                     ids.append(got)
                 flat = np.array([x for got in ids for x in got], np.uint32)
                 out.append(_packed([len(x) for x in ids], (flat.astype(np.uint16) if flat.max() < 1 << 16 else flat).tobytes()))
@@ -163,29 +177,49 @@ def assembled(docs: DataFrame, form: Callable, schema: str, path: str, pattern:
     def put_together(group: pa.Table, answers: pa.Table) -> pa.Table:
         own, keys = _Block(texts_of(group.column("text")), pattern), group.column(key)
         by = own.words(buckets)
-        ids: dict[str, tuple[int, ...]] = {}
+        counts, flat, number = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], {}
         for bucket, data in zip(answers.column("bucket").to_pylist(), answers.column("ids").to_pylist(), strict=True):
-            counts, flat = _unpacked(data)
-            flat = np.frombuffer(flat, np.uint16 if len(flat) == 2 * counts.sum() else np.uint32).tolist()
-            ids.update(zip(map(bytes.decode, by[bucket]), _pieces(counts, flat), strict=True))
-        del by
-        made = form(own.texts, own.parts, ids)
-        return pa.table([keys, *made], names=names)
+            n, ids = _unpacked(data)
+            number.update(zip(map(bytes.decode, by[bucket]), range(len(number), len(number) + len(n)), strict=True))
+            counts.append(n)
+            flat.append(np.frombuffer(ids, np.uint16 if len(ids) == 2 * n.sum() else np.uint32).astype(np.uint32))
+        # ids of words, then of pieces, then of texts
+        words = np.array([number[w] for p in own.parts for w in p], np.int64)
+        made, ends = _gathered(np.concatenate(flat), np.cumsum(np.concatenate(counts)), words)
+        ends = np.append(0, ends)[np.cumsum([len(p) for p in own.parts], dtype=np.int64)] if own.parts else np.zeros(0, np.int64)
+        del by, number, words
+        own.parts.clear()
+        return pa.table([keys, *form([_gathered(made, ends, t)[0] for t in own.texts])], names=names)
 
     names = [key, *(x.split()[0] for x in schema.split(", "))]
     asked = dealt.groupBy("block").applyInArrow(ask, "block int, bucket int, words binary")
-    answered = asked.repartition("bucket").mapInArrow(answer, "block int, bucket int, ids binary")
+    answered = asked.repartition(max(parts, buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "block int, bucket int, ids binary")
     return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(put_together, f"`{key}` {kind}, {schema}")
 
 
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)), pa.array(np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)))
+
+
+def _decoder(path: str) -> Callable[[np.ndarray], bytes]:
+    table_ = token_bytes(path)
+    return lambda ids: b"".join(map(table_.__getitem__, ids.tolist()))
+
+
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, key: str = "doc_id") -> DataFrame:
     """(key, ids): the token ids of each whole text as array<int>."""
+    return assembled(docs, lambda ids: [_lists(ids)], "ids array<int>", path or public_tokenizers.path(RANKS), pattern, key)
 
-    def form(texts, parts, ids):
-        whole = [[x for w in p for x in ids[w]] for p in parts]
-        return [pa.array([[x for k in t.tolist() for x in whole[k]] for t in texts], pa.list_(pa.int32()))]
 
-    return assembled(docs, form, "ids array<int>", path or public_tokenizers.path(RANKS), pattern, key)
+def encode_checked(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, key: str = "doc_id") -> DataFrame:
+    """(key, n_tokens, ids, decoded_sha256): the ids of each whole text, and the digest of the bytes that they decode to."""
+    path = path or public_tokenizers.path(RANKS)
+
+    def form(ids: list[np.ndarray]) -> list[pa.Array]:
+        back = _decoder(path)
+        return [pa.array([len(x) for x in ids], pa.int64()), _lists(ids), pa.array([hashlib.sha256(back(x)).hexdigest() for x in ids], pa.string())]
+
+    return assembled(docs, form, "n_tokens bigint, ids array<int>, decoded_sha256 string", path, pattern, key)
 
 
 def decode(encoded: DataFrame, path: str | None = None, key: str = "doc_id") -> DataFrame:
@@ -205,23 +239,11 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str = public_toke
     """(key, n_tokens, ids_sha256, decoded_sha256), without carrying ids between tasks."""
     path = path or public_tokenizers.path(RANKS)
 
-    def form(texts, parts, ids):
-        table_ = token_bytes(path)
-        size = max(table_) + 1
-        number = list(map(str, range(size))).__getitem__
-        bytes_of = [table_.get(k, b"") for k in range(size)].__getitem__
-        told, raw = [], []
-        for p in parts:
-            own = ids[p[0]] if len(p) == 1 else [x for w in p for x in ids[w]]
-            told.append(" ".join(map(number, own)))
-            raw.append(b"".join(map(bytes_of, own)))
-        parts.clear()  # no longer needed, and large
-        ids.clear()
-        out = []
-        for own in map(np.ndarray.tolist, texts):
-            joined = " ".join(map(told.__getitem__, own)).encode()
-            out.append((joined.count(b" ") + bool(own), hashlib.sha256(joined).hexdigest(), hashlib.sha256(b"".join(map(raw.__getitem__, own))).hexdigest()))
-        return [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+    def form(ids: list[np.ndarray]) -> list[pa.Array]:
+        back = _decoder(path)
+        number = list(map(str, range(max(token_bytes(path)) + 1))).__getitem__
+        told = [hashlib.sha256(" ".join(map(number, x.tolist())).encode()).hexdigest() for x in ids]
+        return [pa.array([len(x) for x in ids], pa.int64()), pa.array(told, pa.string()), pa.array([hashlib.sha256(back(x)).hexdigest() for x in ids], pa.string())]
 
     return assembled(docs, form, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", path, pattern, key)
 

@@ -1,27 +1,31 @@
-"""Token ids in files: one long id array for each shard of documents, its boundaries in Elias-Fano code.
+"""Token ids in files: one long id array for each run of documents, its boundaries in Elias-Fano code.
 
-A shard holds consecutive documents in ascending doc_id order and is one row of a Parquet table in the shared folder,
-so Spark commits files as a whole and a lost executor leaves none behind. Its fields:
+Documents are dealt by ranges of doc_id and sorted, so each range is a run of documents in ascending order. A file holds
+consecutive documents of a range, up to ``SHARD_IDS`` ids, and is one row of a Parquet table in the shared folder, so
+Spark commits files as a whole and a lost executor leaves none behind. Its fields:
 
-    shard, n_docs, n_ids   counts; a shard's place in the whole follows from n_ids of the shards before it
-    low_bits               l = floor(log2(n_ids / n_docs)), bits of a boundary kept as they are
-    low                    the l low bits of each boundary (where a document's ids end), packed
-    high                   the rest in unary: bit (boundary >> l) + k is set for document k
-    select                 the place of every ``SELECT``-th set bit of ``high``, 32 bits each
-    doc_ids, ids           64 bits each; 16 bits each where all ids fit, else 32
+    shard, part                 the range and the file's place in it
+    n_docs, n_ids, n_null       counts; a file's place in the whole follows from n_ids of the files before it
+    low_bits                    l = floor(log2(n_ids / n_docs)), bits of a boundary kept as they are
+    low                         the l low bits of each boundary (where a document's ids end), packed
+    high                        the rest in unary: bit (boundary >> l) + k is set for document k
+    select                      the place of every ``SELECT``-th set bit of ``high``, 32 bits each
+    doc_ids                     64 bits each, without those of the first n_null documents, which have none
+    ids, width                  ``width`` bytes each: 2 where all ids fit, else 4
 
 Boundaries take l + 2 bits each, with no table of 64-bit offsets; ``select_end(k)`` starts at a sample and reads a few
-bytes; ``read_files`` needs every boundary and decodes them in sequence instead. Documents are encoded where they are read, so only ids cross the network. A task has a bounded cache of encoded
-pre-tokens. Shards hold about ``SHARD_DOCS`` documents by quantiles of doc_id; a shard of more than ``SHARD_IDS`` ids
-is cut into several files.
+bytes. A task has a bounded cache of encoded pre-tokens. Ranges are drawn by sampled quantiles of (doc_id, hash of the
+text), so that neither a far doc_id nor many rows of one doc_id, or of none, fill a single task.
 
 Cases: null or empty text has the end id only; null doc_ids come first; ties (repeated doc_ids) are in the order of
-their ids; an empty table gives no file. Only doc_id and text are read.
+a hash of their texts; the library's added tokens are found in texts as it finds them; an empty table gives no file.
+Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import gc
+import math
 import os
 import zlib
 from collections.abc import Iterator
@@ -29,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +42,12 @@ from .pretokens import Pieces, cutter, plain
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-SHARD_DOCS, SHARD_IDS, SELECT, CACHE = 1024, 2 << 20, 64, 1_000_000
+SHARD_BYTES, SHARD_IDS, SELECT, CACHE = 8 << 20, 2 << 20, 64, 1_000_000
+#: Documents that are encoded together: up to so many, and not more once they have so many characters.
+TOGETHER, TOGETHER_CHARS = 1000, 8_000_000
 #: Up to so many files (1 MB of places), a broadcast brings them their starts; beyond it, a shuffle.
 BROADCAST_FILES = 40_000
-SCHEMA = "shard int, part int, n_docs bigint, n_ids bigint, low_bits int, low binary, high binary, select_ binary, doc_ids binary, ids binary, width int"
+SCHEMA = "shard int, part int, n_docs bigint, n_ids bigint, n_null bigint, low_bits int, low binary, high binary, select_ binary, doc_ids binary, ids binary, width int"
 _loaded: dict[str, object] = {}
 
 
@@ -48,7 +55,7 @@ class Encoder:
     """Ids by the tokenizers library, as 16-bit numbers where the vocabulary allows, else 32.
 
     Python sees each distinct piece of a batch once, and the library each pre-token of a new piece once while its ids
-    stay in the cache. Texts that cannot be cut go to the library whole.
+    stay in the cache. Texts that cannot be cut, or that hold an added token of the library, go to it whole.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -56,7 +63,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cut = cutter(pattern)
         self.known: dict[int, bytes] = {}
         vocabulary = self.library.get_vocab()
@@ -129,7 +136,7 @@ class Encoder:
         return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        able = [plain(t) for t in texts]
+        able = [plain(t) and not any(x in t for x in self.added) for t in texts]
         quick = iter(self._cut([t for t, ok in zip(texts, able, strict=True) if ok]) if any(able) else ())
         slow = iter(self._library([t for t, ok in zip(texts, able, strict=True) if not ok]))
         return [next(quick) if ok else next(slow).tobytes() for ok in able]
@@ -190,70 +197,96 @@ def _file(shard: int, part: int, width: int, doc_ids: list[int | None], ids: lis
     lengths = np.array([len(x) // width for x in ids], np.int64)
     flat = np.frombuffer(b"".join(ids), f"u{width}")
     ends = Boundaries.of(np.cumsum(lengths))
-    known = pa.array(doc_ids, pa.int64())
-    marks = np.concatenate([known.is_null().to_numpy(zero_copy_only=False).astype(np.int64), known.fill_null(0).to_numpy()])
-    return shard, part, len(ids), len(flat), ends.l, ends.low, ends.high, ends.samples.tobytes(), marks.tobytes(), flat.astype(f"<u{width}").tobytes(), width
-
-
-def write_files(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, end_id: int = END_ID) -> DataFrame:
-    """Encode all documents and write the shards; the table of files, read again."""
+    known = [d for d in doc_ids if d is not None]
+    return shard, part, len(ids), len(flat), len(ids) - len(known), ends.l, ends.low, ends.high, ends.samples.tobytes(), np.array(known, np.int64).tobytes(), flat.astype(f"<u{width}").tobytes(), width
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
+    """doc_ids and texts, as many as are encoded together."""
+    doc_ids: list[int | None] = []
+    texts: list[str] = []
+    size = 0
+    for b in batches:
+        for d, t in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
+            doc_ids.append(d)
+            texts.append(t)
+            size += len(t)
+            if len(texts) >= TOGETHER or size >= TOGETHER_CHARS:
+                yield doc_ids, texts
+                doc_ids, texts, size = [], [], 0
+    if texts:
+        yield doc_ids, texts
+
+
+def write_files(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, end_id: int = END_ID, into: str | None = None) -> DataFrame:
+    """Encode all documents and write the files to the folder ``into``; the table of files, read again.
+
+    Without ``into`` the files lie in the shared folder and go when the application ends.
+    """
     spark, path = prepare(docs.sparkSession), path or public_tokenizers.path(TOKENIZER)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    n = docs.count()
-    cuts = max(0, -(-n // SHARD_DOCS) - 1)
-    bounds = sorted(set(docs.approxQuantile("doc_id", [(k + 1) / (cuts + 1) for k in range(cuts)], 0.2 / (cuts + 1)))) if cuts else []
+    total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(1, math.ceil(total / SHARD_BYTES))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # nothing here makes cycles, and the collector walks all the lists
         if path not in _loaded:
             _loaded[path] = Encoder(path, pattern)
-        end = np.array([end_id], _loaded[path].kind).tobytes()
-        width = np.int8(_loaded[path].kind(0).itemsize)
-        for b in batches:
-            known = b.column(0).fill_null(-(1 << 63)).to_numpy()
-            shard = np.searchsorted(bounds, known, side="left").astype(np.int32) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(shard), b.column(0), pa.array([x + end for x in _loaded[path](texts_of(b.column(1)))], pa.binary()), pa.array(np.full(b.num_rows, width))], names=["shard", "doc_id", "ids", "width"])
-
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, part, size, width, doc_ids, ids = None, 0, 0, 0, [], []
+        encode, shard, part, size = _loaded[path], TaskContext.get().partitionId(), 0, 0
+        end, width = np.array([end_id], encode.kind).tobytes(), np.dtype(encode.kind).itemsize
+        doc_ids: list[int | None] = []
+        ids: list[bytes] = []
 
         def done():
             return pa.RecordBatch.from_pylist([dict(zip(names, _file(shard, part, width, doc_ids, ids), strict=True))], schema=kinds)
 
-        for b in batches:
-            for s, d, x, w in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                if ids and (s != shard or size >= SHARD_IDS):
+        for some, texts in _together(batches):
+            for d, x in zip(some, encode(texts), strict=True):
+                if ids and size >= SHARD_IDS:
                     yield done()
-                    part, size, doc_ids, ids = part + 1 if s == shard else 0, 0, [], []
-                shard, width = s, w
+                    part, size, doc_ids, ids = part + 1, 0, [], []
                 doc_ids.append(d)
-                ids.append(x)
-                size += len(x) // w
+                ids.append(x + end)
+                size += len(x) // width + 1
         if ids:
             yield done()
 
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = pa.schema([(x.split()[0], {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in SCHEMA.split(", ")])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "shard int, doc_id bigint, ids binary, width byte")
-    dealt = rows.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
-    return written(dealt.mapInArrow(shards, SCHEMA), "token-files")
+    order = (F.col("doc_id").asc_nulls_first(), F.col("tie").asc())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    made = dealt.mapInArrow(files, SCHEMA)
+    if into is None:
+        return written(made, "token-files")
+    made.write.parquet(into)
+    return spark.read.schema(made.schema).parquet(into)
+
+
+def places(files: DataFrame, group: int = 4096) -> DataFrame:
+    """(shard, part, start): the ids of all files before each. Sums of groups of shards come first, so that no window
+    holds more than the groups, or the files of one."""
+    sizes = files.select("shard", "part", "n_ids", F.floor(F.col("shard") / group).alias("g"))
+    sofar = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    groups = sizes.groupBy("g").agg(F.sum("n_ids").alias("whole")).withColumn("before", F.sum("whole").over(sofar(Window.orderBy("g")))).drop("whole")
+    own = sizes.withColumn("own", F.sum("n_ids").over(sofar(Window.partitionBy("g").orderBy("shard", "part"))))
+    return own.join(F.broadcast(groups), "g").select("shard", "part", (F.coalesce("before", F.lit(0)) + F.coalesce("own", F.lit(0))).alias("start"))
 
 
 def read_files(files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files alone."""
-    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("shard", "part", "n_ids").withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).drop("n_ids")
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files alone: its ids lie between two selects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b.to_pylist():
-                ends = Boundaries(x["n_docs"], x["low_bits"], x["low"], x["high"], x["select_"]).all()
+                bounds = Boundaries(x["n_docs"], x["low_bits"], x["low"], x["high"], x["select_"])
+                ends = np.fromiter(map(bounds.select_end, range(x["n_docs"])), np.int64, x["n_docs"])
                 begins = np.append(0, ends[:-1])
                 ids = np.frombuffer(x["ids"], f"<u{x['width']}").astype("<u4")
-                marks = np.frombuffer(x["doc_ids"], np.int64).reshape(2, -1)
-                sums = [zlib.crc32(ids[s:e]) for s, e in zip(begins, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(marks[1], mask=marks[0] == 1), pa.array(begins + x["start"]), pa.array(ends - begins), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                known = np.append(np.zeros(x["n_null"], np.int64), np.frombuffer(x["doc_ids"], np.int64))
+                sums = [zlib.crc32(ids[s:e]) for s, e in zip(begins.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(known, mask=np.arange(len(known)) < x["n_null"]), pa.array(begins + x["start"]), pa.array(ends - begins), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
+    starts = places(files)
     if files.count() <= BROADCAST_FILES:
         starts = F.broadcast(starts)
     return files.join(starts, ["shard", "part"]).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -9,6 +9,7 @@ from quern.llm import bpe
 
 PATH = public_tokenizers.path(bpe.RANKS)
 ENC = bpe.encoding_of(PATH, public_tokenizers.PATTERN)
+WHOLE = bpe.encoding_of(PATH, bpe.WHOLE)
 SCHEMA = "doc_id long, text string, block string, ids string"
 
 
@@ -24,11 +25,12 @@ def rows():
 def test_cutting_changes_no_ids(texts):
     block = bpe._Block(texts, public_tokenizers.PATTERN)
     for text, own in zip(texts, block.texts, strict=True):
-        assert [x for k in own.tolist() for w in block.parts[k] for x in ENC._encode_single_piece(w.encode())] == ENC.encode_ordinary(text)
+        assert [x for k in own.tolist() for w in block.parts[k] for x in WHOLE.encode_ordinary(w)] == ENC.encode_ordinary(text)
 
 
 def test_query_equals_the_library(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(bpe, "BUCKET_BYTES", 30_000)
     data = rows()
     spark.createDataFrame([(i, t, "x", "y") for i, t in data], SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((tuple(r) for r in bpe.op7_byte_bpe(spark, str(tmp_path)).collect()), key=str)

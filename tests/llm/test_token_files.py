@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -21,7 +22,8 @@ def test_select(lengths):
 
 
 def test_query_equals_the_library(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(tf, "SHARD_DOCS", 40)
+    monkeypatch.setattr(tf, "SHARD_BYTES", 6000)
+    monkeypatch.setattr(tf, "TOGETHER", 30)
     monkeypatch.setattr(tf, "SHARD_IDS", 500)
     rng = random.Random(4)
     alphabet = list("  \n\t 'sab1²é汉😀.,-") + ["the", " of", "<|endoftext|>"]
@@ -30,9 +32,10 @@ def test_query_equals_the_library(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, shard string, ids int").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = [tuple(r) for r in tf.op8_token_files(spark, str(tmp_path)).collect()]
     library = Tokenizer.from_file(public_tokenizers.path(tf.TOKENIZER))
-    library.encode_special_tokens = True
+    assert library.encode("a <|endoftext|> b", add_special_tokens=False).ids[2] == 50256  # an added token is found as one
+    tie = lambda t: np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 42)).astype(np.int64)
+    rows.sort(key=lambda x: (x[0] is not None, x[0] or 0, tie(x[1])))
     made = [(i, [*library.encode(t or "", add_special_tokens=False).ids, 0]) for i, t in rows]
-    made.sort(key=lambda x: (x[0] is not None, x[0] or 0, np.array(x[1], np.uint32).tobytes()))
     want, at = [], 0
     for i, ids in made:
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
@@ -40,6 +43,17 @@ def test_query_equals_the_library(spark, tmp_path, monkeypatch):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_many_rows_without_id_are_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tf, "SHARD_BYTES", 500)
+    rows = [(None if k % 4 else 10**15 * (k == 0) + k, f"word {k}") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    files = tf.write_files(docs, into=f"{tmp_path}/files")
+    of = {r.shard for r in files.where("n_null > 0").select("shard").collect()}
+    assert len(of) > 3 and files.agg({"n_docs": "max"}).first()[0] < 200
+    got = sorted((r.start, r.n_tokens) for r in tf.read_files(spark.read.parquet(f"{tmp_path}/files")).collect())
+    assert len(got) == 400 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:], strict=False))
+
+
 def test_no_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert tf.op8_token_files(spark, str(tmp_path)).count() == 0
