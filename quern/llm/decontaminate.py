@@ -1,21 +1,28 @@
 """Benchmark decontamination: every training passage is a query against a BM25 index of the test items.
 
 The index has for each term the BM25 weight of each item that holds it, divided by ``THRESHOLD`` times the item's score
-for its own text, so that an item is retrieved at 1. Items lie in blocks; for each term a block keeps its greatest
-weight. A text is cut into passages of 2 * ``STRIDE`` terms every ``STRIDE`` terms, or as many as the longest item has. As in block-max WAND, the sum of a
-passage's block maxima bounds the scores of a block's items, and only blocks whose bound reaches 1 are scored in full.
-Retrieved items are verified: the passage must hold at least ``OVERLAP`` of the ``GRAM``-term grams of the item's
-question and of its answer.
+for its own text, so that an item is retrieved at 1. Items lie in blocks by length; for each term and block that have
+postings it also has their greatest weight. A text is cut into passages of 2 * ``STRIDE`` terms every ``STRIDE`` terms,
+or as many as the longest item has.
+
+Search is block-max WAND over many passages at once. The sum of a passage's block maxima bounds the scores of a block's
+items; blocks whose bound stays below 1 are skipped without a look at their postings. Within the others, cursors of the
+passage's terms move on to pivots: the first item at which the maxima of the terms that can still hold it reach 1.
+Cursors skip what lies before the pivot, and only items that all of these cursors have reached are scored.
 
-Items without an answer are one part: ``OVERLAP`` of all their grams is enough, wherever the others were lost. Terms are
-lower-case (A-Z) runs of letters, digits and bytes beyond ASCII.
+Retrieved items are verified: the passage must hold at least ``OVERLAP`` of the ``GRAM``-term grams of the item's
+question and of its answer. Items without an answer are one part: ``OVERLAP`` of all their grams is enough, wherever
+the others were lost. Terms are lower-case (A-Z) runs of letters, digits and bytes beyond ASCII; terms and grams are told
+apart by 64 bits.
 
 The index goes to every task, so its size is bounded: benchmarks beyond ``MOST_ITEMS`` items or ``MOST_CHARS`` characters
-are cut into several indexes, one pass over the documents each; term statistics are those of all items. Documents are
-not shuffled.
+are cut into several indexes. They are made, sent and used one after the other, a pass over the documents each, with
+the hits so far in a written table between; term statistics are those of all items, and only these (a number for each
+distinct term of the benchmark) stay on the driver. Documents are not shuffled.
 
 Cases: null or empty texts have no passages and no hits; empty items are never retrieved; repeated items count as items
-of their own; repeated documents give repeated results; without items nothing is contaminated.
+of their own; repeated documents give repeated results; without items nothing is contaminated. The output column must
+have a name that the documents lack.
 """
 
 from __future__ import annotations
@@ -29,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, prepare, table
+from .common import bytes_of, dropped, prepare, table, written
 from .hashing import APART, U, grams, hashed_words
 
 K1, B = 0.9, 0.4
-THRESHOLD, STRIDE, BLOCK, GRAM, OVERLAP = 0.6, 64, 8, 3, 0.6
+THRESHOLD, STRIDE, BLOCK, WIDTH, GRAM, OVERLAP = 0.6, 64, 8, 64, 3, 0.6
 MOST_ITEMS, MOST_CHARS = 20_000, 16_000_000
 
 
@@ -42,7 +49,7 @@ def terms_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """Weights of terms for items, in blocks."""
+    """Weights of terms for items, by term and then item, and the greatest of each block of items."""
 
     def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], idf: dict[int, float], mean: float, longest: int):
         """Items as (id, terms of the question, terms of the answer); ``longest`` counts the terms of the longest item of all indexes."""
@@ -51,20 +58,36 @@ class Index:
         self.parts = [tuple(self._grams(p) for p in x[1:]) for x in items]
         self.lengths = [(len(x[1]), len(x[2])) for x in items]
         self.stride = max(STRIDE, longest)
-        weights: dict[int, dict[int, float]] = defaultdict(dict)
+        terms, owners, weights = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for k, (_, q, a) in enumerate(items):
-            counts = Counter(np.concatenate([q, a]).tolist())
+            own, n = np.unique(np.concatenate([q, a]), return_counts=True)
             norm = K1 * (1 - B + B * (len(q) + len(a)) / mean)
-            own = {t: idf[t] * n * (K1 + 1) / (n + norm) for t, n in counts.items()}
-            least = THRESHOLD * sum(own.values())
-            for t, w in own.items():
-                weights[t][k] = w / least
-        self.terms = np.array(sorted(weights), U)
-        self.postings = [weights[t] for t in self.terms.tolist()]
-        self.most = np.zeros((len(self.terms) + 1, max(1, -(-len(items) // BLOCK))), np.float32)
-        for row, by in zip(self.most, self.postings, strict=False):
-            for k, w in by.items():
-                row[k // BLOCK] = max(row[k // BLOCK], w)
+            weight = np.array([idf[t] for t in own.tolist()]) * n * (K1 + 1) / (n + norm)
+            terms.append(own)
+            owners.append(np.full(len(own), k))
+            weights.append(weight / (THRESHOLD * weight.sum()))
+        self.terms, number = np.unique(np.concatenate(terms), return_inverse=True)
+        item = np.concatenate(owners)
+        order = np.lexsort((item, number))
+        self.item, self.weight = item[order].astype(np.int32), np.concatenate(weights)[order]
+        self.blocks = max(1, -(-len(items) // BLOCK))
+        #: Term and block of each posting, in order; and of the maxima, likewise.
+        self.place = number[order].astype(np.int64) * self.blocks + self.item // BLOCK
+        edge = np.flatnonzero(np.append(True, self.place[1:] != self.place[:-1])[: len(self.place)])
+        self.most_place = self.place[edge]
+        self.most = np.maximum.reduceat(self.weight, edge).astype(np.float32) if len(edge) else np.zeros(0, np.float32)
+        self._windows: dict[int, np.ndarray] = {}
+
+    def window(self, a: int) -> np.ndarray:
+        """The maxima of the ``WIDTH`` blocks from ``a`` on as a table by term (the last row is empty); a few stay in memory."""
+        if (got := self._windows.get(a)) is None:
+            term, block = self.most_place // self.blocks, self.most_place % self.blocks
+            own = (block >= a) & (block < a + WIDTH)
+            got = np.zeros((len(self.terms) + 1, min(WIDTH, self.blocks - a)), np.float32)
+            got[term[own], block[own] - a] = self.most[own]
+            if len(self._windows) < 4:
+                self._windows[a] = got
+        return got
 
     @staticmethod
     def _grams(terms: np.ndarray) -> frozenset[int]:
@@ -95,26 +118,59 @@ class Index:
         total = int(pieces.sum())
         edge = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         owner = np.repeat(np.arange(len(n)), pieces)
-        for a in range(0, self.most.shape[1], 64):  # so many blocks at a time, to bound memory
-            bound = np.zeros((total + 1, min(64, self.most.shape[1] - a)), np.float32)
-            bound[at[edge]] = np.add.reduceat(self.most[term, a : a + 64], edge, axis=0)
+        for a in range(0, self.blocks, WIDTH):
+            most = self.window(a)
+            bound = np.zeros((total + 1, most.shape[1]), np.float32)
+            bound[at[edge]] = np.add.reduceat(most[term], edge, axis=0)
             joined = bound[:-1] + np.where((np.append(owner[1:], -1) == owner)[:, None], bound[1:], 0)
             by_piece: dict[int, list[int]] = defaultdict(list)
             for p, b in np.argwhere(joined >= 1 - 1e-4).tolist():
                 by_piece[p].append(a + b)
             for p, blocks in by_piece.items():
-                self._score(p, blocks, at, term, owner, first, before, hashes, stride, found)
+                self._verified(p, a, blocks, at, term, owner, first, before, hashes, stride, found)
         return found
 
-    def _score(self, p, blocks, at, term, owner, first, before, hashes, stride, found) -> None:
+    def retrieved(self, terms: np.ndarray, block: int, most: np.ndarray) -> list[tuple[int, float]]:
+        """The items of a block that these distinct terms, with their maxima there, score at 1 or more, by pivots."""
+        here = most > 0
+        terms, most = terms[here], most[here]
+        if most.sum() < 1 - 1e-4:  # terms of both halves of the passage counted twice in its first bound
+            return []
+        place = terms * self.blocks + block
+        lo, hi = self.place.searchsorted(place, "left"), self.place.searchsorted(place, "right")
+        # cursors (item, place in the postings, end, greatest weight), those at the least item first
+        cursors = [list(x) for x in zip(self.item[lo].tolist(), lo.tolist(), hi.tolist(), most.tolist(), strict=True)]
+        out = []
+        while cursors:
+            cursors.sort()
+            reach, pivot = 0.0, None
+            for c in cursors:
+                reach += c[3]
+                if reach >= 1 - 1e-4:  # maxima have 32 bits
+                    pivot = c[0]
+                    break
+            if pivot is None:
+                break
+            if cursors[0][0] == pivot:
+                score = sum(float(self.weight[c[1]]) for c in cursors if c[0] == pivot)
+                if score >= 1 - 1e-9:
+                    out.append((pivot, score))
+                ahead = pivot + 1
+            else:
+                ahead = pivot
+            for c in cursors:
+                if c[0] < ahead:
+                    c[1] += int(self.item[c[1] : c[2]].searchsorted(ahead))
+                    c[0] = int(self.item[c[1]]) if c[1] < c[2] else -1
+            cursors = [c for c in cursors if c[1] < c[2]]
+        return out
+
+    def _verified(self, p, a, blocks, at, term, owner, first, before, hashes, stride, found) -> None:
         d = owner[p]
         lo, hi = np.searchsorted(at, [p, p + 2 if p + 1 < len(owner) and owner[p + 1] == d else p + 1])
-        wanted, scores = set(blocks), defaultdict(float)
-        for t in set(term[lo:hi].tolist()):
-            for k, w in self.postings[t].items():
-                if k // BLOCK in wanted:
-                    scores[k] += w
-        hits = [(k, s) for k, s in scores.items() if s >= 1 - 1e-9]
+        own_terms = np.unique(term[lo:hi])
+        most = self.window(a)[own_terms]
+        hits = [x for b in blocks for x in self.retrieved(own_terms, b, most[:, b - a])]
         if not hits:
             return
         start = before[d] + (p - first[d]) * stride
@@ -126,11 +182,14 @@ class Index:
                 found[d][k] = max(s, found[d].get(k, 0.0))
 
 
-def indexes(items: DataFrame) -> Iterator[Index]:
-    """Indexes of bounded size over (item_id, question, answer); a null or empty answer leaves one part."""
-    n = items.count()
-    chars = items.select(F.sum(F.length(F.concat_ws(" ", "question", "answer")))).first()[0] or 0
-    parts = max(1, math.ceil(n / MOST_ITEMS), math.ceil(chars / MOST_CHARS))
+def parts_of(items: DataFrame) -> int:
+    """How many indexes (item_id, question, answer) need."""
+    n, chars = items.agg(F.count("*"), F.sum(F.length(F.concat_ws(" ", "question", "answer")))).first()
+    return max(1, math.ceil(n / MOST_ITEMS), math.ceil((chars or 0) / MOST_CHARS))
+
+
+def indexes(items: DataFrame, parts: int) -> Iterator[Index]:
+    """Indexes of bounded size over (item_id, question, answer), one at a time; a null or empty answer leaves one part."""
     kept = items.withColumn("part", F.pmod(F.xxhash64("item_id", "question"), F.lit(parts)))
 
     def read(part: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -163,22 +222,29 @@ def contaminated(docs: DataFrame, items: DataFrame, into: str = "hits") -> DataF
     schema = docs.schema
     kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in schema)
     hit = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64())]))
-    found = [list(indexes(items))] if items.count() <= MOST_ITEMS else [[x] for x in indexes(items)]
     out = docs.withColumn(into, F.expr("cast(array() as array<struct<item_id: bigint, score: double>>)"))
-    for group in found:
-        carried = spark.sparkContext.broadcast(group)
+    parts, held = parts_of(items), None
+    for index in indexes(items, parts):
+        carried = spark.sparkContext.broadcast(index)
+        del index  # its broadcast copy is a file
 
         def run(batches: Iterator[pa.RecordBatch], carried=carried) -> Iterator[pa.RecordBatch]:
+            index = carried.value
             for b in batches:
                 hashes, before = hashed_words(*bytes_of(b.column("text")), lower=True, apart=APART)
                 rows = [list(x or ()) for x in b.column(b.num_columns - 1).to_pylist()]
-                for index in carried.value:
-                    for row, got in zip(rows, index.search(hashes, before), strict=True):
-                        row += [{"item_id": index.ids[k], "score": s} for k, s in got.items()]
+                for row, got in zip(rows, index.search(hashes, before), strict=True):
+                    row += [{"item_id": index.ids[k], "score": s} for k, s in got.items()]
                 rows = [sorted(x, key=lambda h: (h["item_id"] is None, h["item_id"] or 0, h["score"])) for x in rows]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, hit)], names=b.schema.names)
 
         out = out.mapInArrow(run, f"{kinds}, `{into}` array<struct<item_id: bigint, score: double>>")
+        if parts > 1:
+            out = written(out, "hits")
+            carried.destroy()
+            if held is not None:
+                dropped(held)
+            held = out
     return out
 
 

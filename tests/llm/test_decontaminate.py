@@ -1,7 +1,9 @@
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+
+import numpy as np
 
 from quern.llm import decontaminate as dc
 
@@ -114,3 +116,40 @@ def test_edited_and_shortened_copies_of_items_without_answer(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
     found = dc.contaminated(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.createDataFrame(items, "item_id long, question string, answer string"))
     assert {r.doc_id: [h.item_id for h in r.hits] for r in found.collect()} == want
+
+
+def test_pivots_retrieve_what_plain_scoring_does():
+    """Over all blocks: the items of score 1 and over, whatever is skipped."""
+    rng = np.random.default_rng(5)
+    items = [(k, rng.integers(0, 60, rng.integers(3, 30)).astype(np.uint64), np.zeros(0, np.uint64)) for k in range(70)]
+    df = Counter(t for _, q, _ in items for t in set(q.tolist()))
+    idf = {t: math.log(1 + (len(items) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    index = dc.Index(items, idf, 15.0, 30)
+    plain = defaultdict(dict)
+    for place, item, weight in zip(index.place.tolist(), index.item.tolist(), index.weight.tolist(), strict=True):
+        plain[place // index.blocks][item] = weight
+    some = 0
+    for _ in range(200):
+        terms = np.unique(index.numbers(rng.integers(0, 70, rng.integers(1, 40)).astype(np.uint64)))
+        scores = Counter()
+        for t in terms.tolist():
+            for k, w in plain[t].items():
+                scores[k] += w
+        want = {k: round(s, 9) for k, s in scores.items() if s >= 1 - 1e-9}
+        got = [x for b in range(index.blocks) for x in index.retrieved(terms, b, index.window(0)[terms, b])]
+        assert {k: round(s, 9) for k, s in got} == want and len(got) == len(want)
+        some += len(want)
+    assert some > 50
+
+
+def test_items_beyond_the_bound_of_characters(spark, monkeypatch):
+    """One index at a time, with the hits of the last one in a table."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(30)) for _ in range(12)]
+    items = spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], "item_id long, question string, answer string")
+    docs = spark.createDataFrame([(k, f"before it {t} and after") for k, t in enumerate(texts)] + [(99, "none of them")], "doc_id long, text string")
+    want = {r.doc_id: [h.item_id for h in r.hits] for r in dc.contaminated(docs, items).collect()}
+    assert want == {**{k: [k] for k in range(12)}, 99: []}
+    monkeypatch.setattr(dc, "MOST_CHARS", 500)
+    assert dc.parts_of(items) > 3
+    assert {r.doc_id: [h.item_id for h in r.hits] for r in dc.contaminated(docs, items).collect()} == want
