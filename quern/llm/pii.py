@@ -1,8 +1,10 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby context words move the score.
 
 A span's score starts from its kind's prior, rises by ``CONFIRMED`` where a checksum holds (Luhn for cards, mod-97 for
-IBANs) and by ``CONTEXT`` where a context word of its kind stands within ``NEAR`` characters before it. The four base
-kinds are exact by their definition and always stay; the further kinds stay from ``ACCEPT`` on.
+IBANs) or a secret's own marks do (a known prefix, or letters and digits as mixed as drawn ones), and by ``CONTEXT``
+where a context word of its kind stands within ``NEAR`` characters before it. The four base kinds are exact by their
+definition and always stay; the further kinds stay from ``ACCEPT`` on. They overlap neither base spans nor each other: of
+those that would, the one with the better score stays, then the first, then the longest.
 
 Cases: null text counts as empty and gives no spans; repeated rows give repeated results; every pattern runs in time
 linear in the text, whatever it holds, so very long texts are safe; an empty table gives an empty result. Only the key
@@ -11,9 +13,10 @@ and the text are read, so further columns, of whatever name, do not matter.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import map_arrow, table, texts_of
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn", "phone_local")
-PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.4, "phone": 0.7, "iban": 0.3, "ssn": 0.35, "phone_local": 0.35}
+KINDS = (*BASE, "iban", "ssn", "phone_local", "secret")
+PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.4, "phone": 0.7, "iban": 0.3, "ssn": 0.35, "phone_local": 0.35, "secret": 0.05}
 CONFIRMED, CONTEXT, ACCEPT, NEAR = 0.5, 0.3, 0.6, 40
+#: What a known prefix of a secret counts for, as a share of ``CONFIRMED``: it needs no context word.
+KNOWN = 1.2
 CONTEXT_WORDS = {
     "email": ("email", "e-mail", "mail", "contact"),
     "ip": ("ip", "address", "host", "server"),
@@ -32,6 +37,7 @@ CONTEXT_WORDS = {
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social security"),
     "phone_local": ("phone", "tel", "call", "mobile", "fax"),
+    "secret": ("token", "secret", "password", "passwd", "api_key", "api key", "apikey", "private key", "bearer", "credential"),
 }
 #: Lengths of IBANs by country, all those of the public registry.
 IBAN_LENGTH = {
@@ -55,6 +61,9 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 PHONE_LOCAL = re.compile(r"(?<![0-9+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
+#: Long runs of key characters; and what keys of well-known services begin with.
+SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}+={0,2}")
+PREFIX = re.compile(r"AKIA[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{36}$|xox[abprs]-[A-Za-z0-9-]{10,}$|sk-[A-Za-z0-9_-]{20,}$|eyJ[A-Za-z0-9_-]{10,}$")
 SCHEMA = "spans array<struct<kind: string, start: bigint, end: bigint, score: double>>"
 
 
@@ -118,21 +127,56 @@ def further(text: str):
             yield kind, *m.span(), False
 
 
+def drawn(run: str) -> bool:
+    """Whether a run looks drawn at random: letters and digits that change often, and no character in too many places."""
+    digits = sum(c.isdigit() for c in run)
+    letters = sum(c.isalpha() for c in run)
+    if digits < 3 or letters < 3 or len(set(run)) < 8:
+        return False
+    changes = sum(a.isdigit() != b.isdigit() for a, b in zip(run, run[1:], strict=False))
+    return changes * 8 >= len(run) and max(map(run.count, set(run))) * 3 <= len(run)
+
+
+def secrets(text: str):
+    for m in SECRET.finditer(text):
+        run = m.group()
+        yield "secret", *m.span(), KNOWN if PREFIX.match(run) else drawn(run[:256])
+
+
 def spans(text: str) -> list[tuple[str, int, int, float]]:
     """All spans of a text as (kind, start, end, score), by start, then kind in the order of KINDS."""
 
-    def score(kind: str, start: int, confirmed: bool) -> float:
+    def score(kind: str, start: int, confirmed: float) -> float:
         before = text[max(0, start - NEAR) : start].lower()
         return min(1.0, PRIOR[kind] + CONFIRMED * confirmed + CONTEXT * any(w in before for w in CONTEXT_WORDS[kind]))
 
     found = [(k, s, e, score(k, s, k == "card")) for k, f in zip(BASE, (emails, ips, cards, phones), strict=True) for s, e in f(text)]
-    taken = [(s, e) for _, s, e, _ in found]
-    for kind, s, e, confirmed in further(text):
-        if (got := score(kind, s, confirmed)) >= ACCEPT and not any(s < y and x < e for x, y in taken):
-            found.append((kind, s, e, got))
+    more = [(k, s, e, score(k, s, ok)) for k, s, e, ok in (*further(text), *secrets(text))]
+    taken = merged((s, e) for _, s, e, _ in found)
+    for x in sorted((x for x in more if x[3] >= ACCEPT), key=lambda x: (-x[3], x[1], -x[2], KINDS.index(x[0]))):
+        if free(taken, x[1], x[2]):
+            bisect.insort(taken, x[1:3])
+            found.append(x)
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def merged(found: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans without overlaps that cover what these cover."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(found):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def free(taken: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether none of the sorted spans, which do not overlap each other, overlaps this one."""
+    at = bisect.bisect_left(taken, (start, end))
+    return not (at and taken[at - 1][1] > start) and not (at < len(taken) and taken[at][0] < end)
+
+
 def joined(found: list[tuple[str, int, int, float]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e, _ in found)
 
@@ -187,12 +231,12 @@ def redacted(df: DataFrame) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of the spans of every document."""
+    """Digest of the spans of every document, and their number."""
 
     def digest(text: str):
         found = spans(text)
         base = [x for x in found if x[0] in BASE]
         counts = [sum(x[0] == k for x in base) for k in BASE]
-        return (*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(found))
+        return (*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(found), len(found))
 
-    return _mapped(table(spark, sf_dir, "documents"), ["doc_id"], digest, "n_email bigint; n_ip bigint; n_card bigint; n_phone bigint; base_sha256 string; spans string")
+    return _mapped(table(spark, sf_dir, "documents"), ["doc_id"], digest, "n_email bigint; n_ip bigint; n_card bigint; n_phone bigint; base_sha256 string; spans string; n_spans bigint")
