@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 from .common import bytes_of
-from .hashing import APART, P, U, mix, word_hashes, words_of
+from .hashing import APART, P, U, mix, slices, word_hashes, words_of
 
 RUN = re.compile(r"\s\s")
 #: White space besides blanks and line feeds.
@@ -31,6 +31,10 @@ def plain(text: str) -> bool:
     return not rare or not RUN.search(text)
 
 
+#: Bytes of letters in ASCII and of the two Latin blocks after it (U+00C0 to U+017F); of these, two characters are signs.
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = True
+SIGNS = (0x97, 0xB7)
 MARKS = frozenset(".,;:!?)")
 MARK = np.isin(np.arange(256), [ord(c) for c in MARKS])
 LEAD = {0: "", 255: "", **{x: chr(x) for x in (*range(9, 14), 32)}}
@@ -52,22 +56,44 @@ class Pieces:
 
     def __init__(self, texts: list[str]):
         self.data, offsets = bytes_of(pa.array(texts, pa.string()))
-        data = self.data
+        found, bounds, n = [], [np.zeros(1, np.int64)], 0
+        for a, b in slices(offsets):
+            *own, ends = self._cut(self.data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            own[1], own[2] = own[1] + offsets[a], own[2] + offsets[a]
+            found.append(own)
+            bounds.append(ends[1:] + n)
+            n += ends[-1]
+        keys, start, end, apart = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(3)))
+        sample, self.place = distinct(keys)
+        self.keys, self.start, self.end, self.apart = keys[sample], start[sample], end[sample], apart[sample]
+        self.bounds, self.raw = np.concatenate(bounds), self.data.tobytes()
+
+    @staticmethod
+    def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, starts, ends and what stands before of all pieces, and for each text the number of pieces before it."""
         start, end, before = words_of(data, offsets)
-        first = np.zeros(len(start), bool)
+        first = np.zeros(len(start) + 1, bool)
         first[before[:-1]] = True
-        apart = np.where(first, 0, data[start - 1]).astype(np.int64)
+        apart = np.where(first[:-1], 0, data[start - 1]).astype(np.int64)
         marked = MARK[data[end - 1]] & (end - start > 1) & ~APART[data[end - 2]] & (data[end - 2] < 128)
         at = np.flatnonzero(marked) + 1
-        self.start, self.end = np.insert(start, at, end[marked] - 1), np.insert(end - marked, at, end[marked])
-        self.apart = np.insert(apart, at, 255)
-        keys = mix(word_hashes(data, self.start, self.end) ^ ((self.apart + 1).astype(U) * U(P)))
-        sample, self.place = distinct(keys)
-        self.keys, self.start, self.end, self.apart = keys[sample], self.start[sample], self.end[sample], self.apart[sample]
-        self.bounds = before + np.append(0, np.cumsum(marked))[before]
+        start, end = np.insert(start, at, end[marked] - 1), np.insert(end - marked, at, end[marked])
+        apart = np.insert(apart, at, 255)
+        keys = mix(word_hashes(data, start, end) ^ ((apart + 1).astype(U) * U(P)))
+        return keys, start, end, apart, before + np.append(0, np.cumsum(marked))[before]
+
+    def letters(self, numbers: np.ndarray) -> np.ndarray:
+        """Which of these pieces are Latin letters throughout."""
+        data = self.data
+        other = np.zeros(len(data) + 1, np.int32)
+        odd = ~LETTER[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        odd[lead[np.isin(data[lead + 1], SIGNS)]] = True
+        np.cumsum(odd, out=other[1:])
+        return other[self.end[numbers]] == other[self.start[numbers]]
 
     def texts(self, numbers: np.ndarray | list[int]) -> list[str]:
-        raw = self.data.tobytes()
+        raw = self.raw
         return [LEAD[p] + raw[s:e].decode() for p, s, e in zip(self.apart[numbers].tolist(), self.start[numbers].tolist(), self.end[numbers].tolist(), strict=True)]
 
 

@@ -1,8 +1,9 @@
 """Token ids in files: one long id array for each run of documents, its boundaries in Elias-Fano code.
 
-Documents are dealt by ranges of doc_id and sorted, so each range is a run of documents in ascending order. A file holds
-consecutive documents of a range, up to ``SHARD_IDS`` ids, and is one row of a Parquet table in the shared folder, so
-Spark commits files as a whole and a lost executor leaves none behind. Its fields:
+Documents are encoded where they are read, so only ids cross the network. They are dealt by ranges of doc_id and sorted,
+so each range is a run of documents in ascending order. A file holds consecutive documents of a range, up to
+``SHARD_IDS`` ids, and is one row of a Parquet table in the shared folder, so Spark commits files as a whole and a lost
+executor leaves none behind. Its fields:
 
     shard, part                 the range and the file's place in it
     n_docs, n_ids, n_null       counts; a file's place in the whole follows from n_ids of the files before it
@@ -14,8 +15,9 @@ Spark commits files as a whole and a lost executor leaves none behind. Its field
     ids, width                  ``width`` bytes each: 2 where all ids fit, else 4
 
 Boundaries take l + 2 bits each, with no table of 64-bit offsets; ``select_end(k)`` starts at a sample and reads a few
-bytes. A task has a bounded cache of encoded pre-tokens. Ranges are drawn by sampled quantiles of (doc_id, hash of the
-text), so that neither a far doc_id nor many rows of one doc_id, or of none, fill a single task.
+bytes. A task has a bounded cache of encoded pre-tokens. Ranges, ``RANGES`` at most, lie between quantiles of a sample
+of ``SAMPLED`` doc_ids for each; where one doc_id, or its lack, fills several, they part by a hash of the text. So
+neither a far doc_id nor many rows of one doc_id, or of none, fill a single task, and what the driver holds is bounded.
 
 Cases: null or empty text has the end id only; null doc_ids come first; ties (repeated doc_ids) are in the order of
 a hash of their texts; the library's added tokens are found in texts as it finds them; an empty table gives no file.
@@ -24,8 +26,8 @@ Only doc_id and text are read.
 
 from __future__ import annotations
 
+import bisect
 import gc
-import math
 import os
 import zlib
 from collections.abc import Iterator
@@ -33,7 +35,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,9 +43,8 @@ from .pretokens import Pieces, cutter, plain
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-SHARD_BYTES, SHARD_IDS, SELECT, CACHE = 8 << 20, 2 << 20, 64, 1_000_000
-#: Documents that are encoded together: up to so many, and not more once they have so many characters.
-TOGETHER, TOGETHER_CHARS = 1000, 8_000_000
+SHARD_DOCS, SHARD_IDS, SELECT, CACHE = 1024, 2 << 20, 64, 1_000_000
+RANGES, SAMPLED = 16_384, 32
 #: Up to so many files (1 MB of places), a broadcast brings them their starts; beyond it, a shuffle.
 BROADCAST_FILES = 40_000
 SCHEMA = "shard int, part int, n_docs bigint, n_ids bigint, n_null bigint, low_bits int, low binary, high binary, select_ binary, doc_ids binary, ids binary, width int"
@@ -75,45 +75,36 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, self.kind) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _rows(self, keys: list[int], words: list[str], joint: str, lead: bytes = b"") -> None:
+    def _rows(self, keys: list[int], words: list[bytes], joint: bytes, lead: bytes = b"") -> None:
         """Words of letters, encoded in rows: with blanks before them they part by themselves, others by line feeds."""
         size = np.dtype(self.kind).itemsize
         rows = [words[at : at + 200] for at in range(0, len(words), 200)]
-        at = iter(keys)
-        for some, ids in zip(rows, self._library([joint.join(x) for x in rows]), strict=True):
+        at = 0
+        for some, ids in zip(rows, self._library([joint.join(x).decode() for x in rows]), strict=True):
             cuts = (np.flatnonzero(ids == self.line) if joint else np.flatnonzero(self.blank[ids])) * size
             starts = [0, *(cuts + size).tolist()] if joint else cuts.tolist()
             ends = [*(cuts.tolist() if joint else starts[1:]), len(ids) * size]
             if len(starts) != len(some):
                 raise ValueError("the tokenizer does not cut where the pattern does")
             data = ids.tobytes()
-            for a, b in zip(starts, ends, strict=True):
-                self.known[next(at)] = lead + data[a:b]
-
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        blank: tuple[list, list] = ([], [])
-        bare: tuple[list, list] = ([], [])
-        fed: tuple[list, list] = ([], [])
-        rest: tuple[list, list] = ([], [])
-        for k, x in zip(keys, pieces, strict=True):
-            tail = x[1:]
-            if x[0] == " " and tail.isalpha():
-                to = blank
-            elif x.isalpha():
-                to = bare
-            elif x[0] == "\n" and tail.isalpha():
-                to, x = fed, tail
-            else:
-                to, x = rest, self.cut(x)
-            to[0].append(k)
-            to[1].append(x)
-        self._rows(*blank, "")
-        self._rows(*bare, "\n")
-        self._rows(*fed, "\n", np.array([self.line], self.kind).tobytes())
-        words = list({w for parts in rest[1] for w in parts})
+            made = [data[a:b] for a, b in zip(starts, ends, strict=True)]
+            self.known.update(zip(keys[at : at + len(some)], [lead + x for x in made] if lead else made, strict=True))
+            at += len(some)
+
+    def _learn(self, names: list[int], cut: Pieces, fresh: np.ndarray) -> None:
+        letters, apart, raw = cut.letters(fresh), cut.apart[fresh], cut.raw
+        feed = np.array([self.line], self.kind).tobytes()
+        left = np.ones(len(fresh), bool)
+        for chosen, back, joint, lead in ((letters & (apart == 32), 1, b"", b""), (letters & np.isin(apart, (0, 255)), 0, b"\n", b""), (letters & (apart == 10), 0, b"\n", feed)):
+            own = fresh[chosen]
+            left &= ~chosen
+            self._rows([names[k] for k in own.tolist()], [raw[s:e] for s, e in zip((cut.start[own] - back).tolist(), cut.end[own].tolist(), strict=True)], joint, lead)
+        rest = fresh[left].tolist()
+        parts = list(map(self.cut, cut.texts(rest)))
+        words = list({w for p in parts for w in p})
         ids = dict(zip(words, (x.tobytes() for x in self._library(words)), strict=True))
-        for k, parts in zip(*rest, strict=True):
-            self.known[k] = b"".join(map(ids.__getitem__, parts))
+        for k, p in zip(rest, parts, strict=True):
+            self.known[names[k]] = b"".join(map(ids.__getitem__, p))
 
     def _cut(self, texts: list[str]) -> list[bytes]:
         cut = Pieces(texts)
@@ -121,7 +112,7 @@ class Encoder:
         found = list(map(self.known.get, names))
         fresh = [k for k, x in enumerate(found) if x is None]
         if fresh:
-            self._learn([names[k] for k in fresh], cut.texts(fresh))
+            self._learn(names, cut, np.array(fresh))
             for k in fresh:
                 found[k] = self.known[names[k]]
         size = np.dtype(self.kind).itemsize
@@ -201,21 +192,26 @@ def _file(shard: int, part: int, width: int, doc_ids: list[int | None], ids: lis
     return shard, part, len(ids), len(flat), len(ids) - len(known), ends.l, ends.low, ends.high, ends.samples.tobytes(), np.array(known, np.int64).tobytes(), flat.astype(f"<u{width}").tobytes(), width
 
 
-def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
-    """doc_ids and texts, as many as are encoded together."""
-    doc_ids: list[int | None] = []
-    texts: list[str] = []
-    size = 0
-    for b in batches:
-        for d, t in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
-            doc_ids.append(d)
-            texts.append(t)
-            size += len(t)
-            if len(texts) >= TOGETHER or size >= TOGETHER_CHARS:
-                yield doc_ids, texts
-                doc_ids, texts, size = [], [], 0
-    if texts:
-        yield doc_ids, texts
+#: Before all doc_ids; and before all hashes.
+NONE, FIRST = (False, 0), -(1 << 63)
+
+
+def ranges_of(docs: DataFrame, n: int) -> list[tuple]:
+    """Where ranges of (doc_id, tie) end, as ((has one, doc_id), tie) in ascending order: quantiles of a sample."""
+    ranges = min(RANGES, -(-n // SHARD_DOCS))
+    if ranges < 2:
+        return []
+    some = docs.sample(min(1.0, SAMPLED * ranges / n), seed=1)
+
+    def quantiles(keys: list[tuple]) -> list[tuple]:
+        keys.sort()
+        return [keys[k * len(keys) // ranges] for k in range(1, ranges)] if keys else []
+
+    key = lambda d: NONE if d is None else (True, d)
+    found = quantiles([(key(r.doc_id), FIRST) for r in some.select("doc_id").collect()])
+    if len(set(found)) < len(found):  # one doc_id fills several ranges
+        found = quantiles([(key(r.doc_id), r.tie) for r in some.select("doc_id", "tie").collect()])
+    return sorted(set(found))
 
 
 def write_files(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, end_id: int = END_ID, into: str | None = None) -> DataFrame:
@@ -224,37 +220,44 @@ def write_files(docs: DataFrame, path: str | None = None, pattern: str = public_
     Without ``into`` the files lie in the shared folder and go when the application ends.
     """
     spark, path = prepare(docs.sparkSession), path or public_tokenizers.path(TOKENIZER)
-    total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, math.ceil(total / SHARD_BYTES))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
+    bounds = ranges_of(docs, docs.count())
 
-    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # nothing here makes cycles, and the collector walks all the lists
         if path not in _loaded:
             _loaded[path] = Encoder(path, pattern)
-        encode, shard, part, size = _loaded[path], TaskContext.get().partitionId(), 0, 0
-        end, width = np.array([end_id], encode.kind).tobytes(), np.dtype(encode.kind).itemsize
+        end = np.array([end_id], _loaded[path].kind).tobytes()
+        width = np.int8(_loaded[path].kind(0).itemsize)
+        for b in batches:
+            keys = zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)
+            shard = [bisect.bisect_right(bounds, (NONE if d is None else (True, d), t)) for d, t in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b.column(0), b.column(2), pa.array([x + end for x in _loaded[path](texts_of(b.column(1)))], pa.binary()), pa.array(np.full(b.num_rows, width))], names=["shard", "doc_id", "tie", "ids", "width"])
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, part, size, width = None, 0, 0, 0
         doc_ids: list[int | None] = []
         ids: list[bytes] = []
 
         def done():
             return pa.RecordBatch.from_pylist([dict(zip(names, _file(shard, part, width, doc_ids, ids), strict=True))], schema=kinds)
 
-        for some, texts in _together(batches):
-            for d, x in zip(some, encode(texts), strict=True):
-                if ids and size >= SHARD_IDS:
+        for b in batches:
+            for s, d, x, w in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if ids and (s != shard or size >= SHARD_IDS):
                     yield done()
-                    part, size, doc_ids, ids = part + 1, 0, [], []
+                    part, size, doc_ids, ids = part + 1 if s == shard else 0, 0, [], []
+                shard, width = s, w
                 doc_ids.append(d)
-                ids.append(x + end)
-                size += len(x) // width + 1
+                ids.append(x)
+                size += len(x) // w
         if ids:
             yield done()
 
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = pa.schema([(x.split()[0], {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in SCHEMA.split(", ")])
-    order = (F.col("doc_id").asc_nulls_first(), F.col("tie").asc())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    rows = docs.mapInArrow(encode, "shard int, doc_id bigint, tie bigint, ids binary, width byte")
+    dealt = rows.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "tie", "ids").drop("tie")
     made = dealt.mapInArrow(files, SCHEMA)
     if into is None:
         return written(made, "token-files")
@@ -262,14 +265,14 @@ def write_files(docs: DataFrame, path: str | None = None, pattern: str = public_
     return spark.read.schema(made.schema).parquet(into)
 
 
-def places(files: DataFrame, group: int = 4096) -> DataFrame:
-    """(shard, part, start): the ids of all files before each. Sums of groups of shards come first, so that no window
-    holds more than the groups, or the files of one."""
-    sizes = files.select("shard", "part", "n_ids", F.floor(F.col("shard") / group).alias("g"))
+def places(files: DataFrame) -> DataFrame:
+    """(shard, part, start): the ids of all files before each. Shards, of which there are ``RANGES`` at most, are summed
+    up first, so that no window holds more than those, or the files of one."""
+    sizes = files.select("shard", "part", "n_ids")
     sofar = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    groups = sizes.groupBy("g").agg(F.sum("n_ids").alias("whole")).withColumn("before", F.sum("whole").over(sofar(Window.orderBy("g")))).drop("whole")
-    own = sizes.withColumn("own", F.sum("n_ids").over(sofar(Window.partitionBy("g").orderBy("shard", "part"))))
-    return own.join(F.broadcast(groups), "g").select("shard", "part", (F.coalesce("before", F.lit(0)) + F.coalesce("own", F.lit(0))).alias("start"))
+    shards = sizes.groupBy("shard").agg(F.sum("n_ids").alias("whole")).select("shard", F.sum("whole").over(sofar(Window.orderBy("shard"))).alias("before"))
+    own = sizes.withColumn("own", F.sum("n_ids").over(sofar(Window.partitionBy("shard").orderBy("part"))))
+    return own.join(F.broadcast(shards), "shard").select("shard", "part", (F.coalesce("before", F.lit(0)) + F.coalesce("own", F.lit(0))).alias("start"))
 
 
 def read_files(files: DataFrame) -> DataFrame:

@@ -22,13 +22,12 @@ def test_select(lengths):
 
 
 def test_query_equals_the_library(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(tf, "SHARD_BYTES", 6000)
-    monkeypatch.setattr(tf, "TOGETHER", 30)
+    monkeypatch.setattr(tf, "SHARD_DOCS", 40)
     monkeypatch.setattr(tf, "SHARD_IDS", 500)
     rng = random.Random(4)
     alphabet = list("  \n\t 'sab1²é汉😀.,-") + ["the", " of", "<|endoftext|>"]
     rows = [(rng.randrange(1000), "".join(rng.choices(alphabet, k=rng.randint(0, 60)))) for _ in range(300)]
-    rows += [(None, "null id"), (2000, None), (2001, ""), (-5, "word " * 9000), (7, "tie"), (7, "tie"), (7, "other")]
+    rows += [(None, "null id"), (2000, None), (2001, ""), (-5, "word " * 9000), (3000, " ".join(f"w{chr(97 + k % 26)}{chr(192 + k % 90)}{chr(97 + k // 26 % 26)}" + ".,\n"[k % 3] for k in range(2000))), (7, "tie"), (7, "tie"), (7, "other")]
     spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, shard string, ids int").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = [tuple(r) for r in tf.op8_token_files(spark, str(tmp_path)).collect()]
     library = Tokenizer.from_file(public_tokenizers.path(tf.TOKENIZER))
@@ -44,7 +43,7 @@ def test_query_equals_the_library(spark, tmp_path, monkeypatch):
 
 
 def test_many_rows_without_id_are_several_files(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(tf, "SHARD_BYTES", 500)
+    monkeypatch.setattr(tf, "SHARD_DOCS", 20)
     rows = [(None if k % 4 else 10**15 * (k == 0) + k, f"word {k}") for k in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     files = tf.write_files(docs, into=f"{tmp_path}/files")
