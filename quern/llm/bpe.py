@@ -34,6 +34,8 @@ RANKS = "byte_bpe_50k.tiktoken"
 BLOCK_BYTES, BUCKET_BYTES = 10 << 20, 48 << 20
 #: A pattern that takes a pre-token as it is.
 WHOLE = r"(?s:.+)"
+#: Pieces of text that are put together at once: numpy holds 8 bytes for each of their ids.
+TOGETHER = 1 << 17
 _loaded: dict[tuple[str, str], object] = {}
 
 
@@ -140,6 +142,19 @@ def _gathered(flat: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> tuple[
     return flat[places], total
 
 
+def _runs(texts: list[np.ndarray], size: int) -> Iterator[list[np.ndarray]]:
+    """Consecutive texts of about ``size`` pieces together."""
+    some, held = [], 0
+    for t in texts:
+        some.append(t)
+        held += len(t)
+        if held >= size:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
 def assembled(docs: DataFrame, form: Callable[[list[np.ndarray]], list[pa.Array]], schema: str, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
     """``key`` and what ``form(ids of each text)`` makes of each block: arrays by the columns of ``schema``."""
     spark = prepare(docs.sparkSession)
@@ -189,7 +204,12 @@ def assembled(docs: DataFrame, form: Callable[[list[np.ndarray]], list[pa.Array]
         ends = np.append(0, ends)[np.cumsum([len(p) for p in own.parts], dtype=np.int64)] if own.parts else np.zeros(0, np.int64)
         del by, number, words
         own.parts.clear()
-        return pa.table([keys, *form([_gathered(made, ends, t)[0] for t in own.texts])], names=names)
+        ids: list[np.ndarray] = []
+        for some in _runs(own.texts, TOGETHER):
+            flat_, last = _gathered(made, ends, np.concatenate(some))
+            cuts = np.append(0, last)[np.cumsum([len(t) for t in some])]
+            ids += np.split(flat_, cuts[:-1])
+        return pa.table([keys, *form(ids)], names=names)
 
     names = [key, *(x.split()[0] for x in schema.split(", "))]
     asked = dealt.groupBy("block").applyInArrow(ask, "block int, bucket int, words binary")
@@ -203,7 +223,8 @@ def _lists(ids: list[np.ndarray]) -> pa.Array:
 
 def _decoder(path: str) -> Callable[[np.ndarray], bytes]:
     table_ = token_bytes(path)
-    return lambda ids: b"".join(map(table_.__getitem__, ids.tolist()))
+    of = [table_.get(k, b"") for k in range(max(table_) + 1)].__getitem__
+    return lambda ids: b"".join(map(of, ids.tolist()))
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, key: str = "doc_id") -> DataFrame:
