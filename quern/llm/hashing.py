@@ -78,8 +78,8 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
     return stretches(sums(BYTE[LOWER[data] if lower else data]), start, end)
 
 
-def slices(offsets: np.ndarray, size: int = 1 << 20):
-    """Consecutive texts of about ``size`` bytes together, to bound the memory of what has 8 bytes for each byte: (first, last + 1)."""
+def slices(offsets: np.ndarray, size: int = 1 << 17):
+    """Consecutive texts of about ``size`` bytes together: what has 8 bytes for each of theirs stays in a core's cache. (first, last + 1)."""
     first = 0
     while first < len(offsets) - 1:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1)
