@@ -39,7 +39,7 @@ from .blocks import arrow, bits, cut, deal, flags_of
 from .common import bytes_of, calm, table
 from .hashing import BYTE, P, U, inside_runs, mix, powers, sliding_min, stretches, sums
 
-LENGTH, SEED, SLICE, BATCH = 400, 128, 1 << 16, 3 << 19
+LENGTH, SEED, SLICE, BATCH = 400, 128, 1 << 16, 1 << 17
 PLACE, LONGEST = 24, 1024
 HOT, HOT_HERE = 2048, 32
 #: What a bucket says about an entry: nothing repeats, all of it does, its bytes are needed, or its key is hot.
