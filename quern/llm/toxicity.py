@@ -1,20 +1,24 @@
 """Toxicity by compression distance: windows of a text under a dictionary of toxic and one of ordinary text.
 
-Both zstandard dictionaries are learned from a labelled sample. The ordinary one is trained on windows of ordinary
-documents. The toxic one holds in addition the terms that stand in significantly more toxic than ordinary documents
-(two-proportion z of ``SIGNIFICANT`` and over), so that a window is shorter under it only for what toxic text has of
-its own; a second toxic one holds only those terms that ``SHARE`` of the toxic documents have. A text is cut into
-windows of ``WINDOW`` words; the bytes that each toxic dictionary saves in a window give three features each (the most
-saved, the number and the share of windows that save ``SAVED`` bytes or more), and a logistic curve fitted to the
-sample turns them into a score; 0.5 is its threshold.
+Two zstandard dictionaries are trained on one part of a labelled sample: the ordinary one on windows of ordinary
+documents, the toxic one on windows of toxic documents, without the terms that do not stand in significantly more toxic
+than ordinary documents (two-proportion z below ``SIGNIFICANT``): toxic documents are mostly ordinary text, and fragments
+of that would only blur the comparison. For the same reason the toxic dictionary is used in front of the ordinary one,
+so that a window is shorter under it only for what toxic text has of its own.
+
+A text is cut into windows of ``WINDOW`` words. The bytes that the toxic dictionary saves against the ordinary one give
+three features (the most saved in a window, the number and the share of windows that save ``SAVED`` bytes or more). A
+logistic curve calibrates them on the other part of the sample, which no dictionary has seen; 0.5 is its threshold.
 
 The sample is bounded: at most ``SAMPLE`` labelled documents, drawn by a hash of the id, of at most ``SAMPLE_CHARS``
 characters together. Where their texts have more, none is left out: the longest give windows spread over the whole text
-instead, as many as their equal share of the characters holds. Everything else covers all windows of all whole texts.
+instead, as many as their equal share of the characters holds, cut before they leave their tasks. Everything else
+covers all windows of all whole texts.
 
 Cases: null or empty text has no windows and the score of a text that saves nothing; a label that is null is no label;
 several labels of a document count as toxic if one is; repeated rows give repeated results; without toxic or without
-ordinary labels every score is the smoothed share of toxic labels (0 where there is none).
+ordinary labels every score is the smoothed share of toxic labels (0 where there is none). The output column must have
+a name that the documents lack.
 """
 
 from __future__ import annotations
@@ -31,8 +35,12 @@ from pyspark.sql import functions as F
 
 from .common import prepare, table, texts_of
 
-WINDOW, LONGEST, SAVED, SIGNIFICANT, LEAST, SHARE = 8, 1000, 2, 6.0, 5, 0.08
-SAMPLE, SAMPLE_CHARS, TRAINED, BASE, LEVEL = 6000, 24_000_000, 16_384, 12_000, 9
+WINDOW, LONGEST, SAVED, SIGNIFICANT, LEAST = 8, 1000, 2, 7.0, 5
+SAMPLE, SAMPLE_CHARS, LEVEL = 6000, 24_000_000, 9
+#: Bytes of the dictionaries, and the segments and substrings that their training counts.
+ORDINARY, TOXIC = {"dict_size": 12_000, "k": 48, "d": 8}, {"dict_size": 2048, "k": 32, "d": 8}
+#: Of ten sampled documents, so many calibrate; the others train the dictionaries.
+CALIBRATE = 4
 TERM = re.compile(r"[^\W\d_]+")
 
 
@@ -43,7 +51,7 @@ def windows(text: str) -> list[bytes]:
 
 
 class Model:
-    """Dictionaries, the ordinary one first, and the curve's weights; small, and the same for every text."""
+    """The ordinary dictionary, the toxic one, and the curve's weights; small, and the same for every text."""
 
     def __init__(self, dictionaries: list[bytes], weights: list[float]):
         self.dictionaries, self.weights = dictionaries, weights
@@ -59,16 +67,14 @@ class Model:
         return out
 
     def features(self, texts: list[str]) -> np.ndarray:
-        ordinary, *toxic = self.compressors()
-        out = np.zeros((len(texts), 1 + 3 * len(toxic)))
+        ordinary, toxic = self.compressors()
+        out = np.zeros((len(texts), 4))
         out[:, 0] = 1
         for row, text in zip(out, texts, strict=True):
-            own = windows(text)
-            plain = [len(ordinary(w)) for w in own]
-            for k, compress in enumerate(toxic if own else ()):
-                saved = [n - len(compress(w)) for n, w in zip(plain, own, strict=True)]
+            if own := windows(text):
+                saved = [len(ordinary(w)) - len(toxic(w)) for w in own]
                 hits = sum(s >= SAVED for s in saved)
-                row[1 + 3 * k : 4 + 3 * k] = min(max(max(saved), 0), 12), math.log1p(hits), hits / len(saved)
+                row[1:] = min(max(max(saved), 0), 12), math.log1p(hits), hits / len(saved)
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -89,28 +95,41 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
     return w.tolist()
 
 
-def fit(sample: list[tuple[str, int]]) -> Model:
-    """The model of (text, toxic) rows."""
+def dictionary(own: list[bytes], kind: dict[str, int]) -> bytes:
+    """A dictionary trained on windows; of too few to choose from, their last bytes."""
     import zstandard as z
 
-    toxic, ordinary = ([t for t, y in sample if y == k] for k in (1, 0))
-    if not toxic or not ordinary:
-        return Model([], [(len(toxic) + 0.0) / (len(sample) + 1)])
+    try:
+        return z.train_dictionary(kind["dict_size"], own, k=kind["k"], d=kind["d"], level=LEVEL).as_bytes()
+    except z.ZstdError:
+        return b"".join(own)[-kind["dict_size"] :]
+
+
+def telling(toxic: list[str], ordinary: list[str]) -> set[str]:
+    """Terms that stand in significantly more toxic than ordinary texts."""
     had = [Counter(w for t in texts for w in set(TERM.findall(t.lower()))) for texts in (toxic, ordinary)]
-    terms = []
+    n, m, out = len(toxic), len(ordinary), set()
     for w, a in had[0].items():
-        b, n, m = had[1][w], len(toxic), len(ordinary)
-        p = (a + b) / (n + m)
-        if a >= LEAST and p < 1 and (score := (a / n - b / m) / math.sqrt(p * (1 - p) * (1 / n + 1 / m))) >= SIGNIFICANT:
-            terms.append((score, w, a / n))
-    own = [w for t in ordinary for w in windows(t)]
-    try:
-        base = z.train_dictionary(TRAINED, own).as_bytes()[-BASE:]
-    except z.ZstdError:  # too little text to choose from
-        base = b"".join(own)[-BASE:]
-    of = lambda least: b"".join(f" {w} ".encode() for _, w, share in sorted(terms) if share >= least) + base
-    model = Model([base, of(0), of(SHARE)], [])
-    model.weights = fit_curve(model.features([t for t, _ in sample]), np.array([y for _, y in sample], float))
+        p = (a + had[1][w]) / (n + m)
+        if a >= LEAST and p < 1 and (a / n - had[1][w] / m) / math.sqrt(p * (1 - p) * (1 / n + 1 / m)) >= SIGNIFICANT:
+            out.add(w)
+    return out
+
+
+def fit(sample: list[tuple[str, int]]) -> Model:
+    """The model of (text, toxic) rows in an order that says nothing about them."""
+    toxic, ordinary = ([k for k, (_, y) in enumerate(sample) if y == x] for x in (1, 0))
+    if not toxic or not ordinary:
+        return Model([], [(len(toxic) + 0.0) / (len(sample) + 1)])
+    # both parts have both kinds, unless there is a single row of one
+    part = lambda rows, keep: [rows[k] for k in range(len(rows)) if keep(k % 10 >= CALIBRATE)] or rows
+    texts = lambda rows: [sample[k][0] for k in part(rows, bool)]
+    kept = telling(texts(toxic), texts(ordinary))
+    own = [" ".join(w for w in TERM.findall(t.lower()) if w in kept) for t in texts(toxic)]
+    base = dictionary([w for t in texts(ordinary) for w in windows(t)], ORDINARY)
+    model = Model([base, dictionary([w for t in own for w in windows(t)], TOXIC) + base], [])
+    rows = [sample[k] for rows in (toxic, ordinary) for k in part(rows, lambda train: not train)]
+    model.weights = fit_curve(model.features([t for t, _ in rows]), np.array([y for _, y in rows], float))
     return model
 
 
@@ -148,9 +167,13 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     rows = docs.join(F.broadcast(drawn), "doc_id").select(F.xxhash64("doc_id").alias("h"), F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    sample = sorted(rows.collect())
-    share = share_of([len(r.text) for r in sample], SAMPLE_CHARS)
-    return fit([(spread(r.text, share), r.toxic) for r in sample])
+    share = share_of([r.n for r in rows.select(F.length("text").alias("n")).collect()], SAMPLE_CHARS)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([spread(t, share) for t in texts_of(b.column(1))], pa.string()), b.column(2)], names=["h", "text", "toxic"])
+
+    return fit([(r.text, r.toxic) for r in sorted(rows.mapInArrow(cut, "h bigint, text string, toxic int").collect())])
 
 
 def scored(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:

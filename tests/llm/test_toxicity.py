@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from quern.llm import toxicity as tx
 
 BAD = ["nasty", "vile", "rotten", "horrid"]
@@ -60,6 +62,46 @@ def test_long_labelled_texts_do_not_end_the_sample(spark, monkeypatch):
     assert sum((s >= 0.5) == y for s, (_, _, y) in zip(scores, data, strict=True)) / len(data) >= 0.95
 
 
+def test_features_are_differences_of_compressed_lengths():
+    """Each window by itself under each dictionary, by the library's plain interface."""
+    import math
+
+    import zstandard as z
+
+    data = rows()
+    model = tx.fit([(t, y) for _, t, y in data])
+    assert len(model.dictionaries) == 2 and model.dictionaries[1].endswith(model.dictionaries[0])
+    assert all(f" {w} ".encode() in model.dictionaries[1] or w.encode() in model.dictionaries[1] for w in BAD)
+
+    def size(window, dictionary):
+        kept = z.ZstdCompressionDict(dictionary, dict_type=z.DICT_TYPE_RAWCONTENT)
+        return len(z.ZstdCompressor(level=tx.LEVEL, dict_data=kept, write_checksum=False, write_content_size=False, write_dict_id=False).compress(window))
+
+    for _, text, _ in data[:40]:
+        saved = []
+        words = text.lower().split()
+        for k in range(0, len(words), tx.WINDOW):
+            whole = f" {' '.join(words[k : k + tx.WINDOW])} "
+            for at in range(0, len(whole), tx.LONGEST):
+                part = whole[at : at + tx.LONGEST].encode()
+                saved.append(size(part, model.dictionaries[0]) - size(part, model.dictionaries[1]))
+        hits = sum(s >= tx.SAVED for s in saved)
+        want = [1, min(max(max(saved), 0), 12), math.log1p(hits), hits / len(saved)]
+        assert np.allclose(model.features([text])[0], want)
+        assert np.isclose(model.scores([text])[0], 1 / (1 + math.exp(-np.clip(np.dot(want, model.weights), -30, 30))))
+
+
+def test_calibrating_rows_train_no_dictionary(monkeypatch):
+    seen = []
+    dictionary = tx.dictionary
+    monkeypatch.setattr(tx, "dictionary", lambda own, kind: seen.append(b" ".join(own).decode()) or dictionary(own, kind))
+    marked = [(f"mark{k}x " * 12 + t, y) for k, (_, t, y) in enumerate(rows())]
+    tx.fit(marked)
+    trained = {k for k in range(len(marked)) if f"mark{k}x" in seen[0]}  # of ordinary texts
+    ordinary = [k for k, (_, y) in enumerate(marked) if not y]
+    assert 0.5 < len(trained) / len(ordinary) < 0.7 and trained <= set(ordinary)
+
+
 def test_windows_spread_over_a_text():
     text = " ".join(f"w{k}" for k in range(10_000))
     got = tx.spread(text, 5_000)
