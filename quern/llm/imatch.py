@@ -1,18 +1,22 @@
 """I-Match fingerprints from DataFrame functions only.
 
 The lexicon keeps the terms whose share of documents lies in a band of inverse document frequency, counted over all
-documents; terms are 32-bit hashes. As every document has its distinct terms once, no more than (mean distinct terms)
-/ ``LEAST_SHARE`` terms can be in the band, however large the corpus, which bounds the broadcast lexicon.
+documents; terms are 64-bit hashes. As every document has its distinct terms once, no more than (mean distinct terms)
+/ ``LEAST_SHARE`` terms can be in the band, however large the corpus. Up to ``BROADCAST_TERMS`` of them, the lexicon is
+broadcast; beyond, it is joined by a shuffle.
 
 A document's distinct terms in the lexicon are sorted and hashed under randomised lexicon subsets: each of ``SEEDS``
 seeds draws nested subsets, the one of level l holding a 2**-l share of the lexicon. A document uses the level at which
-about one of its terms is left, and the next one, so that documents of like size meet at a level and an edit changes
-only the subsets that it touches. The fingerprint is the level and the hashes; likeness is the share of equal hashes
-among the subsets in which either document has a term. Texts without lexicon terms stand for themselves.
-
-The next document in ascending doc_id order is found by a window within id ranges of about ``RANGE`` documents, and
-by the first document of the next range. Cases: null or empty text has no terms; null doc_ids come first; rows of one
-doc_id are ordered by text; the only document's next is itself; an empty table gives an empty result.
+two to four of its terms are left and the next two, so that documents of like size meet at a level, the larger subsets
+tell documents apart, and the smaller ones stand an edit that leaves their terms alone. The fingerprint is the level and
+the hashes; likeness is the share of equal hashes among the subsets in which either document has a term. Texts without
+lexicon terms stand for themselves.
+
+The next document in ascending doc_id order is found by a window within ranges of about ``RANGE`` documents, and by the
+first document of the next range. Ranges lie between quantiles of doc_id, so a far doc_id changes none; a doc_id that
+fills several ranges, or rows without one, are parted by a hash of the text. Cases: null or empty text has no terms; null
+doc_ids come first; rows of one doc_id are ordered by that hash, then by text; the only document's next is itself; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,9 +26,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
-SEEDS, RANGE, TOP = 16, 512, 14
+SEEDS, LEVELS, RANGE, RANGES, TOP = 16, 3, 512, 65_536, 14
+BROADCAST_TERMS = 500_000
 LEAST_SHARE, MOST_SHARE, LEAST_DOCS = 0.0005, 0.05, 2
 SEPARATORS = r"[\s.,;:!?()\"]+"
 
@@ -36,9 +41,9 @@ def terms_of(text: Column) -> Column:
 
 def lexicon(docs: DataFrame, n: int) -> DataFrame:
     """(term, draws, deepest): hashes of the terms in the band; ``draws`` has for each seed, in 4 bits, the deepest level that draws the term."""
-    counts = docs.select(F.explode(terms_of(F.col("text"))).alias("t")).groupBy(F.hash("t").alias("term")).count()
+    counts = docs.select(F.explode(terms_of(F.col("text"))).alias("t")).groupBy(F.xxhash64("t").alias("term")).count()
     low, high = max(LEAST_DOCS, math.ceil(LEAST_SHARE * n)), max(LEAST_DOCS, math.floor(MOST_SHARE * n))
-    kept = counts.where(F.col("count").between(low, high) & (F.col("term") != F.hash(F.lit(""))))
+    kept = counts.where(F.col("count").between(low, high) & (F.col("term") != F.xxhash64(F.lit(""))))
     depth = lambda s: f"least({TOP + 1}, bit_count((xxhash64(term, {s}) & -xxhash64(term, {s})) - 1))"
     draws = F.expr(" | ".join(f"shiftleft(cast({depth(s)} as bigint), {4 * s})" for s in range(SEEDS)))
     deepest = F.expr(f"greatest({', '.join(map(depth, range(SEEDS)))})")
@@ -51,20 +56,22 @@ def _let(value: Column, f) -> Column:
 
 
 def fingerprint(terms: Column, text_hash: Column) -> Column:
-    """struct(level, a, b): the hashes at the level and at the next; 0 where no term is left.
+    """struct(level, hashes): an array of hashes for the level and for each of the next; 0 where no term is left.
 
-    ``terms`` are (term, draws, deepest); those that no seed draws at the level go first.
+    ``terms`` are (term, draws, deepest); those that no seed draws at a level go first.
     """
     alone = F.array(F.struct(text_hash.alias("term"), F.lit(-1).cast("bigint").alias("draws"), F.lit(TOP + 1).alias("deepest")))
     drawn = lambda s, at: lambda x: F.shiftrightunsigned(x["draws"], 4 * s).bitwiseAND(F.lit(15)) >= at
     hashes = lambda left, at: F.array(*(_let(F.filter(left, drawn(s, at)), _hash) for s in range(SEEDS)))
-    deep = lambda own, at: F.array_sort(F.filter(own, lambda x: x["deepest"] >= at))
+    deep = lambda own, at: F.filter(own, lambda x: x["deepest"] >= at)
 
     def at_level(own: Column, level: Column) -> Column:
-        return F.struct(level.alias("level"), _let(deep(own, level), lambda x: hashes(x, level)).alias("a"), _let(deep(own, level + 1), lambda x: hashes(x, level + 1)).alias("b"))
+        at = lambda k: _let(deep(own, level + k), lambda x: hashes(x, level + k))
+        lists = [at(k) for k in range(LEVELS)]
+        return F.struct(level.alias("level"), F.array(*lists).alias("hashes"))
 
-    level = lambda own: F.least(F.lit(TOP), F.ceil(F.log2(F.size(own).cast("double"))).cast("int"))
-    return _let(F.when(F.size(terms) > 0, terms).otherwise(alone), lambda own: _let(level(own), lambda at: at_level(own, at)))
+    level = lambda own: F.greatest(F.lit(0), F.least(F.lit(TOP - LEVELS + 1), F.ceil(F.log2(F.size(own).cast("double"))).cast("int") - LEVELS + 1))
+    return _let(F.array_sort(F.when(F.size(terms) > 0, terms).otherwise(alone)), lambda own: _let(level(own), lambda at: at_level(own, at)))
 
 
 def _hash(members: Column) -> Column:
@@ -79,15 +86,41 @@ def _share(pairs: Column) -> Column:
 
 def likeness(p: Column, q: Column) -> Column:
     """Share of equal hashes at the levels that both have; 0 where they have none in common."""
-    zipped = lambda x, y: F.zip_with(x, y, lambda a, b: F.struct(a.alias("x"), b.alias("y")))
     gap = p["level"] - q["level"]
-    both = F.concat(zipped(p["a"], q["a"]), zipped(p["b"], q["b"]))
-    return F.when(gap == 0, _share(both)).when(gap == 1, _share(zipped(p["a"], q["b"]))).when(gap == -1, _share(zipped(p["b"], q["a"]))).otherwise(F.lit(0.0))
+    zipped = lambda x, y: F.zip_with(x, y, lambda a, b: F.struct(a.alias("x"), b.alias("y")))
+    # after the gap, the lists of the lower one belong to the levels of the higher one
+    met = lambda x, y, n: F.flatten(F.zip_with(F.slice(x, 1, F.lit(LEVELS) - n), F.slice(y, n + 1, F.lit(LEVELS)), zipped))
+    ahead, behind = met(p["hashes"], q["hashes"], gap), met(q["hashes"], p["hashes"], -gap)
+    return F.when(F.abs(gap) >= LEVELS, F.lit(0.0)).when(gap >= 0, _share(ahead)).otherwise(_share(behind))
 
 
 def told(p: Column) -> Column:
-    one = lambda xs: F.array_join(F.transform(xs, lambda x: F.when(x == 0, F.lit("-")).otherwise(F.lower(F.hex(x)))), ".")
-    return F.concat_ws(":", p["level"].cast("string"), one(p["a"]), one(p["b"]))
+    """The fingerprint as text, 32 bits of each hash."""
+    low = lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
+    one = lambda xs: F.array_join(F.transform(xs, lambda x: F.when(x == 0, F.lit("-")).otherwise(low(x))), ".")
+    return F.concat(p["level"].cast("string"), F.lit(":"), F.array_join(F.transform(p["hashes"], one), ":"))
+
+
+def range_of(docs: DataFrame, n: int, nulls: int) -> Column:
+    """The number of a row's range, ascending with (doc_id, hash of the text), by binary search among the quantiles."""
+    count = min(RANGES, math.ceil(max(n - nulls, 1) / RANGE))
+    at = [k / count for k in range(1, count)]
+    bounds = sorted(int(x) for x in docs.approxQuantile("doc_id", at, 0.2 / count)) if at and n > nulls else []
+    some = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+    own = F.col("doc_id").cast("bigint")
+
+    def below(less) -> Column:
+        """How many bounds are less, or no more, than the row's id."""
+        fits = lambda lo, step: (lo + step <= len(bounds)) & less(F.element_at(some, F.least(lo + step, F.lit(len(bounds)))), own)
+        return F.aggregate(steps, F.lit(0), lambda lo, step: F.when(fits(lo, step), lo + step).otherwise(lo)) if bounds else F.lit(0)
+
+    share = F.xxhash64("text") / F.lit(2.0**64) + 0.5
+    part = lambda width: F.least(width - 1, F.floor(share * width).cast("int"))
+    lo, hi = below(lambda b, x: b < x), below(lambda b, x: b <= x)
+    known = F.when(hi - lo > 1, lo + 1 + part(hi - lo)).otherwise(hi)
+    free = F.lit(min(RANGES, math.ceil(max(nulls, 1) / RANGE)))
+    return F.when(own.isNull(), part(free) - free).otherwise(known).cast("bigint")
 
 
 def _next_range(ranges: DataFrame) -> DataFrame:
@@ -104,12 +137,13 @@ def _next_range(ranges: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n, least, most = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    width = max(1, math.ceil(((most or 0) - (least or 0) + 1) / max(n, 1) * RANGE))
-    words = F.broadcast(lexicon(docs, n).unionByName(docs.sparkSession.range(1).select(F.hash(F.lit("")).alias("term"), F.lit(None).cast("bigint").alias("draws"), F.lit(0).alias("deepest"))))
+    n, known_ids = docs.agg(F.count("*"), F.count("doc_id")).first()
+    words = written(lexicon(docs, n).unionByName(docs.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("term"), F.lit(None).cast("bigint").alias("draws"), F.lit(0).alias("deepest"))), "lexicon")
+    if words.count() <= BROADCAST_TERMS:
+        words = F.broadcast(words)
 
-    ranged = docs.withColumn("range", F.coalesce(F.expr(f"(doc_id - {least or 0}) div {width}"), F.lit(-1).cast("bigint")))
-    order = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "text")
+    ranged = docs.withColumn("range", range_of(docs, n, n - known_ids))
+    order = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
     rows = ranged.select("range", "doc_id", "text", F.row_number().over(order).alias("row"), F.lead("text").over(order).alias("near"))
     following = _next_range(ranged.select("range").distinct())
     edge = lambda frame, value: following.join(frame.where("row = 1").select(F.col("range").alias("next"), F.col(value).alias("far")), "next").drop("next")
@@ -120,13 +154,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     both = whole.select(
         "range",
         "row",
-        F.struct("doc_id", "n_chars", F.sha2("edited", 256).alias("sha"), F.hash("text").alias("h"), F.hash("edited").alias("eh")).alias("own"),
+        F.struct("doc_id", "n_chars", F.sha2("edited", 256).alias("sha"), F.xxhash64("text").alias("h"), F.xxhash64("edited").alias("eh")).alias("own"),
         F.array(F.struct(F.lit(False).alias("e"), terms_of(F.col("text")).alias("ts")), F.struct(F.lit(True).alias("e"), terms_of(F.col("edited")).alias("ts"))).alias("sides"),
     )
     exploded = both.select("range", "row", "own", F.explode("sides").alias("side")).select("range", "row", "own", "side.e", F.explode("side.ts").alias("t"))
-    known = exploded.withColumn("term", F.hash("t")).join(words, "term")
+    # what is the document's own goes with its empty term alone
+    own = F.when((F.col("t") == "") & ~F.col("e"), F.col("own")).alias("own")
+    known = exploded.select("range", "row", "e", own, F.xxhash64("t").alias("term")).join(words, "term")
     pair = lambda e: F.collect_list(F.when((F.col("e") == e) & F.col("draws").isNotNull(), F.struct("term", "draws", "deepest")))
-    grouped = known.groupBy("range", "row").agg(F.first("own").alias("own"), pair(False).alias("ts"), pair(True).alias("es"))
+    grouped = known.groupBy("range", "row").agg(F.first("own", ignorenulls=True).alias("own"), pair(False).alias("ts"), pair(True).alias("es"))
     printed = grouped.select("range", "row", "own", fingerprint(F.col("ts"), F.col("own.h")).alias("p"), fingerprint(F.col("es"), F.col("own.eh")).alias("q"))
     ahead = printed.withColumn("near", F.lead("p").over(Window.partitionBy("range").orderBy("row")))
     out = ahead.join(edge(printed, "p"), "range", "left").withColumn("following", F.coalesce("near", "far"))
