@@ -2,29 +2,35 @@
 
 Digits in a path's segments are generalised at once. From the root on, a node of the tree that has more than
 ``FANOUT`` children turns the rare ones (below ``RARE`` of its rows) into a wildcard; segments beyond ``DEPTH`` are one
-wildcard. Sibling templates whose share of bad labels doesn't differ from their parent's pool by more than ``Z``
-standard errors merge with the pool. A template is rejected when its smoothed share of bad labels,
-(bad + STRENGTH * prior) / (labelled + STRENGTH), reaches ``REJECT``; the prior is the share among all labelled pages.
+wildcard. Sibling templates, in the order of their shares of bad labels, merge into one branch as long as each one's
+share differs from the last one's by no more than ``Z`` standard errors of the difference. A branch is rejected when its
+smoothed share of bad labels, (bad + STRENGTH * prior) / (labelled + STRENGTH), reaches ``REJECT``; the prior is the
+share among all labelled pages.
+
+Labels are (page_id, bad) of the caller. The query takes them from the pages themselves (``page_labels``): a page is bad
+if its host has a word of ``SEEDS`` or its text is full of marks, as ``MARKS`` counts them.
 
 Rows are counted by (host, shape) before anything else, so a host with a third of all pages is a few rows.
 
 Cases: a null url, or one without "://", has an empty host and path and fits no rule; a page without label counts as
 unlabelled; repeated label rows of a page count as one (bad if any is); repeated pages give repeated results; with no
-labels at all nothing is rejected.
+labels at all nothing is rejected; a null page text is no label.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import dropped, table, written
 
 #: (verdict, host, path): the rule fits the host and its subdomains where the path starts with the rule's; the longest wins.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-FANOUT, RARE, DEPTH, Z, STRENGTH, REJECT = 20, 0.02, 4, 1.96, 20.0, 0.5
+FANOUT, RARE, DEPTH, Z, STRENGTH, REJECT = 20, 0.02, 4, 1.96, 4.0, 0.5
+#: Words in hosts of pages that nobody wants, and so many runs of marks as a page's text may not have.
+SEEDS, MARKS, MOST_MARKS = "spam|casino|viagra|porn|phish|malware", "[#$%*]{3}", 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -52,6 +58,7 @@ def templates(counts: DataFrame) -> DataFrame:
     """(host, shape, parent, template) of rows (host, shape, n)."""
     cut = F.split("shape", "/", -1)
     rows = counts.select("host", "shape", "n", cut.alias("parts"), F.lit("").alias("parent"), F.lit("").alias("template"))
+    rows_before = None
     for d in range(DEPTH):
         rows = rows.withColumn("part", F.get("parts", F.lit(d)))
         own = rows.where("part is not null").groupBy("host", "template", "part").agg(F.sum("n").alias("own"))
@@ -62,7 +69,10 @@ def templates(counts: DataFrame) -> DataFrame:
         down = F.col("part").isNotNull()
         # each level reads the one before it twice: cut the plan, which would double with each
         rows = rows.select("host", "shape", "n", "parts", F.when(down, F.col("template")).otherwise(F.col("parent")).alias("parent"), F.when(down, F.concat("template", F.lit("/" if d else ""), step)).otherwise(F.col("template")).alias("template"))
-        rows = written(rows, "templates")
+        last, rows = rows_before, written(rows, "templates")
+        rows_before = rows
+        if last is not None:
+            dropped(last)
     more = F.size("parts") > DEPTH
     return rows.select("host", "shape", F.when(more, F.col("template")).otherwise(F.col("parent")).alias("parent"), F.when(more, F.concat("template", F.lit("/**"))).otherwise(F.col("template")).alias("template"))
 
@@ -78,14 +88,28 @@ def learned(pages: DataFrame, labels: DataFrame) -> DataFrame:
     tree = counts.join(at, ["host", "shape"])
     own = tree.groupBy("host", "parent", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     pool = own.groupBy("host", "parent").agg(F.sum("labelled").alias("pool_labelled"), F.sum("bad").alias("pool_bad"))
-    share, all_share = F.col("bad") / F.greatest("labelled", F.lit(1)), F.col("pool_bad") / F.greatest("pool_labelled", F.lit(1))
-    error = F.sqrt(all_share * (1 - all_share) / F.greatest("labelled", F.lit(1)))
-    like = (F.col("labelled") == 0) | (F.abs(share - all_share) <= Z * error)
-    purity = lambda b, n: (F.col(b) + STRENGTH * prior) / (F.col(n) + STRENGTH)
-    judged = own.join(pool, ["host", "parent"]).select("host", "parent", "template", F.when(like, purity("pool_bad", "pool_labelled")).otherwise(purity("bad", "labelled")).alias("purity"))
+    ratio = lambda b, n: F.col(b) / F.greatest(n, F.lit(1))
+    own = own.join(pool, ["host", "parent"]).withColumn("share", F.when(F.col("labelled") > 0, ratio("bad", "labelled")).otherwise(ratio("pool_bad", "pool_labelled")))
+    order = Window.partitionBy("host", "parent").orderBy("share", "template")
+    last = own.select("host", "parent", "template", "labelled", "bad", "share", *(F.lag(c).over(order).alias(f"last_{c}") for c in ("labelled", "bad", "share")))
+    p = (F.col("bad") + F.col("last_bad")) / F.greatest(F.col("labelled") + F.col("last_labelled"), F.lit(1))
+    error = F.sqrt(p * (1 - p) * (1 / F.greatest("labelled", F.lit(1)) + 1 / F.greatest("last_labelled", F.lit(1))))
+    unlike = (F.col("labelled") > 0) & (F.col("last_labelled") > 0) & (F.col("share") - F.col("last_share") > Z * error)
+    branch = F.sum(F.coalesce(unlike, F.lit(False)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    branches = last.withColumn("branch", branch)
+    whole = branches.groupBy("host", "parent", "branch").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
+    purity = (F.col("b") + STRENGTH * prior) / (F.col("n") + STRENGTH)
+    judged = branches.join(whole, ["host", "parent", "branch"]).select("host", "parent", "template", purity.alias("purity"))
     return at.join(judged, ["host", "parent", "template"]).select("host", "shape", "template", "purity", (F.col("purity") >= REJECT).alias("rejected"))
 
 
+def page_labels(pages: DataFrame) -> DataFrame:
+    """(page_id, bad) from (page_id, url, html)."""
+    marked = F.regexp_count("html", F.lit(MARKS)) > MOST_MARKS
+    bad = F.when(host_of(F.col("url")).rlike(SEEDS), True).otherwise(marked)
+    return pages.select("page_id", bad.alias("bad"))
+
+
 def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) of each page's url."""
     url = F.col("url")
@@ -96,9 +120,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, s
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's verdict; low-quality labels are the bad ones."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
-    return judge(table(spark, sf_dir, "pages"), labels).drop("template", "purity")
+    """Every page's verdict."""
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, page_labels(pages)).drop("template", "purity")
 
 
 def _level(d: int) -> str:
@@ -119,15 +143,22 @@ def _fits(rules: Sequence[tuple[str, str, str]], value: str) -> str:
 ORACLE_SQL = f"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{URL}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '{URL}', 2) AS path FROM pages),
 b AS (SELECT *, regexp_replace(path, '[0-9]+', '#', 'g') AS shape FROM u),
-k AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+k0 AS (SELECT u.page_id, CASE WHEN regexp_matches(u.host, '{SEEDS}') THEN 1 WHEN p.html IS NOT NULL THEN CAST(len(regexp_extract_all(p.html, '{MARKS}')) > {MOST_MARKS} AS INTEGER) END AS bad
+  FROM (SELECT DISTINCT * FROM u) u JOIN (SELECT page_id, max(html) AS html FROM pages GROUP BY page_id) p ON p.page_id = u.page_id),
+k AS (SELECT page_id, max(bad) AS bad FROM k0 WHERE bad IS NOT NULL GROUP BY page_id),
 c AS (SELECT host, shape, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM b LEFT JOIN k USING (page_id) GROUP BY ALL),
 prior AS (SELECT CASE WHEN sum(labelled) > 0 THEN CAST(sum(bad) AS DOUBLE) / sum(labelled) ELSE 0e0 END AS prior FROM c),
 r0 AS (SELECT host, shape, n, string_split(shape, '/') AS parts, '' AS parent, '' AS template FROM c),
 {", ".join(map(_level, range(DEPTH)))},
 t AS (SELECT host, shape, CASE WHEN len(parts) > {DEPTH} THEN template ELSE parent END AS parent, CASE WHEN len(parts) > {DEPTH} THEN template || '/**' ELSE template END AS template FROM r{DEPTH}),
 own AS (SELECT host, parent, template, CAST(sum(labelled) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS b FROM c JOIN t USING (host, shape) GROUP BY ALL),
-pool AS (SELECT host, parent, sum(n) AS pn, sum(b) AS pb, sum(b) / greatest(sum(n), 1e0) AS p FROM own GROUP BY ALL),
-j AS (SELECT host, parent, template, CASE WHEN n = 0 OR abs(b / greatest(n, 1e0) - p) <= {Z}e0 * sqrt(p * (1e0 - p) / greatest(n, 1e0)) THEN (pb + {STRENGTH} * prior) / (pn + {STRENGTH}) ELSE (b + {STRENGTH} * prior) / (n + {STRENGTH}) END AS purity FROM own JOIN pool USING (host, parent), prior),
+pool AS (SELECT host, parent, sum(b) / greatest(sum(n), 1e0) AS p FROM own GROUP BY ALL),
+s AS (SELECT host, parent, template, n, b, CASE WHEN n > 0 THEN b / n ELSE p END AS share FROM own JOIN pool USING (host, parent)),
+l AS (SELECT *, lag(n) OVER o AS ln, lag(b) OVER o AS lb, lag(share) OVER o AS ls FROM s WINDOW o AS (PARTITION BY host, parent ORDER BY share, template)),
+e AS (SELECT *, (b + lb) / greatest(n + ln, 1e0) AS p FROM l),
+g AS (SELECT *, sum(CASE WHEN n > 0 AND ln > 0 AND share - ls > {Z}e0 * sqrt(p * (1e0 - p) * (1e0 / greatest(n, 1e0) + 1e0 / greatest(ln, 1e0))) THEN 1 ELSE 0 END) OVER (PARTITION BY host, parent ORDER BY share, template) AS branch FROM e),
+w AS (SELECT host, parent, branch, sum(n) AS wn, sum(b) AS wb FROM g GROUP BY ALL),
+j AS (SELECT host, parent, template, (wb + {STRENGTH} * prior) / (wn + {STRENGTH}) AS purity FROM g JOIN w USING (host, parent, branch), prior),
 v AS (SELECT host, shape, CASE WHEN purity >= {REJECT}e0 THEN 'block' ELSE 'allow' END AS own FROM t JOIN j USING (host, parent, template))
 SELECT page_id, host, path, {_fits(RULES, "rule")} AS rule, coalesce({_fits(RULES, "verdict")}, own, 'allow') AS verdict FROM b LEFT JOIN v USING (host, shape)
 """
@@ -166,15 +197,30 @@ def brute_force(pages: list[tuple], labels: list[tuple], rules=RULES) -> list[tu
             x[0] += bad.get(i) is not None
             x[1] += bool(bad.get(i))
     prior = total[1] / total[0] if total[0] else 0.0
+    siblings: dict = defaultdict(list)
+    for (host, parent, tpl), (n, b) in own.items():
+        pn, pb = pool[host, parent]
+        siblings[host, parent].append((b / n if n else pb / max(pn, 1), tpl, n, b))
+    purity = {}
+    for (host, parent), row in siblings.items():
+        branches: list[list] = []
+        last = None
+        for x in sorted(row):
+            like = True
+            if last and x[2] and last[2]:
+                p = (x[3] + last[3]) / (x[2] + last[2])
+                like = x[0] - last[0] <= Z * (p * (1 - p) * (1 / x[2] + 1 / last[2])) ** 0.5
+            if last and like:
+                branches[-1].append(x)
+            else:
+                branches.append([x])
+            last = x
+        for one in branches:
+            n, b = (sum(x[k] for x in one) for k in (2, 3))
+            purity.update({(host, parent, x[1]): (b + STRENGTH * prior) / (n + STRENGTH) for x in one})
     out = []
     for k, (i, host, path, _) in enumerate(parsed):
-        (n, b), (pn, pb) = own[host, *at[k]], pool[host, at[k][0]]
-        p = pb / max(pn, 1)
-        if n == 0 or abs(b / max(n, 1) - p) <= Z * (p * (1 - p) / max(n, 1)) ** 0.5:
-            n, b = pn, pb
         fit = max((r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])), key=lambda r: (len(r[1] + r[2]), len(r[1])), default=None)
-        own_verdict = "block" if (b + STRENGTH * prior) / (n + STRENGTH) >= REJECT else "allow"
+        own_verdict = "block" if purity[host, *at[k]] >= REJECT else "allow"
         out.append((i, host, path, fit and fit[1] + fit[2], fit[0] if fit else own_verdict))
     return out
-
-
