@@ -5,6 +5,7 @@ Hot-path Python runs on Arrow batches (``mapInArrow``); a batch holds few rows,
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import re
@@ -45,26 +46,51 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders of tables written within ``scratch``, innermost last.
+_scratch: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it again.
 
-    The table outlives any executor. It goes with ``dropped``, else when the driver's JVM ends.
+    The table outlives any executor. It goes with ``dropped`` or ``scratch``, else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    leaving(spark, path)
+    if _scratch:
+        _scratch[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def leaving(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the driver's JVM ends."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table that ``written`` made, once nothing reads it any more."""
-    spark = df.sparkSession
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/quern-" in path:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _deleted(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` makes inside are deleted at the end: what is still needed then must lie elsewhere."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _deleted(spark, path)
 
 
 def calm(f: Callable) -> Callable:
