@@ -4,7 +4,7 @@ toxicity: documents that the model, fitted to the labels of the documents it see
 near_duplicates: one document of each group of near copies (5-word shingles, likeness 0.8) stays, the smallest doc_id.
 decontamination: documents that hold a test item of the benchmark go.
 personal_data: all documents stay, with personal data in their texts replaced by its kind.
-byte_bpe: token ids by byte-level BPE, told by digests, and the digest of what they decode to.
+byte_bpe: token ids by byte-level BPE, and the digest of the bytes that they decode to.
 
 Rows with null doc_id are never near copies of others. Rows of one doc_id are compared like those of several: of those
 that are near copies of each other, or have no words, the first by text stays.
@@ -12,11 +12,13 @@ that are near copies of each other, or have no words, the first by text stays.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, decontaminate, minhash, pii, toxicity
-from quern.llm.common import prepare, table, written
+from quern.llm.common import dropped, leaving, prepare, scratch, shared_dir, table
 
 #: The stages' own columns, so that columns of documents may have any other name.
 OWN, SET, COMPONENT = "_quern", "_quern_set", "_quern_component"
@@ -54,7 +56,7 @@ def personal_data_redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return bpe.digests(docs)
+    return bpe.encode_checked(docs)
 
 
 STAGES = [
@@ -69,7 +71,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """(doc_id, n_tokens, ids, decoded_sha256) of the documents that stay. Tables between the stages go once they are read;
+    the one that the last stage reads goes with the application."""
+    docs, held = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = f"{shared_dir(spark)}/quern-stage-{name}-{uuid.uuid4().hex}"
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        if held is not None:
+            dropped(held)
+        docs = held = spark.read.schema(made.schema).parquet(path)
+    leaving(spark, path)
     return STAGES[-1][1](spark, docs, sf_dir)
