@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,11 +15,15 @@ REFUSAL = "I don't have enough information in the uploaded documents."
 CITATION = r"\[(S[0-9]+)\]"
 
 
-def contexts(sources: DataFrame) -> DataFrame:
-    """(query_id, n_sources, context) of ranked sources (query_id, rank, document_id, page_number, text)."""
+def contexts(sources: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, n_sources, context[, sources]) of ranked sources (query_id, rank, document_id, page_number, text).
+
+    With columns to ``carry``, ``sources`` has them for each source by rank.
+    """
     block = F.concat(F.lit("[S"), F.col("rank").cast("string"), F.lit("] Document: "), F.col("document_id").cast("string"), F.lit("; Page: "), F.col("page_number").cast("string"), F.lit("\n"), F.col("text"))
-    blocks = F.array_sort(F.collect_list(F.struct("rank", block.alias("block"))))
-    return sources.groupBy("query_id").agg(F.count("*").alias("n_sources"), F.array_join(F.transform(blocks, lambda x: x["block"]), "\n\n").alias("context"))
+    blocks = F.array_sort(F.collect_list(F.struct("rank", block.alias("block"), *carry)))
+    held = [F.transform(blocks, lambda x: F.struct(*(x[c].alias(c) for c in carry))).alias("sources")] if carry else []
+    return sources.groupBy("query_id").agg(F.count("*").alias("n_sources"), F.array_join(F.transform(blocks, lambda x: x["block"]), "\n\n").alias("context"), *held)
 
 
 def cited(answer: Column, n_sources: Column) -> Column:
@@ -41,17 +45,28 @@ def refusals(questions: DataFrame, sources: DataFrame) -> DataFrame:
     return questions.join(sources.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lit(REFUSAL).alias("answer"))
 
 
-def answered(prompts: DataFrame, load: Callable[[], Callable[[str], str]]) -> DataFrame:
-    """(query_id, answer) of (query_id, prompt) by a chat model that the caller brings; blank answers are an error."""
+def _checked(texts: Iterable[str | None]) -> list[str]:
+    out = [(t or "").strip() for t in texts]
+    if not all(out):
+        raise GenerationError("the model gave no answer")
+    return out
+
+
+def chat(load: Callable[[], Callable[[str], str]]) -> Callable[[Column], Column]:
+    """A column function answer(prompt) by a chat model that the caller brings, loaded once a task and only if there are
+    prompts; blank answers are an error. Spark calls it once for each row, as another call may answer otherwise."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = None
-        for frame in frames:
-            if len(frame) and model is None:
+        for prompts in batches:
+            if len(prompts) and model is None:
                 model = load()
-            texts = [(model(p) or "").strip() for p in frame["prompt"]]
-            if not all(texts):
-                raise GenerationError("the model gave no answer")
-            yield pd.DataFrame({"query_id": frame["query_id"], "answer": texts})
+            yield pd.Series(_checked(map(model, prompts)) if len(prompts) else [], dtype="object")
 
-    return prompts.select("query_id", "prompt").mapInPandas(run, f"query_id {prompts.schema['query_id'].dataType.simpleString()}, answer string")
+    return answer.asNondeterministic()
+
+
+def answered(prompts: DataFrame, load: Callable[[], Callable[[str], str]]) -> DataFrame:
+    """(query_id, answer) of (query_id, prompt)."""
+    return prompts.select("query_id", chat(load)(F.col("prompt")).alias("answer"))

@@ -2,13 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import sound
+
+#: What the sweeps try.
 RRF_CONSTANTS = [5, 10, 20, 40, 60, 100]
 CUTOFFS = [0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65]
 
 
+def runs(dense: DataFrame, lexical: DataFrame, k: int = 10, top_k: int = 100, score: Column | None = None, texts: DataFrame | None = None, questions: DataFrame | None = None, depth: int = 50) -> DataFrame:
+    """(mode, query_id, id, rank) of every way to search at once: bm25, dense, hybrid (their fusion) and, with ``score``,
+    dense_rerank (the first ``depth`` neighbours ordered anew by it, over columns question and text).
+
+    Both lists, at most ``top_k`` long, are read once: an item has its rank in either, and from those its rank in each mode.
+    """
+    sound(dense.sparkSession)
+    tagged = lambda df, own, other: df.select("query_id", "id", F.col("rank").cast("int").alias(own), F.lit(None).cast("int").alias(other))
+    rows = tagged(dense, "dense", "lexical").unionByName(tagged(lexical, "lexical", "dense"))
+    part = F.sum(F.coalesce(1 / (F.lit(float(k)) + F.col("dense")), 1 / (F.lit(float(k)) + F.col("lexical"))))
+    found = rows.groupBy("query_id", "id").agg(F.min("dense").alias("dense"), F.min("lexical").alias("bm25"), F.round(part, 12).alias("score"))
+    own = Window.partitionBy("query_id")
+    found = found.withColumn("hybrid", F.row_number().over(own.orderBy(F.desc("score"), F.col("dense").isNull(), F.coalesce("dense", "bm25"), "id")))
+    modes = ["bm25", "dense", "hybrid"]
+    if score is not None:
+        paired = found.join(texts.select("id", "text"), "id").join(questions.select("query_id", F.col("text").alias("question")), "query_id")
+        head = F.when(F.col("dense") <= depth, score)
+        order = own.orderBy(F.col("dense").isNull(), F.col("dense") > depth, F.desc("again"), "dense")
+        found = paired.withColumn("again", head).withColumn("dense_rerank", F.when(F.col("dense").isNotNull(), F.row_number().over(order)))
+        modes.append("dense_rerank")
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.col(m).alias("rank")) for m in modes))).alias("x")
+    return found.select("query_id", "id", each).select("x.mode", "query_id", "id", "x.rank").where(F.col("rank") <= top_k)
+
+
 def per_query(run: DataFrame, qrels: DataFrame, by: tuple[str, ...] = (), params: DataFrame | None = None) -> DataFrame:
     """(by..., query_id, ndcg10, recall10, recall100, mrr10) of every judged query; one without results has zeros.
 

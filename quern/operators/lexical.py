@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lexical_tokens
+from ..functions.text import TOKEN, lexical_tokens
 
 #: Question tokens up to so many rows (some 30 MB) are broadcast; beyond it the join shuffles both sides.
 BROADCAST_TOKENS = 500_000
@@ -26,8 +26,8 @@ def term_frequency(docs: DataFrame) -> DataFrame:
 
 def index_stats(docs: DataFrame) -> DataFrame:
     """One row (n_docs, avgdl); documents without tokens count."""
-    n = F.count("*")
-    return tokenized(docs).agg(n.alias("n_docs"), F.when(n == 0, F.lit(0.0)).otherwise(F.sum("dl") / n).alias("avgdl"))
+    n, dl = F.count("*"), F.sum(F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(TOKEN)))
+    return docs.select("text").agg(n.alias("n_docs"), F.when(n == 0, F.lit(0.0)).otherwise(dl / n).alias("avgdl"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -56,10 +56,11 @@ def bm25_scores(docs: DataFrame, questions: DataFrame, k1: float = 0.9, b: float
     # dealt by document once: term counts and scores of a document then need no further shuffle
     held = tokenized(docs).select("id", "dl", F.explode("ts").alias("token")).join(near(vocabulary), "token").repartition("id")
     postings = held.groupBy("id", "token", "dl").agg(F.count("*").alias("tf"))
-    stats = index_stats(docs)
-    n, mean = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
-    terms = postings.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", idf(n, F.col("df"))).join(near(asked), "token")
-    weight = F.col("qtf") * F.col("idf") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / mean))
+    # one row, which goes to the few rows of terms: a single pass over the corpus besides that for the postings
+    stats = F.broadcast(index_stats(docs).withColumn("_", F.lit(1)))
+    terms = postings.groupBy("token").agg(F.count("*").alias("df")).withColumn("_", F.lit(1)).join(stats, "_")
+    terms = terms.select("token", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl").join(near(asked), "token")
+    weight = F.col("qtf") * F.col("idf") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
     joined = postings.join(near(terms), "token")
     return joined.groupBy("query_id", "id").agg(F.round(F.sum(weight), 9).alias("score"), F.min("pos").alias("pos"))
 
@@ -75,7 +76,9 @@ def bm25(docs: DataFrame, questions: DataFrame, top_k: int = 10, k1: float = 0.9
     return ranked(bm25_scores(docs, questions, k1, b), top_k)
 
 
-def bm25_scoped(docs: DataFrame, questions: DataFrame, owners: DataFrame, top_k: int = 10) -> DataFrame:
-    """``questions`` have an owner; documents of others are dropped after scoring, before the cut. owners: (id, owner)."""
-    scored = bm25_scores(docs, questions).join(owners, "id").join(questions.select("query_id", "owner"), ["query_id", "owner"])
-    return ranked(scored, top_k)
+def bm25_scoped(docs: DataFrame, questions: DataFrame, owners: DataFrame, top_k: int = 10, k1: float = 0.9, b: float = 0.4) -> DataFrame:
+    """``questions`` have an owner; documents of others are dropped after scoring, before the cut, and none where it is
+    null. owners: (id, owner)."""
+    wanted = questions.select("query_id", F.col("owner").cast("string").alias("_scope"))
+    scored = bm25_scores(docs, questions, k1, b).join(owners.select("id", F.col("owner").cast("string").alias("_owner")), "id", "left").join(wanted, "query_id")
+    return ranked(scored.where(F.col("_scope").isNull() | (F.col("_scope") == F.col("_owner"))), top_k)

@@ -1,8 +1,10 @@
 """Exact nearest neighbours by cosine distance.
 
-A stated set of query vectors meets all rows in blocks: queries go to the tasks as matrices of at most ``QUERIES`` rows,
-each Arrow batch of vectors is one matrix product, and only a batch's ``k`` nearest of each query leave the task. What
-is shuffled follows queries and batches, not their product. Zero vectors have no distance and are no neighbours.
+A stated set of query vectors meets all rows in blocks: each pass over the rows carries query vectors of up to
+``PASS_BYTES``, as matrices of at most ``QUERIES`` rows. A product of such a matrix and ``ROWS`` vectors leaves only the
+``k`` nearest of each query, and only those leave the task. What is shuffled follows queries and batches, not their
+product. Rows and queries without a vector, and zero vectors, have no distance and no neighbours; vectors of unlike size
+are an error.
 """
 
 from __future__ import annotations
@@ -17,19 +19,46 @@ from pyspark.sql import functions as F
 
 from ..errors import EmbeddingError
 
-QUERIES = 4096
-
-
-def _blocks(queries: DataFrame) -> Iterator[list[tuple]]:
-    """Queries (query_id, vector, scope) in blocks of bounded size, in order."""
-    block = []
-    for r in queries.toLocalIterator():
-        block.append((r.query_id, r.vector, r.scope))
-        if len(block) == QUERIES:
-            yield block
-            block = []
-    if block:
-        yield block
+QUERIES, ROWS, PASS_BYTES = 4096, 2048, 32 << 20
+
+
+def _passes(queries: DataFrame) -> Iterator[list[tuple]]:
+    """Queries (query_id, vector, scope) as lists of (ids, matrix, scopes) for one pass each, in order."""
+    blocks: list[tuple] = []
+    rows: list = []
+    size = 0
+
+    def block() -> tuple:
+        if len({len(r.vector) for r in rows}) > 1:
+            raise EmbeddingError("query vectors must have one size")
+        return np.array([r.query_id for r in rows], np.int64), np.array([r.vector for r in rows], np.float64), np.array([r.scope for r in rows], object)
+
+    for r in queries.where("vector is not null").toLocalIterator():
+        rows.append(r)
+        size += 8 * len(r.vector)
+        if len(rows) == QUERIES or size >= PASS_BYTES:
+            blocks.append(block())
+            rows.clear()
+        if size >= PASS_BYTES:
+            yield blocks
+            blocks, size = [], 0
+    if rows:
+        blocks.append(block())
+    if blocks:
+        yield blocks
+
+
+def _least(far: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k least of each row by (value, own); NaN is none."""
+    far = np.where(np.isnan(far), np.inf, far)
+    near = far < np.inf
+    if far.shape[1] > k:
+        near &= far <= np.partition(far, k - 1, axis=1)[:, k - 1 : k]
+    row, column = np.nonzero(near)
+    order = np.lexsort((own[column], far[row, column], row))
+    row, column = row[order], column[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], column[kept]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, scoped: bool = False) -> DataFrame:
@@ -41,38 +70,37 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, scoped: bool =
     spark = vectors.sparkSession
     scope = F.col("scope") if "scope" in queries.columns else F.lit(None)
     owner = F.col("owner") if scoped else F.lit(None)
-    rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), owner.cast("string").alias("owner"))
+    rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), owner.cast("string").alias("owner")).where("vector is not null")
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"), scope.cast("string").alias("scope"))
     schema = "query_id bigint, id bigint, distance double"
 
-    def search(block: list[tuple]) -> DataFrame:
-        carried = spark.sparkContext.broadcast(block)
+    def search(blocks: list[tuple]) -> DataFrame:
+        carried = spark.sparkContext.broadcast(blocks)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids = np.array([q for q, _, _ in carried.value], np.int64)
-            scopes = np.array([s for _, _, s in carried.value], object)
-            q = np.array([v for _, v, _ in carried.value], np.float64)
-            q_norm = np.sqrt((q * q).sum(axis=1))
-            for b in batches:
-                flat = b.column("vector")
-                if not b.num_rows:
-                    continue
-                m = flat.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                norm = np.sqrt((m * m).sum(axis=1))
-                own = b.column("id").to_numpy()
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    far = np.round(1 - (q @ m.T) / (q_norm[:, None] * norm), 9)
-                if scoped:
-                    owners = np.array(b.column("owner").to_pylist(), object)
-                    far[(scopes[:, None] != owners) & np.array([s is not None for s in scopes])[:, None]] = np.nan
-                order = np.lexsort((np.broadcast_to(own, far.shape), far), axis=1)[:, :k]
-                kept = np.take_along_axis(far, order, axis=1)
-                ok = ~np.isnan(kept)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])[ok.ravel()]), pa.array(own[order][ok]), pa.array(kept[ok])], names=["query_id", "id", "distance"])
+            asked = [(ids, q, np.sqrt((q * q).sum(axis=1)), scopes, np.array([s is not None for s in scopes])) for ids, q, scopes in carried.value]
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS):
+                    b = whole.slice(at, ROWS)
+                    flat = b.column("vector").flatten().to_numpy(zero_copy_only=False)
+                    sizes = np.unique(b.column("vector").value_lengths().to_numpy())
+                    if len(sizes) > 1 or any(q.shape[1] != sizes[0] for _, q, _, _, _ in asked):
+                        raise EmbeddingError("vectors must have one size, that of the query vectors")
+                    m = flat.reshape(b.num_rows, -1)
+                    norm, own = np.sqrt((m * m).sum(axis=1)), b.column("id").to_numpy()
+                    owners = np.array(b.column("owner").to_pylist(), object) if scoped else None
+                    for ids, q, q_norm, scopes, bound in asked:
+                        with np.errstate(invalid="ignore", divide="ignore"):
+                            far = np.round(1 - (q @ m.T) / (q_norm[:, None] * norm), 9)
+                        if scoped:
+                            far[(scopes[:, None] != owners) & bound[:, None]] = np.nan
+                        row, column = _least(far, own, k)
+                        if len(row):
+                            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(own[column]), pa.array(far[row, column])], names=["query_id", "id", "distance"])
 
         return rows.mapInArrow(run, schema)
 
-    parts = [search(block) for block in _blocks(asked)]
+    parts = [search(blocks) for blocks in _passes(asked)]
     found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -1,7 +1,8 @@
 """Every operator as a query over the driver's tables. The SQL that checks each is in ``oracle``.
 
 documents are the corpus (source is their owner), benchmark items the questions, conversations the pages of documents,
-embeddings the stored vectors (label is their owner). Searches by vector take the rows whose vec_id is divisible by 50.
+embeddings the stored vectors (label is their owner). A document or question has the vector of its number, if there is
+one; without it, it is searched by words alone. Searches by vector take the rows whose vec_id is divisible by 50.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import EngineConfig
+from ..errors import EncryptedPdfError
 from ..functions.text import lexical_tokens, normalize_question, normalize_text
 from ..operators import answer, chunking, containment, evaluate, fusion, lexical, rerank, retrieval, vector
 from ..sources import beir, documents, tables
@@ -40,19 +43,25 @@ def query_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that have a vector."""
-    return docs(spark, d).join(vectors(spark, d).select("id", "vector"), "id")
+    """All documents, with a vector where they have one."""
+    rows = _table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("owner"))
+    return rows.join(vectors(spark, d).select("id", "vector"), "id", "left")
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    """Questions with the vector of the same number."""
-    return questions(spark, d).join(vectors(spark, d).select(F.col("id").alias("query_id"), "vector"), "query_id")
+    """All questions, with the vector of the same number."""
+    return questions(spark, d).join(vectors(spark, d).select(F.col("id").alias("query_id"), "vector"), "query_id", "left")
+
+
+def scoped_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Questions that ask one source each, and some that ask all."""
+    n = F.col("query_id")
+    return asked(spark, d).withColumn("scope", F.when(n % 6 != 5, F.concat(F.lit("src"), (n % 20).cast("string"))))
 
 
 def judgements(spark: SparkSession, d: str) -> DataFrame:
-    """(query_id, id, grade): documents with a vector that hold the question's text, graded 1 or 2."""
-    held = containment.containing(corpus(spark, d).select("id", "text"), asked(spark, d).select("query_id", "text"))
-    return held.withColumn("grade", (1 + F.col("id") % 2).cast("int"))
+    """(query_id, id, grade): documents that hold the question's text, graded 1 or 2."""
+    return containment.containing(docs(spark, d), questions(spark, d)).withColumn("grade", (1 + F.col("id") % 2).cast("int"))
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
@@ -162,6 +171,28 @@ def hybrid_search(spark, d):
     return _hybrid(spark, d).withColumns({"distance": F.round("distance", 6), "score": F.round("score", 9)})
 
 
+def hybrid_search_scoped(spark, d):
+    out = retrieval.hybrid(corpus(spark, d), scoped_questions(spark, d), threshold=THRESHOLD)
+    return out.withColumns({"distance": F.round("distance", 6), "score": F.round("score", 9)})
+
+
+def dense_search_rerank(spark, d):
+    """Settings that fuse nothing and rerank neighbours."""
+    config = EngineConfig(hybrid=False, rerank=True)
+    out = retrieval.search(corpus(spark, d), asked(spark, d), config, 5, rerank.overlap_score(F.col("question"), F.col("text")))
+    return out.withColumns({"distance": F.round("distance", 6)}).drop("score")
+
+
+def ask_questions(spark, d):
+    """Scoped questions, among them some that nothing answers, to a stand-in for the model."""
+    pages = corpus(spark, d).withColumns({"document_id": F.concat(F.lit("d"), F.col("id").cast("string")), "page_number": (F.col("id") % 3 + 1).cast("int")})
+    own = scoped_questions(spark, d).unionByName(questions(spark, d).select((F.col("query_id") + 1_000_000).alias("query_id"), F.lit("?!").alias("text")), allowMissingColumns=True)
+    reply = lambda prompt: F.concat(F.lit("of "), F.length(prompt).cast("string"), F.lit(" [S2], then [S9] and [S1][S2]"))
+    out = retrieval.ask(pages, own, reply, EngineConfig(distance_threshold=THRESHOLD), 3)
+    told = F.array_join(F.transform("citations", lambda c: F.concat_ws(":", c["source_id"], c["document_id"], c["page_number"].cast("string"))), ",")
+    return out.select("query_id", "answer", "n_sources", told.alias("citations"))
+
+
 def hybrid_search_threshold(spark, d):
     return _hybrid(spark, d, threshold=THRESHOLD, top_k=10).withColumns({"distance": F.round("distance", 6), "score": F.round("score", 9)})
 
@@ -201,11 +232,8 @@ def eval_mrr(spark, d):
 
 
 def eval_summary(spark, d):
-    dense, lex = _lists(spark, d, 100)
-    runs = {"bm25": lex, "dense": dense, "hybrid": fusion.fuse([dense, lex], 10, 100)}
-    rows = [r.select(F.lit(m).alias("mode"), "query_id", "id", "rank") for m, r in runs.items()]
-    modes = spark.createDataFrame([(m,) for m in runs], "mode string")
-    run = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    run = evaluate.runs(*_lists(spark, d, 100), 10, 100, rerank.overlap_score(F.col("question"), F.col("text")), docs(spark, d), questions(spark, d))
+    modes = spark.createDataFrame([(m,) for m in ("bm25", "dense", "hybrid", "dense_rerank")], "mode string")
     return evaluate.summary(evaluate.per_query(run, judgements(spark, d), ("mode",), modes), ("mode",))
 
 
@@ -232,6 +260,13 @@ def qrels_scan(spark, d):
     return beir.qrels_rows(records)
 
 
+def qrels_last_wins(spark, d):
+    """Judgements of which the last by their number counts; those of grade 0 do not."""
+    n = F.col("doc_id")
+    records = _table(spark, d, "labels").select((n % 7).cast("string").alias("query_id"), (n % 5).cast("string").alias("id"), (F.col("quality") + 2 * F.col("toxic")).cast("int").alias("grade"), n.alias("line"))
+    return beir.qrels_rows(records)
+
+
 def query_semi_join(spark, d):
     qrels = _table(spark, d, "labels").where("quality > 0").select(F.col("doc_id").alias("query_id"))
     return beir.judged_queries(questions(spark, d), qrels)
@@ -277,6 +312,28 @@ def validate_uploads(spark, d):
     return _table(spark, d, "documents").select("doc_id", reason.alias("reject_reason"))
 
 
+def extract_pages(spark, d):
+    """Texts as files whose lines are pages; some are encrypted, some cannot be read."""
+    n = F.col("doc_id")
+    content = F.when(n % 11 == 3, F.lit("encrypted")).when(n % 13 == 5, F.lit("broken")).when(n % 17 == 7, F.lit(" \n ")).otherwise(F.col("text"))
+    files = _table(spark, d, "documents").select(n.cast("string").alias("document_id"), content.cast("binary").alias("content"))
+    return documents.extraction(files, line_pages)
+
+
+def line_pages() -> Callable[[bytes], list[str]]:
+    """An extractor for texts whose lines are pages."""
+
+    def extract(content: bytes) -> list[str]:
+        text = content.decode()
+        if text == "encrypted":
+            raise EncryptedPdfError(text)
+        if text == "broken":
+            raise ValueError(text)
+        return text.split("\n")
+
+    return extract
+
+
 def page_scan(spark, d):
     return documents.page_scan(spaced_turns(spark, d))
 
@@ -323,6 +380,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hybrid_search": hybrid_search,
     "hybrid_search_threshold": hybrid_search_threshold,
     "hybrid_search_rerank": hybrid_search_rerank,
+    "hybrid_search_scoped": hybrid_search_scoped,
+    "dense_search_rerank": dense_search_rerank,
+    "ask_questions": ask_questions,
     "rerank": reranked,
     "rerank_head": rerank_head,
     "eval_ndcg": eval_ndcg,
@@ -333,6 +393,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eval_rrf_sweep": eval_rrf_sweep,
     "corpus_scan": corpus_scan,
     "qrels_scan": qrels_scan,
+    "qrels_last_wins": qrels_last_wins,
     "query_semi_join": query_semi_join,
     "query_limit": query_limit,
     "context_assembly": context_assembly,
@@ -340,6 +401,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "citation_lookup": citation_lookup,
     "no_evidence_questions": no_evidence_questions,
     "validate_uploads": validate_uploads,
+    "extract_pages": extract_pages,
     "page_scan": page_scan,
     "missing_documents": missing_documents,
     "replace_document": replace_document,

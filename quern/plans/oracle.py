@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from ..operators.answer import REFUSAL
 from ..operators.evaluate import RRF_CONSTANTS
+from ..operators.retrieval import LEAD as PROMPT
 from .catalog import SWEEP, THRESHOLD
 
 DOCS = "docs AS (SELECT doc_id AS id, text FROM documents)"
 QUESTIONS = "asked AS (SELECT item_id AS query_id, text FROM benchmark)"
-#: Documents and questions with vectors.
-PAIRED = """docs AS (SELECT doc_id AS id, text FROM documents JOIN embeddings ON vec_id = doc_id),
-asked AS (SELECT item_id AS query_id, text FROM benchmark JOIN embeddings ON vec_id = item_id),
+#: All documents and questions, and the vectors of those that have one.
+PAIRED = """docs AS (SELECT doc_id AS id, text FROM documents), asked AS (SELECT item_id AS query_id, text FROM benchmark),
 vecs AS (SELECT doc_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM documents JOIN embeddings ON vec_id = doc_id),
 qvecs AS (SELECT item_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM benchmark JOIN embeddings ON vec_id = item_id)"""
 #: Over docs and asked.
@@ -56,6 +56,21 @@ h AS (SELECT {head}query_id, sum(CASE WHEN rank <= 10 THEN (power(2e0, grade) -
 m AS (SELECT {f'i.{by}, ' if by else ''}i.query_id, CASE WHEN idcg > 0 THEN coalesce(dcg, 0) / idcg ELSE 0 END AS ndcg10, CAST(coalesce(h10, 0) AS DOUBLE) / relevant AS recall10, CAST(coalesce(h100, 0) AS DOUBLE) / relevant AS recall100, CASE WHEN first <= 10 THEN 1e0 / first ELSE 0 END AS mrr10 FROM ideal i LEFT JOIN h ON {on})"""
 
 
+#: Over docs, asked, toks and qtoks: neighbours, the first 50 of which are ordered by their words.
+NEAR_AGAIN = """again AS (SELECT n.query_id, n.id, n.distance, row_number() OVER (PARTITION BY n.query_id ORDER BY n.rank > 50, CASE WHEN n.rank <= 50 THEN len(list_intersect(list_distinct(q.ts), list_distinct(t.ts))) END DESC, n.rank) AS rank,
+  CAST(len(list_intersect(list_distinct(q.ts), list_distinct(t.ts))) AS DOUBLE) AS rerank_score FROM {0} n JOIN qtoks q USING (query_id) JOIN toks t USING (id))"""
+SCOPED = f"""{PAIRED}, scopes AS (SELECT item_id AS query_id, CASE WHEN item_id % 6 <> 5 THEN 'src' || (item_id % 20) END AS scope FROM benchmark)"""
+
+
+def scoped_hybrid(top_k: int, base: str = SCOPED) -> str:
+    return f"""{base}, {BM25}, {DENSE}, owners AS (SELECT doc_id AS id, source FROM documents),
+own_near AS (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM far JOIN scopes USING (query_id) JOIN owners USING (id) WHERE scope IS NULL OR scope = source),
+own_words AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos, id) AS rank FROM scores JOIN scopes USING (query_id) JOIN owners USING (id) WHERE scope IS NULL OR scope = source),
+near AS (SELECT * FROM own_near WHERE rank <= 50 AND distance <= {THRESHOLD}e0), words AS (SELECT * FROM own_words WHERE rank <= 50),
+{fused("fused", ["near", "words"])},
+hybrid AS (SELECT f.query_id, f.id, n.distance, f.score, f.rank FROM fused f LEFT JOIN near n ON n.query_id = f.query_id AND n.id = f.id WHERE f.rank <= {top_k})"""
+
+
 MEANS = "count(*) AS n_queries, round(avg(ndcg10), 6) AS ndcg10, round(avg(recall10), 6) AS recall10, round(avg(recall100), 6) AS recall100, round(avg(mrr10), 6) AS mrr10"
 TURNS = "pages AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, turn + 1 AS page_number, text FROM conversations)"
 SPACED = "pages AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, turn + 1 AS page_number, CASE WHEN turn % 3 = 1 THEN ' ' || chr(10) || ' ' ELSE ' ' || text || chr(10) END AS text FROM conversations)"
@@ -106,13 +121,21 @@ SELECT query_id, id, round(distance, 6) AS distance FROM u WHERE distance IS NUL
     "hybrid_search_threshold": f"WITH {hybrid(10, threshold=THRESHOLD)} SELECT query_id, id, {ROUNDED} FROM hybrid",
     "hybrid_search_rerank": f"""WITH {hybrid(50)}, s AS (SELECT h.*, CAST(len(list_intersect(list_distinct(q.ts), list_distinct(t.ts))) AS DOUBLE) AS rerank_score FROM hybrid h JOIN qtoks q USING (query_id) JOIN toks t USING (id)),
 r AS (SELECT query_id, id, distance, score, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS rank FROM s) SELECT query_id, id, {ROUNDED}, rerank_score FROM r WHERE rank <= 5""",
+    "hybrid_search_scoped": f"WITH {scoped_hybrid(5)} SELECT query_id, id, {ROUNDED} FROM hybrid",
+    "dense_search_rerank": f"WITH {PAIRED}, {BM25}, {DENSE}, near AS (SELECT * FROM dense WHERE rank <= 50), {NEAR_AGAIN.format('near')} SELECT query_id, id, round(distance, 6) AS distance, rerank_score, rank FROM again WHERE rank <= 5",
+    "ask_questions": f"""WITH {scoped_hybrid(3, SCOPED.replace("FROM benchmark)", "FROM benchmark UNION ALL SELECT item_id + 1000000, '?!' FROM benchmark)", 1).replace("END AS scope FROM benchmark)", "END AS scope FROM benchmark UNION ALL SELECT item_id + 1000000, NULL FROM benchmark)"))},
+normal AS (SELECT query_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM asked),
+ev AS (SELECT query_id, count(*) AS n, string_agg('[S' || rank || '] Document: d' || id || '; Page: ' || (id % 3 + 1) || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM hybrid JOIN docs USING (id) GROUP BY query_id),
+said AS (SELECT query_id, n, 'of ' || ({len(PROMPT)} + length(context) + 12 + length(text)) || ' [S2], then [S9] and [S1][S2]' AS answer FROM ev JOIN normal USING (query_id)),
+cites AS (SELECT query_id, string_agg('S' || rank || ':d' || id || ':' || (id % 3 + 1), ',' ORDER BY CASE rank WHEN 2 THEN 0 ELSE 1 END) AS citations FROM hybrid WHERE rank IN (1, 2) GROUP BY query_id)
+SELECT a.query_id, coalesce(answer, '{REFUSAL.replace("'", "''")}') AS answer, coalesce(n, 0) AS n_sources, coalesce(citations, '') AS citations FROM asked a LEFT JOIN said USING (query_id) LEFT JOIN cites USING (query_id)""",
     "rerank": f"WITH {PAIRS}, r AS (SELECT query_id, id, s AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS rank FROM pairs) SELECT query_id, id, rank, rerank_score FROM r WHERE rank <= 10",
     "rerank_head": f"WITH {PAIRS} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank > 10, CASE WHEN rank <= 10 THEN s END DESC, rank) AS rank FROM pairs",
     "eval_ndcg": f"WITH {hybrid(100, 100)}, {metrics('hybrid')} SELECT query_id, round(ndcg10, 6) AS ndcg10 FROM m",
     "eval_recall": f"WITH {hybrid(100, 100)}, {metrics('hybrid')} SELECT query_id, round(recall10, 6) AS recall10, round(recall100, 6) AS recall100 FROM m",
     "eval_mrr": f"WITH {hybrid(100, 100)}, {metrics('hybrid')} SELECT query_id, round(mrr10, 6) AS mrr10 FROM m",
-    "eval_summary": f"""WITH {hybrid(100, 100)}, runs AS (SELECT 'bm25' AS mode, query_id, id, rank FROM words UNION ALL SELECT 'dense', query_id, id, rank FROM near UNION ALL SELECT 'hybrid', query_id, id, rank FROM hybrid),
-modes AS (SELECT unnest(['bm25', 'dense', 'hybrid']) AS mode), {metrics('runs', 'mode', 'modes')} SELECT mode, {MEANS} FROM m GROUP BY mode""",
+    "eval_summary": f"""WITH {hybrid(100, 100)}, {NEAR_AGAIN.format('near')}, runs AS (SELECT 'bm25' AS mode, query_id, id, rank FROM words UNION ALL SELECT 'dense', query_id, id, rank FROM near UNION ALL SELECT 'hybrid', query_id, id, rank FROM hybrid UNION ALL SELECT 'dense_rerank', query_id, id, rank FROM again),
+modes AS (SELECT unnest(['bm25', 'dense', 'hybrid', 'dense_rerank']) AS mode), {metrics('runs', 'mode', 'modes')} SELECT mode, {MEANS} FROM m GROUP BY mode""",
     "eval_threshold_sweep": f"""WITH {PAIRED}, {DENSE}, {JUDGED}, near AS (SELECT * FROM dense WHERE rank <= 100), g AS (SELECT query_id, count(*) AS relevant FROM qrels GROUP BY query_id),
 c AS (SELECT CAST(unnest({SWEEP}) AS DOUBLE) AS cutoff),
 o AS (SELECT cutoff, g.query_id, relevant, count(n.id) AS kept, count(r.id) AS hits FROM g CROSS JOIN c LEFT JOIN near n ON n.query_id = g.query_id AND n.distance <= cutoff LEFT JOIN qrels r ON r.query_id = n.query_id AND r.id = n.id GROUP BY ALL)
@@ -122,6 +145,7 @@ SELECT cutoff, round(avg(kept), 6) AS mean_kept, round(avg(CASE WHEN kept > 0 TH
     "corpus_scan": r"""WITH r AS (SELECT 'd' || doc_id AS id, CASE doc_id % 3 WHEN 0 THEN trim(' ' || source) ELSE '' END AS title, CASE WHEN doc_id % 5 <> 0 THEN regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') ELSE '' END AS body FROM documents),
 t AS (SELECT id, regexp_replace(CASE WHEN title <> '' THEN title || chr(10) || body ELSE body END, '^\s+|\s+$', '', 'g') AS text FROM r) SELECT * FROM t WHERE text <> ''""",
     "qrels_scan": "SELECT CAST(doc_id % 50 AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS id, max(quality + toxic) AS grade FROM labels WHERE quality + toxic > 0 GROUP BY ALL",
+    "qrels_last_wins": "SELECT CAST(doc_id % 7 AS VARCHAR) AS query_id, CAST(doc_id % 5 AS VARCHAR) AS id, max_by(quality + 2 * toxic, doc_id) AS grade FROM labels WHERE quality + 2 * toxic > 0 GROUP BY ALL",
     "query_semi_join": "SELECT item_id AS query_id, text FROM benchmark WHERE item_id IN (SELECT doc_id FROM labels WHERE quality > 0)",
     "query_limit": "SELECT item_id AS query_id, text FROM benchmark ORDER BY CAST(item_id AS VARCHAR) LIMIT 25",
     "context_assembly": f"""WITH {hybrid(5)} SELECT query_id, count(*) AS n_sources, string_agg('[S' || rank || '] Document: ' || id || '; Page: 1' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM hybrid JOIN docs USING (id) GROUP BY query_id""",
@@ -132,6 +156,11 @@ SELECT query_id, '{REFUSAL.replace("'", "''")}' AS answer FROM asked WHERE query
     "validate_uploads": """WITH u AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'a.txt' WHEN doc_id % 17 = 1 THEN NULL ELSE 'd' || doc_id || '.PDF' END AS f, CASE doc_id % 5 WHEN 1 THEN 'text/plain' WHEN 2 THEN NULL WHEN 3 THEN '' ELSE 'application/x-pdf' END AS m,
 CASE doc_id % 11 WHEN 3 THEN '' WHEN 4 THEN 'not ' || text ELSE '%PDF-' || text END AS c, CASE WHEN doc_id % 13 = 5 THEN 0 ELSE 25 END AS mb FROM documents)
 SELECT doc_id, CASE WHEN f IS NULL OR NOT lower(f) LIKE '%.pdf' THEN 'extension' WHEN m <> '' AND m NOT IN ('application/pdf', 'application/x-pdf') THEN 'mime' WHEN coalesce(strlen(c), 0) = 0 THEN 'empty' WHEN strlen(c) > mb * 1024 * 1024 THEN 'size' WHEN NOT starts_with(c, '%PDF-') THEN 'signature' END AS reject_reason FROM u""",
+    "extract_pages": r"""WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN doc_id % 11 = 3 THEN 'encrypted' WHEN doc_id % 13 = 5 THEN 'unreadable' END AS reason, CASE WHEN doc_id % 17 = 7 THEN '' ELSE coalesce(text, '') END AS text FROM documents),
+l AS (SELECT document_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n, unnest(string_split(text, chr(10))) AS line FROM f WHERE reason IS NULL),
+p AS (SELECT document_id, n AS page_number, regexp_replace(line, '^\s+|\s+$', '', 'g') AS text FROM l WHERE regexp_matches(line, '\S'))
+SELECT document_id, page_number, text, NULL AS reject_reason FROM p UNION ALL
+SELECT document_id, NULL, NULL, coalesce(reason, 'no_text') FROM f WHERE reason IS NOT NULL OR document_id NOT IN (SELECT document_id FROM p)""",
     "page_scan": rf"WITH {SPACED}, s AS (SELECT document_id, page_number, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS text FROM pages) SELECT * FROM s WHERE text <> ''",
     "missing_documents": "SELECT DISTINCT vec_id AS document_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)",
     "replace_document": f"""WITH {DOC_PAGES}, tox AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS document_id FROM labels WHERE toxic = 1), old_pages AS (SELECT * FROM pages ANTI JOIN tox USING (document_id)), new_pages AS (SELECT * FROM pages SEMI JOIN tox USING (document_id)),

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import MissingDocumentError, PdfExtractionError, VectorStoreError
+from ..errors import EmbeddingError, EncryptedPdfError, MissingDocumentError, VectorStoreError
 from ..functions.text import normalize_text, stripped
 from ..operators.chunking import chunk_id, chunks
 
@@ -37,34 +37,66 @@ def validated(uploads: DataFrame, max_mb: int = 25) -> tuple[DataFrame, DataFram
     return marked.where("reject_reason is null").drop("reject_reason").withColumn("document_id", F.expr("uuid()")), marked.where("reject_reason is not null")
 
 
+def store_uploads(uploads: DataFrame, root: str, max_mb: int = 25) -> tuple[DataFrame, DataFrame]:
+    """Write accepted uploads to ``<root>/accepted`` and the others, without their bytes, to ``<root>/rejected``; both tables.
+
+    One pass over the uploads, whose ids are drawn once: the table of all is read again for either part.
+    """
+    spark = uploads.sparkSession
+    reason = reject_reason(F.col("filename"), F.col("content_type"), F.col("content"), F.lit(max_mb))
+    marked = uploads.select("filename", "content_type", "content", F.coalesce(F.octet_length("content"), F.lit(0)).alias("size"), reason.alias("reject_reason"))
+    kept = marked.withColumn("content", F.when(F.col("reject_reason").isNull(), F.col("content"))).withColumn("document_id", F.when(F.col("reject_reason").isNull(), F.expr("uuid()")))
+    state = F.when(F.col("reject_reason").isNull(), "accepted").otherwise("rejected").alias("state")
+    kept.select("*", state).write.mode("append").partitionBy("state").parquet(root)
+    stored = spark.read.schema("filename string, content_type string, content binary, size int, reject_reason string, document_id string, state string").parquet(root)
+    return stored.where("state = 'accepted'").select("document_id", "filename", "content"), stored.where("state = 'rejected'").select("filename", "content_type", "size", "reject_reason")
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(document_id, path, content) of a folder of files named by document id."""
     files = spark.read.format("binaryFile").load(path)
     return files.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("document_id"), "path", "content")
 
 
-def extracted(files: DataFrame, load: Callable[[], Callable[[bytes], list[str]]]) -> DataFrame:
-    """(document_id, page_number, text) by a page extractor that the caller brings: bytes to the texts of all pages.
+EXTRACTED = "document_id string, page_number int, text string, reject_reason string"
 
-    Pages are numbered from 1 as they stand in the file; blank ones go, their numbers stay taken. A page that fails
-    fails its document, and so does a document without any text.
+
+def extraction(files: DataFrame, load: Callable[[], Callable[[bytes], list[str]]]) -> DataFrame:
+    """(document_id, page_number, text, reject_reason) by a page extractor that the caller brings: bytes to the texts of all
+    pages.
+
+    Pages are numbered from 1 as they stand in the file; blank ones go, their numbers stay taken. A file is one row
+    without pages and with its reason where the extractor raises ``EncryptedPdfError`` (encrypted) or any other error
+    (unreadable; a page that fails fails its document), or where no page has text (no_text). One bad file ends no job.
     """
 
+    def pages(extract: Callable[[bytes], list[str]], document_id: str, content: bytes) -> list[tuple]:
+        try:
+            texts = [(t or "").strip() for t in extract(bytes(content))]
+        except EncryptedPdfError:
+            return [(document_id, None, None, "encrypted")]
+        except Exception:
+            return [(document_id, None, None, "unreadable")]
+        return [(document_id, n, t, None) for n, t in enumerate(texts, 1) if t] or [(document_id, None, None, "no_text")]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         extract = None
         for frame in frames:
             if len(frame) and extract is None:
                 extract = load()
-            rows = []
-            for document_id, content in zip(frame["document_id"], frame["content"], strict=True):
-                pages = [(document_id, n, (t or "").strip()) for n, t in enumerate(extract(bytes(content)), 1)]
-                pages = [p for p in pages if p[2]]
-                if not pages:
-                    raise PdfExtractionError(f"{document_id} has no text")
-                rows += pages
-            yield pd.DataFrame(rows, columns=["document_id", "page_number", "text"])
+            rows = [r for d, c in zip(frame["document_id"], frame["content"], strict=True) for r in pages(extract, d, c)]
+            out = pd.DataFrame(rows, columns=["document_id", "page_number", "text", "reject_reason"])
+            yield out.astype({"page_number": "Int32"})
 
-    return files.select("document_id", "content").mapInPandas(run, "document_id string, page_number int, text string")
+    return files.select("document_id", "content").mapInPandas(run, EXTRACTED)
+
+
+def extracted(files: DataFrame, load: Callable[[], Callable[[bytes], list[str]]]) -> DataFrame:
+    """(document_id, page_number, text) where every file must have pages: the first that has none is an error."""
+    told = F.concat_ws(" ", "document_id", "reject_reason")
+    rows = extraction(files, load)
+    checked = F.when(F.col("reject_reason").isNull(), F.col("page_number")).otherwise(F.raise_error(F.concat(F.lit("no pages: "), told)).cast("int"))
+    return rows.select("document_id", checked.alias("page_number"), "text")
 
 
 def page_scan(pages: DataFrame) -> DataFrame:
@@ -97,40 +129,89 @@ def replaced(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 class ChunkStore:
     """Versions of the chunk table as folders of Parquet; readers see whole versions, so a replacement is atomic.
 
-    ``CURRENT`` names the version; it is written last, through Spark's file system, so any shared storage will do.
+    ``CURRENT`` names the versions, the last of which counts; it is written last, through Spark's file system, so any
+    shared storage will do. A replacement starts from one version and fails if another writer has made a newer one
+    meanwhile. Versions stay for readers that have begun with them until ``clean`` removes the old ones.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def find_version(self) -> str | None:
+        """The current version, or None where nothing has been written. Any failure to read it is an error."""
+        files, path = self._path("CURRENT")
+        if not files.exists(path):
+            return None
+        row = self.spark.read.text(f"{self.root}/CURRENT").agg(F.max("value").alias("value")).first()
+        if row.value is None:
+            raise VectorStoreError("the name of the current version is lost")
+        return row.value
+
     def version(self) -> str:
-        try:
-            return self.spark.read.text(f"{self.root}/CURRENT").orderBy(F.desc("value")).first().value
-        except Exception as e:
-            raise VectorStoreError("nothing is indexed yet") from e
+        if (found := self.find_version()) is None:
+            raise VectorStoreError("nothing is indexed yet")
+        return found
 
     def read(self) -> DataFrame:
         """(document_id, page_number, chunk_index, text, token_count, embedding, ...)."""
         return self.spark.read.parquet(f"{self.root}/{self.version()}")
 
+    def changed(self, since: str | None) -> bool:
+        """Whether there is another version than the one that a reader knows: what was derived from it is stale."""
+        return self.find_version() != since
+
     def all_chunks(self) -> DataFrame:
         """Every chunk with its id and without its vector, which the scan leaves out."""
         return all_chunks(self.read())
 
-    def write(self, rows: DataFrame) -> str:
-        """A new version. Names order by time, so the greatest name in CURRENT counts whoever appended it."""
-        name = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    def write(self, rows: DataFrame, after: str | None = None) -> str:
+        """A new version, provided that ``after`` is still the current one. Names order by time."""
+        name = f"v{max(time.time_ns(), int(after[1:21]) + 1 if after else 0):020d}-{uuid.uuid4().hex[:8]}"
         rows.write.parquet(f"{self.root}/{name}")
+        if self.find_version() != after:
+            files, path = self._path(name)
+            files.delete(path, True)
+            raise VectorStoreError("another writer has changed the table; replace again")
         self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/CURRENT")
         return name
 
     def replace(self, fresh: DataFrame) -> str:
-        """Exchange the documents in ``fresh``; the first call makes the table."""
-        try:
-            stored = self.read()
-        except VectorStoreError:
-            return self.write(fresh)
-        return self.write(replaced(stored, fresh))
+        """Exchange the documents in ``fresh``; the first call makes the table. Chunks without a vector, or with one of
+        another size than the others', are an error before anything is written."""
+        base = self.find_version()
+        stored = None if base is None else self.spark.read.parquet(f"{self.root}/{base}")
+        check_vectors(fresh, stored)
+        return self.write(fresh if stored is None else replaced(stored, fresh), base)
+
+    def clean(self, keep: int = 2) -> list[str]:
+        """Delete all but the ``keep`` newest versions; the names of those that went."""
+        files, path = self._path("")
+        current = self.version()
+        names = sorted((f.getPath().getName() for f in files.listStatus(path) if f.isDirectory() and f.getPath().getName().startswith("v")), reverse=True)
+        gone = [n for n in names if n <= current][max(1, keep) :]
+        for name in gone:
+            files.delete(self._path(name)[1], True)
+        return gone
+
+
+def check_vectors(fresh: DataFrame, stored: DataFrame | None = None) -> None:
+    """Every chunk has a vector, all of one size above zero, that of the stored ones; tables without vectors pass."""
+    if "embedding" not in fresh.columns:
+        return
+    size = F.coalesce(F.size("embedding"), F.lit(-1))
+    got = fresh.agg(F.min(size).alias("least"), F.max(size).alias("most")).first()
+    if got.least is None:
+        return
+    if got.least < 1 or got.least != got.most:
+        raise EmbeddingError("each chunk needs a vector, all of one size above zero")
+    if stored is not None and "embedding" in stored.columns:
+        known = stored.where("embedding is not null").select(F.size("embedding").alias("n")).first()
+        if known is not None and known.n != got.most:
+            raise EmbeddingError(f"vectors have {got.most} numbers, the stored ones {known.n}")
 
 
 def all_chunks(stored: DataFrame) -> DataFrame:

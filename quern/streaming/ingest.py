@@ -8,18 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.documents import ChunkStore, document_chunks, extracted
+from ..sources.documents import ChunkStore, document_chunks, extraction
 from ..sources.embedding import embedded
 
 
 def ingest_stream(spark: SparkSession, folder: str, store: ChunkStore, checkpoint: str, load_extractor: Callable, load_client: Callable, max_tokens: int = 450, overlap: int = 75) -> StreamingQuery:
     """Each micro-batch of new files replaces its documents in a new version; a repeated batch replaces them again, so
-    a restart leaves no doubles. Runs over all files there are and ends."""
+    a restart leaves no doubles. Files without pages go to the table ``<root>/rejects`` with their reasons. Runs over all
+    files there are and ends."""
     files = spark.readStream.format("binaryFile").schema(spark.read.format("binaryFile").load(folder).schema).load(folder)
     named = files.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("document_id"), "content")
 
-    def put(batch: DataFrame, _: int) -> None:
-        cut = document_chunks(extracted(batch, load_extractor), max_tokens, overlap)
-        store.replace(embedded(cut, load_client))
+    def put(batch: DataFrame, number: int) -> None:
+        # pages and vectors are made once, although the checks and the table both read them
+        pages = extraction(batch, load_extractor).persist()
+        try:
+            pages.where("reject_reason is not null").select("document_id", "reject_reason").write.mode("overwrite").parquet(f"{store.root}/rejects/batch={number}")
+            fresh = embedded(document_chunks(pages.where("reject_reason is null"), max_tokens, overlap), load_client).persist()
+            try:
+                store.replace(fresh)
+            finally:
+                fresh.unpersist()
+        finally:
+            pages.unpersist()
 
     return named.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
