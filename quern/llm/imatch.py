@@ -101,26 +101,31 @@ def told(p: Column) -> Column:
     return F.concat(p["level"].cast("string"), F.lit(":"), F.array_join(F.transform(p["hashes"], one), ":"))
 
 
-def range_of(docs: DataFrame, n: int, nulls: int) -> Column:
-    """The number of a row's range, ascending with (doc_id, hash of the text), by binary search among the quantiles."""
+def ranged(docs: DataFrame, n: int, nulls: int) -> DataFrame:
+    """``docs`` with the number of each row's range, ascending with (doc_id, hash of the text).
+
+    The binary search among the quantiles is a projection for each step: a function over an array would do, but Spark does
+    not see that two plans with one are the same, and would shuffle all texts once for each use.
+    """
     count = min(RANGES, math.ceil(max(n - nulls, 1) / RANGE))
     at = [k / count for k in range(1, count)]
     bounds = sorted(int(x) for x in docs.approxQuantile("doc_id", at, 0.2 / count)) if at and n > nulls else []
     some = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
-    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
     own = F.col("doc_id").cast("bigint")
-
-    def below(less) -> Column:
-        """How many bounds are less, or no more, than the row's id."""
-        fits = lambda lo, step: (lo + step <= len(bounds)) & less(F.element_at(some, F.least(lo + step, F.lit(len(bounds)))), own)
-        return F.aggregate(steps, F.lit(0), lambda lo, step: F.when(fits(lo, step), lo + step).otherwise(lo)) if bounds else F.lit(0)
-
+    # lo bounds are less than the row's id, hi are no more than it
+    out = docs.select("*", F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+    for step in (1 << k for k in reversed(range(len(bounds).bit_length()))):
+        up = lambda c, step=step: F.col(c) + step
+        bound = lambda c, up=up: F.element_at(some, F.least(up(c), F.lit(len(bounds))))
+        lo = F.when((up("lo") <= len(bounds)) & (bound("lo") < own), up("lo")).otherwise(F.col("lo"))
+        hi = F.when((up("hi") <= len(bounds)) & (bound("hi") <= own), up("hi")).otherwise(F.col("hi"))
+        out = out.select(*docs.columns, lo.alias("lo"), hi.alias("hi"))
     share = F.xxhash64("text") / F.lit(2.0**64) + 0.5
     part = lambda width: F.least(width - 1, F.floor(share * width).cast("int"))
-    lo, hi = below(lambda b, x: b < x), below(lambda b, x: b <= x)
-    known = F.when(hi - lo > 1, lo + 1 + part(hi - lo)).otherwise(hi)
+    width = F.col("hi") - F.col("lo")
     free = F.lit(min(RANGES, math.ceil(max(nulls, 1) / RANGE)))
-    return F.when(own.isNull(), part(free) - free).otherwise(known).cast("bigint")
+    known = F.when(width > 1, F.col("lo") + 1 + part(width)).otherwise(F.col("hi"))
+    return out.select(*docs.columns, F.when(own.isNull(), part(free) - free).otherwise(known).cast("bigint").alias("range"))
 
 
 def _next_range(ranges: DataFrame) -> DataFrame:
@@ -142,10 +147,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     if words.count() <= BROADCAST_TERMS:
         words = F.broadcast(words)
 
-    ranged = docs.withColumn("range", range_of(docs, n, n - known_ids))
+    placed = ranged(docs, n, n - known_ids)
     order = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    rows = ranged.select("range", "doc_id", "text", F.row_number().over(order).alias("row"), F.lead("text").over(order).alias("near"))
-    following = _next_range(ranged.select("range").distinct())
+    rows = placed.select("range", "doc_id", "text", F.row_number().over(order).alias("row"), F.lead("text").over(order).alias("near"))
+    following = _next_range(placed.select("range").distinct())
     edge = lambda frame, value: following.join(frame.where("row = 1").select(F.col("range").alias("next"), F.col(value).alias("far")), "next").drop("next")
     size = F.length("text")
     half = F.floor(size / 2).cast("int")

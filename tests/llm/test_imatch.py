@@ -106,7 +106,7 @@ def test_a_far_id_one_id_and_no_id_fill_no_range(spark, monkeypatch):
     monkeypatch.setattr(imatch, "RANGE", 10)
     rows = [(k, f"t{k}") for k in range(300)] + [(10**15, "far")] + [(7, f"same {k}") for k in range(300)] + [(None, f"none {k}") for k in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    ranged = df.withColumn("range", imatch.range_of(df, 901, 300)).collect()
+    ranged = imatch.ranged(df, 901, 300).collect()
     assert max(Counter(r.range for r in ranged).values()) < 60
     order = [r.range for r in sorted(ranged, key=lambda r: (r.doc_id is not None, r.doc_id or 0, signed(text_hash(r.text))))]
     assert order == sorted(order)
@@ -146,6 +146,17 @@ def test_one_row_and_none(spark):
     assert run(spark, []) == []
 
 
+def test_texts_are_shuffled_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(imatch, "RANGE", 10)
+    spark.createDataFrame(make_rows(120), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = imatch.fingerprints(spark.read.parquet(f"{tmp_path}/d"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert text.count("ReusedExchange") >= 3
+
+
 def test_plan_has_no_python(spark, capsys):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     imatch.fingerprints(df).explain()
