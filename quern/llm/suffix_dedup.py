@@ -6,21 +6,25 @@ and stop at ``LENGTH``. Neighbours that have none by then share at least that ma
 
 One transform over a whole corpus would be one task, so windows of ``LENGTH`` bytes are dealt first. Each window takes
 the least hash of the ``SEED``-byte strings in it as its key: equal windows have equal keys, and consecutive windows
-of one key form a segment (of at most ``LONGEST`` windows). Every text is cut into segments once, by its block:
+of one key form a segment (of at most ``longest`` windows). Every text is cut into segments once, by its block:
 
 1. A block sends each key's distinct segments as hashes to the key's bucket. A segment that stands there twice repeats
    as a whole. One that is alone but shares its key with unlike segments has to be compared; of copies of such a segment
    one block sends the bytes.
 2. A bucket transforms the segments of batches of whole keys and tells each window's block whether it repeats.
 
-A key with more than ``HOT`` unlike segments (``HOT_HERE`` in one block), such as that of a line which stands in a third
+A key with more than ``hot`` unlike segments (``hot_here`` in one block), such as that of a line which stands in a third
 of all documents, is not gathered anywhere: its windows are dealt by a hash of their own, in which only copies of one
-window meet, and a block sends each of them once. So no key makes a task large: a key has at most ``HOT_HERE`` entries
-from a block, and a transform at most ``HOT`` segments of a key.
+window meet, and a block sends each of them once. So no key makes a task large: a key has at most ``hot_here`` entries
+from a block, and a transform at most ``hot`` segments of a key.
 
 Segments of one key are told apart by 64 bits of another hash than the key's, windows of hot keys by 128; all other
 windows are compared as bytes.
 
+Repeats shorter than ``LENGTH`` stay, but are told besides: of the ``SEED``-byte strings in a text, those whose hash is
+divisible by ``each`` are its anchors, and ``n_shared`` counts the bytes that anchors cover which start anywhere else too.
+A passage of 300 bytes has an anchor with a chance of 97 %.
+
 Cases: null or empty text has no bytes; rows are documents of their own, so repeated rows cover each other; texts
 shorter than ``LENGTH`` stay; an empty table gives an empty result. Only doc_id and text are read.
 """
@@ -29,19 +33,33 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import arrow, bits, cut, deal, flags_of
+from .blocks import arrow, bits, cut, deal, flags_of, seen_twice
 from .common import bytes_of, calm, table
 from .hashing import BYTE, P, U, inside_runs, mix, powers, sliding_min, stretches, sums
 
-LENGTH, SEED, SLICE, BATCH = 400, 128, 1 << 16, 1 << 17
-PLACE, LONGEST = 24, 1024
-HOT, HOT_HERE = 2048, 32
+LENGTH, SEED, PLACE = 400, 128, 24
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Sizes that change no result (but ``each`` what is an anchor); small ones are for tests."""
+
+    slice: int = 1 << 16  # places that are hashed at once: a core's cache holds them
+    longest: int = 1024  # windows of a segment
+    hot: int = 2048  # unlike segments of a key that meet
+    hot_here: int = 32  # those of one block
+    each: int = 48  # strings of which one is an anchor
+    batch: int = 1 << 17  # bytes of a transform, which has whole keys
+
+
 #: What a bucket says about an entry: nothing repeats, all of it does, its bytes are needed, or its key is hot.
 ALONE, WHOLE, SEND, SEND_WHOLE, SPLIT = range(5)
 #: One row for each block and bucket; ``kept`` has the block's own segments, which come back to it.
@@ -154,17 +172,55 @@ def repeated_windows(segments: list[bytes], length: int) -> list[np.ndarray]:
     return [flags[e - 1 - n : e - length] for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
 
-def segments_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The segments of texts laid end to end: key, first window, number of windows, and whether windows of it may be equal."""
+def hashed(data: np.ndarray, length: int, seed: int, size: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(a, b, hashes): the hashes of the ``seed``-byte strings from a on, as many as windows from a to b need."""
+    n = max(len(data) - length + 1, min(1, len(data)))
+    for a in range(0, n, size):
+        b = min(a + size, n)
+        part = data[a : b + length - 1]
+        if len(part) >= seed:
+            prefix, down = sums(BYTE[part]), powers(len(part) + 1)[1]
+            yield a, b, (prefix[seed:] - prefix[:-seed]) * down[: len(part) - seed + 1]
+
+
+class Anchors:
+    """The anchors of texts laid end to end: places, distinct keys in order, each place's number among those, and whether
+    a key has several places."""
+
+    def __init__(self, offsets: np.ndarray, seed: int, found: list[tuple[int, np.ndarray]]):
+        self.place = np.concatenate([np.zeros(0, np.int64), *(a for a, _ in found)])
+        hashes = np.concatenate([np.zeros(0, U), *(h for _, h in found)])
+        doc = np.searchsorted(offsets, self.place, side="right") - 1
+        ok = self.place + seed <= offsets[1:][doc] if len(self.place) else np.zeros(0, bool)
+        self.place = self.place[ok]
+        self.keys, self.number, times = np.unique(hashes[ok], return_inverse=True, return_counts=True)
+        self.many = times > 1
+
+    @staticmethod
+    def of(a: int, b: int, hashes: np.ndarray, last: bool, each: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those of a slice, and of what is behind its windows if it is the last."""
+        own = hashes if last else hashes[: b - a]
+        at = np.flatnonzero((own >> U(33)) % U(each) == 0)
+        return at + a, own[at]
+
+
+def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, seed: int, limits: Limits) -> Anchors:
+    n = len(data) - length + 1
+    return Anchors(offsets, seed, [Anchors.of(a, b, h, b >= n, limits.each) for a, b, h in hashed(data, length, seed, limits.slice)])
+
+
+def segments_of(data: np.ndarray, offsets: np.ndarray, length: int, seed: int, limits: Limits) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Anchors]:
+    """The segments of texts laid end to end: key, first window, number of windows, and whether windows of it may be equal;
+    and the anchors."""
     width, mask = length - seed + 1, (1 << PLACE) - 1
     n = len(data) - length + 1
     starts, keys, again = [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(0, bool)]
+    found = []
     held = None
-    for a in range(0, max(n, 0), SLICE):
-        b = min(a + SLICE, n)
-        part = data[a : b + length - 1]
-        prefix, down = sums(BYTE[part]), powers(len(part) + 1)[1]
-        hashes = (prefix[seed:] - prefix[:-seed]) * down[: len(part) - seed + 1]
+    for a, b, hashes in hashed(data, length, seed, limits.slice):
+        found.append(Anchors.of(a, b, hashes, b >= n, limits.each))
+        if n <= 0:
+            break
         # the upper bits order the strings, the lower ones have the first place of the least in each window
         least = sliding_min((hashes & ~U(mask)) | np.arange(len(hashes), dtype=U), width)
         at = np.append(0, np.flatnonzero(least[1:] != least[:-1]) + 1)
@@ -175,31 +231,32 @@ def segments_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, see
         again.append(~first)
         held = own[-1]
     at, key, again_ = np.concatenate(starts), np.concatenate(keys), np.concatenate(again)
-    # cut at the ends of texts, where windows of one text end, and after every LONGEST windows
+    # cut at the ends of texts, where windows of one text end, and after every so many windows
     whole = np.maximum(offsets[:-1], offsets[1:] - length + 1)
     edge = np.unique(np.concatenate([at[~again_], offsets[:-1], whole]))
     edge = edge[edge < max(n, 0)]
     count = np.diff(np.append(edge, max(n, 0)))
-    pieces = -(-count // LONGEST)
+    pieces = -(-count // limits.longest)
     run, k = inside_runs(pieces)
-    start = edge[run] + k * LONGEST
-    count = np.minimum(LONGEST, count[run] - k * LONGEST)
+    start = edge[run] + k * limits.longest
+    count = np.minimum(limits.longest, count[run] - k * limits.longest)
     doc = np.searchsorted(offsets, start, side="right") - 1
     ok = start < whole[doc] if len(start) else np.zeros(0, bool)
     start, count = start[ok], count[ok]
     # the least string's first place moves within a segment only if it stands in it twice
     moved = np.cumsum(np.append(0, again_))
     twice = moved[np.searchsorted(at, start + count, side="left")] > moved[np.searchsorted(at, start, side="right")]
-    return key[np.searchsorted(at, start, side="right") - 1] if len(start) else np.zeros(0, U), start, count, twice
+    own = key[np.searchsorted(at, start, side="right") - 1] if len(start) else np.zeros(0, U)
+    return own, start, count, twice, Anchors(offsets, seed, found)
 
 
 class Entries:
     """What a block asks about: its distinct segments by (key, content), or one entry for a key with many."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, seed: int, limits: Limits):
         import xxhash
 
-        key, self.start, self.count, twice = segments_of(data, offsets, length, seed)
+        key, self.start, self.count, twice, self.anchors = segments_of(data, offsets, length, seed, limits)
         raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
         content = np.array([digest(raw[s:e]) for s, e in zip(self.start.tolist(), (self.start + self.count + length - 1).tolist(), strict=True)], U)
         order = np.lexsort((content, key))
@@ -207,7 +264,7 @@ class Entries:
         new_key = np.append(True, k[1:] != k[:-1])[: len(k)]
         new = new_key | np.append(True, c[1:] != c[:-1])[: len(k)]
         of_key = np.cumsum(new_key) - 1
-        hot = (np.bincount(of_key[new]) > HOT_HERE)[of_key] if len(k) else new
+        hot = (np.bincount(of_key[new]) > limits.hot_here)[of_key] if len(k) else new
         lead = np.where(hot, new_key, new)
         number = np.cumsum(lead) - 1
         self.entry = np.empty(len(k), np.int64)
@@ -238,7 +295,7 @@ def _expanded(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed)
 
 
-def judged(rows: list[dict]) -> list[tuple]:
+def judged(rows: list[dict], hot: int) -> list[tuple]:
     """A bucket's first answer: for each block the entries that something is to be done about, what, and their keys."""
     sizes = [len(r["flags"]) for r in rows]
     keys, contents = (np.frombuffer(b"".join(r[c] for r in rows), U) for c in ("keys", "contents"))
@@ -251,7 +308,7 @@ def judged(rows: list[dict]) -> list[tuple]:
     kinds = np.bincount(of_key[new]) if len(k) else np.zeros(0, np.int64)  # unlike contents of a key
     split = np.zeros(len(kinds), bool)
     np.logical_or.at(split, of_key, f >= 4)
-    split |= kinds > HOT
+    split |= kinds > hot
     copies = np.zeros(int(of[-1]) + 1 if len(of) else 0, np.int64)
     np.add.at(copies, of, 1 + (f & 1))
     like_self = (f & 2) > 0
@@ -267,7 +324,7 @@ def judged(rows: list[dict]) -> list[tuple]:
     return out
 
 
-def compared(keys: list[np.ndarray], texts: list[list[bytes]], length: int) -> list[bytes]:
+def compared(keys: list[np.ndarray], texts: list[list[bytes]], length: int, most: int) -> list[bytes]:
     """A bucket's second answer about segments: a bit for each window of each block's segments."""
     places = sorted((k, b, i) for b, own in enumerate(keys) for i, k in enumerate(own.tolist()))
     found: list[list] = [[None] * len(x) for x in texts]
@@ -280,7 +337,7 @@ def compared(keys: list[np.ndarray], texts: list[list[bytes]], length: int) -> l
         batch.clear()
 
     for x in places:
-        if held > BATCH and batch[-1][0] != x[0]:
+        if held > most and batch[-1][0] != x[0]:
             done()
             held = 0
         batch.append(x)
@@ -319,8 +376,8 @@ def met(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[bytes]:
     return [bits(x) for x in np.split(out, np.cumsum([len(x) for x, _, _ in rows])[:-1])]
 
 
-def remove_repeats(df: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): kept has the remaining bytes of each text."""
+def remove_repeats(df: DataFrame, length: int = LENGTH, seed: int = SEED, limits: Limits = Limits()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, n_shared, kept): kept has the remaining bytes of each text."""
     kind = df.schema["doc_id"].dataType.simpleString()
     dealt, buckets = deal(df)
 
@@ -330,21 +387,30 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
 
     @calm
     def first(group: pa.Table) -> pa.Table:
-        own = Entries(*bytes_of(group.column("text").combine_chunks()), length, seed)
+        own = Entries(*bytes_of(group.column("text").combine_chunks()), length, seed, limits)
         block = group.column("block")[0].as_py()
         rows = [(block, k, p.astype(np.int32).tobytes(), own.keys[p].tobytes(), own.contents[p].tobytes(), own.flags[p].tobytes(), None) for k, p in enumerate(cut(own.keys, buckets)) if len(p)]
+        near = own.anchors
+        rows += [(block, k, None, near.keys[p].tobytes(), None, bits(near.many[p]), None) for k, p in enumerate(cut(near.keys, buckets)) if len(p)]
         return arrow([*rows, (block, own_bucket(block), None, None, None, None, own.kept())], ROWS)
 
     @calm
     def first_answer(rows: pa.Table) -> pa.Table:
-        return rows if rows.column("bucket")[0].as_py() < 0 else arrow(judged(rows.to_pylist()), ROWS)
+        if rows.column("bucket")[0].as_py() < 0:
+            return rows
+        x = rows.to_pylist()
+        near = [r for r in x if r["entries"] is None]
+        keys = [np.frombuffer(r["keys"], U) for r in near]
+        shared = seen_twice(keys, [flags_of(r["flags"], len(k)) for r, k in zip(near, keys, strict=True)]) if near else []
+        told = [(r["block"], r["bucket"], None, None, None, f, None) for r, f in zip(near, shared, strict=True)]
+        return arrow(judged([r for r in x if r["entries"] is not None], limits.hot) + told, ROWS)
 
     def known(answers: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """A block's segments, and what is said about each entry."""
         start, count, entry = _unpacked(next(r["kept"] for r in answers if r["kept"] is not None))
         said = np.zeros(int(entry.max(initial=-1)) + 1, np.uint8)
         for r in answers:
-            if r["bucket"] >= 0 and r["contents"] is None:
+            if r["bucket"] >= 0 and r["entries"] is not None:
                 said[np.frombuffer(r["entries"], np.int32)] = np.frombuffer(r["flags"], np.uint8)
         return start, count, entry, said
 
@@ -374,6 +440,9 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
             if r["bucket"] < 0:
                 rows.append((block, r["bucket"], None, None, None, None, r["kept"]))
                 continue
+            if r["entries"] is None:  # shared anchors, with their bucket
+                rows.append((block, own_bucket(block), None, r["bucket"].to_bytes(4, "little"), None, r["flags"], None))
+                continue
             own, flags, keys = np.frombuffer(r["entries"], np.int32), np.frombuffer(r["flags"], np.uint8), np.frombuffer(r["keys"], U)
             rows.append((block, own_bucket(block), r["entries"], None, None, r["flags"], None))
             sent = (flags == SEND) | (flags == SEND_WHOLE)
@@ -402,7 +471,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
             for r in asked:
                 data, ends = _expanded(r["contents"]), np.cumsum(np.frombuffer(r["flags"], np.uint16).astype(np.int64) + length - 1).tolist()
                 texts.append([data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)])
-            answered = compared([np.frombuffer(r["keys"], U) for r in asked], texts, length)
+            answered = compared([np.frombuffer(r["keys"], U) for r in asked], texts, length, limits.batch)
             out += [(r["block"], r["bucket"], r["entries"], None, f, r["flags"], None) for r, f in zip(asked, answered, strict=True)]
         if hot:
             keys = [np.frombuffer(r["keys"], U) for r in hot]
@@ -447,23 +516,33 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
             at = (start[hot][run] + k)[found[number]]
             cover(at, at + length)
         gone = np.cumsum(step[:-1], dtype=np.int32) > 0
+        near = anchors_of(data, offsets, length, seed, limits)
+        by, shared = cut(near.keys, buckets), np.zeros(len(near.keys), bool)
+        for r in answers:
+            if r["bucket"] < 0 and r["entries"] is None and r["kept"] is None:
+                own = by[int.from_bytes(r["keys"], "little")]
+                shared[own] = flags_of(r["flags"], len(own))
+        at = near.place[shared[near.number]]
+        step[:] = 0
+        cover(at, at + seed)
+        covered = np.append(0, np.cumsum(np.cumsum(step[:-1], dtype=np.int32) > 0))
         edge = np.append(False, gone)
         edge[offsets] = False
         spans = np.append(0, np.cumsum(gone & ~edge[:-1]))
         removed = np.append(0, np.cumsum(gone))
         a, b = offsets[:-1], offsets[1:]
         kept = [data[x:y].tobytes() if n == 0 else data[x:y][~gone[x:y]].tobytes() for x, y, n in zip(a.tolist(), b.tolist(), (removed[b] - removed[a]).tolist(), strict=True)]
-        return pa.table({"doc_id": group.column("doc_id"), "n_bytes": pa.array(b - a), "n_removed": pa.array(removed[b] - removed[a]), "n_spans": pa.array(spans[b] - spans[a]), "kept": pa.array(kept, pa.binary())})
+        return pa.table({"doc_id": group.column("doc_id"), "n_bytes": pa.array(b - a), "n_removed": pa.array(removed[b] - removed[a]), "n_spans": pa.array(spans[b] - spans[a]), "n_shared": pa.array(covered[b] - covered[a]), "kept": pa.array(kept, pa.binary())})
 
     asked = dealt.groupBy("block").applyInArrow(first, ROWS).groupBy("bucket").applyInArrow(first_answer, ROWS)
     again = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(second, ROWS).groupBy("bucket").applyInArrow(second_answer, ROWS)
-    return dealt.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(last, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return dealt.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(last, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, n_shared bigint, kept binary")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its bytes, those removed, in how many runs, and the digest of the kept ones."""
+    """Per document: its bytes, those removed, in how many runs, the digest of the kept ones, and the bytes of shared anchors."""
     out = remove_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_shared")
 
 
 def brute_force(rows: list[tuple[int, str]], length: int = LENGTH) -> list[tuple[int, int, int, int, str]]:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -38,9 +39,16 @@ def make_rows():
     return rows + [(i + 300, t[:-3] + "?" + t[-2:]) for i, t in rows[20:40]] + [(i + 600, t) for i, t in rows[30:50]]
 
 
+def outcome(spark, rows, limits):
+    """The query's columns with other limits: tasks would not see limits that a test sets in this process alone."""
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = sd.remove_repeats(df, limits=limits)
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out.collect()), key=str)
+
+
 def run(spark, tmp_path, rows):
     spark.createDataFrame([(i, t, "a", 1) for i, t in rows], "doc_id long, text string, kept string, block int").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    return sorted((tuple(r) for r in sd.op1_suffix_dedup(spark, str(tmp_path)).collect()), key=str)
+    return sorted((tuple(r)[:5] for r in sd.op1_suffix_dedup(spark, str(tmp_path)).collect()), key=str)
 
 
 def test_against_brute_force(spark, tmp_path, monkeypatch):
@@ -50,10 +58,9 @@ def test_against_brute_force(spark, tmp_path, monkeypatch):
 
 
 def test_across_slices_and_cut_segments(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(sd, "SLICE", 700)
-    monkeypatch.setattr(sd, "LONGEST", 90)
     monkeypatch.setattr(blocks, "BLOCK_BYTES", 20_000)
-    assert run(spark, tmp_path, make_rows()) == sorted(sd.brute_force(make_rows()), key=str)
+    got = outcome(spark, make_rows(), sd.Limits(slice=700, longest=90, batch=5_000))
+    assert got == sorted(sd.brute_force(make_rows()), key=str)
 
 
 def with_a_line(n):
@@ -67,29 +74,52 @@ def with_a_line(n):
 
 def test_one_line_in_all_documents(spark, tmp_path, monkeypatch):
     """Its keys are hot: their windows are dealt by their own hashes."""
-    monkeypatch.setattr(sd, "HOT", 20)
-    monkeypatch.setattr(sd, "HOT_HERE", 5)
     monkeypatch.setattr(blocks, "BLOCK_BYTES", 20_000)
     monkeypatch.setattr(blocks, "BUCKET_BYTES", 40_000)
     rows = with_a_line(160)
-    assert run(spark, tmp_path, rows) == sorted(sd.brute_force(rows), key=str)
+    want = sorted(sd.brute_force(rows), key=str)
+    for limits in (sd.Limits(hot=20, hot_here=5), sd.Limits(hot=0), sd.Limits(hot_here=0, slice=900), sd.Limits()):
+        assert outcome(spark, rows, limits) == want
 
 
-def test_no_bucket_gets_a_hot_key(monkeypatch):
+def test_no_bucket_gets_a_hot_key():
     """Of a key that many documents have, a block sends one entry, and no bytes are asked for."""
-    monkeypatch.setattr(sd, "HOT_HERE", 5)
     texts = [t.encode() for _, t in with_a_line(160)[:200]]
     ends = np.cumsum([len(t) for t in texts])
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.append(0, ends)
-    own = sd.Entries(data, offsets, sd.LENGTH, sd.SEED)
+    own = sd.Entries(data, offsets, sd.LENGTH, sd.SEED, sd.Limits(hot_here=5))
     most = Counter(own.keys.tolist()).most_common(1)[0][1]
     assert most <= 5 and (own.flags >= 4).any()
     row = {"block": 0, "bucket": 0, "entries": np.arange(len(own.keys), dtype=np.int32).tobytes(), "keys": own.keys.tobytes(), "contents": own.contents.tobytes(), "flags": own.flags.tobytes()}
-    said = sd.judged([row, {**row, "block": 1}])
+    said = sd.judged([row, {**row, "block": 1}], 2048)
     sent = [np.frombuffer(r[5], np.uint8) for r in said]
     assert sum((x == sd.SPLIT).sum() for x in sent) == 2 * (own.flags >= 4).sum()
     assert sum(((x == sd.SEND) | (x == sd.SEND_WHOLE)).sum() for x in sent) <= len(own.keys)
 
 
+def shared_by_definition(rows, seed, each):
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    power = [pow(sd.P, j, 1 << 64) for j in range(seed)]
+    value = lambda x: sum(int(sd.BYTE[c]) * p for c, p in zip(x, power, strict=True)) % (1 << 64)
+    places = [(n, k, t[k : k + seed]) for n, (_, t) in enumerate(texts) for k in range(len(t) - seed + 1)]
+    known = {x: value(x) for _, _, x in places}
+    anchors = [(n, k, x) for n, k, x in places if (known[x] >> 33) % each == 0]
+    times = Counter(x for _, _, x in anchors)
+    covered = [set() for _ in texts]
+    for n, k, x in anchors:
+        if times[x] > 1:
+            covered[n].update(range(k, k + seed))
+    return sorted(((i, len(t), len(c)) for (i, t), c in zip(texts, covered, strict=True)), key=str)
+
+
+def test_shared_anchors(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 6_000)
+    rows = make_rows()[:60] + [(900, "z" * 130), (901, "z" * 127), (902, "only " * 30), (903, "q" + "only " * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_shared) for r in sd.remove_repeats(df, limits=sd.Limits(slice=500, each=5)).collect()), key=str)
+    want = shared_by_definition(rows, sd.SEED, 5)
+    assert got == want and sum(x[2] > 0 for x in want) > 10
+
+
 def test_no_rows(spark, tmp_path):
     assert run(spark, tmp_path, []) == []
