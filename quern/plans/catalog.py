@@ -7,6 +7,7 @@ one; without it, it is searched by words alone. Searches by vector take the rows
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..errors import EncryptedPdfError
-from ..functions.text import lexical_tokens, normalize_question, normalize_text
+from ..functions.text import TOKEN, lexical_tokens, normalize_question, normalize_text
 from ..operators import answer, chunking, containment, evaluate, fusion, lexical, rerank, retrieval, vector
-from ..sources import beir, documents, tables
+from ..sources import beir, documents, embedding, tables
 
 THRESHOLD = 0.75
 SWEEP = [*evaluate.CUTOFFS, 0.7, 0.75, 0.8]
@@ -215,6 +216,31 @@ def rerank_head(spark, d):
     return rerank.rerank_head(_candidates(spark, d), rerank.overlap_score(F.col("question"), F.col("text")), 10).select("query_id", "id", "rank")
 
 
+def overlap_model() -> Callable[[list[tuple[str, str]]], list[float]]:
+    """A stand-in for a cross-encoder: distinct tokens of the question that the text has."""
+    tokens = lambda t: set(re.findall(TOKEN, (t or "").lower()))
+    return lambda pairs: [float(len(tokens(q) & tokens(t))) for q, t in pairs]
+
+
+def rerank_model(spark, d):
+    return rerank.rerank(_candidates(spark, d), rerank.scorer(overlap_model)(F.col("question"), F.col("text")), 10).select("query_id", "id", "rank", "rerank_score")
+
+
+def counting_client() -> Callable[[list[str]], list[list[float]]]:
+    """A stand-in for an embedding model: characters, words and letters e."""
+    return lambda texts: [[float(len(t)), float(len(t.split())), float(t.count("e"))] for t in texts]
+
+
+def embed_chunks(spark, d):
+    rows = embedding.embedded(document_chunks(spark, d), counting_client, 16)
+    return rows.select("document_id", "page_number", "chunk_index", *(F.get("embedding", F.lit(k)).cast("double").alias(f"v{k}") for k in range(3)))
+
+
+def chat_answers(spark, d):
+    """Prompts to a stand-in for a chat model."""
+    return answer.answered(questions(spark, d).withColumnRenamed("text", "prompt"), lambda: lambda p: f" {len(p)} [S1] {p[:9]}\n")
+
+
 def _metrics(spark, d):
     return evaluate.per_query(_hybrid(spark, d, top_k=100, depth=100), judgements(spark, d))
 
@@ -385,6 +411,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ask_questions": ask_questions,
     "rerank": reranked,
     "rerank_head": rerank_head,
+    "rerank_model": rerank_model,
+    "embed_chunks": embed_chunks,
+    "chat_answers": chat_answers,
     "eval_ndcg": eval_ndcg,
     "eval_recall": eval_recall,
     "eval_mrr": eval_mrr,

@@ -130,6 +130,9 @@ said AS (SELECT query_id, n, 'of ' || ({len(PROMPT)} + length(context) + 12 + le
 cites AS (SELECT query_id, string_agg('S' || rank || ':d' || id || ':' || (id % 3 + 1), ',' ORDER BY CASE rank WHEN 2 THEN 0 ELSE 1 END) AS citations FROM hybrid WHERE rank IN (1, 2) GROUP BY query_id)
 SELECT a.query_id, coalesce(answer, '{REFUSAL.replace("'", "''")}') AS answer, coalesce(n, 0) AS n_sources, coalesce(citations, '') AS citations FROM asked a LEFT JOIN said USING (query_id) LEFT JOIN cites USING (query_id)""",
     "rerank": f"WITH {PAIRS}, r AS (SELECT query_id, id, s AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS rank FROM pairs) SELECT query_id, id, rank, rerank_score FROM r WHERE rank <= 10",
+    "rerank_model": f"WITH {PAIRS}, r AS (SELECT query_id, id, s AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS rank FROM pairs) SELECT query_id, id, rank, rerank_score FROM r WHERE rank <= 10",
+    "embed_chunks": f"WITH {TURNS}, {NORMAL_PAGES}, {cut('clean', 40, 8)} SELECT document_id, page_number, chunk_index, CAST(length(text) AS DOUBLE) AS v0, CAST(len(regexp_extract_all(text, '\\S+')) AS DOUBLE) AS v1, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS v2 FROM cut",
+    "chat_answers": "SELECT item_id AS query_id, regexp_replace(length(text) || ' [S1] ' || substr(text, 1, 9), '\\s+$', '') AS answer FROM benchmark",
     "rerank_head": f"WITH {PAIRS} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank > 10, CASE WHEN rank <= 10 THEN s END DESC, rank) AS rank FROM pairs",
     "eval_ndcg": f"WITH {hybrid(100, 100)}, {metrics('hybrid')} SELECT query_id, round(ndcg10, 6) AS ndcg10 FROM m",
     "eval_recall": f"WITH {hybrid(100, 100)}, {metrics('hybrid')} SELECT query_id, round(recall10, 6) AS recall10, round(recall100, 6) AS recall100 FROM m",
