@@ -24,3 +24,18 @@ def test_no_rows(spark):
     assert uf.judge(empty, spark.createDataFrame([], "page_id long, bad boolean")).count() == 0
     one = spark.createDataFrame([(1, "http://a.io/b")], "page_id long, url string")
     assert [r.verdict for r in uf.judge(one, spark.createDataFrame([], "page_id long, bad boolean")).collect()] == ["allow"]
+
+
+def test_very_long_urls(spark):
+    """A path of a hundred thousand segments, and one of a megabyte: beyond the depth they are one wildcard."""
+    pages = [(1, "http://a.io/" + "x/" * 100_000), (2, "http://a.io/" + "y" * 1_000_000 + "?q"), (3, "http://a.io/" + "x/" * 100_000), (4, "http://" + "h." * 50_000 + "net/z")]
+    got = uf.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([(1, True), (3, True), (2, False)], "page_id long, bad boolean"))
+    got = sorted((tuple(r)[:5] for r in got.collect()), key=str)
+    assert got == sorted(uf.brute_force(pages, [(1, True), (3, True), (2, False)]), key=str)
+    assert {r[0]: (len(r[2]), r[4]) for r in got if r[0] in (1, 4)} == {1: (200_001, "block"), 4: (2, "block")}
+
+
+def test_labels_from_pages(spark):
+    rows = [(1, "http://a.io/x", "plain"), (2, "http://my-casino.io/x", "plain"), (3, "http://a.io/y", "### " * 11), (4, "http://a.io/z", "### $$$ " * 5), (5, "http://a.io/z", None), (6, None, None)]
+    got = {r.page_id: r.bad for r in uf.page_labels(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: False, 2: True, 3: True, 4: False, 5: None, 6: None}
