@@ -21,15 +21,21 @@ from .common import prepare
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 
 
+def spread(total: int, size: int, parts: int) -> int:
+    """How many pieces of about ``size`` bytes; of a small input, smaller ones, so that each partition can have one."""
+    return max(1, math.ceil(total / size), min(parts, math.ceil(total / (size // 8))))
+
+
 def deal(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, int]:
     """(key, text, block) dealt by block, and the number of buckets. Null texts are empty."""
     spark = prepare(docs.sparkSession)
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / BLOCK_BYTES))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks, buckets = spread(total, BLOCK_BYTES, parts), spread(total, BUCKET_BYTES, parts)
+    parts = max(parts, blocks)
     text = F.coalesce("text", F.lit(""))
     dealt = docs.select(key, text.alias("text"), F.pmod(F.xxhash64(key, text), F.lit(blocks)).cast("int").alias("block")).repartition(parts, "block")
-    return dealt, max(1, math.ceil(total / BUCKET_BYTES))
+    return dealt, buckets
 
 
 def cut(keys: np.ndarray, buckets: int) -> list[np.ndarray]:

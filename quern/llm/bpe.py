@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -27,6 +26,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import spread
 from .common import calm, prepare, table, texts_of
 from .pretokens import Pieces, cutter, distinct, plain
 
@@ -159,8 +159,8 @@ def assembled(docs: DataFrame, form: Callable[[list[np.ndarray]], list[pa.Array]
     """``key`` and what ``form(ids of each text)`` makes of each block: arrays by the columns of ``schema``."""
     spark = prepare(docs.sparkSession)
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, buckets = (max(1, math.ceil(total / x)) for x in (BLOCK_BYTES, BUCKET_BYTES))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks, buckets = (spread(total, x, parts) for x in (BLOCK_BYTES, BUCKET_BYTES))
     kind = docs.schema[key].dataType.simpleString()
     dealt = docs.select(key, "text", F.pmod(F.xxhash64(key, "text"), F.lit(blocks)).cast("int").alias("block")).repartition(max(parts, blocks), "block")
 
