@@ -43,7 +43,7 @@ from .pretokens import Pieces, cutter, plain
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-SHARD_DOCS, SHARD_IDS, SELECT, CACHE = 1024, 2 << 20, 64, 1_000_000
+SHARD_DOCS, SHARD_IDS, SELECT, CACHE = 1024, 2 << 20, 64, 750_000
 RANGES, SAMPLED = 16_384, 32
 #: Up to so many files (1 MB of places), a broadcast brings them their starts; beyond it, a shuffle.
 BROADCAST_FILES = 40_000
@@ -55,7 +55,7 @@ class Encoder:
     """Ids by the tokenizers library, as 16-bit numbers where the vocabulary allows, else 32.
 
     Python sees each distinct piece of a batch once, and the library each pre-token of a new piece once while its ids
-    stay in the cache. Texts that cannot be cut, or that hold an added token of the library, go to it whole.
+    stay in the cache, which holds up to twice ``CACHE`` of them. Texts that cannot be cut, or that hold an added token of the library, go to it whole.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -65,7 +65,9 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cut = cutter(pattern)
+        # pieces used since the cache was last full, and those before: what is used again moves on, the rest goes
         self.known: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}
         vocabulary = self.library.get_vocab()
         self.kind = np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32
         self.blank = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -111,6 +113,11 @@ class Encoder:
         names = cut.keys.tolist()
         found = list(map(self.known.get, names))
         fresh = [k for k, x in enumerate(found) if x is None]
+        if fresh and self.older:
+            again = {k: x for k in fresh if (x := self.older.get(names[k])) is not None}
+            for k, x in again.items():
+                found[k] = self.known[names[k]] = x
+            fresh = [k for k in fresh if k not in again]
         if fresh:
             self._learn(names, cut, np.array(fresh))
             for k in fresh:
@@ -122,8 +129,8 @@ class Encoder:
         total = np.append(0, np.cumsum(own))
         ids = flat[np.repeat((np.cumsum(lengths) - lengths)[cut.place] - total[:-1], own) + np.arange(total[-1])].tobytes()
         bounds = (total[cut.bounds] * size).tolist()
-        if len(self.known) > CACHE:  # what the last batch used holds most of what is frequent
-            self.known = dict(zip(names, found, strict=True))
+        if len(self.known) > CACHE:
+            self.older, self.known = self.known, {}
         return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:

@@ -53,6 +53,18 @@ def test_many_rows_without_id_are_several_files(spark, tmp_path, monkeypatch):
     assert len(got) == 400 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:], strict=False))
 
 
+def test_a_full_cache_changes_no_ids(monkeypatch):
+    monkeypatch.setattr(tf, "CACHE", 50)
+    encoder = tf.Encoder(public_tokenizers.path(tf.TOKENIZER), public_tokenizers.PATTERN)
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdeéß", k=rng.randint(1, 9))) for _ in range(400)]
+    for _ in range(30):
+        texts = [" ".join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(8)]
+        want = [np.array(encoder.library.encode(t, add_special_tokens=False).ids, encoder.kind).tobytes() for t in texts]
+        assert encoder(texts) == want
+    assert len(encoder.known) < 500 and encoder.older
+
+
 def test_no_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert tf.op8_token_files(spark, str(tmp_path)).count() == 0
