@@ -21,7 +21,9 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -101,31 +103,32 @@ def told(p: Column) -> Column:
     return F.concat(p["level"].cast("string"), F.lit(":"), F.array_join(F.transform(p["hashes"], one), ":"))
 
 
-def ranged(docs: DataFrame, n: int, nulls: int) -> DataFrame:
+def ranged(docs: DataFrame, n: int, nulls: int, fan: int = 256) -> DataFrame:
     """``docs`` with the number of each row's range, ascending with (doc_id, hash of the text).
 
-    The binary search among the quantiles is a projection for each step: a function over an array would do, but Spark does
-    not see that two plans with one are the same, and would shuffle all texts once for each use.
+    A row's place among the quantiles is found by sorting its id into every ``fan``-th of them, and then into those up to
+    the next. The number is never null, or Spark would filter it in one of its uses and shuffle all texts for each.
     """
     count = min(RANGES, math.ceil(max(n - nulls, 1) / RANGE))
     at = [k / count for k in range(1, count)]
     bounds = sorted(int(x) for x in docs.approxQuantile("doc_id", at, 0.2 / count)) if at and n > nulls else []
-    some = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    several = sorted(Counter(bounds).items())  # a bound stands there once for each range that its id fills
+    ids, widths = [i for i, _ in several], [w for _, w in several]
+    before = [0, *itertools.accumulate(widths)]  # bounds below each of the ids, and all
     own = F.col("doc_id").cast("bigint")
-    # lo bounds are less than the row's id, hi are no more than it
-    out = docs.select("*", F.lit(0).alias("lo"), F.lit(0).alias("hi"))
-    for step in (1 << k for k in reversed(range(len(bounds).bit_length()))):
-        up = lambda c, step=step: F.col(c) + step
-        bound = lambda c, up=up: F.element_at(some, F.least(up(c), F.lit(len(bounds))))
-        lo = F.when((up("lo") <= len(bounds)) & (bound("lo") < own), up("lo")).otherwise(F.col("lo"))
-        hi = F.when((up("hi") <= len(bounds)) & (bound("hi") <= own), up("hi")).otherwise(F.col("hi"))
-        out = out.select(*docs.columns, lo.alias("lo"), hi.alias("hi"))
+
+    def constant(values: list[int]) -> Column:
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+    less = lambda some: F.array_position(F.sort_array(F.array_append(some, own)), own).cast("int") - 1
+    part = less(constant(ids[fan - 1 :: fan])) * fan
+    place = part + less(F.slice(constant(ids), part + 1, F.lit(fan)))
+    width = F.when(F.get(constant(ids), place) == own, F.get(constant(widths), place)).otherwise(F.lit(0)).cast("int")
     share = F.xxhash64("text") / F.lit(2.0**64) + 0.5
-    part = lambda width: F.least(width - 1, F.floor(share * width).cast("int"))
-    width = F.col("hi") - F.col("lo")
+    of = lambda width: F.least(width - 1, F.floor(share * width).cast("int"))
     free = F.lit(min(RANGES, math.ceil(max(nulls, 1) / RANGE)))
-    known = F.when(width > 1, F.col("lo") + 1 + part(width)).otherwise(F.col("hi"))
-    return out.select(*docs.columns, F.when(own.isNull(), part(free) - free).otherwise(known).cast("bigint").alias("range"))
+    known = F.get(constant(before), place) + F.when(width > 0, 1 + of(width)).otherwise(0)
+    return docs.withColumn("range", F.coalesce(F.when(own.isNull(), of(free) - free).otherwise(known).cast("bigint"), F.lit(0).cast("bigint")))
 
 
 def _next_range(ranges: DataFrame) -> DataFrame:
