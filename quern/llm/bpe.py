@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -160,7 +161,7 @@ def assembled(docs: DataFrame, form: Callable[[list[np.ndarray]], list[pa.Array]
     spark = prepare(docs.sparkSession)
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks, buckets = (spread(total, x, parts) for x in (BLOCK_BYTES, BUCKET_BYTES))
+    blocks, buckets = spread(total, BLOCK_BYTES, parts), max(1, math.ceil(total / BUCKET_BYTES))
     kind = docs.schema[key].dataType.simpleString()
     dealt = docs.select(key, "text", F.pmod(F.xxhash64(key, "text"), F.lit(blocks)).cast("int").alias("block")).repartition(max(parts, blocks), "block")
 
