@@ -103,11 +103,12 @@ def told(p: Column) -> Column:
     return F.concat(p["level"].cast("string"), F.lit(":"), F.array_join(F.transform(p["hashes"], one), ":"))
 
 
-def ranged(docs: DataFrame, n: int, nulls: int, fan: int = 256) -> DataFrame:
+def ranged(docs: DataFrame, n: int, nulls: int) -> DataFrame:
     """``docs`` with the number of each row's range, ascending with (doc_id, hash of the text).
 
-    A row's place among the quantiles is found by sorting its id into every ``fan``-th of them, and then into those up to
-    the next. The number is never null, or Spark would filter it in one of its uses and shuffle all texts for each.
+    A row's place among the quantiles is found by binary search, folded over the steps, so that the expression stays small
+    however many there are. The number is never null, or Spark would filter it in one of its uses and shuffle all texts
+    for each.
     """
     count = min(RANGES, math.ceil(max(n - nulls, 1) / RANGE))
     at = [k / count for k in range(1, count)]
@@ -120,15 +121,16 @@ def ranged(docs: DataFrame, n: int, nulls: int, fan: int = 256) -> DataFrame:
     def constant(values: list[int]) -> Column:
         return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
 
-    less = lambda some: F.array_position(F.sort_array(F.array_append(some, own)), own).cast("int") - 1
-    part = less(constant(ids[fan - 1 :: fan])) * fan
-    place = part + less(F.slice(constant(ids), part + 1, F.lit(fan)))
-    width = F.when(F.get(constant(ids), place) == own, F.get(constant(widths), place)).otherwise(F.lit(0)).cast("int")
+    steps = constant([1 << k for k in reversed(range(len(ids).bit_length()))])
+    up = lambda at, step: at + F.when(F.coalesce(F.get(constant(ids), (at + step - 1).cast("int")) < own, F.lit(False)), step).otherwise(F.lit(0))
+    place = F.aggregate(steps, F.lit(0).cast("bigint"), up).cast("int")  # how many ids are less than the row's
+    width = lambda at: F.coalesce(F.when(F.get(constant(ids), at) == own, F.get(constant(widths), at)), F.lit(0))
     share = F.xxhash64("text") / F.lit(2.0**64) + 0.5
-    of = lambda width: F.least(width - 1, F.floor(share * width).cast("int"))
+    of = lambda width: F.least(width - 1, F.floor(share * width))
+    inside = lambda at: _let(width(at), lambda w: F.get(constant(before), at) + F.when(w > 0, 1 + of(w)).otherwise(F.lit(0)))
     free = F.lit(min(RANGES, math.ceil(max(nulls, 1) / RANGE)))
-    known = F.get(constant(before), place) + F.when(width > 0, 1 + of(width)).otherwise(0)
-    return docs.withColumn("range", F.coalesce(F.when(own.isNull(), of(free) - free).otherwise(known).cast("bigint"), F.lit(0).cast("bigint")))
+    number = F.when(own.isNull(), of(free) - free).otherwise(_let(place, inside)).cast("bigint")
+    return docs.withColumn("range", F.coalesce(number, F.lit(0).cast("bigint")))
 
 
 def _next_range(ranges: DataFrame) -> DataFrame:
