@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, imatch, minhash, pii, substring_dedup, suffix_dedup, token_files, toxicity, url_filter
+from . import bpe, decontaminate, imatch, minhash, pii, prefix_trie, quality, substring_dedup, suffix_dedup, token_files, toxicity, url_filter, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": token_files.op8_token_files,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_minhash": minhash.op10_minhash,
+        "op11_whitening": whitening.op11_whitening,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_quality": quality.op13_quality,
     }
 
 
@@ -29,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_substring_dedup": substring_dedup.ORACLE_SQL,
         "op9_url_filter": url_filter.ORACLE_SQL,
         "op10_minhash": minhash.ORACLE_SQL,
+        "op12_prefix_trie": prefix_trie.ORACLE_SQL,
     }
