@@ -11,6 +11,7 @@ class EngineConfig:
     chunk_tokens: int = 450
     chunk_overlap: int = 75
     embedding_batch: int = 64
+    embedding_model: str = "unnamed"
     max_upload_mb: int = 25
     distance_threshold: float | None = None
     hybrid: bool = True
@@ -35,7 +36,7 @@ class EngineConfig:
             elif kind == "bool":
                 found[f.name] = raw.strip().lower() in ("1", "true", "yes", "on")
             else:
-                found[f.name] = {"int": int, "float": float}[kind](raw)
+                found[f.name] = {"int": int, "float": float, "str": str}[kind](raw)
         return cls(**found)
 
 

@@ -19,14 +19,18 @@ from .lexical import bm25, bm25_scoped
 from .rerank import rerank
 from .vector import nearest, within
 
+#: A search by words: questions (query_id, text[, owner]), how many, k1 and b to (query_id, id, score, rank).
+Words = Callable[[DataFrame, int, float, float], DataFrame]
+
 
 def depth_for(top_k: int, candidate_depth: int, deep: bool) -> int:
     """Candidates to look at: more than ``top_k`` only if fusion or reranking follows."""
     return max(candidate_depth, top_k) if deep else top_k
 
 
-def hybrid(corpus: DataFrame, questions: DataFrame, top_k: int = 5, depth: int = 50, k: int = 10, threshold: float | None = None, score: Column | None = None, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """(query_id, id, distance, score, rank[, rerank_score]), only of the question's scope if questions have one.
+def hybrid(corpus: DataFrame, questions: DataFrame, top_k: int = 5, depth: int = 50, k: int = 10, threshold: float | None = None, score: Column | None = None, k1: float = 0.9, b: float = 0.4, words: Words | None = None) -> DataFrame:
+    """(query_id, id, distance, score, rank[, rerank_score]), only of the question's scope if questions have one. ``words``
+    searches by words in place of a scan of the texts.
 
     The threshold applies to dense hits before fusion, so a document beyond it can come back through BM25; its distance
     is then null. ``score`` (of columns question and text) reranks the fused candidates.
@@ -35,8 +39,11 @@ def hybrid(corpus: DataFrame, questions: DataFrame, top_k: int = 5, depth: int =
     asked = questions.withColumn("text", normalize_question(F.col("text")))
     dense = within(nearest(corpus, asked, deep, scoped), threshold)
     texts = corpus.select("id", "text")
-    if scoped:
-        lexical = bm25_scoped(texts, asked.withColumnRenamed("scope", "owner"), corpus.select("id", "owner"), deep, k1, b)
+    owned = asked.withColumnRenamed("scope", "owner") if scoped else asked
+    if words is not None:
+        lexical = words(owned, deep, k1, b)
+    elif scoped:
+        lexical = bm25_scoped(texts, owned, corpus.select("id", "owner"), deep, k1, b)
     else:
         lexical = bm25(texts, asked, deep, k1, b)
     out = fuse([dense, lexical], k, deep if score is not None else top_k, ("distance",))
@@ -55,14 +62,14 @@ def dense_only(corpus: DataFrame, questions: DataFrame, top_k: int = 5, threshol
     return found if score is None else _reranked(found, corpus.select("id", "text"), asked, score, top_k).select("query_id", "id", "distance", "rank", "rerank_score")
 
 
-def search(corpus: DataFrame, questions: DataFrame, config: EngineConfig, top_k: int = 5, score: Column | None = None) -> DataFrame:
+def search(corpus: DataFrame, questions: DataFrame, config: EngineConfig, top_k: int = 5, score: Column | None = None, words: Words | None = None) -> DataFrame:
     """(query_id, id, distance, score, rerank_score, rank) as the settings want it: fused or dense alone, cut by distance or
     not, reranked or not (``score`` is needed for that). What a way of searching lacks is null."""
     if config.rerank and score is None:
         raise ValueError("reranking needs a score")
     score = score if config.rerank else None
     if config.hybrid:
-        found = hybrid(corpus, questions, top_k, config.candidate_depth, config.rrf_k, config.distance_threshold, score, config.k1, config.b)
+        found = hybrid(corpus, questions, top_k, config.candidate_depth, config.rrf_k, config.distance_threshold, score, config.k1, config.b, words)
     else:
         found = dense_only(corpus, questions, top_k, config.distance_threshold, config.candidate_depth, score).withColumn("score", F.lit(None).cast("double"))
     if score is None:
@@ -77,7 +84,7 @@ def prompt(question: Column, context: Column) -> Column:
     return F.concat(F.lit(LEAD), context, F.lit("\n\nQuestion: "), question)
 
 
-def ask(corpus: DataFrame, questions: DataFrame, reply: Callable[[Column], Column], config: EngineConfig | None = None, top_k: int = 5, score: Column | None = None) -> DataFrame:
+def ask(corpus: DataFrame, questions: DataFrame, reply: Callable[[Column], Column], config: EngineConfig | None = None, top_k: int = 5, score: Column | None = None, words: Words | None = None) -> DataFrame:
     """(query_id, answer, n_sources, citations) of every question: search, evidence, model, citations.
 
     The corpus has document_id and page_number besides. ``reply`` makes an answer of a prompt, such as ``answer.chat`` with
@@ -85,7 +92,7 @@ def ask(corpus: DataFrame, questions: DataFrame, reply: Callable[[Column], Colum
     are. Without evidence no model is asked, and the answer is the refusal.
     """
     asked = questions.withColumn("text", normalize_question(F.col("text")))
-    found = search(corpus, asked, config or EngineConfig(), top_k, score).select("query_id", "id", "rank")
+    found = search(corpus, asked, config or EngineConfig(), top_k, score, words).select("query_id", "id", "rank")
     sources = found.join(corpus.select("id", "document_id", "page_number", "text"), "id")
     given = contexts(sources, ("id", "document_id", "page_number")).join(asked.select("query_id", "text"), "query_id")
     answers = given.select("query_id", "n_sources", "sources", reply(prompt(F.col("text"), F.col("context"))).alias("answer"))

@@ -14,8 +14,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..errors import EmbeddingError
 
@@ -31,7 +34,7 @@ def _passes(queries: DataFrame) -> Iterator[list[tuple]]:
     def block() -> tuple:
         if len({len(r.vector) for r in rows}) > 1:
             raise EmbeddingError("query vectors must have one size")
-        return np.array([r.query_id for r in rows], np.int64), np.array([r.vector for r in rows], np.float64), np.array([r.scope for r in rows], object)
+        return [r.query_id for r in rows], np.array([r.vector for r in rows], np.float64), np.array([r.scope for r in rows], object)
 
     for r in queries.where("vector is not null").toLocalIterator():
         rows.append(r)
@@ -64,21 +67,22 @@ def _least(far: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, scoped: bool = False) -> DataFrame:
     """(query_id, id, distance, rank), distances rounded to 9 digits, ties by id.
 
-    vectors: (id, vector[, owner]); queries: (query_id, vector[, scope]). With ``scoped``, only rows whose owner is the
-    query's scope count; a null scope is no restriction.
+    vectors: (id, vector[, owner]); queries: (query_id, vector[, scope]). Ids are of any type that can be ordered. With
+    ``scoped``, only rows whose owner is the query's scope count; a null scope is no restriction.
     """
     spark = vectors.sparkSession
     scope = F.col("scope") if "scope" in queries.columns else F.lit(None)
     owner = F.col("owner") if scoped else F.lit(None)
-    rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), owner.cast("string").alias("owner")).where("vector is not null")
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"), scope.cast("string").alias("scope"))
-    schema = "query_id bigint, id bigint, distance double"
+    rows = vectors.select("id", F.col("vector").cast("array<double>").alias("vector"), owner.cast("string").alias("owner")).where("vector is not null")
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), scope.cast("string").alias("scope"))
+    schema = StructType([asked.schema["query_id"], rows.schema["id"], StructField("distance", DoubleType())])
+    of_query, of_row = (to_arrow_type(schema[c].dataType) for c in ("query_id", "id"))
 
     def search(blocks: list[tuple]) -> DataFrame:
         carried = spark.sparkContext.broadcast(blocks)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            asked = [(ids, q, np.sqrt((q * q).sum(axis=1)), scopes, np.array([s is not None for s in scopes])) for ids, q, scopes in carried.value]
+            asked = [(pa.array(ids, of_query), q, np.sqrt((q * q).sum(axis=1)), scopes, np.array([s is not None for s in scopes])) for ids, q, scopes in carried.value]
             for whole in batches:
                 for at in range(0, whole.num_rows, ROWS):
                     b = whole.slice(at, ROWS)
@@ -87,7 +91,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, scoped: bool =
                     if len(sizes) > 1 or any(q.shape[1] != sizes[0] for _, q, _, _, _ in asked):
                         raise EmbeddingError("vectors must have one size, that of the query vectors")
                     m = flat.reshape(b.num_rows, -1)
-                    norm, own = np.sqrt((m * m).sum(axis=1)), b.column("id").to_numpy()
+                    norm, ids_here = np.sqrt((m * m).sum(axis=1)), b.column("id")
+                    # the place of each row's id among the batch's, null first as Spark sorts
+                    own = np.empty(b.num_rows, np.int64)
+                    own[pc.sort_indices(ids_here, null_placement="at_start").to_numpy()] = np.arange(b.num_rows)
                     owners = np.array(b.column("owner").to_pylist(), object) if scoped else None
                     for ids, q, q_norm, scopes, bound in asked:
                         with np.errstate(invalid="ignore", divide="ignore"):
@@ -96,7 +103,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, scoped: bool =
                             far[(scopes[:, None] != owners) & bound[:, None]] = np.nan
                         row, column = _least(far, own, k)
                         if len(row):
-                            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(own[column]), pa.array(far[row, column])], names=["query_id", "id", "distance"])
+                            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), ids_here.take(pa.array(column)).cast(of_row), pa.array(far[row, column])], names=["query_id", "id", "distance"])
 
         return rows.mapInArrow(run, schema)
 

@@ -17,6 +17,8 @@ from ..config import EngineConfig
 from ..errors import EncryptedPdfError
 from ..functions.text import TOKEN, lexical_tokens, normalize_question, normalize_text
 from ..operators import answer, chunking, containment, evaluate, fusion, lexical, rerank, retrieval, vector
+from ..operators.postings import PostingIndex
+from ..session import workspace
 from ..sources import beir, documents, embedding, tables
 
 THRESHOLD = 0.75
@@ -127,6 +129,25 @@ def bm25_scoped(spark, d):
     return lexical.bm25_scoped(docs(spark, d), own, owners, 10).withColumn("score", F.round("score", 6))
 
 
+def bm25_indexed(spark, d):
+    """The same search in an index that is built and kept."""
+    index = PostingIndex(spark, workspace(spark, "index"))
+    index.build(docs(spark, d))
+    return index.search(questions(spark, d), 10).withColumn("score", F.round("score", 6))
+
+
+def bm25_index_refreshed(spark, d):
+    """A search after a refresh: of the documents that are toxic, other texts; those of low quality are gone."""
+    index = PostingIndex(spark, workspace(spark, "index"))
+    index.build(docs(spark, d))
+    labels = _table(spark, d, "labels")
+    gone = labels.where("quality = 0").select("doc_id").distinct()
+    other = labels.where("toxic = 1").select("doc_id").distinct().join(gone, "doc_id", "left_anti")
+    fresh = docs(spark, d).join(other.select(F.col("doc_id").alias("id")), "id", "left_semi").withColumn("text", F.concat(F.substring("text", 1, 40), F.lit(" again "), F.substring("text", 1, 40)))
+    index.update(fresh, other.unionByName(gone).select(F.col("doc_id").alias("document_id")))
+    return index.search(questions(spark, d), 10).withColumn("score", F.round("score", 6))
+
+
 def dense_knn(spark, d):
     return vector.nearest(vectors(spark, d), query_vectors(spark, d), 10).withColumn("distance", F.round("distance", 6))
 
@@ -396,6 +417,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "index_stats": index_stats,
     "bm25_search": bm25_search,
     "bm25_scoped": bm25_scoped,
+    "bm25_indexed": bm25_indexed,
+    "bm25_index_refreshed": bm25_index_refreshed,
     "dense_knn": dense_knn,
     "dense_knn_scoped": dense_knn_scoped,
     "distance_threshold": distance_threshold,

@@ -105,6 +105,10 @@ ORACLE_SQL: dict[str, str] = {
     "document_frequency": f"WITH {DOCS}, {QUESTIONS}, {BM25} SELECT token, df, round(idf, 9) AS idf FROM idf",
     "index_stats": f"WITH {DOCS}, {QUESTIONS}, {BM25} SELECT n AS n_docs, round(avgdl, 9) AS avgdl FROM stat",
     "bm25_search": f"WITH {DOCS}, {QUESTIONS}, {BM25} SELECT query_id, id, round(score, 6) AS score, rank FROM lex WHERE rank <= 10",
+    "bm25_indexed": f"WITH {DOCS}, {QUESTIONS}, {BM25} SELECT query_id, id, round(score, 6) AS score, rank FROM lex WHERE rank <= 10",
+    "bm25_index_refreshed": f"""WITH bad AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0), toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+docs AS (SELECT doc_id AS id, CASE WHEN doc_id IN (SELECT doc_id FROM toxic) THEN text[1:40] || ' again ' || text[1:40] ELSE text END AS text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM bad)),
+{QUESTIONS}, {BM25} SELECT query_id, id, round(score, 6) AS score, rank FROM lex WHERE rank <= 10""",
     "bm25_scoped": f"""WITH {DOCS}, {QUESTIONS}, {BM25}, own AS (SELECT s.* FROM scores s JOIN documents d ON d.doc_id = s.id AND d.source = 'src' || (s.query_id % 20)),
 r AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos, id) AS rank FROM own) SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""",
     "dense_knn": f"WITH {EMBEDDED}, {DENSE} SELECT query_id, id, round(distance, 6) AS distance, rank FROM dense WHERE rank <= 10",

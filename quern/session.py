@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -20,3 +23,17 @@ def sound(spark: SparkSession) -> SparkSession:
     if ROOT not in path.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, path]))
     return spark
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, in ``spark.checkpoint.dir``; where that is unset and all tasks run in
+    the driver's process (tests), a local one. It goes when the driver's JVM ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='quern-')}"
+    path = f"{base.rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path

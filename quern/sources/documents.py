@@ -1,16 +1,14 @@
-"""Uploads, pages and the versioned table of chunks."""
+"""Uploads, pages and chunks. The table that keeps chunks is in ``store``."""
 
 from __future__ import annotations
 
-import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import EmbeddingError, EncryptedPdfError, MissingDocumentError, VectorStoreError
+from ..errors import EncryptedPdfError, MissingDocumentError
 from ..functions.text import normalize_text, stripped
 from ..operators.chunking import chunk_id, chunks
 
@@ -111,6 +109,13 @@ def document_chunks(pages: DataFrame, max_tokens: int = 450, overlap: int = 75)
     return chunks(scanned.withColumn("text", normalize_text(F.col("text"))), max_tokens, overlap)
 
 
+def extracted_chunks(rows: DataFrame, max_tokens: int = 450, overlap: int = 75) -> DataFrame:
+    """``document_chunks`` of what ``extraction`` gives, in one pass: rows with a reject_reason stay as they are."""
+    reason = F.col("reject_reason")
+    text = F.when(reason.isNull(), normalize_text(stripped(F.coalesce("text", F.lit("")))))
+    return chunks(rows.select("document_id", "page_number", text.alias("text"), "reject_reason"), max_tokens, overlap, reason.isNotNull()).withColumn("chunk_index", F.when(reason.isNull(), F.col("chunk_index")))
+
+
 def missing(requested: DataFrame, stored: DataFrame) -> DataFrame:
     """Requested document_ids that no stored row has."""
     return requested.select("document_id").distinct().join(stored.select("document_id"), "document_id", "left_anti")
@@ -126,94 +131,6 @@ def replaced(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return stored.join(fresh.select("document_id").distinct(), "document_id", "left_anti").unionByName(fresh)
 
 
-class ChunkStore:
-    """Versions of the chunk table as folders of Parquet; readers see whole versions, so a replacement is atomic.
-
-    ``CURRENT`` names the versions, the last of which counts; it is written last, through Spark's file system, so any
-    shared storage will do. A replacement starts from one version and fails if another writer has made a newer one
-    meanwhile. Versions stay for readers that have begun with them until ``clean`` removes the old ones.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _path(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def find_version(self) -> str | None:
-        """The current version, or None where nothing has been written. Any failure to read it is an error."""
-        files, path = self._path("CURRENT")
-        if not files.exists(path):
-            return None
-        row = self.spark.read.text(f"{self.root}/CURRENT").agg(F.max("value").alias("value")).first()
-        if row.value is None:
-            raise VectorStoreError("the name of the current version is lost")
-        return row.value
-
-    def version(self) -> str:
-        if (found := self.find_version()) is None:
-            raise VectorStoreError("nothing is indexed yet")
-        return found
-
-    def read(self) -> DataFrame:
-        """(document_id, page_number, chunk_index, text, token_count, embedding, ...)."""
-        return self.spark.read.parquet(f"{self.root}/{self.version()}")
-
-    def changed(self, since: str | None) -> bool:
-        """Whether there is another version than the one that a reader knows: what was derived from it is stale."""
-        return self.find_version() != since
-
-    def all_chunks(self) -> DataFrame:
-        """Every chunk with its id and without its vector, which the scan leaves out."""
-        return all_chunks(self.read())
-
-    def write(self, rows: DataFrame, after: str | None = None) -> str:
-        """A new version, provided that ``after`` is still the current one. Names order by time."""
-        name = f"v{max(time.time_ns(), int(after[1:21]) + 1 if after else 0):020d}-{uuid.uuid4().hex[:8]}"
-        rows.write.parquet(f"{self.root}/{name}")
-        if self.find_version() != after:
-            files, path = self._path(name)
-            files.delete(path, True)
-            raise VectorStoreError("another writer has changed the table; replace again")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/CURRENT")
-        return name
-
-    def replace(self, fresh: DataFrame) -> str:
-        """Exchange the documents in ``fresh``; the first call makes the table. Chunks without a vector, or with one of
-        another size than the others', are an error before anything is written."""
-        base = self.find_version()
-        stored = None if base is None else self.spark.read.parquet(f"{self.root}/{base}")
-        check_vectors(fresh, stored)
-        return self.write(fresh if stored is None else replaced(stored, fresh), base)
-
-    def clean(self, keep: int = 2) -> list[str]:
-        """Delete all but the ``keep`` newest versions; the names of those that went."""
-        files, path = self._path("")
-        current = self.version()
-        names = sorted((f.getPath().getName() for f in files.listStatus(path) if f.isDirectory() and f.getPath().getName().startswith("v")), reverse=True)
-        gone = [n for n in names if n <= current][max(1, keep) :]
-        for name in gone:
-            files.delete(self._path(name)[1], True)
-        return gone
-
-
-def check_vectors(fresh: DataFrame, stored: DataFrame | None = None) -> None:
-    """Every chunk has a vector, all of one size above zero, that of the stored ones; tables without vectors pass."""
-    if "embedding" not in fresh.columns:
-        return
-    size = F.coalesce(F.size("embedding"), F.lit(-1))
-    got = fresh.agg(F.min(size).alias("least"), F.max(size).alias("most")).first()
-    if got.least is None:
-        return
-    if got.least < 1 or got.least != got.most:
-        raise EmbeddingError("each chunk needs a vector, all of one size above zero")
-    if stored is not None and "embedding" in stored.columns:
-        known = stored.where("embedding is not null").select(F.size("embedding").alias("n")).first()
-        if known is not None and known.n != got.most:
-            raise EmbeddingError(f"vectors have {got.most} numbers, the stored ones {known.n}")
-
-
 def all_chunks(stored: DataFrame) -> DataFrame:
     return stored.select(chunk_id().alias("chunk_id"), "document_id", "page_number", "chunk_index", "text", F.lit(None).cast("double").alias("distance"))
 

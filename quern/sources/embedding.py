@@ -26,14 +26,18 @@ def embed_texts(client: Callable[[list[str]], list[list[float]]], texts: list[st
 
 
 def embedded(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], batch_size: int = 64, text: str = "text") -> DataFrame:
-    """``rows`` with ``embedding``; the client is made once a task, and only if it has rows."""
+    """``rows`` with ``embedding``; the client is made once a task, and only if it has texts. A null text has none."""
     kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = None
         for frame in frames:
-            if len(frame) and client is None:
+            told = frame[text].notna()
+            if client is None and told.any():
                 client = load()
-            yield frame.assign(embedding=embed_texts(client, list(frame[text]), batch_size))
+            vectors = pd.Series([None] * len(frame), index=frame.index, dtype=object)
+            if told.any():
+                vectors[told] = pd.Series(embed_texts(client, list(frame.loc[told, text]), batch_size), index=frame.index[told], dtype=object)
+            yield frame.assign(embedding=vectors)
 
     return rows.mapInPandas(run, f"{kinds}, embedding array<float>")

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.documents import ChunkStore, document_chunks, extraction
-from ..sources.embedding import embedded
+from ..sources.indexing import fresh_chunks
+from ..sources.store import ChunkStore
 
 
 def ingest_stream(spark: SparkSession, folder: str, store: ChunkStore, checkpoint: str, load_extractor: Callable, load_client: Callable, max_tokens: int = 450, overlap: int = 75) -> StreamingQuery:
@@ -20,16 +20,7 @@ def ingest_stream(spark: SparkSession, folder: str, store: ChunkStore, checkpoin
     named = files.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("document_id"), "content")
 
     def put(batch: DataFrame, number: int) -> None:
-        # pages and vectors are made once, although the checks and the table both read them
-        pages = extraction(batch, load_extractor).persist()
-        try:
-            pages.where("reject_reason is not null").select("document_id", "reject_reason").write.mode("overwrite").parquet(f"{store.root}/rejects/batch={number}")
-            fresh = embedded(document_chunks(pages.where("reject_reason is null"), max_tokens, overlap), load_client).persist()
-            try:
-                store.replace(fresh)
-            finally:
-                fresh.unpersist()
-        finally:
-            pages.unpersist()
+        made = store.replace(fresh_chunks(batch, load_extractor, load_client, max_tokens, overlap))
+        store.rejects(made).write.mode("overwrite").parquet(f"{store.root}/rejects/batch={number}")
 
     return named.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

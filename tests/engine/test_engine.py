@@ -5,7 +5,7 @@ import pytest
 from quern.config import EngineConfig
 from quern.engine import Engine, responses
 from quern.errors import VectorStoreError
-from quern.sources.documents import ChunkStore
+from quern.sources.store import ChunkStore
 
 # functions that tasks can have, as they cannot import this module
 client = lambda: lambda texts: [[1.0 + t.count("a"), 1.0 + t.count("e")] for t in texts]

@@ -2,6 +2,7 @@ import pytest
 
 from quern.errors import EmbeddingError, MissingDocumentError, VectorStoreError
 from quern.sources import beir, documents, embedding
+from quern.sources.store import ChunkStore
 from quern.streaming.ingest import ingest_stream
 
 
@@ -80,7 +81,7 @@ def test_missing(spark):
 
 
 def test_store_replaces_whole_documents(spark, tmp_path):
-    store = documents.ChunkStore(spark, str(tmp_path / "chunks"))
+    store = ChunkStore(spark, str(tmp_path / "chunks"))
     with pytest.raises(VectorStoreError):
         store.read()
     rows = lambda *x: spark.createDataFrame([(d, 1, k, t, 1, [1.0]) for d, k, t in x], "document_id string, page_number int, chunk_index int, text string, token_count int, embedding array<float>")
@@ -96,24 +97,24 @@ CHUNKS = "document_id string, page_number int, chunk_index int, text string, tok
 
 def test_a_failing_read_loses_no_documents(spark, tmp_path):
     """Only a table that is not there is empty; a damaged one is an error, and nothing is written."""
-    store = documents.ChunkStore(spark, str(tmp_path / "chunks"))
+    store = ChunkStore(spark, str(tmp_path / "chunks"))
     rows = lambda d, v=(1.0,): spark.createDataFrame([(d, 1, 0, d, 1, None if v is None else list(v))], CHUNKS)
     store.replace(rows("a"))
-    (current,) = (p for p in (tmp_path / "chunks" / "CURRENT").iterdir() if p.suffix == ".txt" and p.stat().st_size)
-    name = current.read_text()
-    for p in (tmp_path / "chunks" / "CURRENT").iterdir():
-        p.unlink()
-    with pytest.raises(Exception, match="lost"):
-        store.replace(rows("b"))
-    (tmp_path / "chunks" / "CURRENT" / "part-0.txt").write_text("v-that-is-not-there\n")
+    (log,) = (tmp_path / "chunks" / "log").glob("*.json")
+    whole = log.read_text()
+    for damaged in ("", whole[: len(whole) // 2], "{}"):
+        log.write_text(damaged)
+        with pytest.raises(VectorStoreError, match="lost"):
+            store.replace(rows("b"))
+    log.write_text(whole.replace("data/", "data/not-there-"))
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
-        store.replace(rows("b"))
-    (tmp_path / "chunks" / "CURRENT" / "part-0.txt").write_text(name)
-    assert [r.document_id for r in store.read().collect()] == ["a"] and len([p for p in (tmp_path / "chunks").iterdir() if p.name[0] == "v"]) == 1
+        store.read()
+    log.write_text(whole)
+    assert [r.document_id for r in store.read().collect()] == ["a"] and len(list((tmp_path / "chunks" / "data").iterdir())) == 1
 
 
 def test_replacement_is_checked_before_it_is_written(spark, tmp_path):
-    store = documents.ChunkStore(spark, str(tmp_path / "chunks"))
+    store = ChunkStore(spark, str(tmp_path / "chunks"))
     rows = lambda *x: spark.createDataFrame([(d, 1, 0, d, 1, v) for d, v in x], CHUNKS)
     for bad in (rows(("a", None)), rows(("a", [])), rows(("a", [1.0]), ("b", [1.0, 2.0])), rows(("a", [1.0]), ("b", None))):
         with pytest.raises(EmbeddingError):
@@ -126,7 +127,7 @@ def test_replacement_is_checked_before_it_is_written(spark, tmp_path):
 
 
 def test_two_writers_and_old_versions(spark, tmp_path):
-    store = documents.ChunkStore(spark, str(tmp_path / "chunks"))
+    store = ChunkStore(spark, str(tmp_path / "chunks"))
     rows = lambda d: spark.createDataFrame([(d, 1, 0, d, 1, [1.0])], CHUNKS)
     first = store.replace(rows("a"))
     assert not store.changed(first)
@@ -175,7 +176,7 @@ def test_benchmark_files(spark, tmp_path):
 
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    store = documents.ChunkStore(spark, str(tmp_path / "store"))
+    store = ChunkStore(spark, str(tmp_path / "store"))
     run = lambda: ingest_stream(spark, str(tmp_path / "in"), store, str(tmp_path / "ck"), extractor, client, 2, 0).awaitTermination()
     (tmp_path / "in" / "a.pdf").write_bytes(b"%PDF-one two three")
     run()
