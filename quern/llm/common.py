@@ -157,5 +157,13 @@ def bytes_of(column: pa.Array):
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def free_name(columns: list[str], wanted: str) -> str:
+    """A name like ``wanted`` that none of these columns has; Spark tells no case apart."""
+    taken, n = {c.lower() for c in columns}, 0
+    while (name := f"{wanted}{n or ''}").lower() in taken:
+        n += 1
+    return name
+
+
 def text_column(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

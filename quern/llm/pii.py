@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_arrow, table, texts_of
+from .common import free_name, map_arrow, table, texts_of
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "phone_local", "secret")
@@ -140,7 +140,7 @@ def drawn(run: str) -> bool:
 def secrets(text: str):
     for m in SECRET.finditer(text):
         run = m.group()
-        yield "secret", *m.span(), KNOWN if PREFIX.match(run) else drawn(run[:256])
+        yield "secret", *m.span(), KNOWN if PREFIX.match(run) else drawn(run)
 
 
 def spans(text: str) -> list[tuple[str, int, int, float]]:
@@ -199,7 +199,7 @@ def _mapped(df: DataFrame, columns: list[str], f: Callable[[str], tuple], schema
         made = [f(x) for x in texts_of(batch.column(len(columns)))]
         return pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *(pa.array(x) for x in zip(*made, strict=True))], names=[*columns, *names])
 
-    return map_arrow(df.select(*columns, df["text"].alias("_text")), run, f"{kept}, {schema.replace(';', ',')}")
+    return map_arrow(df.select(*columns, df["text"].alias(free_name(columns, "_text"))), run, f"{kept}, {schema.replace(';', ',')}")
 
 
 def detect(df: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -223,8 +223,9 @@ def redacted(df: DataFrame) -> DataFrame:
 
     names = df.columns
     rest = [c for c in names if c not in ("text", "n_chars")]
-    out = _mapped(df, [*rest, "text"], lambda t: (redact(t, spans(t)),), "_redacted string")
-    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("_redacted")))
+    made = free_name(names, "_redacted")
+    out = _mapped(df, [*rest, "text"], lambda t: (redact(t, spans(t)),), f"{made} string")
+    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.col(made)))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))
     return out.select(*names)

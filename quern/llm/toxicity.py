@@ -10,7 +10,7 @@ A text is cut into windows of ``WINDOW`` words. The bytes that the toxic diction
 three features (the most saved in a window, the number and the share of windows that save ``SAVED`` bytes or more). A
 logistic curve calibrates them on the other part of the sample, which no dictionary has seen; 0.5 is its threshold.
 
-The sample is bounded: at most ``SAMPLE`` labelled documents, drawn by a hash of the id, of at most ``SAMPLE_CHARS``
+The sample is bounded: at most ``SAMPLE`` labelled rows, drawn by a hash of the id, of at most ``SAMPLE_CHARS``
 characters together. Where their texts have more, none is left out: the longest give windows spread over the whole text
 instead, as many as their equal share of the characters holds, cut before they leave their tasks. Everything else
 covers all windows of all whole texts.
@@ -167,6 +167,8 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     rows = docs.join(F.broadcast(drawn), "doc_id").select(F.xxhash64("doc_id").alias("h"), F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    # repeated rows of the ids drawn do not lift the bound
+    rows = rows.orderBy("h", F.xxhash64("text")).limit(SAMPLE)
     share = share_of([r.n for r in rows.select(F.length("text").alias("n")).collect()], SAMPLE_CHARS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

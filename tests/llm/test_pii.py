@@ -96,3 +96,15 @@ def test_ibans_of_the_whole_registry():
             assert [x[1:3] for x in found] == [(3, 3 + len(written))], iban
         wrong = iban[:2] + f"{(int(iban[2:4]) + 1) % 100:02d}" + iban[4:]
         assert not [x for x in pii.spans(f"to {wrong} please") if x[0] == "iban"]
+
+
+def test_a_long_secret_is_judged_whole(spark):
+    """What follows the first 256 characters counts, too."""
+    run = "a1B2c3D4e5F6g7H8" * 16
+    assert pii.drawn(run) and not pii.drawn(run + "a" * 3 * len(run))
+
+
+def test_empty_table_and_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "a.b@example.org", "r", "t")], "doc_id long, text string, _redacted string, _text string")
+    assert [tuple(r) for r in pii.redacted(rows).collect()] == [(1, "[EMAIL]", "r", "t")]
+    assert pii.redacted(rows.limit(0)).collect() == [] and pii.detect(rows.limit(0)).collect() == []

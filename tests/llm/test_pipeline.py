@@ -100,3 +100,26 @@ def test_rows_of_one_doc_id_stay_unless_they_are_near_copies(spark, tmp_path):
     out = corpus_pipeline.near_duplicates_out(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     want = [(1, text("a")), (2, text("b")), (3, text("c")), (3, text("d")), (5, None), (5, text("e")), (6, text("f")), (None, text("a"))]
     assert sorted([(r.doc_id, r.text) for r in out.collect()], key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("names", [["_quern", "_redacted", "_text"], ["_N", "_set", "_component", "_score", "_hits"], ["h", "ids", "score0", "_redacted1", "_TEXT"]])
+def test_columns_with_any_names_stay(spark, tmp_path, names):
+    docs = [(1, "mail a.b@example.org now please", "x"), (1, "other words of the same id here", "y"), (2, None, "z")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string").selectExpr("*", *(f"'{c}' as `{c}`" for c in names))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = frame
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = written(stage(spark, now, str(tmp_path)), "test")
+        assert now.columns == frame.columns
+    got = now.collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == [(1, "mail [EMAIL] now please"), (1, "other words of the same id here"), (2, "")]
+    assert all(r[c] == c for r in got for c in names)
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.collect() == [] and out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
