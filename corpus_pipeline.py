@@ -7,7 +7,7 @@ personal_data: all documents stay, with personal data in their texts replaced by
 byte_bpe: token ids by byte-level BPE, and the digest of the bytes that they decode to.
 
 Rows with null doc_id are never near copies of others. Rows of one doc_id are compared like those of several: of those
-that are near copies of each other, or have no words, the first by text stays.
+that are near copies of each other, or have no words, the first by text stays. Columns of documents may have any names.
 """
 
 from __future__ import annotations
@@ -18,35 +18,34 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, decontaminate, minhash, pii, toxicity
-from quern.llm.common import dropped, leaving, prepare, scratch, shared_dir, table
-
-#: The stages' own columns, so that columns of documents may have any other name.
-OWN, SET, COMPONENT = "_quern", "_quern_set", "_quern_component"
+from quern.llm.common import dropped, free_name, leaving, prepare, scratch, shared_dir, table
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.trained(docs.select("doc_id", "text"), labels)
-    return toxicity.scored(docs, model, OWN).where(F.col(OWN) < 0.5).select(*docs.columns)
+    model, score = toxicity.trained(docs.select("doc_id", "text"), labels), free_name(docs.columns, "_score")
+    return toxicity.scored(docs, model, score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    rows = minhash.clusters(docs, n=5, percent=80, by_row=True).where("doc_id is not null")
-    kept = rows.groupBy("doc_id").agg(F.count("*").alias(OWN), F.max("kept").alias("kept")).where("kept").select("doc_id", OWN)
+    n, own_set, component = (free_name(docs.columns, c) for c in ("_n", "_set", "_component"))
+    rows = minhash.clusters(docs.select("doc_id", "text"), n=5, percent=80, by_row=True).where("doc_id is not null")
+    kept = rows.groupBy("doc_id").agg(F.count("*").alias(n), F.max("kept").alias("kept")).where("kept").select("doc_id", n)
     chosen = docs.join(kept, "doc_id")
-    once = chosen.where(F.col(OWN) == 1).select(*docs.columns)
-    staying = rows.where("kept").select("doc_id", F.col("set_id").alias(SET), F.col("component").alias(COMPONENT)).distinct()
-    order = Window.partitionBy("doc_id", COMPONENT).orderBy("text")
-    several = minhash.set_ids(chosen.where(F.col(OWN) > 1), 5, SET).join(staying, ["doc_id", SET])
-    several = several.withColumn(OWN, F.row_number().over(order)).where(F.col(OWN) == 1).select(*docs.columns)
+    once = chosen.where(F.col(n) == 1).select(*docs.columns)
+    staying = rows.where("kept").select("doc_id", F.col("set_id").alias(own_set), F.col("component").alias(component)).distinct()
+    order = Window.partitionBy("doc_id", component).orderBy("text")
+    several = minhash.set_ids(chosen.where(F.col(n) > 1), 5, own_set).join(staying, ["doc_id", own_set])
+    several = several.withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).select(*docs.columns)
     return once.unionByName(several).unionByName(docs.where("doc_id is null"))
 
 
 def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contaminated(docs, decontaminate.benchmark_items(spark, sf_dir), OWN)
-    return found.where(F.size(OWN) == 0).select(*docs.columns)
+    hits = free_name(docs.columns, "_hits")
+    found = decontaminate.contaminated(docs, decontaminate.benchmark_items(spark, sf_dir), hits)
+    return found.where(F.size(hits) == 0).select(*docs.columns)
 
 
 def personal_data_redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
