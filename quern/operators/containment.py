@@ -1,50 +1,39 @@
-"""Which texts hold which passages, by one automaton over all passages; texts are not shuffled."""
+"""Which texts hold which passages: a join on a word that a passage must share with any text that holds it.
 
-from __future__ import annotations
+A passage inside a text may begin and end within words, but the words between its first and its last are whole words of
+the text. The longest of these, the first by order among equals, is the passage's key; texts that have the word are
+compared with the whole passage. Passages without such a word, of up to two words, meet every text in one pass: nothing in
+them needs to be a word of the text.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: An automaton holds at most so many characters of passages; more are searched for in several passes.
-CHARS = 8_000_000
-
-
-def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """(query_id, id) for each text of docs (id, text) that has the whole passage of (query_id, text); empty passages are in none."""
-    spark = docs.sparkSession
-    schema = "query_id bigint, id bigint"
-    parts: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for r in passages.select("query_id", "text").where("text is not null and text != ''").toLocalIterator():
-        if size > CHARS:
-            parts.append([])
-            size = 0
-        parts[-1].append((r.query_id, r.text))
-        size += len(r.text)
-
-    def search(part: list[tuple[int, str]]) -> DataFrame:
-        carried = spark.sparkContext.broadcast(part)
+from ..functions.text import words
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
+#: Keys of passages up to so many (some 30 MB) are broadcast to the words of texts; beyond it the join shuffles both.
+BROADCAST_KEYS = 500_000
 
-            known: dict[str, list[int]] = {}
-            for q, text in carried.value:
-                known.setdefault(text, []).append(q)
-            automaton = ahocorasick.Automaton()
-            for text, own in known.items():
-                automaton.add_word(text, own)
-            automaton.make_automaton()
-            for b in batches:
-                found = [(q, i) for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True) for q in sorted({q for _, own in automaton.iter(text or "") for q in own})]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["query_id", "id"])
 
-        return docs.select("id", "text").mapInArrow(run, schema)
-
-    out = spark.createDataFrame([], schema)
-    for part in parts:
-        if part:
-            out = out.unionByName(search(part))
-    return out
+def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, id) for each text of docs (id, text) that has the whole passage of (query_id, text); empty passages are in
+    none, repeated ids and passages count once."""
+    asked = passages.where("text is not null and text != ''").select("query_id", F.col("text").alias("passage")).distinct()
+    whole = asked.withColumn("ws", words(F.col("passage")))
+    inner = F.slice("ws", 2, F.greatest(F.size("ws") - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    keyed = whole.select("query_id", "passage", longest.alias("word"))
+    long = keyed.where("word is not null")
+    own = docs.where("text is not null").select("id", "text")
+    near = F.broadcast if passages.count() <= BROADCAST_KEYS else lambda df: df
+    had = own.select("id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    pairs = had.join(near(long.select("query_id", "word")), "word").select("query_id", "id")
+    found = own.join(pairs, "id").join(near(long.select("query_id", "passage")), "query_id").where(F.contains("text", "passage"))
+    # a stated set of short passages against all texts
+    short = keyed.where("word is null").select("query_id", "passage")
+    if short.isEmpty():
+        return found.select("query_id", "id").distinct()
+    again = own.join(near(short), F.contains("text", "passage"))
+    return found.select("query_id", "id").unionByName(again.select("query_id", "id")).distinct()

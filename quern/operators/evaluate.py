@@ -76,16 +76,18 @@ def threshold_sweep(hits: DataFrame, qrels: DataFrame, cutoffs: list[float]) ->
 
     Precision is 0 for a query that keeps nothing; means are over judged queries.
     """
+    cutoffs = sorted(cutoffs)
     judged = qrels.groupBy("query_id").agg(F.count("*").alias("relevant"))
-    grid = judged.withColumn("cutoff", F.explode(F.array(*map(F.lit, cutoffs))))
-    marked = hits.join(qrels.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
-    kept = grid.join(marked, "query_id", "left")
-    inside = F.col("distance") <= F.col("cutoff")
-    one = kept.groupBy("cutoff", "query_id", "relevant").agg(
-        F.sum(F.when(inside, 1).otherwise(0)).alias("kept"),
-        F.sum(F.when(inside, F.coalesce("hit", F.lit(0))).otherwise(0)).alias("hits"),
-        F.sum(F.when(inside & (F.col("rank") <= 100), F.coalesce("hit", F.lit(0))).otherwise(0)).alias("hits100"),
-    )
+    marked = hits.where("distance is not null").join(qrels.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    # a histogram for each query: a hit falls to the first cutoff that keeps it, and all later ones keep it, too
+    hit = F.coalesce("hit", F.lit(0))
+    counts = (F.count("*").alias("kept"), F.sum(hit).alias("hits"), F.sum(F.when(F.col("rank") <= 100, hit).otherwise(0)).alias("hits100"))
+    first = F.size(F.filter(F.array(*map(F.lit, cutoffs)), lambda c: c < F.col("distance")))
+    bins = marked.withColumn("at", first).where(F.col("at") < len(cutoffs)).groupBy("query_id", "at").agg(*counts)
+    whole = bins.groupBy("query_id").agg(F.collect_list(F.struct("at", "kept", "hits", "hits100")).alias("bins"))
+    grid = judged.join(whole, "query_id", "left").select("query_id", "relevant", "bins", F.posexplode(F.array(*map(F.lit, cutoffs))).alias("place", "cutoff"))
+    total = lambda c: F.aggregate(F.coalesce("bins", F.array().cast(whole.schema["bins"].dataType)), F.lit(0).cast("bigint"), lambda s, x: s + F.when(x["at"] <= F.col("place"), x[c]).otherwise(0))
+    one = grid.select("cutoff", "relevant", *(total(c).alias(c) for c in ("kept", "hits", "hits100")))
     return one.groupBy("cutoff").agg(
         F.round(F.avg("kept"), 6).alias("mean_kept"),
         F.round(F.avg(F.when(F.col("kept") > 0, F.col("hits") / F.col("kept")).otherwise(0.0)), 6).alias("precision"),

@@ -17,6 +17,7 @@ from ..config import EngineConfig
 from ..errors import EncryptedPdfError
 from ..functions.text import TOKEN, lexical_tokens, normalize_question, normalize_text
 from ..operators import answer, chunking, containment, evaluate, fusion, lexical, rerank, retrieval, vector
+from ..operators.ivf import IvfIndex
 from ..operators.postings import PostingIndex
 from ..session import workspace
 from ..sources import beir, documents, embedding, tables
@@ -156,6 +157,13 @@ def dense_knn_scoped(spark, d):
     return vector.nearest(vectors(spark, d), query_vectors(spark, d), 10, scoped=True).withColumn("distance", F.round("distance", 6))
 
 
+def dense_knn_ivf(spark, d):
+    """Neighbours by an inverted file, which may miss some; distances are exact."""
+    index = IvfIndex(spark, workspace(spark, "ivf"))
+    index.build(vectors(spark, d))
+    return index.search(query_vectors(spark, d).drop("scope"), 10).withColumn("distance", F.round("distance", 6))
+
+
 def distance_threshold(spark, d):
     hits = vector.nearest(vectors(spark, d), query_vectors(spark, d), 50).select("query_id", "id", "distance")
     lexical_only = questions(spark, d).select("query_id", F.lit(-1).cast("bigint").alias("id"), F.lit(None).cast("double").alias("distance"))
@@ -367,6 +375,15 @@ def extract_pages(spark, d):
     return documents.extraction(files, line_pages)
 
 
+def extract_pages_lateral(spark, d):
+    """The same by a table function in SQL."""
+    n = F.col("doc_id")
+    content = F.when(n % 11 == 3, F.lit("encrypted")).when(n % 13 == 5, F.lit("broken")).when(n % 17 == 7, F.lit(" \n ")).otherwise(F.col("text"))
+    files = _table(spark, d, "documents").select(n.cast("string").alias("document_id"), content.cast("binary").alias("content"))
+    spark.udtf.register("quern_line_pages", documents.page_table(line_pages))
+    return spark.sql("SELECT f.document_id, p.* FROM {files} f, LATERAL quern_line_pages(f.content) p", files=files)
+
+
 def line_pages() -> Callable[[bytes], list[str]]:
     """An extractor for texts whose lines are pages."""
 
@@ -421,6 +438,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_index_refreshed": bm25_index_refreshed,
     "dense_knn": dense_knn,
     "dense_knn_scoped": dense_knn_scoped,
+    "dense_knn_ivf": dense_knn_ivf,
     "distance_threshold": distance_threshold,
     "embedding_dims_check": embedding_dims_check,
     "embedding_arity_check": embedding_arity_check,
@@ -454,6 +472,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "no_evidence_questions": no_evidence_questions,
     "validate_uploads": validate_uploads,
     "extract_pages": extract_pages,
+    "extract_pages_lateral": extract_pages_lateral,
     "page_scan": page_scan,
     "missing_documents": missing_documents,
     "replace_document": replace_document,

@@ -176,3 +176,4 @@ SELECT document_id, NULL, NULL, coalesce(reason, 'no_text') FROM f WHERE reason
     "document_stats": f"""WITH {SPACED}, {NORMAL_PAGES}, {cut('clean', 40, 8)}, p AS (SELECT document_id, count(*) AS n_pages FROM clean GROUP BY document_id), c AS (SELECT document_id, count(*) AS n_chunks, sum(token_count) AS n_tokens FROM cut GROUP BY document_id)
 SELECT document_id, coalesce(n_pages, 0) AS n_pages, coalesce(n_chunks, 0) AS n_chunks, CAST(coalesce(n_tokens, 0) AS BIGINT) AS n_tokens FROM (SELECT DISTINCT document_id FROM pages) LEFT JOIN p USING (document_id) LEFT JOIN c USING (document_id)""",
 }
+ORACLE_SQL["extract_pages_lateral"] = ORACLE_SQL["extract_pages"]

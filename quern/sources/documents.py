@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StringType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..errors import EncryptedPdfError, MissingDocumentError
 from ..functions.text import normalize_text, stripped
@@ -59,6 +61,44 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 EXTRACTED = "document_id string, page_number int, text string, reject_reason string"
 
 
+def page_rows(extract: Callable[[bytes], list[str]], content: bytes | None) -> list[tuple[int | None, str | None, str | None]]:
+    """(page_number, text, reject_reason) of one file."""
+    try:
+        texts = [(t or "").strip() for t in extract(bytes(content))]
+    except EncryptedPdfError:
+        return [(None, None, "encrypted")]
+    except Exception:
+        return [(None, None, "unreadable")]
+    return [(n, t, None) for n, t in enumerate(texts, 1) if t] or [(None, None, "no_text")]
+
+
+def page_table(load: Callable[[], Callable[[bytes], list[str]]]):
+    """A table function pages(content) to call laterally from SQL, with the rows of ``page_rows``:
+
+        spark.udtf.register("pages", page_table(load))
+        SELECT f.document_id, p.* FROM files f, LATERAL pages(f.content) p
+
+    Anything but one binary argument is an error when the query is analysed. The extractor is loaded once a task.
+    """
+
+    class Pages:
+        def __init__(self) -> None:
+            self.extract = None
+
+        @staticmethod
+        def analyze(content: AnalyzeArgument) -> AnalyzeResult:
+            if not isinstance(content.dataType, BinaryType):
+                raise ValueError(f"pages needs the bytes of a file, not {content.dataType.simpleString()}")
+            return AnalyzeResult(StructType().add("page_number", IntegerType()).add("text", StringType()).add("reject_reason", StringType()))
+
+        def eval(self, content: bytes) -> Iterator[tuple]:
+            if self.extract is None:
+                self.extract = load()
+            yield from page_rows(self.extract, content)
+
+    return F.udtf(Pages)
+
+
 def extraction(files: DataFrame, load: Callable[[], Callable[[bytes], list[str]]]) -> DataFrame:
     """(document_id, page_number, text, reject_reason) by a page extractor that the caller brings: bytes to the texts of all
     pages.
@@ -68,21 +108,12 @@ def extraction(files: DataFrame, load: Callable[[], Callable[[bytes], list[str]]
     (unreadable; a page that fails fails its document), or where no page has text (no_text). One bad file ends no job.
     """
 
-    def pages(extract: Callable[[bytes], list[str]], document_id: str, content: bytes) -> list[tuple]:
-        try:
-            texts = [(t or "").strip() for t in extract(bytes(content))]
-        except EncryptedPdfError:
-            return [(document_id, None, None, "encrypted")]
-        except Exception:
-            return [(document_id, None, None, "unreadable")]
-        return [(document_id, n, t, None) for n, t in enumerate(texts, 1) if t] or [(document_id, None, None, "no_text")]
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         extract = None
         for frame in frames:
             if len(frame) and extract is None:
                 extract = load()
-            rows = [r for d, c in zip(frame["document_id"], frame["content"], strict=True) for r in pages(extract, d, c)]
+            rows = [(d, *r) for d, c in zip(frame["document_id"], frame["content"], strict=True) for r in page_rows(extract, c)]
             out = pd.DataFrame(rows, columns=["document_id", "page_number", "text", "reject_reason"])
             yield out.astype({"page_number": "Int32"})
 

@@ -4,7 +4,8 @@ import pytest
 
 from quern.config import EngineConfig
 from quern.engine import Engine, responses
-from quern.errors import VectorStoreError
+from quern.errors import EmbeddingError, VectorStoreError
+from quern.operators.postings import PostingIndex
 from quern.sources.store import ChunkStore
 
 # functions that tasks can have, as they cannot import this module
@@ -60,3 +61,42 @@ def test_answers_and_responses(spark, store):
     told = responses(Engine(store, client).search(asked(spark, (1, "night trams", None)), 2)).collect()
     body = json.loads(told[0].response)
     assert body["result_count"] == 2 and [r["rank"] for r in body["results"]] == [1, 2] and body["results"][0]["chunk_id"] == "tram:3:0"
+
+
+def test_questions_are_embedded_once(spark, store, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def counting():
+        import uuid
+
+        return lambda texts: [(calls / uuid.uuid4().hex).write_text(t) and [1.0 + t.count("a"), 1.0 + t.count("e")] for t in texts]
+
+    sent = lambda: sorted(p.read_text() for p in calls.iterdir())
+    two = asked(spark, (1, "night trams", None), (2, "the ferry", "ferry"))
+    engine = Engine(store, counting, EngineConfig(rerank=True), scorer, chat, PostingIndex(spark, str(tmp_path / "index")))
+    with_index = sorted(tuple(r) for r in engine.search(two, 3).collect())
+    assert sent() == ["night trams", "the ferry"]
+    plain = Engine(store, client, EngineConfig(rerank=True), scorer, chat)
+    assert with_index == sorted(tuple(r) for r in plain.search(two, 3).collect())
+    assert len(engine.ask(two, 2).collect()) == 2 and sent() == ["night trams", "night trams", "the ferry", "the ferry"]
+
+
+def test_settings_reach_the_models(spark, store, tmp_path):
+    warm = lambda temperature: lambda prompt: f"at {temperature} [S1]"
+    one = asked(spark, (1, "night trams", None))
+    assert Engine(store, client, EngineConfig(temperature=0.7), chat=warm).ask(one).first().answer == "at 0.7 [S1]"
+    with pytest.raises(EmbeddingError, match="another"):
+        Engine(store, client, EngineConfig(embedding_model="another")).search(one)
+    big = spark.createDataFrame([("a.pdf", None, bytearray(b"%PDF-" + b"x" * (2 << 20)))], "filename string, content_type string, content binary")
+    good, bad = Engine(store, client, EngineConfig(max_upload_mb=1)).upload(big, str(tmp_path / "u"))
+    assert good.count() == 0 and bad.first().reject_reason == "size"
+
+
+def test_rebuilding_drops_what_was_there(spark, tmp_path):
+    files = lambda *x: spark.createDataFrame([(d, bytearray(t)) for d, t in x], "document_id string, content binary")
+    own = ChunkStore(spark, str(tmp_path / "c"))
+    engine = Engine(own, client)
+    engine.index(files(("a", b"old words"), ("b", b"more")), pages)
+    assert [tuple(r) for r in engine.rebuild(files(("c", b"new words"), ("d", b" ")), pages)] == [("d", "no_text")]
+    assert [r.document_id for r in own.read().collect()] == ["c"]

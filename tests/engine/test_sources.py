@@ -185,3 +185,35 @@ def test_stream(spark, tmp_path):
     run()
     assert [tuple(r)[:2] for r in spark.read.parquet(f"{tmp_path}/store/rejects").collect()] == [("c", "no_text")]
     assert sorted((r.document_id, r.page_number, r.text) for r in store.read().collect()) == [("a", 1, "one two"), ("a", 1, "three"), ("b", 1, "four"), ("b", 3, "five")]
+
+
+def test_pages_from_sql(spark):
+    files = spark.createDataFrame([("a", bytearray(b"one\f\ftwo")), ("b", bytearray(b" ")), ("c", None)], "document_id string, content binary")
+    files.createOrReplaceTempView("files_of_pages")
+    spark.udtf.register("pages", documents.page_table(extractor))
+    got = spark.sql("SELECT f.document_id, p.* FROM files_of_pages f, LATERAL pages(f.content) p")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, documents.extraction(files, extractor).collect()), key=str)
+    for bad in ("'text'", "1", "array(f.content)"):
+        with pytest.raises(Exception, match="bytes of a file"):
+            spark.sql(f"SELECT p.* FROM files_of_pages f, LATERAL pages({bad}) p").collect()
+
+
+def test_a_model_gets_each_text_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def counting():
+        import uuid
+
+        return lambda texts: [(calls / uuid.uuid4().hex).write_text(t) and [float(len(t))] for t in texts]
+
+    sent = lambda: sorted(p.read_text() for p in calls.iterdir())
+    cache = embedding.EmbeddingCache(spark, str(tmp_path / "cache"))
+    rows = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "a"), (4, None), (5, "")], "id long, text string")
+    assert sorted((r.id, r.embedding) for r in cache.embedded(rows.where("id < 5"), counting, "m").collect()) == [(1, [1.0]), (2, [2.0]), (3, [1.0]), (4, None)]
+    assert sent() == ["a", "bb"]
+    more = rows.where("id < 5").unionByName(spark.createDataFrame([(9, "ccc")], rows.schema))
+    again = embedding.EmbeddingCache(spark, str(tmp_path / "cache")).embedded(more, counting, "m")
+    assert again.where("id = 9").first().embedding == [3.0] and sent() == ["a", "bb", "ccc"]
+    assert cache.embedded(rows.where("id = 2"), counting, "other").first().embedding == [2.0] and sent() == ["a", "bb", "bb", "ccc"]
+    assert cache.embedded(rows.limit(0), counting, "m").collect() == []
