@@ -5,10 +5,13 @@ for its own text, so that an item is retrieved at 1. Items lie in blocks by leng
 postings it also has their greatest weight. A text is cut into passages of 2 * ``STRIDE`` terms every ``STRIDE`` terms,
 or as many as the longest item has.
 
-Search is block-max WAND over many passages at once. The sum of a passage's block maxima bounds the scores of a block's
-items; blocks whose bound stays below 1 are skipped without a look at their postings. Within the others, cursors of the
-passage's terms move on to pivots: the first item at which the maxima of the terms that can still hold it reach 1.
-Cursors skip what lies before the pivot, and only items that all of these cursors have reached are scored.
+Search is block-max WAND over many passages at once. An item's essential postings are those of its rarest terms, so many
+that its other terms together stay ``SLACK`` below 1: a passage retrieves the item only where its essential postings
+bring what the others cannot. Only essential postings are read for all passages; the postings of frequent terms, most of
+all, are skipped but for the blocks that they lead to. A passage looks up the maxima of such a block, skips the block if
+their sum stays below 1, and else moves cursors of its terms to pivots: the first item at which the maxima of the terms
+that can still hold it reach 1. Cursors skip what lies before the pivot, and only items that all of these cursors have
+reached are scored.
 
 Retrieved items are verified: the passage must hold at least ``OVERLAP`` of the ``GRAM``-term grams of the item's
 question and of its answer. Items without an answer are one part: ``OVERLAP`` of all their grams is enough, wherever
@@ -28,7 +31,7 @@ have a name that the documents lack.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +40,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bytes_of, dropped, prepare, table, written
-from .hashing import APART, U, grams, hashed_words
+from .hashing import APART, U, grams, hashed_words, inside_runs
 
 K1, B = 0.9, 0.4
-THRESHOLD, STRIDE, BLOCK, WIDTH, GRAM, OVERLAP = 0.6, 64, 8, 64, 3, 0.6
+THRESHOLD, STRIDE, BLOCK, SLACK, GRAM, OVERLAP = 0.6, 64, 8, 0.3, 3, 0.6
 MOST_ITEMS, MOST_CHARS = 20_000, 16_000_000
+#: Essential postings that are read at once, and the bits and the unit of their weights, which are rounded up.
+AT_ONCE, BITS, UNIT = 1 << 21, 16, 1 << 12
 
 
 def terms_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,14 +63,25 @@ class Index:
         self.parts = [tuple(self._grams(p) for p in x[1:]) for x in items]
         self.lengths = [(len(x[1]), len(x[2])) for x in items]
         self.stride = max(STRIDE, longest)
-        terms, owners, weights = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        terms, owners, weights, leads = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, bool)]
+        #: What the essential postings of each item must bring, in units.
+        self.least = np.zeros(len(items), np.int64)
         for k, (_, q, a) in enumerate(items):
             own, n = np.unique(np.concatenate([q, a]), return_counts=True)
             norm = K1 * (1 - B + B * (len(q) + len(a)) / mean)
-            weight = np.array([idf[t] for t in own.tolist()]) * n * (K1 + 1) / (n + norm)
+            rare = np.array([idf[t] for t in own.tolist()])
+            weight = rare * n * (K1 + 1) / (n + norm)
+            weight /= THRESHOLD * weight.sum()
+            order = np.argsort(-rare, kind="stable")
+            rest = 1 / THRESHOLD - np.cumsum(weight[order])
+            most = min(int(np.searchsorted(-rest, SLACK - 1, side="right")), len(own) - 1)
+            lead = np.zeros(len(own), bool)
+            lead[order[: most + 1]] = True
+            self.least[k] = math.floor((1 - 1e-6 - max(rest[most], 0.0)) * UNIT)
             terms.append(own)
             owners.append(np.full(len(own), k))
-            weights.append(weight / (THRESHOLD * weight.sum()))
+            weights.append(weight)
+            leads.append(lead)
         self.terms, number = np.unique(np.concatenate(terms), return_inverse=True)
         item = np.concatenate(owners)
         order = np.lexsort((item, number))
@@ -76,18 +92,16 @@ class Index:
         edge = np.flatnonzero(np.append(True, self.place[1:] != self.place[:-1])[: len(self.place)])
         self.most_place = self.place[edge]
         self.most = np.maximum.reduceat(self.weight, edge).astype(np.float32) if len(edge) else np.zeros(0, np.float32)
-        self._windows: dict[int, np.ndarray] = {}
-
-    def window(self, a: int) -> np.ndarray:
-        """The maxima of the ``WIDTH`` blocks from ``a`` on as a table by term (the last row is empty); a few stay in memory."""
-        if (got := self._windows.get(a)) is None:
-            term, block = self.most_place // self.blocks, self.most_place % self.blocks
-            own = (block >= a) & (block < a + WIDTH)
-            got = np.zeros((len(self.terms) + 1, min(WIDTH, self.blocks - a)), np.float32)
-            got[term[own], block[own] - a] = self.most[own]
-            if len(self._windows) < 4:
-                self._windows[a] = got
-        return got
+        #: The essential postings: item and weight, and where each term's begin.
+        lead = np.flatnonzero(np.concatenate(leads)[order])
+        self.lead_item, self.lead_weight = self.item[lead].astype(U), np.ceil(self.weight[lead] * UNIT).astype(U)
+        self.lead_first = np.searchsorted(number[order][lead], np.arange(len(self.terms) + 1))
+
+    def maxima(self, terms: np.ndarray, block: int) -> np.ndarray:
+        """The greatest weight of each term in a block, 0 where it has none there."""
+        place = terms * self.blocks + block
+        at = np.minimum(np.searchsorted(self.most_place, place), max(len(self.most_place) - 1, 0))
+        return np.where(self.most_place[at] == place, self.most[at], np.float32(0)) if len(self.most_place) else np.zeros(len(terms), np.float32)
 
     @staticmethod
     def _grams(terms: np.ndarray) -> frozenset[int]:
@@ -115,26 +129,47 @@ class Index:
         found: list[dict[int, float]] = [{} for _ in n]
         if not len(at):
             return found
-        total = int(pieces.sum())
-        edge = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         owner = np.repeat(np.arange(len(n)), pieces)
-        for a in range(0, self.blocks, WIDTH):
-            most = self.window(a)
-            bound = np.zeros((total + 1, most.shape[1]), np.float32)
-            bound[at[edge]] = np.add.reduceat(most[term], edge, axis=0)
-            joined = bound[:-1] + np.where((np.append(owner[1:], -1) == owner)[:, None], bound[1:], 0)
-            by_piece: dict[int, list[int]] = defaultdict(list)
-            for p, b in np.argwhere(joined >= 1 - 1e-4).tolist():
-                by_piece[p].append(a + b)
-            for p, blocks in by_piece.items():
-                self._verified(p, a, blocks, at, term, owner, first, before, hashes, stride, found)
+        for p, block in self._candidates(at, term, owner).tolist():
+            self._verified(p, block, at, term, owner, first, before, hashes, stride, found)
         return found
 
+    def _candidates(self, at: np.ndarray, term: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """(passage, block) with an item whose essential postings bring enough; a passage is a piece and its text's next.
+
+        ``at`` and ``term`` are the distinct terms of each piece, in order. A term in both pieces counts twice: a bound.
+        """
+        size = np.diff(self.lead_first)[term]
+        load = np.append(0, np.cumsum(np.bincount(at, weights=size, minlength=len(owner)).astype(np.int64)))
+        items, out, a = max(len(self.least), 1), [np.zeros((0, 2), np.int64)], 0
+        while a < len(owner):
+            b = max(a + 1, int(np.searchsorted(load, load[a] + AT_ONCE, side="right")) - 1)
+            lo, hi = np.searchsorted(at, [a, b + 1])  # the piece after the last one ends its passage
+            run, place = inside_runs(size[lo:hi])
+            place += self.lead_first[term[lo:hi]][run]
+            key = (at[lo:hi][run] - a).astype(U) * U(items) + self.lead_item[place]
+            packed = np.sort(key << U(BITS) | self.lead_weight[place])
+            key = (packed >> U(BITS)).astype(np.int64)
+            edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+            if len(edge):
+                key, brings = key[edge], np.add.reduceat((packed & U((1 << BITS) - 1)).astype(np.int64), edge)
+                piece, item = key // items, key % items
+                follows = np.append(owner[1:] == owner[:-1], False)
+                after = np.minimum(np.searchsorted(key, key + items), len(key) - 1)
+                both = brings + np.where(follows[piece + a] & (key[after] == key + items), brings[after], 0)
+                # passages that begin at the piece, and those that begin one before and have only this piece's postings
+                own = (both >= self.least[item]) & (piece < b - a)
+                last = (brings >= self.least[item]) & (piece > 0) & follows[piece + a - 1]
+                found = np.concatenate([piece[own], piece[last] - 1]) + a
+                out.append(np.unique(np.stack([found, np.concatenate([item[own], item[last]]) // BLOCK], 1), axis=0))
+            a = b
+        return np.concatenate(out)
+
     def retrieved(self, terms: np.ndarray, block: int, most: np.ndarray) -> list[tuple[int, float]]:
         """The items of a block that these distinct terms, with their maxima there, score at 1 or more, by pivots."""
         here = most > 0
         terms, most = terms[here], most[here]
-        if most.sum() < 1 - 1e-4:  # terms of both halves of the passage counted twice in its first bound
+        if most.sum() < 1 - 1e-4:
             return []
         place = terms * self.blocks + block
         lo, hi = self.place.searchsorted(place, "left"), self.place.searchsorted(place, "right")
@@ -165,12 +200,11 @@ class Index:
             cursors = [c for c in cursors if c[1] < c[2]]
         return out
 
-    def _verified(self, p, a, blocks, at, term, owner, first, before, hashes, stride, found) -> None:
+    def _verified(self, p, block, at, term, owner, first, before, hashes, stride, found) -> None:
         d = owner[p]
         lo, hi = np.searchsorted(at, [p, p + 2 if p + 1 < len(owner) and owner[p + 1] == d else p + 1])
         own_terms = np.unique(term[lo:hi])
-        most = self.window(a)[own_terms]
-        hits = [x for b in blocks for x in self.retrieved(own_terms, b, most[:, b - a])]
+        hits = self.retrieved(own_terms, block, self.maxima(own_terms, block))
         if not hits:
             return
         start = before[d] + (p - first[d]) * stride

@@ -1,36 +1,47 @@
 """URL filter: explicit rules first, then a tree of path templates for each host.
 
 Digits in a path's segments are generalised at once. From the root on, a node of the tree that has more than
-``FANOUT`` children turns the rare ones (below ``RARE`` of its rows) into a wildcard; segments beyond ``DEPTH`` are one
-wildcard. Sibling templates, in the order of their shares of bad labels, merge into one branch as long as each one's
-share differs from the last one's by no more than ``Z`` standard errors of the difference. A branch is rejected when its
-smoothed share of bad labels, (bad + STRENGTH * prior) / (labelled + STRENGTH), reaches ``REJECT``; the prior is the
-share among all labelled pages.
-
-Labels are (page_id, bad) of the caller. The query takes them from the pages themselves (``page_labels``): a page is bad
-if its host has a word of ``SEEDS`` or its text is full of marks, as ``MARKS`` counts them.
-
-Rows are counted by (host, shape) before anything else, so a host with a third of all pages is a few rows.
+``FANOUT`` children turns the rare ones (below ``RARE`` of its rows) into a wildcard, at any depth. Sibling templates merge
+into three branches: those whose share of bad labels lies more than ``Z`` standard errors above that of all their other
+siblings, those as far below it, and all the rest. Each is compared with the others as a whole, so no chain of small steps
+joins unlike ones. A branch is rejected when its smoothed share of bad labels, (bad + STRENGTH * prior) / (labelled +
+STRENGTH), reaches ``REJECT``; the prior is the share among all labelled pages.
+
+Labels are (page_id, bad) of the caller. The query takes them from the pages' texts alone (``page_labels``), which the url
+does not give away: a page is bad if it has more than one run of marks for ``MARKED`` words, or more than one link for
+``LINKED`` words. Pages that ``held_out`` names teach nothing, so that what templates say of them can be measured
+(``agreement``).
+
+Rows are counted by (host, shape) before anything else, so a host with a third of all pages is a few rows. The tree grows
+by one table for each level at which some node with more than ``FANOUT`` shapes parts; what all shapes of a node have in
+common is one step, however long, and nodes with fewer shapes are done. Pages meet rejected shapes by a broadcast where
+these are below ``BROADCAST_BYTES``, else by a join that is salted, as a host and shape may have a third of all pages.
 
 Cases: a null url, or one without "://", has an empty host and path and fits no rule; a page without label counts as
 unlabelled; repeated label rows of a page count as one (bad if any is); repeated pages give repeated results; with no
-labels at all nothing is rejected; a null page text is no label.
+labels at all nothing is rejected; a null page text, or one without words, is no label; a segment that is itself ``*`` is
+taken for a wildcard; very long paths are whole, whatever their number of segments.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, table, written
+from .common import table, written
 
 #: (verdict, host, path): the rule fits the host and its subdomains where the path starts with the rule's; the longest wins.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-FANOUT, RARE, DEPTH, Z, STRENGTH, REJECT = 20, 0.02, 4, 1.96, 4.0, 0.5
-#: Words in hosts of pages that nobody wants, and so many runs of marks as a page's text may not have.
-SEEDS, MARKS, MOST_MARKS = "spam|casino|viagra|porn|phish|malware", "[#$%*]{3}", 10
+FANOUT, RARE, Z, STRENGTH, REJECT = 20, 0.02, 1.96, 4.0, 0.5
+#: Words for each run of marks, and for each link, that a page must have at least.
+MARKED, LINKED = 10, 2
+MARKS, LINK, WORD, TAG = "[#$%*|~^]+", r"<[aA][\x20\x09-\x0D>]", r"[^\x20\x09-\x0D]+", "<[^<>]*>"
+#: What a reader does not see; to the end of the text where it is not closed.
+UNSEEN = r"(?s)<[sS][cC][rR][iI][pP][tT].*?(?:</[sS][cC][rR][iI][pP][tT]>|\z)|<[sS][tT][yY][lL][eE].*?(?:</[sS][tT][yY][lL][eE]>|\z)|<!--.*?(?:-->|\z)"
+BROADCAST_BYTES, SALTS = 32 << 20, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -54,27 +65,47 @@ def shape_of(path: Column) -> Column:
     return F.regexp_replace(path, "[0-9]+", "#")
 
 
+def beside(rows: DataFrame, found: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """``rows`` joined to ``found``, a written table with unique keys: broadcast below a checked size, else salted."""
+    size = found.agg(F.sum(sum((F.length(F.col(c).cast("string")) for c in keys), F.lit(64)))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(found), keys, how)
+    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], how).drop("salt")
+
+
 def templates(counts: DataFrame) -> DataFrame:
     """(host, shape, parent, template) of rows (host, shape, n)."""
-    cut = F.split("shape", "/", -1)
-    rows = counts.select("host", "shape", "n", cut.alias("parts"), F.lit("").alias("parent"), F.lit("").alias("template"))
-    rows_before = None
-    for d in range(DEPTH):
-        rows = rows.withColumn("part", F.get("parts", F.lit(d)))
-        own = rows.where("part is not null").groupBy("host", "template", "part").agg(F.sum("n").alias("own"))
-        node = own.groupBy("host", "template").agg(F.sum("own").alias("whole"), F.count("*").alias("fan"))
-        rare = own.join(node, ["host", "template"]).where((F.col("fan") > FANOUT) & (F.col("own") < RARE * F.col("whole"))).select("host", "template", "part", F.lit(True).alias("rare"))
-        rows = rows.join(rare, ["host", "template", "part"], "left")
-        step = F.when(F.col("rare"), F.lit("*")).otherwise(F.col("part"))
-        down = F.col("part").isNotNull()
-        # each level reads the one before it twice: cut the plan, which would double with each
-        rows = rows.select("host", "shape", "n", "parts", F.when(down, F.col("template")).otherwise(F.col("parent")).alias("parent"), F.when(down, F.concat("template", F.lit("/" if d else ""), step)).otherwise(F.col("template")).alias("template"))
-        last, rows = rows_before, written(rows, "templates")
-        rows_before = rows
-        if last is not None:
-            dropped(last)
-    more = F.size("parts") > DEPTH
-    return rows.select("host", "shape", F.when(more, F.col("template")).otherwise(F.col("parent")).alias("parent"), F.when(more, F.concat("template", F.lit("/**"))).otherwise(F.col("template")).alias("template"))
+    node = ["host", "template", "depth"]
+    live = counts.select("host", "shape", "n", F.lit("").alias("template"), F.lit(0).alias("depth"), F.split("shape", "/", -1).alias("rest"))
+    down = lambda steps, k: F.when(k > 0, F.concat("template", F.when(F.col("depth") > 0, "/").otherwise(""), F.concat_ws("/", steps))).otherwise(F.col("template"))
+    done = []
+    while True:
+        # nodes that may yet have a wildcard, and how many segments all of their shapes share
+        lo, hi = F.min("rest"), F.max("rest")
+        parted = F.array_position(F.zip_with(lo, hi, lambda a, b: a.eqNullSafe(b)), False)
+        many = live.where(F.size("rest") > 0).groupBy(*node).agg(F.count("*").alias("shapes"), F.when(parted > 0, parted.cast("int") - 1).otherwise(F.size(lo)).alias("common")).where(F.col("shapes") > FANOUT)
+        many = written(many, "nodes")
+        if many.isEmpty():
+            done.append(live)
+            break
+        found = beside(live, many, node)
+        done.append(found.where("common is null or size(rest) = 0").select(live.columns))
+        found = found.where("common is not null and size(rest) > 0")
+        ahead = found.select("host", "shape", "n", down(F.slice("rest", F.lit(1), F.col("common")), F.col("common")).alias("template"), (F.col("depth") + F.col("common")).alias("depth"), F.slice("rest", F.col("common") + 1, F.size("rest")).alias("rest"))
+        ahead = written(ahead, "templates")
+        done.append(ahead.where(F.size("rest") == 0))
+        ahead = ahead.where(F.size("rest") > 0).withColumn("part", F.get("rest", F.lit(0)))
+        own = ahead.groupBy(*node, "part").agg(F.sum("n").alias("own"))
+        whole = own.groupBy(*node).agg(F.sum("own").alias("whole"), F.count("*").alias("fan")).where(F.col("fan") > FANOUT)
+        rare = own.join(whole, node).where(F.col("own") < RARE * F.col("whole")).select(*node, "part", F.lit(True).alias("rare"))
+        step = beside(ahead, written(rare, "rare"), [*node, "part"])
+        part = F.array(F.when(F.col("rare"), F.lit("*")).otherwise(F.col("part")))
+        live = written(step.select("host", "shape", "n", down(part, F.lit(1)).alias("template"), (F.col("depth") + 1).alias("depth"), F.slice("rest", F.lit(2), F.size("rest")).alias("rest")), "templates")
+    rows = functools.reduce(DataFrame.unionByName, done)
+    full = rows.select("host", "shape", down(F.col("rest"), F.size("rest")).alias("template"), (F.col("depth") + F.size("rest")).alias("depth"))
+    parent = F.when(F.col("depth") > 1, F.regexp_replace("template", r"/[^/]*\z", "")).otherwise("")
+    return full.select("host", "shape", parent.alias("parent"), "template")
 
 
 def learned(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -84,54 +115,56 @@ def learned(pages: DataFrame, labels: DataFrame) -> DataFrame:
     counts = written(counts, "shapes")
     total = counts.agg(F.sum("labelled"), F.sum("bad")).first()
     prior = (total[1] or 0) / total[0] if total[0] else 0.0
-    at = templates(counts)
-    tree = counts.join(at, ["host", "shape"])
-    own = tree.groupBy("host", "parent", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    pool = own.groupBy("host", "parent").agg(F.sum("labelled").alias("pool_labelled"), F.sum("bad").alias("pool_bad"))
-    ratio = lambda b, n: F.col(b) / F.greatest(n, F.lit(1))
-    own = own.join(pool, ["host", "parent"]).withColumn("share", F.when(F.col("labelled") > 0, ratio("bad", "labelled")).otherwise(ratio("pool_bad", "pool_labelled")))
-    order = Window.partitionBy("host", "parent").orderBy("share", "template")
-    last = own.select("host", "parent", "template", "labelled", "bad", "share", *(F.lag(c).over(order).alias(f"last_{c}") for c in ("labelled", "bad", "share")))
-    p = (F.col("bad") + F.col("last_bad")) / F.greatest(F.col("labelled") + F.col("last_labelled"), F.lit(1))
-    error = F.sqrt(p * (1 - p) * (1 / F.greatest("labelled", F.lit(1)) + 1 / F.greatest("last_labelled", F.lit(1))))
-    unlike = (F.col("labelled") > 0) & (F.col("last_labelled") > 0) & (F.col("share") - F.col("last_share") > Z * error)
-    branch = F.sum(F.coalesce(unlike, F.lit(False)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    branches = last.withColumn("branch", branch)
-    whole = branches.groupBy("host", "parent", "branch").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
-    purity = (F.col("b") + STRENGTH * prior) / (F.col("n") + STRENGTH)
-    judged = branches.join(whole, ["host", "parent", "branch"]).select("host", "parent", "template", purity.alias("purity"))
-    return at.join(judged, ["host", "parent", "template"]).select("host", "shape", "template", "purity", (F.col("purity") >= REJECT).alias("rejected"))
+    tree = written(counts.join(templates(counts), ["host", "shape"]), "tree")
+    own = tree.groupBy("host", "parent", "template").agg(F.sum("labelled").cast("double").alias("n"), F.sum("bad").cast("double").alias("b"))
+    pool = own.groupBy("host", "parent").agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"))
+    own = written(own, "siblings")
+    sides = beside(own, written(pool, "pools"), ["host", "parent"]).withColumn("m", F.col("all_n") - F.col("n")).withColumn("p", F.col("all_b") / F.greatest("all_n", F.lit(1.0)))
+    some = (F.col("n") > 0) & (F.col("m") > 0)
+    off = F.when(some, F.col("b") / F.greatest("n", F.lit(1.0)) - (F.col("all_b") - F.col("b")) / F.greatest("m", F.lit(1.0))).otherwise(0.0)
+    far = F.when(some, Z * F.sqrt(F.col("p") * (1.0 - F.col("p")) * (1.0 / F.greatest("n", F.lit(1.0)) + 1.0 / F.greatest("m", F.lit(1.0))))).otherwise(0.0)
+    sides = sides.select("host", "parent", "template", "n", "b", F.when(off > far, 1).when(-off > far, -1).otherwise(0).alias("branch"))
+    whole = sides.groupBy("host", "parent", "branch").agg(F.sum("n").alias("branch_n"), F.sum("b").alias("branch_b"))
+    purity = (F.col("branch_b") + STRENGTH * prior) / (F.col("branch_n") + STRENGTH)
+    judged = beside(sides, written(whole, "branches"), ["host", "parent", "branch"]).select("host", "parent", "template", purity.alias("purity"))
+    found = beside(tree.select("host", "shape", "parent", "template"), written(judged, "judged"), ["host", "parent", "template"])
+    return written(found.select("host", "shape", "template", "purity", (F.col("purity") >= REJECT).alias("rejected")), "learned")
 
 
 def page_labels(pages: DataFrame) -> DataFrame:
-    """(page_id, bad) from (page_id, url, html)."""
-    marked = F.regexp_count("html", F.lit(MARKS)) > MOST_MARKS
-    bad = F.when(host_of(F.col("url")).rlike(SEEDS), True).otherwise(marked)
+    """(page_id, bad) from (page_id, html), whatever the url."""
+    html = F.regexp_replace("html", UNSEEN, " ")
+    text = F.regexp_replace(html, TAG, " ")
+    words = F.regexp_count(text, F.lit(WORD))
+    bad = F.when(words > 0, (MARKED * F.regexp_count(text, F.lit(MARKS)) > words) | (LINKED * F.regexp_count(html, F.lit(LINK)) > words))
     return pages.select("page_id", bad.alias("bad"))
 
 
+def held_out(key: Column) -> Column:
+    """A fifth of the pages, by their ids."""
+    return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+
+
 def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
-    """(page_id, host, path, rule, verdict, template, purity) of each page's url."""
+    """(page_id, host, path, rule, verdict) of each page's url."""
     url = F.col("url")
     base = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path")).withColumn("shape", shape_of(F.col("path")))
-    found = base.join(learned(base, labels), ["host", "shape"], "left").withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
+    # what is not rejected is allowed: only the rejected shapes meet the pages
+    found = beside(base, learned(base, labels).where("rejected").select("host", "shape", "rejected"), ["host", "shape"])
+    found = found.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     own = F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))
-    return found.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), own).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
+    return found.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), own).alias("verdict"))
+
+
+def agreement(judged: DataFrame, labels: DataFrame) -> DataFrame:
+    """(verdict, bad, n) of the pages that no rule decides and that are held out."""
+    return judged.where(F.col("rule").isNull() & held_out(F.col("page_id"))).join(labels, "page_id").groupBy("verdict", "bad").agg(F.count("*").alias("n"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's verdict."""
     pages = table(spark, sf_dir, "pages")
-    return judge(pages, page_labels(pages)).drop("template", "purity")
-
-
-def _level(d: int) -> str:
-    return f"""o{d} AS (SELECT host, template, parts[{d + 1}] AS part, sum(n) AS own FROM r{d} WHERE len(parts) > {d} GROUP BY ALL),
-w{d} AS (SELECT host, template, sum(own) AS whole, count(*) AS fan FROM o{d} GROUP BY ALL),
-x{d} AS (SELECT host, template, part FROM o{d} JOIN w{d} USING (host, template) WHERE fan > {FANOUT} AND own < {RARE} * whole),
-r{d + 1} AS (SELECT r.host, r.shape, r.n, r.parts, CASE WHEN len(r.parts) > {d} THEN r.template ELSE r.parent END AS parent,
-  CASE WHEN len(r.parts) > {d} THEN r.template || '{"/" if d else ""}' || CASE WHEN x.part IS NOT NULL THEN '*' ELSE r.parts[{d + 1}] END ELSE r.template END AS template
-  FROM r{d} r LEFT JOIN x{d} x ON x.host = r.host AND x.template = r.template AND x.part = r.parts[{d + 1}])"""
+    return judge(pages, page_labels(pages.where(~held_out(F.col("page_id")))))
 
 
 def _fits(rules: Sequence[tuple[str, str, str]], value: str) -> str:
@@ -140,25 +173,33 @@ def _fits(rules: Sequence[tuple[str, str, str]], value: str) -> str:
     return f"CASE {' '.join(map(one, ordered))} END"
 
 
+# DuckDB has no crc32: whether it is divisible by five comes from its bits, folded over the bytes of the id.
+_BYTE = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
 ORACLE_SQL = f"""
-WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{URL}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '{URL}', 2) AS path FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{URL}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '{URL}', 2) AS path FROM pages),
 b AS (SELECT *, regexp_replace(path, '[0-9]+', '#', 'g') AS shape FROM u),
-k0 AS (SELECT u.page_id, CASE WHEN regexp_matches(u.host, '{SEEDS}') THEN 1 WHEN p.html IS NOT NULL THEN CAST(len(regexp_extract_all(p.html, '{MARKS}')) > {MOST_MARKS} AS INTEGER) END AS bad
-  FROM (SELECT DISTINCT * FROM u) u JOIN (SELECT page_id, max(html) AS html FROM pages GROUP BY page_id) p ON p.page_id = u.page_id),
-k AS (SELECT page_id, max(bad) AS bad FROM k0 WHERE bad IS NOT NULL GROUP BY page_id),
+h AS (SELECT page_id, regexp_replace(html, '{UNSEEN}', ' ', 'g') AS seen FROM pages
+  WHERE page_id IS NULL OR xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(page_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: {_BYTE}), 4294967295) % 5 <> 0),
+x AS (SELECT page_id, seen, regexp_replace(seen, '{TAG}', ' ', 'g') AS words FROM h),
+y AS (SELECT page_id, len(regexp_extract_all(words, '{WORD}')) AS n, len(regexp_extract_all(words, '{MARKS}')) AS marks, len(regexp_extract_all(seen, '{LINK}')) AS links FROM x WHERE seen IS NOT NULL),
+k AS (SELECT page_id, max(CAST({MARKED} * marks > n OR {LINKED} * links > n AS INTEGER)) AS bad FROM y WHERE n > 0 GROUP BY page_id),
 c AS (SELECT host, shape, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM b LEFT JOIN k USING (page_id) GROUP BY ALL),
 prior AS (SELECT CASE WHEN sum(labelled) > 0 THEN CAST(sum(bad) AS DOUBLE) / sum(labelled) ELSE 0e0 END AS prior FROM c),
-r0 AS (SELECT host, shape, n, string_split(shape, '/') AS parts, '' AS parent, '' AS template FROM c),
-{", ".join(map(_level, range(DEPTH)))},
-t AS (SELECT host, shape, CASE WHEN len(parts) > {DEPTH} THEN template ELSE parent END AS parent, CASE WHEN len(parts) > {DEPTH} THEN template || '/**' ELSE template END AS template FROM r{DEPTH}),
+r AS (SELECT host, shape, n, string_split(shape, '/') AS parts, 0 AS depth, '' AS parent, '' AS template FROM c
+  UNION ALL
+  SELECT host, shape, n, parts, depth + 1, template, template || CASE WHEN depth > 0 THEN '/' ELSE '' END || CASE WHEN fan > {FANOUT} AND own < {RARE}e0 * whole THEN '*' ELSE part END
+  FROM (SELECT *, parts[depth + 1] AS part, sum(n) OVER (PARTITION BY host, template, parts[depth + 1]) AS own, sum(n) OVER (PARTITION BY host, template) AS whole,
+      count(DISTINCT parts[depth + 1]) OVER (PARTITION BY host, template) AS fan FROM r WHERE len(parts) > depth)),
+t AS (SELECT host, shape, parent, template FROM r WHERE depth = len(parts)),
 own AS (SELECT host, parent, template, CAST(sum(labelled) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS b FROM c JOIN t USING (host, shape) GROUP BY ALL),
-pool AS (SELECT host, parent, sum(b) / greatest(sum(n), 1e0) AS p FROM own GROUP BY ALL),
-s AS (SELECT host, parent, template, n, b, CASE WHEN n > 0 THEN b / n ELSE p END AS share FROM own JOIN pool USING (host, parent)),
-l AS (SELECT *, lag(n) OVER o AS ln, lag(b) OVER o AS lb, lag(share) OVER o AS ls FROM s WINDOW o AS (PARTITION BY host, parent ORDER BY share, template)),
-e AS (SELECT *, (b + lb) / greatest(n + ln, 1e0) AS p FROM l),
-g AS (SELECT *, sum(CASE WHEN n > 0 AND ln > 0 AND share - ls > {Z}e0 * sqrt(p * (1e0 - p) * (1e0 / greatest(n, 1e0) + 1e0 / greatest(ln, 1e0))) THEN 1 ELSE 0 END) OVER (PARTITION BY host, parent ORDER BY share, template) AS branch FROM e),
+pool AS (SELECT host, parent, sum(n) AS an, sum(b) AS ab FROM own GROUP BY ALL),
+s AS (SELECT host, parent, template, n, b, an, ab, an - n AS m, ab / greatest(an, 1e0) AS p FROM own JOIN pool USING (host, parent)),
+e AS (SELECT *, CASE WHEN n > 0 AND m > 0 THEN b / greatest(n, 1e0) - (ab - b) / greatest(m, 1e0) ELSE 0e0 END AS off,
+  CASE WHEN n > 0 AND m > 0 THEN {Z}e0 * sqrt(p * (1e0 - p) * (1e0 / greatest(n, 1e0) + 1e0 / greatest(m, 1e0))) ELSE 0e0 END AS far FROM s),
+g AS (SELECT host, parent, template, n, b, CASE WHEN off > far THEN 1 WHEN -off > far THEN -1 ELSE 0 END AS branch FROM e),
 w AS (SELECT host, parent, branch, sum(n) AS wn, sum(b) AS wb FROM g GROUP BY ALL),
-j AS (SELECT host, parent, template, (wb + {STRENGTH} * prior) / (wn + {STRENGTH}) AS purity FROM g JOIN w USING (host, parent, branch), prior),
+j AS (SELECT host, parent, template, (wb + {STRENGTH}e0 * prior) / (wn + {STRENGTH}e0) AS purity FROM g JOIN w USING (host, parent, branch), prior),
 v AS (SELECT host, shape, CASE WHEN purity >= {REJECT}e0 THEN 'block' ELSE 'allow' END AS own FROM t JOIN j USING (host, parent, template))
 SELECT page_id, host, path, {_fits(RULES, "rule")} AS rule, coalesce({_fits(RULES, "verdict")}, own, 'allow') AS verdict FROM b LEFT JOIN v USING (host, shape)
 """
@@ -179,7 +220,7 @@ def brute_force(pages: list[tuple], labels: list[tuple], rules=RULES) -> list[tu
         host = "".join(LOWER[UPPER.index(c)] if c in UPPER else c for c in m[1]) if m else ""
         parsed.append((i, host, m[2] if m else "", [re.sub("[0-9]+", "#", x) for x in (m[2] if m else "").split("/")]))
     at = {k: ("", "") for k in range(len(parsed))}
-    for d in range(DEPTH):
+    for d in range(max((len(x[3]) for x in parsed), default=0)):
         kids: dict = defaultdict(lambda: defaultdict(list))
         for k, (_, host, _, parts) in enumerate(parsed):
             if len(parts) > d:
@@ -190,34 +231,24 @@ def brute_force(pages: list[tuple], labels: list[tuple], rules=RULES) -> list[tu
                 step = "*" if len(by) > FANOUT and len(members) < RARE * whole else part
                 for k in members:
                     at[k] = (tpl, tpl + ("/" if d else "") + step)
-    at = {k: (t, t + "/**") if len(parsed[k][3]) > DEPTH else (p, t) for k, (p, t) in at.items()}
     own, pool, total = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0]), [0, 0]
     for k, (i, host, _, _) in enumerate(parsed):
         for x in (own[host, *at[k]], pool[host, at[k][0]], total):
             x[0] += bad.get(i) is not None
             x[1] += bool(bad.get(i))
     prior = total[1] / total[0] if total[0] else 0.0
-    siblings: dict = defaultdict(list)
+    branches: dict = defaultdict(list)
     for (host, parent, tpl), (n, b) in own.items():
-        pn, pb = pool[host, parent]
-        siblings[host, parent].append((b / n if n else pb / max(pn, 1), tpl, n, b))
+        all_n, all_b = pool[host, parent]
+        off = far = 0.0
+        if n and all_n > n:
+            p = all_b / all_n
+            off, far = b / n - (all_b - b) / (all_n - n), Z * (p * (1 - p) * (1 / n + 1 / (all_n - n))) ** 0.5
+        branches[host, parent, (off > far) - (-off > far)].append((tpl, n, b))
     purity = {}
-    for (host, parent), row in siblings.items():
-        branches: list[list] = []
-        last = None
-        for x in sorted(row):
-            like = True
-            if last and x[2] and last[2]:
-                p = (x[3] + last[3]) / (x[2] + last[2])
-                like = x[0] - last[0] <= Z * (p * (1 - p) * (1 / x[2] + 1 / last[2])) ** 0.5
-            if last and like:
-                branches[-1].append(x)
-            else:
-                branches.append([x])
-            last = x
-        for one in branches:
-            n, b = (sum(x[k] for x in one) for k in (2, 3))
-            purity.update({(host, parent, x[1]): (b + STRENGTH * prior) / (n + STRENGTH) for x in one})
+    for (host, parent, _), row in branches.items():
+        n, b = (sum(x[k] for x in row) for k in (1, 2))
+        purity.update({(host, parent, x[0]): (b + STRENGTH * prior) / (n + STRENGTH) for x in row})
     out = []
     for k, (i, host, path, _) in enumerate(parsed):
         fit = max((r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])), key=lambda r: (len(r[1] + r[2]), len(r[1])), default=None)

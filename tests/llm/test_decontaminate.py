@@ -136,12 +136,41 @@ def test_pivots_retrieve_what_plain_scoring_does():
             for k, w in plain[t].items():
                 scores[k] += w
         want = {k: round(s, 9) for k, s in scores.items() if s >= 1 - 1e-9}
-        got = [x for b in range(index.blocks) for x in index.retrieved(terms, b, index.window(0)[terms, b])]
+        got = [x for b in range(index.blocks) for x in index.retrieved(terms, b, index.maxima(terms, b))]
         assert {k: round(s, 9) for k, s in got} == want and len(got) == len(want)
         some += len(want)
     assert some > 50
 
 
+def test_essential_postings_lead_to_all_that_plain_scoring_finds(monkeypatch):
+    """Whatever is read at once: (passage, block) of every item that a passage scores at 1 or more."""
+    rng = np.random.default_rng(7)
+    items = [(k, np.minimum(rng.zipf(1.3, rng.integers(1, 40)), 300).astype(np.uint64), np.zeros(0, np.uint64)) for k in range(90)]
+    df = Counter(t for _, q, _ in items for t in set(q.tolist()))
+    idf = {t: math.log(1 + (len(items) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    index = dc.Index(items, idf, 20.0, 40)
+    assert len(index.lead_item) < 0.8 * len(index.item)
+    weight = defaultdict(dict)
+    for place, item, w in zip(index.place.tolist(), index.item.tolist(), index.weight.tolist(), strict=True):
+        weight[item][place // index.blocks] = w
+    pieces = [np.minimum(rng.zipf(1.3, 60), 320).astype(np.uint64) for _ in range(120)]
+    for k in range(0, 120, 3):  # an item across two pieces
+        q = items[k % 90][1]
+        pieces[k], pieces[k + 1] = np.append(pieces[k], q[: len(q) // 2]), np.append(q[len(q) // 2 :], pieces[k + 1])
+    owner = np.sort(rng.integers(0, 25, 120))
+    pairs = sorted({(p, t) for p, x in enumerate(pieces) for t in index.numbers(x).tolist() if t < len(index.terms)})
+    at, term = (np.array(x) for x in zip(*pairs, strict=True))
+    want = set()
+    for p in range(120):
+        own = {t for q, t in pairs if q == p or q == p + 1 < 120 and owner[q] == owner[p]}
+        want |= {(p, k // dc.BLOCK) for k, by in weight.items() if sum(w for t, w in by.items() if t in own) >= 1}
+    assert len(want) > 60
+    for size in (1, 700, 1 << 21):
+        monkeypatch.setattr(dc, "AT_ONCE", size)
+        got = [tuple(x) for x in index._candidates(at, term, owner).tolist()]
+        assert len(got) == len(set(got)) and want <= set(got)
+
+
 def test_items_beyond_the_bound_of_characters(spark, monkeypatch):
     """One index at a time, with the hits of the last one in a table."""
     rng = random.Random(9)
