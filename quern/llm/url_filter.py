@@ -40,7 +40,7 @@ FANOUT, RARE, Z, STRENGTH, REJECT = 20, 0.02, 1.96, 4.0, 0.5
 MARKED, LINKED = 10, 2
 MARKS, LINK, WORD, TAG = "[#$%*|~^]+", r"<[aA][\x20\x09-\x0D>]", r"[^\x20\x09-\x0D]+", "<[^<>]*>"
 #: What a reader does not see; to the end of the text where it is not closed.
-UNSEEN = r"(?s)<[sS][cC][rR][iI][pP][tT].*?(?:</[sS][cC][rR][iI][pP][tT]>|\z)|<[sS][tT][yY][lL][eE].*?(?:</[sS][tT][yY][lL][eE]>|\z)|<!--.*?(?:-->|\z)"
+UNSEEN = r"(?s)<(?:[sS][cC][rR][iI][pP][tT].*?(?:</[sS][cC][rR][iI][pP][tT]>|\z)|[sS][tT][yY][lL][eE].*?(?:</[sS][tT][yY][lL][eE]>|\z)|!--.*?(?:-->|\z))"
 BROADCAST_BYTES, SALTS = 32 << 20, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -133,11 +133,12 @@ def learned(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 def page_labels(pages: DataFrame) -> DataFrame:
     """(page_id, bad) from (page_id, html), whatever the url."""
-    html = F.regexp_replace("html", UNSEEN, " ")
-    text = F.regexp_replace(html, TAG, " ")
-    words = F.regexp_count(text, F.lit(WORD))
-    bad = F.when(words > 0, (MARKED * F.regexp_count(text, F.lit(MARKS)) > words) | (LINKED * F.regexp_count(html, F.lit(LINK)) > words))
-    return pages.select("page_id", bad.alias("bad"))
+    # a step for each column that is used twice, so that none is computed twice
+    seen = pages.select("page_id", F.regexp_replace("html", UNSEEN, " ").alias("seen"))
+    texts = seen.select("page_id", F.regexp_count("seen", F.lit(LINK)).alias("links"), F.regexp_replace("seen", TAG, " ").alias("text"))
+    counts = texts.select("page_id", "links", F.regexp_count("text", F.lit(MARKS)).alias("marks"), F.regexp_count("text", F.lit(WORD)).alias("words"))
+    bad = F.when(F.col("words") > 0, (MARKED * F.col("marks") > F.col("words")) | (LINKED * F.col("links") > F.col("words")))
+    return counts.select("page_id", bad.alias("bad"))
 
 
 def held_out(key: Column) -> Column:
