@@ -2,8 +2,9 @@
 
 Two zstandard dictionaries are trained on one part of a labelled sample: the ordinary one on windows of ordinary
 documents, the toxic one on windows of toxic documents, without the terms that do not stand in significantly more toxic
-than ordinary documents (two-proportion z below ``SIGNIFICANT``): toxic documents are mostly ordinary text, and fragments
-of that would only blur the comparison. For the same reason the toxic dictionary is used in front of the ordinary one,
+than ordinary documents: toxic documents are mostly ordinary text, and fragments of that would only blur the comparison.
+How significant (two-proportion z of at least one of ``CUTS``) is what gives the least log loss on the calibrating rows:
+the more documents, the more terms pass a cut by chance or by their language. For the same reason the toxic dictionary is used in front of the ordinary one,
 so that a window is shorter under it only for what toxic text has of its own.
 
 A text is cut into windows of ``WINDOW`` words. The bytes that the toxic dictionary saves against the ordinary one give
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare, table, texts_of
 
-WINDOW, LONGEST, SAVED, SIGNIFICANT, LEAST = 8, 1000, 2, 7.0, 5
+WINDOW, LONGEST, SAVED, LEAST, CUTS = 8, 1000, 2, 5, (5.0, 7.0, 9.0, 12.0)
 SAMPLE, SAMPLE_CHARS, LEVEL = 6000, 24_000_000, 9
 #: Bytes of the dictionaries, and the segments and substrings that their training counts.
 ORDINARY, TOXIC = {"dict_size": 12_000, "k": 48, "d": 8}, {"dict_size": 2048, "k": 32, "d": 8}
@@ -105,14 +106,14 @@ def dictionary(own: list[bytes], kind: dict[str, int]) -> bytes:
         return b"".join(own)[-kind["dict_size"] :]
 
 
-def telling(toxic: list[str], ordinary: list[str]) -> set[str]:
-    """Terms that stand in significantly more toxic than ordinary texts."""
+def telling(toxic: list[str], ordinary: list[str]) -> dict[str, float]:
+    """Terms of at least ``LEAST`` toxic texts, with how significantly (z) they stand in more of these than of ordinary texts."""
     had = [Counter(w for t in texts for w in set(TERM.findall(t.lower()))) for texts in (toxic, ordinary)]
-    n, m, out = len(toxic), len(ordinary), set()
+    n, m, out = len(toxic), len(ordinary), {}
     for w, a in had[0].items():
         p = (a + had[1][w]) / (n + m)
-        if a >= LEAST and p < 1 and (a / n - had[1][w] / m) / math.sqrt(p * (1 - p) * (1 / n + 1 / m)) >= SIGNIFICANT:
-            out.add(w)
+        if a >= LEAST and p < 1:
+            out[w] = (a / n - had[1][w] / m) / math.sqrt(p * (1 - p) * (1 / n + 1 / m))
     return out
 
 
@@ -124,12 +125,20 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     # both parts have both kinds, unless there is a single row of one
     part = lambda rows, keep: [rows[k] for k in range(len(rows)) if keep(k % 10 >= CALIBRATE)] or rows
     texts = lambda rows: [sample[k][0] for k in part(rows, bool)]
-    kept = telling(texts(toxic), texts(ordinary))
-    own = [" ".join(w for w in TERM.findall(t.lower()) if w in kept) for t in texts(toxic)]
+    z = telling(texts(toxic), texts(ordinary))
     base = dictionary([w for t in texts(ordinary) for w in windows(t)], ORDINARY)
-    model = Model([base, dictionary([w for t in own for w in windows(t)], TOXIC) + base], [])
     rows = [sample[k] for rows in (toxic, ordinary) for k in part(rows, lambda train: not train)]
-    model.weights = fit_curve(model.features([t for t, _ in rows]), np.array([y for _, y in rows], float))
+    y = np.array([y for _, y in rows], float)
+    best = math.inf
+    for cut in CUTS:
+        own = [" ".join(w for w in TERM.findall(t.lower()) if z.get(w, -math.inf) >= cut) for t in texts(toxic)]
+        one = Model([base, dictionary([w for t in own for w in windows(t)], TOXIC) + base], [])
+        x = one.features([t for t, _ in rows])
+        one.weights = fit_curve(x, y)
+        p = 1 / (1 + np.exp(-np.clip(x @ np.array(one.weights), -30, 30)))
+        loss = -float(np.mean(np.log(np.where(y > 0, p, 1 - p))))
+        if loss < best:
+            best, model = loss, one
     return model
 
 
