@@ -13,6 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,12 @@ def deal(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, int]:
     return dealt, buckets
 
 
+def in_order(group: pa.Table, key: str = "doc_id") -> pa.Table:
+    """A block's rows by key and text. Where executors fetch from one another, each pass gets a block's rows in another
+    order; passes that agree on places in a block need this one."""
+    return group.take(pc.sort_indices(group, sort_keys=[(key, "ascending"), ("text", "ascending")]))
+
+
 def cut(keys: np.ndarray, buckets: int) -> list[np.ndarray]:
     """For sorted keys: the places of each bucket's keys, in order."""
     of = (keys % np.uint64(buckets)).astype(np.int64)

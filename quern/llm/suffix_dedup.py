@@ -25,6 +25,8 @@ Repeats shorter than ``LENGTH`` stay, but are told besides: of the ``SEED``-byte
 divisible by ``each`` are its anchors, and ``n_shared`` counts the bytes that anchors cover which start anywhere else too.
 A passage of 300 bytes has an anchor with a chance of 97 %.
 
+Places in a block are those of its texts in one order (``in_order``): a shuffle brings rows in another one each time.
+
 Cases: null or empty text has no bytes; rows are documents of their own, so repeated rows cover each other; texts
 shorter than ``LENGTH`` stay; an empty table gives an empty result. Only doc_id and text are read.
 """
@@ -41,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import arrow, bits, cut, deal, flags_of, seen_twice
+from .blocks import arrow, bits, cut, deal, flags_of, in_order, seen_twice
 from .common import bytes_of, calm, table
 from .hashing import BYTE, P, U, inside_runs, mix, powers, sliding_min, stretches, sums
 
@@ -387,6 +389,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, seed: int = SEED, limits
 
     @calm
     def first(group: pa.Table) -> pa.Table:
+        group = in_order(group)
         own = Entries(*bytes_of(group.column("text").combine_chunks()), length, seed, limits)
         block = group.column("block")[0].as_py()
         rows = [(block, k, p.astype(np.int32).tobytes(), own.keys[p].tobytes(), own.contents[p].tobytes(), own.flags[p].tobytes(), None) for k, p in enumerate(cut(own.keys, buckets)) if len(p)]
@@ -429,7 +432,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, seed: int = SEED, limits
 
         if not group.num_rows:
             return arrow([], ROWS)
-        answers = answers.to_pylist()
+        group, answers = in_order(group), answers.to_pylist()
         start, count, entry, said = known(answers)
         data, _ = bytes_of(group.column("text").combine_chunks())
         block, compress = group.column("block")[0].as_py(), zstandard.ZstdCompressor(level=3).compress
@@ -481,6 +484,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, seed: int = SEED, limits
 
     @calm
     def last(group: pa.Table, answers: pa.Table) -> pa.Table:
+        group = in_order(group)
         data, offsets = bytes_of(group.column("text").combine_chunks())
         answers = answers.to_pylist()
         start, count, entry = _unpacked(next(r["kept"] for r in answers if r["kept"] is not None))

@@ -123,3 +123,17 @@ def test_shared_anchors(spark, tmp_path, monkeypatch):
 
 def test_no_rows(spark, tmp_path):
     assert run(spark, tmp_path, []) == []
+
+
+def test_rows_of_a_block_in_any_order(spark, monkeypatch):
+    """Executors that fetch from one another get a block's rows in another order for each pass."""
+    calm, passes = sd.calm, []
+
+    def shuffled(f):
+        passes.append(n := len(passes))
+        stirred = lambda t: t.take(np.random.default_rng(n).permutation(t.num_rows)) if "text" in t.column_names else t
+        return calm((lambda one: f(stirred(one))) if f.__code__.co_argcount == 1 else (lambda one, other: f(stirred(one), other)))
+
+    monkeypatch.setattr(sd, "calm", shuffled)
+    rows = make_rows()
+    assert outcome(spark, rows, sd.Limits()) == sorted(sd.brute_force(rows), key=str) and len(passes) == 5
