@@ -44,8 +44,8 @@ def shape(percent: int, registers: int = REGISTERS, miss: float = MISS) -> tuple
 
 
 def smallest_linked(percent: int) -> int:
-    """The smallest set that can be linked with one that differs from it."""
-    return next(n for n in range(2, 200) if 100 * (n - 1) >= percent * n)
+    """The smallest set that can be linked with one that differs from it: one that has a single shingle more."""
+    return next((n for n in range(1, 200) if 100 * n >= percent * (n + 1)), 200)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:

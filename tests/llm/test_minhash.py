@@ -109,3 +109,15 @@ def test_components_by_stars(spark, monkeypatch):
     links = [(k, k + 1) for k in range(40)] + [(100, 200), (200, 150), (7, 7), (300, 301), (300, 301)] + [(500, k) for k in range(501, 530)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 200: 100, 150: 100, 300: 300, 301: 300, **dict.fromkeys(range(500, 530), 500)}
+
+
+def test_smallest_sets_that_link(spark):
+    """Six shingles within seven are 6 / 7 of the union; five within six are too few."""
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    rows = [(1, " ".join(words[:8])), (2, " ".join(words[:9])), (3, " ".join(words[5:12])), (4, " ".join(words[5:11]) + " x y"), (5, "a b c d e f g"), (6, "a b c d e f g h")]
+    got = run(spark, rows)
+    assert got == sorted(brute_force(rows), key=str)
+    assert [r[2] for r in got] == [1, 1, 3, 4, 5, 6]
+    for percent in (50, 80, 85, 90, 99):
+        least = mh.smallest_linked(percent)
+        assert 100 * least >= percent * (least + 1) and (least == 1 or 100 * (least - 1) < percent * least)
