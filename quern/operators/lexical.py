@@ -2,10 +2,15 @@
 
 Statistics are those of the whole corpus, whatever a search is scoped to. A search keeps only postings of the
 questions' tokens: they are joined before anything is grouped, so the shuffle carries matches, not the corpus.
+
+A common word makes a pair of each question and document. Pairs are never shuffled: documents are dealt to so many tasks
+that one has at most about ``PAIRS`` of them, however large the corpus, and only its best leave a task.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +18,8 @@ from ..functions.text import TOKEN, lexical_tokens
 
 #: Question tokens up to so many rows (some 30 MB) are broadcast; beyond it the join shuffles both sides.
 BROADCAST_TOKENS = 500_000
+#: Pairs of questions and documents that a task may have to score (some 350 bytes each), and its documents at most.
+PAIRS, DOCUMENTS = 500_000, 10_000
 
 
 def tokenized(docs: DataFrame) -> DataFrame:
@@ -47,22 +54,39 @@ def question_tokens(questions: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "token").agg(F.count("*").alias("qtf"), F.min("pos").alias("pos"))
 
 
-def bm25_scores(docs: DataFrame, questions: DataFrame, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """(query_id, id, score, pos) of every document with a token of the question; pos is the first that matches."""
+def tasks_for(df: DataFrame, n_docs: int, n_questions: int) -> int:
+    """To how many tasks documents are dealt that are scored for so many questions."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(n_docs * n_questions / PAIRS), math.ceil(n_docs / DOCUMENTS))
+
+
+def bm25_scores(docs: DataFrame, questions: DataFrame, k1: float = 0.9, b: float = 0.4, owners: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, pos) of every document with a token of the question; pos is the first that matches.
+
+    With ``owners`` (id, owner), questions have an owner, too: documents of others are left out of what is scored, and a
+    document comes once for each row of it there that fits."""
     asked = question_tokens(questions)
     vocabulary = asked.select("token").distinct()
-    small = asked.count() <= BROADCAST_TOKENS
-    near = F.broadcast if small else lambda df: df
+    told = asked.agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("queries")).first()
+    near = F.broadcast if told.n <= BROADCAST_TOKENS else lambda df: df
+    tasks = tasks_for(docs, docs.count(), told.queries)
     # dealt by document once: term counts and scores of a document then need no further shuffle
-    held = tokenized(docs).select("id", "dl", F.explode("ts").alias("token")).join(near(vocabulary), "token").repartition("id")
+    held = tokenized(docs).select("id", "dl", F.explode("ts").alias("token")).join(near(vocabulary), "token").repartition(tasks, "id")
     postings = held.groupBy("id", "token", "dl").agg(F.count("*").alias("tf"))
     # one row, which goes to the few rows of terms: a single pass over the corpus besides that for the postings
     stats = F.broadcast(index_stats(docs).withColumn("_", F.lit(1)))
     terms = postings.groupBy("token").agg(F.count("*").alias("df")).withColumn("_", F.lit(1)).join(stats, "_")
     terms = terms.select("token", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl").join(near(asked), "token")
     weight = F.col("qtf") * F.col("idf") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    joined = postings.join(near(terms), "token")
-    return joined.groupBy("query_id", "id").agg(F.round(F.sum(weight), 9).alias("score"), F.min("pos").alias("pos"))
+    summed = F.round(F.sum(weight), 9).alias("score"), F.min("pos").alias("pos")
+    if owners is None:
+        return postings.join(near(terms), "token").groupBy("query_id", "id").agg(*summed)
+    wanted = questions.groupBy("query_id", F.col("owner").cast("string").alias("_scope")).agg(F.count("*").alias("_asked"))
+    own = owners.select("id", F.col("owner").cast("string").alias("_owner")).repartition(tasks, "id").groupBy("id", "_owner").agg(F.count("*").alias("_rows"))
+    joined = postings.join(own, "id", "left").join(near(terms.join(near(wanted), "query_id")), "token")
+    fitting = joined.where(F.col("_scope").isNull() | (F.col("_scope") == F.col("_owner")))
+    times = F.max(F.col("_asked") * F.coalesce("_rows", F.lit(1))).cast("int").alias("_times")
+    found = fitting.groupBy("query_id", "id", "_scope", "_owner").agg(*summed, times)
+    return found.select("query_id", "id", "score", "pos", F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_row")).drop("_row")
 
 
 def ranked(scores: DataFrame, top_k: int | None = None) -> DataFrame:
@@ -77,8 +101,6 @@ def bm25(docs: DataFrame, questions: DataFrame, top_k: int = 10, k1: float = 0.9
 
 
 def bm25_scoped(docs: DataFrame, questions: DataFrame, owners: DataFrame, top_k: int = 10, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """``questions`` have an owner; documents of others are dropped after scoring, before the cut, and none where it is
+    """``questions`` have an owner; documents of others are dropped before the cut, and none where it is
     null. owners: (id, owner)."""
-    wanted = questions.select("query_id", F.col("owner").cast("string").alias("_scope"))
-    scored = bm25_scores(docs, questions, k1, b).join(owners.select("id", F.col("owner").cast("string").alias("_owner")), "id", "left").join(wanted, "query_id")
-    return ranked(scored.where(F.col("_scope").isNull() | (F.col("_scope") == F.col("_owner"))), top_k)
+    return ranked(bm25_scores(docs, questions, k1, b, owners), top_k)
