@@ -12,6 +12,9 @@ A search is exact. The greatest count and the least length bound what a token ca
 question the blocks with the highest bounds, ``FIRST`` of them, are scored; the k-th best score so found is the least that
 counts, and only blocks whose bounds reach it are scored, too.
 
+What is shuffled are texts' tokens by block when the index is built, and lists by block when it is searched: counts of a
+document, and pairs of questions and documents, which a common word makes of each two, come up and go within a task.
+
 Results equal those of ``lexical.bm25`` over the same rows: statistics count rows, null texts are rows without tokens.
 Rows of one id, which that operator adds up, are told apart here: ids must be distinct.
 """
@@ -19,6 +22,7 @@ Rows of one id, which that operator adds up, are told apart here: ids must be di
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
@@ -30,9 +34,11 @@ from pyspark.sql.types import IntegerType, StructType
 from ..errors import VectorStoreError
 from ..functions.text import lexical_tokens
 from ..sources.log import Versioned, name_of
-from .lexical import BROADCAST_TOKENS, idf, question_tokens, ranked
+from .lexical import BROADCAST_TOKENS, idf, question_tokens, ranked, tasks_for
 
 BLOCK_BITS, BUCKETS, FIRST, MOST_SEGMENTS = 10, 64, 4, 8
+#: Blocks of documents that a task makes lists of.
+BLOCKS = 4
 #: Below so many blocks for each of the first, bounds cost more than they save.
 WORTH = 64
 #: Places that documents have left, up to so many blocks' lists (some 100 MB), are broadcast.
@@ -111,13 +117,17 @@ class PostingIndex(Versioned):
         held = self.spark.read.schema(numbered.select(block.alias("block"), slot.alias("slot"), "id", "document_id", "owner", F.size("ts").alias("dl"), "ts").schema).parquet(draft)
         names = held.drop("ts")
         names.write.parquet(f"{self.root}/docs/{key}")
-        terms = held.select("block", "slot", "dl", F.explode("ts").alias("token")).groupBy("token", "block", "slot", "dl").agg(F.count("*").cast("int").alias("tf"))
+        names_read = self.spark.read.schema(names.schema).parquet(f"{self.root}/docs/{key}")
+        # dealt by block once: counts of documents and lists of blocks then need no further shuffle
+        tasks = max(self.spark.sparkContext.defaultParallelism, math.ceil(names_read.count() / (BLOCKS << BLOCK_BITS)))
+        dealt = held.select("block", "slot", "dl", "ts").repartition(tasks, "block")
+        terms = dealt.select("block", "slot", "dl", F.explode("ts").alias("token")).groupBy("token", "block", "slot", "dl").agg(F.count("*").cast("int").alias("tf"))
         entries = F.array_sort(F.collect_list(F.struct("slot", "tf", "dl")))
         lists = terms.groupBy("token", "block").agg(entries.alias("e"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
         postings = lists.select("token", "block", F.size("e").alias("n"), "max_tf", "min_dl", F.col("e.slot").alias("slots"), F.col("e.tf").alias("tfs"), F.col("e.dl").alias("dls"), _bucket(F.col("token")).alias("bucket"))
         path = f"postings/{key}"
         postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "block").write.options(**DELTA).partitionBy("bucket").parquet(f"{self.root}/{path}")
-        stats = self.spark.read.schema(names.schema).parquet(f"{self.root}/docs/{key}").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
+        stats = names_read.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
         self._delete(f"drafts/{key}")
         buckets = [int(x.removeprefix("bucket=")) for x in self._list(path) if x.startswith("bucket=")]
         kept = json.dumps({"docs": names.schema.jsonValue(), "postings": postings.drop("bucket").schema.jsonValue(), "path": f"docs/{key}"})
@@ -211,17 +221,18 @@ class PostingIndex(Versioned):
         state = self.state()
         asked = question_tokens(questions)
         # one pass over the questions tells their number of tokens and the buckets to read, of which there are few
-        told = asked.agg(F.count("*").alias("n"), F.collect_set(_bucket(F.col("token"))).alias("buckets")).first()
+        told = asked.agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("queries"), F.collect_set(_bucket(F.col("token"))).alias("buckets")).first()
         near = F.broadcast if told.n <= BROADCAST_TOKENS else lambda df: df
         found = self._postings(state, told.buckets).join(near(asked.select("token").distinct()), "token")
         if state.dead:
             whole = F.arrays_zip("slots", "tfs", "dls")
             kept = F.when(F.col("gone").isNull(), whole).otherwise(F.filter(whole, lambda x: ~F.array_contains("gone", x["slots"])))
-            found = self._without_dead(found, state).withColumn("e", kept).withColumn("n", F.size("e")).where("n > 0")
-        else:
-            found = found.withColumn("e", F.arrays_zip("slots", "tfs", "dls"))
-        found = found.select("token", "seq", "block", "n", "max_tf", "min_dl", "e")
+            found = self._without_dead(found, state).withColumn("e", kept).withColumns({"n": F.size("e"), **{c: F.col(f"e.{c}") for c in ("slots", "tfs", "dls")}}).where("n > 0")
         frequency = found.groupBy("token").agg(F.sum("n").alias("df"))
+        tasks = tasks_for(questions, state.n_docs, told.queries)
+        # dealt by block once, whatever the segment, which may be a constant: what a block's documents score needs no
+        # further shuffle
+        found = found.select("token", "seq", "block", "max_tf", "min_dl", "slots", "tfs", "dls").repartition(tasks, "block")
         terms = near(frequency.join(near(asked), "token").select("token", "query_id", "qtf", "pos", idf(F.lit(float(state.n_docs)), F.col("df")).alias("idf")))
         average = F.lit(state.average)
 
@@ -229,11 +240,16 @@ class PostingIndex(Versioned):
             return F.col("qtf") * F.col("idf") * tf * F.lit(k1 + 1) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * dl / average))
 
         def scored(rows: DataFrame) -> DataFrame:
-            """(query_id, seq, block, slot, score, pos) of (query_id, token, idf, ..., e)."""
-            each = rows.select("query_id", "seq", "block", "qtf", "idf", "pos", F.explode("e").alias("x"))
+            """(query_id, seq, block, slot, score, pos) of (query_id, token, idf, ..., slots, tfs, dls)."""
+            each = rows.select("query_id", "seq", "block", "qtf", "idf", "pos", F.explode(F.arrays_zip("slots", "tfs", "dls")).alias("x"))
             own = weight(F.col("x.tfs"), F.col("x.dls"))
             return each.groupBy("query_id", "seq", "block", F.col("x.slots").alias("slot")).agg(F.round(F.sum(own), 9).alias("score"), F.min("pos").alias("pos"))
 
+        def within(wanted: DataFrame) -> DataFrame:
+            """What is found of each question in its blocks of ``wanted``."""
+            own = wanted.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("seq", "query_id")).alias("wanted_by"))
+            return found.join(own, "block").join(terms, "token").where(F.array_contains("wanted_by", F.struct("seq", "query_id")))
+
         matched = found.join(terms, "token")
         scoped = "owner" in questions.columns
         place = ["seq", "block", "slot"]
@@ -247,12 +263,12 @@ class PostingIndex(Versioned):
             bounds = matched.groupBy(*blocks).agg(F.sum(weight(F.col("max_tf"), F.col("min_dl"))).alias("bound"))
             order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "seq", "block")
             bounds = bounds.withColumn("place", F.row_number().over(order))
-            first = scored(matched.join(bounds.where(F.col("place") <= FIRST).select(*blocks), blocks))
+            first = scored(within(bounds.where(F.col("place") <= FIRST)))
             best = Window.partitionBy("query_id").orderBy(F.desc("score"))
             least = first.withColumn("r", F.row_number().over(best)).where(F.col("r") == top_k).select("query_id", F.col("score").alias("least"))
             # bounds and scores are rounded sums: what differs in the last digits still counts
             reaching = bounds.join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-6)).select(*blocks)
-            matched = matched.join(reaching, blocks)
+            matched = within(reaching)
         # documents beyond the k best scores go before their ids are looked up; ties stay
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
         close = scored(matched).withColumn("r", F.rank().over(order)).where(F.col("r") <= top_k).drop("r")

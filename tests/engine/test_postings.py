@@ -102,3 +102,21 @@ def test_empty_tables(spark, tmp_path, questions):
     index.update(docs(spark, [("a", "night", "d", "o")]), spark.createDataFrame([("d",)], "document_id string"))
     assert [(r.query_id, r.id, r["rank"]) for r in index.search(questions).collect()] == [(1, "a", 1)]
     assert index.search(questions.limit(0)).collect() == []
+
+
+def test_pairs_of_questions_and_documents_are_not_shuffled(spark, tmp_path, monkeypatch, questions):
+    """They are scored where their block lies, with pruning and without, of one segment and of two."""
+    index = P.PostingIndex(spark, str(tmp_path / "i"))
+
+    def dealt_by_pair():
+        plan = index.search(questions, 5)._jdf.queryExecution().executedPlan().toString()
+        keys = [x.split("Exchange hashpartitioning(")[1].split("plan_id")[0] for x in plan.split("\n") if "Exchange hashpartitioning(" in x]
+        assert keys
+        return [x for x in keys if "query_id" in x and "block" in x]
+
+    index.build(docs(spark, texts(300)))
+    assert dealt_by_pair() == []
+    index.update(docs(spark, texts(3)), spark.createDataFrame([("d0",)], "document_id string"))
+    assert dealt_by_pair() == []
+    monkeypatch.setattr(P, "WORTH", 0)
+    assert dealt_by_pair() == []
