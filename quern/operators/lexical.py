@@ -3,8 +3,10 @@
 Statistics are those of the whole corpus, whatever a search is scoped to. A search keeps only postings of the
 questions' tokens: they are joined before anything is grouped, so the shuffle carries matches, not the corpus.
 
-A common word makes a pair of each question and document. Pairs are never shuffled: documents are dealt to so many tasks
-that one has at most about ``PAIRS`` of them, however large the corpus, and only its best leave a task.
+Whole texts are dealt by document, some ``WORDS`` words to a task, and cut into tokens there: a row for each token of what
+a task happens to read would be several times its text, all held until it is shuffled. Postings, a row for each document
+and token, are dealt on. A common word makes a pair of each question and document. Pairs are never shuffled: postings are
+dealt to so many tasks that one has at most about ``PAIRS`` of them, however large the corpus, and only its best leave it.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from ..functions.text import TOKEN, lexical_tokens
 BROADCAST_TOKENS = 500_000
 #: Pairs of questions and documents that a task may have to score (some 350 bytes each), and its documents at most.
 PAIRS, DOCUMENTS = 500_000, 10_000
+#: Words of texts that a task cuts into tokens, about.
+WORDS = 1_000_000
 
 
 def tokenized(docs: DataFrame) -> DataFrame:
@@ -59,6 +63,11 @@ def tasks_for(df: DataFrame, n_docs: int, n_questions: int) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(n_docs * n_questions / PAIRS), math.ceil(n_docs / DOCUMENTS))
 
 
+def cutting_tasks(df: DataFrame, n_words: float) -> int:
+    """To how many tasks texts of so many words are dealt that are cut into tokens."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(n_words / WORDS))
+
+
 def bm25_scores(docs: DataFrame, questions: DataFrame, k1: float = 0.9, b: float = 0.4, owners: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, pos) of every document with a token of the question; pos is the first that matches.
 
@@ -67,15 +76,20 @@ def bm25_scores(docs: DataFrame, questions: DataFrame, k1: float = 0.9, b: float
     asked = question_tokens(questions)
     vocabulary = asked.select("token").distinct()
     told = asked.agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("queries")).first()
-    near = F.broadcast if told.n <= BROADCAST_TOKENS else lambda df: df
-    tasks = tasks_for(docs, docs.count(), told.queries)
-    # dealt by document once: term counts and scores of a document then need no further shuffle
-    held = tokenized(docs).select("id", "dl", F.explode("ts").alias("token")).join(near(vocabulary), "token").repartition(tasks, "id")
-    postings = held.groupBy("id", "token", "dl").agg(F.count("*").alias("tf"))
-    # one row, which goes to the few rows of terms: a single pass over the corpus besides that for the postings
-    stats = F.broadcast(index_stats(docs).withColumn("_", F.lit(1)))
-    terms = postings.groupBy("token").agg(F.count("*").alias("df")).withColumn("_", F.lit(1)).join(stats, "_")
-    terms = terms.select("token", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl").join(near(asked), "token")
+    small = told.n <= BROADCAST_TOKENS
+    near = F.broadcast if small else lambda df: df
+    size = index_stats(docs).first()
+    cuts, tasks = cutting_tasks(docs, size.n_docs * size.avgdl), tasks_for(docs, size.n_docs, told.queries)
+    if tasks == cuts:
+        tasks += 1  # postings dealt like the texts would not be shuffled, and so made again by each that reads them
+    held = tokenized(docs.select("id", "text").repartition(cuts, "id")).select("id", "dl", F.explode("ts").alias("token")).join(near(vocabulary), "token")
+    if not small:
+        held = held.repartition(cuts, "id")
+    # dealt by document: scores of a document then need no further shuffle
+    postings = held.groupBy("id", "token", "dl").agg(F.count("*").alias("tf")).repartition(tasks, "id")
+    # the condition always holds; as it reads whole postings, those that were shuffled for the scores serve here, too
+    df = F.count_if(F.col("tf") <= F.col("dl")).alias("df")
+    terms = postings.groupBy("token").agg(df).select("token", idf(F.lit(size.n_docs).cast("bigint"), F.col("df")).alias("idf"), F.lit(size.avgdl).alias("avgdl")).join(near(asked), "token")
     weight = F.col("qtf") * F.col("idf") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
     summed = F.round(F.sum(weight), 9).alias("score"), F.min("pos").alias("pos")
     if owners is None:

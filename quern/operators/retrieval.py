@@ -28,9 +28,10 @@ def depth_for(top_k: int, candidate_depth: int, deep: bool) -> int:
     return max(candidate_depth, top_k) if deep else top_k
 
 
-def hybrid(corpus: DataFrame, questions: DataFrame, top_k: int = 5, depth: int = 50, k: int = 10, threshold: float | None = None, score: Column | None = None, k1: float = 0.9, b: float = 0.4, words: Words | None = None) -> DataFrame:
+def hybrid(corpus: DataFrame, questions: DataFrame, top_k: int = 5, depth: int = 50, k: int = 10, threshold: float | None = None, score: Column | None = None, k1: float = 0.9, b: float = 0.4, words: Words | None = None, texts: DataFrame | None = None) -> DataFrame:
     """(query_id, id, distance, score, rank[, rerank_score]), only of the question's scope if questions have one. ``words``
-    searches by words in place of a scan of the texts.
+    searches by words in place of a scan of the texts. ``texts`` (id, text) are those of the corpus; where its vectors are
+    joined to them, they need not go through that join.
 
     The threshold applies to dense hits before fusion, so a document beyond it can come back through BM25; its distance
     is then null. ``score`` (of columns question and text) reranks the fused candidates.
@@ -38,7 +39,7 @@ def hybrid(corpus: DataFrame, questions: DataFrame, top_k: int = 5, depth: int =
     deep, scoped = depth_for(top_k, depth, True), "scope" in questions.columns
     asked = questions.withColumn("text", normalize_question(F.col("text")))
     dense = within(nearest(corpus, asked, deep, scoped), threshold)
-    texts = corpus.select("id", "text")
+    texts = corpus.select("id", "text") if texts is None else texts
     owned = asked.withColumnRenamed("scope", "owner") if scoped else asked
     if words is not None:
         lexical = words(owned, deep, k1, b)

@@ -180,7 +180,7 @@ def embedding_arity_check(spark, d):
 
 def _lists(spark, d, depth=50):
     c, q = corpus(spark, d), asked(spark, d)
-    return vector.nearest(c, q, depth), lexical.bm25(c.select("id", "text"), q, depth)
+    return vector.nearest(c, q, depth), lexical.bm25(docs(spark, d), q, depth)
 
 
 def rrf_fusion(spark, d):
@@ -194,7 +194,7 @@ def rrf_fusion_nway(spark, d):
 
 
 def _hybrid(spark, d, **kw):
-    return retrieval.hybrid(corpus(spark, d), asked(spark, d), **kw)
+    return retrieval.hybrid(corpus(spark, d), asked(spark, d), texts=docs(spark, d), **kw)
 
 
 def hybrid_search(spark, d):
@@ -202,7 +202,7 @@ def hybrid_search(spark, d):
 
 
 def hybrid_search_scoped(spark, d):
-    out = retrieval.hybrid(corpus(spark, d), scoped_questions(spark, d), threshold=THRESHOLD)
+    out = retrieval.hybrid(corpus(spark, d), scoped_questions(spark, d), threshold=THRESHOLD, texts=docs(spark, d))
     return out.withColumns({"distance": F.round("distance", 6), "score": F.round("score", 9)})
 
 
