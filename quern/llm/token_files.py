@@ -93,6 +93,23 @@ class Encoder:
             self.known.update(zip(keys[at : at + len(some)], [lead + x for x in made] if lead else made, strict=True))
             at += len(some)
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of single pre-tokens. Those without white space but a first blank are encoded in rows between line feeds; where
+        the tokenizer joins a line feed to what stands before it, as the numbers tell, a row is encoded word by word."""
+        alone = [w for w in words if (x := w.removeprefix(" ")).split() != [x]]
+        found = dict(zip(alone, (x.tobytes() for x in self._library(alone)), strict=True))
+        joint = [w for w in words if w not in found]
+        rows = [joint[at : at + 200] for at in range(0, len(joint), 200)]
+        size = np.dtype(self.kind).itemsize
+        for some, ids in zip(rows, self._library(["\n".join(x) for x in rows]), strict=True):
+            cuts = (np.flatnonzero(ids == self.line) * size).tolist()
+            if len(cuts) == len(some) - 1:
+                data = ids.tobytes()
+                found.update(zip(some, map(data.__getitem__, map(slice, [0, *(c + size for c in cuts)], [*cuts, len(data)])), strict=True))
+            else:
+                found.update(zip(some, (x.tobytes() for x in self._library(some)), strict=True))
+        return found
+
     def _learn(self, names: list[int], cut: Pieces, fresh: np.ndarray) -> None:
         letters, apart, raw = cut.letters(fresh), cut.apart[fresh], cut.raw
         feed = np.array([self.line], self.kind).tobytes()
@@ -103,8 +120,7 @@ class Encoder:
             self._rows([names[k] for k in own.tolist()], [raw[s:e] for s, e in zip((cut.start[own] - back).tolist(), cut.end[own].tolist(), strict=True)], joint, lead)
         rest = fresh[left].tolist()
         parts = list(map(self.cut, cut.texts(rest)))
-        words = list({w for p in parts for w in p})
-        ids = dict(zip(words, (x.tobytes() for x in self._library(words)), strict=True))
+        ids = self._words(list({w for p in parts for w in p}))
         for k, p in zip(rest, parts, strict=True):
             self.known[names[k]] = b"".join(map(ids.__getitem__, p))
 

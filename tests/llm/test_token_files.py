@@ -68,3 +68,16 @@ def test_a_full_cache_changes_no_ids(monkeypatch):
 def test_no_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert tf.op8_token_files(spark, str(tmp_path)).count() == 0
+
+
+def test_single_words_are_encoded_in_rows(monkeypatch):
+    """Numbers and marks reach the library in rows, too, and have the ids that it gives them alone."""
+    encoder = tf.Encoder(public_tokenizers.path(tf.TOKENIZER), public_tokenizers.PATTERN)
+    texts = [f"no. {i}: {i * i}/{i + 7}% it's '{i}x中文{i}' ٣{i} {i}\x1c​{i} ...\n{i}!?" for i in range(900)]
+    want = [np.array(x.ids, encoder.kind).tobytes() for x in encoder.library.encode_batch_fast(texts, add_special_tokens=False)]
+    sent, plain = [], encoder._library
+    monkeypatch.setattr(encoder, "_library", lambda x: sent.append(len(x)) or plain(x))
+    assert encoder(texts) == want and sum(sent) < 100
+    # where rows do not part, they are encoded word by word
+    monkeypatch.setattr(encoder, "line", -1)
+    assert encoder._words(["12", " 34", "\n"]) == {w: plain([w])[0].tobytes() for w in ("12", " 34", "\n")}
